@@ -59,18 +59,55 @@ class MembershipFilter:
     def _bits(h):
         return F.pmod(F.shiftright(h, 17), F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 37), F.lit(FILTER_BITS))
 
+    def flag(self, df: DataFrame, key: str) -> DataFrame:
+        """Adds ``_maybe``: false only where the row's key is certainly not in the filter (or null)."""
+
+        def has(pos):
+            byte = F.conv(F.hex(F.substring("_fm", F.shiftright(pos, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            return F.getbit(byte, (pos % 8).cast("int")) == 1
+
+        h = F.xxhash64(F.col(key))
+        out = df.withColumn("_fb", self._bucket(h)).join(F.broadcast(self.table), "_fb", "left")
+        found = [F.coalesce(has(pos), F.lit(False)) for pos in self._bits(h)]
+        return out.select(*df.columns, (F.col(key).isNotNull() & found[0] & found[1]).alias("_maybe"))
+
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         """Rows of ``df`` whose key may be in the filter (a superset of those whose key is)."""
+        return self.flag(df, key).where("_maybe").drop("_maybe")
 
-        def has(pos):
-            byte = F.conv(F.hex(F.expr("substring(_fm, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-            return F.getbit(byte, F.expr("cast(_pos % 8 as int)")) == 1, pos
-
-        out = df.withColumn("_fh", F.xxhash64(F.col(key))).withColumn("_fb", self._bucket(F.col("_fh")))
-        out = out.join(F.broadcast(self.table), "_fb")
-        for pos in self._bits(F.col("_fh")):
-            out = out.withColumn("_pos", pos).where(has(pos)[0])
-        return out.select(*df.columns)
+
+def with_edits(docs: DataFrame, edits: DataFrame, column: str) -> DataFrame:
+    """``docs`` with ``column`` of ``edits`` (one row a ``doc_id``), null where there is none.
+
+    Only rows that pass a filter over the edited ids are shuffled; the others never leave their task.
+    """
+    flagged = MembershipFilter(edits, "doc_id", edits.count()).flag(docs, "doc_id")
+    maybe = flagged.where("_maybe").join(edits.select("doc_id", column), "doc_id", "left")
+    never = flagged.where("not _maybe").withColumn(column, F.lit(None).cast(edits.schema[column].dataType))
+    return maybe.select(*docs.columns, column).unionByName(never.select(*docs.columns, column))
+
+
+#: A key with this share of all rows is hot. At most 1 / HOT_SHARE keys can be, which bounds their broadcast.
+HOT_SHARE = 0.001
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, n_rows: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (unique in ``key``), whose ``count`` says how many rows have the key.
+
+    Hot keys meet their rows by broadcast: at most ``1 / HOT_SHARE`` keys can have
+    that share of the rows, so its size is bounded whatever the data.  Their rows
+    are then spread over the tasks of the second join, none of whose keys is hot.
+    """
+    values = [c for c in table.columns if c != key]
+    hot = F.col(count) >= max(2, n_rows * HOT_SHARE)
+    few = table.where(hot).select(F.col(key), F.struct(*values).alias("_hot"))
+    rest = table.where(~hot).select(F.col(key), F.struct(*values).alias("_rest"), F.lit(0).alias("_salt"))
+    out = rows.join(F.broadcast(few), key, "left")
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
+    out = out.withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
+    found = F.coalesce("_hot", "_rest")
+    out = out.select(*rows.columns, *(found[c].alias(c) for c in values), found.isNotNull().alias("_found"))
+    return (out if how == "left" else out.where("_found")).drop("_found")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

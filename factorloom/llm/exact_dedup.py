@@ -16,11 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, materialize
+from factorloom.llm.common import HOT_SHARE, MembershipFilter, join_skewed, materialize
 
-#: A digest with this share of all rows is hot. At most 1 / HOT_SHARE digests can be, which bounds their broadcast.
-HOT_SHARE = 0.001
-SALTS = 32
+SALTS = 32  # copies of a hot group's kept text, so that its rows are compared in that many tasks
 
 
 def normalized(text: str | Column = "text") -> Column:
@@ -66,17 +64,9 @@ def exact_dedup(docs: DataFrame, digest=lambda sha: F.unhex(sha)) -> DataFrame:
     level0 = index.flush(rows.select("doc_id", sha.alias("sha")).withColumn("digest", digest(F.col("sha"))))
     n_rows = level0.count()
     repeated = index.compact().where("n > 1").select("digest", F.col("doc_id").alias("keep_id"), "n")
-    hot = F.col("n") >= max(2, n_rows * HOT_SHARE)
-
-    # hot digests meet their rows by broadcast, all others by a join none of whose keys is hot
-    few = repeated.where(hot).select(F.col("digest").alias("hot_digest"), F.col("keep_id").alias("hot_id"), F.col("n").alias("hot_n"))
-    rest = repeated.where(~hot).withColumnRenamed("digest", "key")
-    spread = F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.col("doc_id").cast("string").cast("binary"))
-    groups = level0.join(F.broadcast(few), level0["digest"] == F.col("hot_digest"), "left")
-    groups = groups.withColumn("key", spread).join(rest, "key", "left")
-    groups = groups.select(
-        "doc_id", "sha", "digest", F.col("hot_id").isNotNull().alias("hot"),
-        F.coalesce("hot_id", "keep_id", "doc_id").alias("keep_id"), F.coalesce("hot_n", "n", F.lit(1)).cast("long").alias("group_size"),
+    groups = join_skewed(level0, repeated, "digest", "n", n_rows).select(
+        "doc_id", "sha", "digest", (F.coalesce("n", F.lit(1)) >= max(2, n_rows * HOT_SHARE)).alias("hot"),
+        F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
     )
     groups = materialize(groups, "groups")
 

@@ -3,11 +3,15 @@
 from factorloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from factorloom.llm.packing import op5_packing
 from factorloom.llm.sentence_pieces import op9_sentence_pieces
+from factorloom.llm.simhash_dedup import op6_simhash_dedup
+from factorloom.llm.substring_dedup import op3_suffix_array_dedup
 from factorloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_packing": op5_packing,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
 }
