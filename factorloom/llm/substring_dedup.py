@@ -35,7 +35,7 @@ from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 LENGTH = 400
 GRAM = 32
 HOT_CONTEXTS = 4_096
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 400_000
 BLOCK_BYTES = 4_000_000
 
 CONTEXT_SCHEMA = "key long, ctx long, doc_id long, start long, windows int"
