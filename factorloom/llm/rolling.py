@@ -33,9 +33,13 @@ class RangeHash:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        powers, self.inverse = _powers(max(12, int(n).bit_length()))
+        self.powers, self.inverse = _powers(max(12, int(n).bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((mix(values.astype(np.uint64) + np.uint64(1))) * powers[:n], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum((mix(values.astype(np.uint64) + np.uint64(1))) * self.powers[:n], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, lo, hi) -> np.ndarray:
         return (self.sums[hi] - self.sums[lo]) * self.inverse[lo]
+
+    def joined(self, head, length, tail) -> np.ndarray:
+        """The hash of a range of ``length`` values with hash ``head`` followed by one with hash ``tail``."""
+        return head + tail * self.powers[length]
