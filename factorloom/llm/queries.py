@@ -1,5 +1,7 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
+import corpus_pipeline
+from factorloom.llm.embedding_dedup import op1_embedding_dedup
 from factorloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from factorloom.llm.line_dedup import op4_line_dedup
 from factorloom.llm.packing import op5_packing
@@ -11,6 +13,7 @@ from factorloom.llm.token_counts import op2_token_counts
 from factorloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_line_dedup": op4_line_dedup,
@@ -20,6 +23,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
