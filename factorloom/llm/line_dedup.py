@@ -29,6 +29,7 @@ from factorloom.llm.rolling import RangeHash, mix
 
 MIN_CHARS = 20  # shorter lines stay: short lines are within one edit by chance
 SEGMENTS = 4
+BLOCK_CHARS = 500_000  # of lines that are hashed together
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -59,25 +60,28 @@ def segment_keys(lines: list[str]) -> np.ndarray:
 def list_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of at least ``min_chars`` characters: place, digest and segment keys; no text."""
 
+    def rows_of(ids, numbers, lines):
+        digests = [hashlib.md5(x.encode("utf-8")).digest() for x in lines]
+        offsets = np.arange(len(lines) + 1, dtype=np.int32) * (2 * SEGMENTS)
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(segment_keys(lines).ravel()))
+        cols = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), keys]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "digest", "keys"])
+
     def run(batches):
         for batch in batches:
-            ids, numbers, lines = [], [], []
+            ids, numbers, lines, size = [], [], [], 0
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for k, line in enumerate(value.as_py().split("\n")):
-                    if len(line) >= min_chars:
-                        ids.append(doc_id)
-                        numbers.append(k)
-                        lines.append(line)
-            digests = [hashlib.md5(x.encode("utf-8")).digest() for x in lines]
-            keys = segment_keys(lines).ravel()
-            offsets = np.arange(len(lines) + 1, dtype=np.int32) * (2 * SEGMENTS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
-                ],
-                ["doc_id", "line", "digest", "keys"],
-            )
+                    if len(line) < min_chars:
+                        continue
+                    ids.append(doc_id)
+                    numbers.append(k)
+                    lines.append(line)
+                    size += len(line)
+                    if size > BLOCK_CHARS:
+                        yield rows_of(ids, numbers, lines)
+                        ids, numbers, lines, size = [], [], [], 0
+            yield rows_of(ids, numbers, lines)
 
     return docs.mapInArrow(run, LINE_SCHEMA)
 
