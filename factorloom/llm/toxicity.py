@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import texts_of
+from factorloom.llm.common import materialize, texts_of
 
-SAMPLE_ROWS = 8_000  # labelled documents that the weights are fitted on, the ones with the smallest hash of their id
+SAMPLE_ROWS = 20_000  # labelled documents that the weights are fitted on, the ones with the smallest hash of their id
 FEATURES = 1 << 20
 MIN_DOCS = 4  # of the sample that a feature must occur in
 MIN_DEVIATION = 5.0  # standard deviations by which bad documents must be in excess among those
@@ -54,47 +54,57 @@ def training_labels(labels: DataFrame, label: str, modulus: int, held_out: int)
 
 
 def _instances(docs: DataFrame) -> DataFrame:
-    """``y, sizes, features``: number of features of each sentence, and the features, as bytes."""
+    """``y, sentences``: the features of each sentence."""
 
     def run(batches):
         cached = cache(features_of)
         for batch in batches:
-            sizes, feats = [], []
-            for value in batch.column("text"):
-                sets = [{f for w in set(_WORD.findall(s)) for f in cached(w)} for s in sentences(value.as_py().lower())]
-                sizes.append(np.array([len(s) for s in sets], "<i4").tobytes())
-                feats.append(np.array([f for s in sets for f in sorted(s)], "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], ["y", "sizes", "features"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [[sorted({f for w in set(_WORD.findall(s)) for f in cached(w)}) for s in sentences(v.as_py().lower())] for v in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "sentences"])
+
+    return docs.select("text", "y").mapInArrow(run, "y int, sentences array<array<int>>")
 
-    return docs.select("text", "y").mapInArrow(run, "y int, sizes binary, features binary")
+
+def _telling(instances: DataFrame, rate: float) -> list[int]:
+    """Features that bad documents have far more often than others, by counts of documents; at most ``FEATURES``."""
+    counts = instances.select("y", F.explode(F.array_distinct(F.flatten("sentences"))).alias("f")).groupBy("f").agg(
+        F.count("*").alias("n"), F.sum("y").alias("bad")
+    )
+    excess = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    return sorted(r["f"] for r in counts.where((F.col("n") >= MIN_DOCS) & (excess >= MIN_DEVIATION)).select("f").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 250) -> tuple[dict[int, float], float]:
     """Weights by feature and the bias, from ``labels`` (``doc_id, y``) and the texts of ``docs``.
 
-    The sample is bounded by ``sample_rows``.  Without rows of both labels there
-    are no weights, and the bias is that of the share of ones.
+    The sample is bounded by ``sample_rows``; the driver gets the telling features
+    of its sentences only.  Without rows of both labels there are no weights, and
+    the bias is that of the share of ones.
     """
     ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = _instances(texts_of(docs).join(F.broadcast(ids), "doc_id")).collect()
-    y = np.array([r["y"] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
+    instances = materialize(_instances(texts_of(docs).join(F.broadcast(ids), "doc_id")), "instances")
+    n, ones = instances.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < ones < n:
+        share = (ones + 1) / (n + 2)
         return {}, float(np.log(share / (1 - share)))
+    often = _telling(instances, ones / n)
+    column = {f: k for k, f in enumerate(often)}
+
+    def pick(batches):
+        for batch in batches:
+            found = [[[column[f] for f in s if f in column] for s in doc] for doc in batch.column("sentences").to_pylist()]
+            sizes = [np.array([len(s) for s in doc], "<i4").tobytes() for doc in found]
+            feats = [np.array([f for s in doc for f in s], "<i4").tobytes() for doc in found]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], ["y", "sizes", "features"])
+
+    rows = instances.mapInArrow(pick, "y int, sizes binary, features binary").collect()
+    y = np.array([r["y"] for r in rows], float)
     sizes = [np.frombuffer(r["sizes"], "<i4") for r in rows]
-    feats = np.concatenate([np.frombuffer(r["features"], "<i4") for r in rows])
+    x = np.concatenate([np.frombuffer(r["features"], "<i4") for r in rows])
     doc_of_sentence = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
     sentence = np.repeat(np.arange(len(doc_of_sentence)), np.concatenate(sizes))
-    pairs = np.unique(doc_of_sentence[sentence].astype(np.int64) * FEATURES + feats)
-    n_docs = np.bincount(pairs % FEATURES, minlength=FEATURES)
-    n_bad = np.bincount(pairs % FEATURES, weights=y[pairs // FEATURES], minlength=FEATURES)
-    rate = y.mean()
-    excess = (n_bad - n_docs * rate) / np.sqrt(np.maximum(n_docs, 1) * rate * (1 - rate))
-    often = np.flatnonzero((n_docs >= MIN_DOCS) & (excess >= MIN_DEVIATION))
-    column = np.full(FEATURES, -1)
-    column[often] = np.arange(len(often))
-    x = column[feats]
-    sentence, x = sentence[x >= 0], x[x >= 0]
 
     w, b = np.zeros(len(often)), -6.0
     m, v, step = np.zeros(len(often) + 1), np.zeros(len(often) + 1), 0.15
