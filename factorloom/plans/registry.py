@@ -1,5 +1,11 @@
 """All queries of the library and their SQL."""
 
+from factorloom.plans import factor_queries, panel_queries
+
+MODULES = [factor_queries, panel_queries]
 FLAGSHIP = "e2_ic_summary"
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)
