@@ -10,7 +10,12 @@ from pyspark.sql import types as T
 
 from factorloom.functions.windows import corr_of, kurt_of, rolling, skew_of, wt, wt_last
 
-C, H, L, O, V, A = (F.col(c) for c in ("close", "high", "low", "open", "volume", "amount"))
+
+def _named(name: str):
+    return lambda: F.col(name)
+
+
+close_, high_, low_, open_, volume_, amount_ = map(_named, ("close", "high", "low", "open", "volume", "amount"))
 
 
 def change(x: str | Column, n: int = 1) -> Column:
@@ -20,20 +25,20 @@ def change(x: str | Column, n: int = 1) -> Column:
 
 
 def roc(periods=(5, 10, 20, 60, 120)) -> dict[str, Column]:
-    return {f"roc_{n}d": change(C, n) for n in periods}
+    return {f"roc_{n}d": change(close_(), n) for n in periods}
 
 
 def price_to_sma(periods=(10, 20, 60)) -> dict[str, Column]:
-    return {f"price_to_sma_{n}d": C / rolling(F.avg, C, n) - 1 for n in periods}
+    return {f"price_to_sma_{n}d": close_() / rolling(F.avg, close_(), n) - 1 for n in periods}
 
 
 def momentum_composite(long: int = 60, short: int = 5) -> dict[str, Column]:
-    return {f"momentum_composite_{long}_{short}": change(C, long) - change(C, short)}
+    return {f"momentum_composite_{long}_{short}": change(close_(), long) - change(close_(), short)}
 
 
 def rank_momentum(n: int = 20) -> dict[str, Column]:
-    low, high = rolling(F.min, C, n), rolling(F.max, C, n)
-    return {f"rank_momentum_{n}d": (C - low) / (high - low + 1e-8)}
+    low, high = rolling(F.min, close_(), n), rolling(F.max, close_(), n)
+    return {f"rank_momentum_{n}d": (close_() - low) / (high - low + 1e-8)}
 
 
 def realized_volatility(periods=(20, 60)) -> dict[str, Column]:
@@ -42,7 +47,7 @@ def realized_volatility(periods=(20, 60)) -> dict[str, Column]:
 
 def range_volatility(n: int = 20) -> dict[str, Column]:
     """Parkinson and Garman-Klass volatility; the second is null where its mean is negative."""
-    hl, co = F.pow(F.ln(H / L), 2), F.pow(F.ln(C / O), 2)
+    hl, co = F.pow(F.ln(high_() / low_()), 2), F.pow(F.ln(close_() / open_()), 2)
     gk = rolling(F.avg, 0.5 * hl - (2 * math.log(2) - 1) * co, n)
     return {
         f"parkinson_vol_{n}d": F.sqrt(rolling(F.avg, hl, n) / (4 * math.log(2))),
@@ -65,23 +70,23 @@ def turnover_factors(periods=(5, 20)) -> dict[str, Column]:
 def volume_price(n: int = 20) -> dict[str, Column]:
     """Correlation of return and volume, deviation from the volume-weighted price, illiquidity."""
     w = wt_last(n)
-    both = F.when(F.count(F.when(F.col("ret1").isNotNull(), V)).over(w) == n, corr_of("ret1", "volume", w))
-    vwap = rolling(F.sum, C * V, n) / rolling(F.sum, V, n)
+    both = F.when(F.count(F.when(F.col("ret1").isNotNull(), volume_())).over(w) == n, corr_of("ret1", "volume", w))
+    vwap = rolling(F.sum, close_() * volume_(), n) / rolling(F.sum, volume_(), n)
     return {
-        f"volume_price_corr_{n}d": both, f"vwap_dev_{n}d": C / vwap - 1,
-        f"amihud_illiq_{n}d": rolling(F.avg, F.abs("ret1") / (A + 1e-8), n),
+        f"volume_price_corr_{n}d": both, f"vwap_dev_{n}d": close_() / vwap - 1,
+        f"amihud_illiq_{n}d": rolling(F.avg, F.abs("ret1") / (amount_() + 1e-8), n),
     }
 
 
 def price_range(periods=(5, 20)) -> dict[str, Column]:
-    return {f"hl_range_mean_{n}d": rolling(F.avg, (H - L) / C, n) for n in periods}
+    return {f"hl_range_mean_{n}d": rolling(F.avg, (high_() - low_()) / close_(), n) for n in periods}
 
 
 def core_factors() -> dict[str, Column]:
     r = F.col("ret1")
     return {
-        "rev_20d": -change(C, 20), "rvol_20d": -rolling(F.stddev_samp, r, 20), "max_ret_20d": -rolling(F.max, r, 20),
-        "turnover_20d": -rolling(F.avg, F.col("turnover_"), 20), "mom_frog_20d": change(C, 20) / (rolling(F.sum, F.abs(r), 20) + 1e-8),
+        "rev_20d": -change(close_(), 20), "rvol_20d": -rolling(F.stddev_samp, r, 20), "max_ret_20d": -rolling(F.max, r, 20),
+        "turnover_20d": -rolling(F.avg, F.col("turnover_"), 20), "mom_frog_20d": change(close_(), 20) / (rolling(F.sum, F.abs(r), 20) + 1e-8),
     }
 
 
@@ -99,7 +104,7 @@ def staged(panel: DataFrame) -> DataFrame:
     """``panel`` with ``ret1`` and ``turnover_``, on which the factor expressions stand."""
     from factorloom.operators.filters import turnover_of
 
-    return panel.withColumns({"ret1": change(C), "turnover_": turnover_of(panel.columns)})
+    return panel.withColumns({"ret1": change(close_()), "turnover_": turnover_of(panel.columns)})
 
 
 def factors(panel: DataFrame, families: list[str] | None = None) -> DataFrame:
@@ -123,50 +128,50 @@ def factor_registry(spark) -> DataFrame:
 
 
 def returns_and_momentum() -> dict[str, Column]:
-    return {f"return_{n}d": change(C, n) for n in (1, 5, 10, 20)} | {f"momentum_{n}d": C - F.lag(C, n).over(wt()) for n in (3, 5, 10, 20)}
+    return {f"return_{n}d": change(close_(), n) for n in (1, 5, 10, 20)} | {f"momentum_{n}d": close_() - F.lag(close_(), n).over(wt()) for n in (3, 5, 10, 20)}
 
 
 def rolling_prices(periods=(5, 10, 20, 30)) -> dict[str, Column]:
     out = {}
     for n in periods:
-        low, high = rolling(F.min, C, n), rolling(F.max, C, n)
+        low, high = rolling(F.min, close_(), n), rolling(F.max, close_(), n)
         out |= {
-            f"rolling_mean_{n}d": rolling(F.avg, C, n), f"rolling_std_{n}d": rolling(F.stddev_samp, C, n),
-            f"rolling_median_{n}d": rolling(lambda x: F.percentile(x, 0.5), C, n),
-            f"price_position_{n}d": F.when(high > low, 2 * (C - low) / (high - low) - 1),
+            f"rolling_mean_{n}d": rolling(F.avg, close_(), n), f"rolling_std_{n}d": rolling(F.stddev_samp, close_(), n),
+            f"rolling_median_{n}d": rolling(lambda x: F.percentile(x, 0.5), close_(), n),
+            f"price_position_{n}d": F.when(high > low, 2 * (close_() - low) / (high - low) - 1),
         }
     return out
 
 
 def true_range() -> Column:
-    before = F.lag(C).over(wt())
-    return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
+    before = F.lag(close_()).over(wt())
+    return F.greatest(high_() - low_(), F.abs(high_() - before), F.abs(low_() - before))
 
 
 def volume_features() -> dict[str, Column]:
-    out = {"volume_change": change(V)} | {f"volume_ma_{n}d": rolling(F.avg, V, n) for n in (5, 20)}
-    out |= {f"volume_ratio_{n}d": V / rolling(F.avg, V, n) for n in (5, 20)}
-    return out | {f"volume_roc_{n}d": change(V, n) for n in (3, 5, 10)}
+    out = {"volume_change": change(volume_())} | {f"volume_ma_{n}d": rolling(F.avg, volume_(), n) for n in (5, 20)}
+    out |= {f"volume_ratio_{n}d": volume_() / rolling(F.avg, volume_(), n) for n in (5, 20)}
+    return out | {f"volume_roc_{n}d": change(volume_(), n) for n in (3, 5, 10)}
 
 
 def intraday() -> dict[str, Column]:
     return {
-        "high_low_ratio": H / L, "open_close_ratio": O / C, "body": F.abs(C - O) / O, "upper_shadow": (H - F.greatest(O, C)) / C,
-        "lower_shadow": (F.least(O, C) - L) / C, "daily_range": (H - L) / O,
+        "high_low_ratio": high_() / low_(), "open_close_ratio": open_() / close_(), "body": F.abs(close_() - open_()) / open_(), "upper_shadow": (high_() - F.greatest(open_(), close_())) / close_(),
+        "lower_shadow": (F.least(open_(), close_()) - low_()) / close_(), "daily_range": (high_() - low_()) / open_(),
     }
 
 
 def bollinger(n: int = 20, width: float = 2.0) -> dict[str, Column]:
-    mid, sd = rolling(F.avg, C, n), rolling(F.stddev_samp, C, n)
+    mid, sd = rolling(F.avg, close_(), n), rolling(F.stddev_samp, close_(), n)
     up, low = mid + width * sd, mid - width * sd
-    return {"bb_middle": mid, "bb_upper": up, "bb_lower": low, "bb_position": (C - low) / (up - low), "bb_width": (up - low) / mid}
+    return {"bb_middle": mid, "bb_upper": up, "bb_lower": low, "bb_position": (close_() - low) / (up - low), "bb_width": (up - low) / mid}
 
 
 def features(panel: DataFrame) -> DataFrame:
     """``date, ticker`` and the technical features of the same day, without MACD."""
     gain = F.when(F.col("delta") > 0, F.col("delta")).otherwise(0.0)
     loss = F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0.0)
-    df = staged(panel).withColumns({"delta": C - F.lag(C).over(wt()), "true_range": true_range()})
+    df = staged(panel).withColumns({"delta": close_() - F.lag(close_()).over(wt()), "true_range": true_range()})
     df = df.withColumns({"gain": gain, "loss": loss})
     up, down = rolling(F.avg, F.col("gain"), 14), rolling(F.avg, F.col("loss"), 14)
     columns = returns_and_momentum() | rolling_prices() | {"atr_14": rolling(F.avg, F.col("true_range"), 14)}
