@@ -1,8 +1,8 @@
 """All queries of the library and their SQL."""
 
-from factorloom.plans import evaluation_queries, factor_queries, panel_queries
+from factorloom.plans import evaluation_queries, factor_queries, panel_queries, portfolio_queries
 
-MODULES = [factor_queries, panel_queries, evaluation_queries]
+MODULES = [factor_queries, panel_queries, evaluation_queries, portfolio_queries]
 FLAGSHIP = "e2_ic_summary"
 QUERIES: dict = {}
 SQL: dict = {}
