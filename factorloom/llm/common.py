@@ -79,10 +79,11 @@ class MembershipFilter:
 def with_edits(docs: DataFrame, edits: DataFrame, column: str) -> DataFrame:
     """``docs`` with ``column`` of ``edits`` (one row a ``doc_id``), null where there is none.
 
-    Only rows that pass a filter over the edited ids are shuffled; the others never leave their task.
+    Only rows that pass a filter over the edited ids are shuffled; the others never
+    leave their task.  The edits grow with the corpus, so at no size are they broadcast.
     """
     flagged = MembershipFilter(edits, "doc_id", edits.count()).flag(docs, "doc_id")
-    maybe = flagged.where("_maybe").join(edits.select("doc_id", column), "doc_id", "left")
+    maybe = flagged.where("_maybe").join(edits.select("doc_id", column).hint("merge"), "doc_id", "left")
     never = flagged.where("not _maybe").withColumn(column, F.lit(None).cast(edits.schema[column].dataType))
     return maybe.select(*docs.columns, column).unionByName(never.select(*docs.columns, column))
 
