@@ -23,7 +23,7 @@ _WS = r"\t-\r\x20\x85\xa0  -     　"
 _FULL = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 )
-CACHE_ENTRIES = 400_000  # of each worker cache; a cache is emptied when it is full
+CACHE_ENTRIES = 400_000  # of a generation of each worker cache
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -77,16 +77,20 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 class Memo(dict):
-    """A bounded cache of ``make``, emptied when full."""
+    """A bounded cache of ``make`` in two generations: a full one becomes the old one, from which what is asked for comes back."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) > CACHE_ENTRIES:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
