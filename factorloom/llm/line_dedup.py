@@ -131,22 +131,26 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     lines = materialize(found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>"), "lines")
 
+    def rows_of(held):
+        sizes = [len(at) for _, at, *_ in held]
+        codes, at = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        ids, nos = (np.repeat([h[k] for h in held], sizes) for k in (2, 3))
+        digests = pa.array([h[4] for h in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        cols = [pa.array(codes.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(nos.astype(np.int32)), digests]
+        return pa.RecordBatch.from_arrays(cols, ["code", "at", "doc_id", "line", "digest"])
+
     def emit(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            held, size = [], 0
             for digest, doc_id, line, text, slots in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 codes, at = deletion_variants(text, slots)
-                for col, x in zip(out, (codes, at, np.full(len(at), doc_id), np.full(len(at), line)), strict=False):
-                    col.append(x)
-                out[4] += [digest] * len(at)
-            codes, at, ids, nos = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out[:4])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(codes.astype(np.uint64).view(np.int64), pa.int64()), pa.array(at.astype(np.int32), pa.int32()),
-                    pa.array(ids.astype(np.int64)), pa.array(nos.astype(np.int32)), pa.array(out[4], pa.binary()),
-                ],
-                ["code", "at", "doc_id", "line", "digest"],
-            )
+                held.append((codes, at, doc_id, line, digest))
+                size += len(at)
+                if size > BLOCK_CHARS:
+                    yield rows_of(held)
+                    held, size = [], 0
+            if held:
+                yield rows_of(held)
 
     variants = lines.mapInArrow(emit, "code long, at int, doc_id long, line int, digest binary")
     place = F.struct("doc_id", "line", "digest")

@@ -24,10 +24,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.llm.byte_bpe import Memo
 from factorloom.llm.common import texts_of
 
 SPACE = "▁"
-CACHE_ENTRIES = 1_000_000  # words of a worker's cache; it is emptied when full
 
 
 class PieceTable:
@@ -62,8 +62,8 @@ class PieceTable:
         self.text_of = {str(i): s.replace(SPACE, " ") for i, s in self.pieces.items()}
         self.text_of |= {str(i): chr(b) for b, i in self.bytes.items() if b < 128} | {str(self.end_id): ""}
         self.compatible: dict[int, bool] = {}
-        self.words = _Cache(self.encode_word)  # by the word with its marks
-        self.spaced = _Cache(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
+        self.words = Memo(self.encode_word)  # by the word with its marks
+        self.spaced = Memo(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
 
     def _pair(self, a: int, b: int) -> bool:
         """Does BPE of the two pieces' strings end with the boundary between them intact?"""
@@ -171,20 +171,6 @@ class PieceTable:
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-class _Cache(dict):
-    """A bounded cache of ``make``; renewed when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 @cache
 def piece_table(path: str) -> PieceTable:
     """One table a Python worker and file."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,7 @@ def _instances(docs: DataFrame) -> DataFrame:
     """``y, sentences``: the features of each sentence."""
 
     def run(batches):
-        cached = cache(features_of)
+        cached = lru_cache(50_000)(features_of)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -172,7 +172,7 @@ class _Known(dict):
         self.make = make
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = self.make(word)
         return value
