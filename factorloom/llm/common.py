@@ -48,9 +48,9 @@ class MembershipFilter:
         self.n = min(MAX_FILTER_BITMAPS, max(1, -(-n_keys * 10 // FILTER_BITS)))
         h = F.xxhash64(F.col(key))
         bits = keys.where(F.col(key).isNotNull()).select(
-            self._bucket(h).alias("_fb"), F.explode(F.array(*self._bits(h))).alias("_fp")
+            self._bucket(h).alias("__filter_bucket"), F.explode(F.array(*self._bits(h))).alias("__filter_bit")
         )
-        self.table = bits.groupBy("_fb").agg(F.bitmap_construct_agg("_fp").alias("_fm"))
+        self.table = bits.groupBy("__filter_bucket").agg(F.bitmap_construct_agg("__filter_bit").alias("__filter_map"))
 
     def _bucket(self, h):
         return F.pmod(h, F.lit(self.n))
@@ -60,20 +60,20 @@ class MembershipFilter:
         return F.pmod(F.shiftright(h, 17), F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 37), F.lit(FILTER_BITS))
 
     def flag(self, df: DataFrame, key: str) -> DataFrame:
-        """Adds ``_maybe``: false only where the row's key is certainly not in the filter (or null)."""
+        """Adds ``__maybe``: false only where the row's key is certainly not in the filter (or null)."""
 
         def has(pos):
-            byte = F.conv(F.hex(F.substring("_fm", F.shiftright(pos, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring("__filter_map", F.shiftright(pos, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (pos % 8).cast("int")) == 1
 
         h = F.xxhash64(F.col(key))
-        out = df.withColumn("_fb", self._bucket(h)).join(F.broadcast(self.table), "_fb", "left")
+        out = df.withColumn("__filter_bucket", self._bucket(h)).join(F.broadcast(self.table), "__filter_bucket", "left")
         found = [F.coalesce(has(pos), F.lit(False)) for pos in self._bits(h)]
-        return out.select(*df.columns, (F.col(key).isNotNull() & found[0] & found[1]).alias("_maybe"))
+        return out.select(*df.columns, (F.col(key).isNotNull() & found[0] & found[1]).alias("__maybe"))
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         """Rows of ``df`` whose key may be in the filter (a superset of those whose key is)."""
-        return self.flag(df, key).where("_maybe").drop("_maybe")
+        return self.flag(df, key).where("__maybe").drop("__maybe")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, column: str) -> DataFrame:
@@ -83,8 +83,8 @@ def with_edits(docs: DataFrame, edits: DataFrame, column: str) -> DataFrame:
     leave their task.  The edits grow with the corpus, so at no size are they broadcast.
     """
     flagged = MembershipFilter(edits, "doc_id", edits.count()).flag(docs, "doc_id")
-    maybe = flagged.where("_maybe").join(edits.select("doc_id", column).hint("merge"), "doc_id", "left")
-    never = flagged.where("not _maybe").withColumn(column, F.lit(None).cast(edits.schema[column].dataType))
+    maybe = flagged.where("__maybe").join(edits.select("doc_id", column).hint("merge"), "doc_id", "left")
+    never = flagged.where("not __maybe").withColumn(column, F.lit(None).cast(edits.schema[column].dataType))
     return maybe.select(*docs.columns, column).unionByName(never.select(*docs.columns, column))
 
 
@@ -101,14 +101,14 @@ def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, n_rows:
     """
     values = [c for c in table.columns if c != key]
     hot = F.col(count) >= max(2, n_rows * HOT_SHARE)
-    few = table.where(hot).select(F.col(key), F.struct(*values).alias("_hot"))
-    rest = table.where(~hot).select(F.col(key), F.struct(*values).alias("_rest"), F.lit(0).alias("_salt"))
+    few = table.where(hot).select(F.col(key), F.struct(*values).alias("__hot"))
+    rest = table.where(~hot).select(F.col(key), F.struct(*values).alias("__rest"), F.lit(0).alias("__salt"))
     out = rows.join(F.broadcast(few), key, "left")
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
-    out = out.withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
-    found = F.coalesce("_hot", "_rest")
-    out = out.select(*rows.columns, *(found[c].alias(c) for c in values), found.isNotNull().alias("_found"))
-    return (out if how == "left" else out.where("_found")).drop("_found")
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
+    out = out.withColumn("__salt", salt).join(rest, [key, "__salt"], "left")
+    found = F.coalesce("__hot", "__rest")
+    out = out.select(*rows.columns, *(found[c].alias(c) for c in values), found.isNotNull().alias("__found"))
+    return (out if how == "left" else out.where("__found")).drop("__found")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -197,17 +197,17 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     rows = _cut(docs, dropped_lines(docs, min_chars))
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+        n_chars = F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
         rows = rows.withColumn("n_chars", n_chars)
     return rows.select(*docs.columns)
 
 
 def _cut(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines out of ``text``, and ``dropped``."""
-    gone = F.col("dropped")
+    """``docs`` with the dropped lines out of ``text``, and ``__dropped``."""
+    gone = F.col("__dropped")
     kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(gone, k))
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return with_edits(docs, dropped, "dropped").withColumn("text", text)
+    return with_edits(docs, dropped.withColumnRenamed("dropped", "__dropped"), "__dropped").withColumn("text", text)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -217,7 +217,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     docs = texts_of(docs).where("doc_id is not null")
     counted = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
-    n_removed = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    n_removed = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long")
     return _cut(counted, dropped_lines(docs, min_chars)).select(
         "doc_id", "n_lines", n_removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )

@@ -184,7 +184,7 @@ def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows with a null ``doc_id`` stay.
     """
     gone = materialize(simhash_components(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return with_edits(docs, gone.withColumn("_gone", F.lit(True)), "_gone").where("_gone is null").drop("_gone")
+    return with_edits(docs, gone.withColumn("__gone", F.lit(True)), "__gone").where("__gone is null").drop("__gone")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,7 +393,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character that is only partly covered by a removed run stays whole.
     """
-    rows = with_edits(docs, repeated_spans(docs, length), "spans")
+    rows = with_edits(docs, repeated_spans(docs, length).withColumnRenamed("spans", "__spans"), "__spans")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -414,9 +414,10 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(_outside(data, whole).decode("utf-8"))
         return type(texts)(out)
 
-    changed = rows.where("spans is not null").withColumn("text", cut("text", "spans"))
-    changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
-    return changed.unionByName(rows.where("spans is null")).select(*docs.columns)
+    changed = rows.where("__spans is not null").withColumn("text", cut("text", "__spans"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
+    return changed.unionByName(rows.where("__spans is null")).select(*docs.columns)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,7 +202,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         known = _Known(lambda word: any(f in table for f in features_of(word)))
         return pd.Series([_score(t or "", table, known, bias, base) for t in texts])
 
-    return docs.withColumn("_score", score("text")).where(F.col("_score") < threshold).select(*columns)
+    return docs.withColumn("__score", score("text")).where(F.col("__score") < threshold).select(*columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
