@@ -15,6 +15,8 @@ from functools import cache
 import numpy as np
 import regex
 
+from factorloom.llm.common import Memo
+
 #: Characters for which Python's ``re`` classes agree with the tokenizer's letter, number and space classes.
 _PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ«»¿¡–—…“”‘’€]")
 _FAST = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -23,7 +25,6 @@ _WS = r"\t-\r\x20\x85\xa0  -     　"
 _FULL = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 )
-CACHE_ENTRIES = 400_000  # of a generation of each worker cache
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -76,24 +77,6 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-class Memo(dict):
-    """A bounded cache of ``make`` in two generations: a full one becomes the old one, from which what is asked for comes back."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class _NotByWord(Exception):
     """The text has white space next to a space, or an empty line."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,40 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+CACHE_ENTRIES = 400_000  # of a generation of each worker cache
+_MEMOS: list = []
+
+
+class Memo(dict):
+    """A bounded cache of ``make`` in two generations: a full one becomes the old one, from which what is asked for comes back."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+        _MEMOS.append(weakref.ref(self))
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def forget(self):
+        self.clear()
+        self.old = {}
+
+
+def forget_words() -> None:
+    """Empties the caches that earlier stages left in this reused Python worker."""
+    for memo in _MEMOS:
+        if (m := memo()) is not None:
+            m.forget()
+
+
 FILTER_BITS = 32_768  # bits of one bitmap of Spark's bitmap functions (4 KB)
 MAX_FILTER_BITMAPS = 4_096  # so a filter never exceeds 16 MB, whatever the number of keys
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, texts_of, with_edits
 from factorloom.llm.rolling import RangeHash, mix
 
 MIN_CHARS = 20  # shorter lines stay: short lines are within one edit by chance
@@ -68,6 +68,7 @@ def list_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "digest", "keys"])
 
     def run(batches):
+        forget_words()
         for batch in batches:
             ids, numbers, lines, size = [], [], [], 0
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -117,6 +118,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     found = MembershipFilter(wanted, "doc_id", wanted.count()).apply(docs, "doc_id").join(wanted, "doc_id")
 
     def cut(batches):
+        forget_words()
         for batch in batches:
             rows = []
             for doc_id, value, items in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):

@@ -24,8 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm.byte_bpe import Memo
-from factorloom.llm.common import texts_of
+from factorloom.llm.common import Memo, texts_of
 
 SPACE = "▁"
 

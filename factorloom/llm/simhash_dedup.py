@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import connected_components, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import connected_components, forget_words, join_skewed, materialize, texts_of, with_edits
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long)."""
 
     def run(batches):
+        forget_words()
         for batch in batches:
             fps = np.array([fingerprint(v.as_py()) for v in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, texts_of, with_edits
 from factorloom.llm.rolling import RangeHash, mix
 from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 
@@ -106,6 +106,7 @@ def list_contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All contexts: ``key, ctx`` (hash of its bytes and anchor place), ``doc_id, start, windows``."""
 
     def run(batches):
+        forget_words()
         for batch in batches:
             for held in _blocks(batch, length):
                 data = b"".join(part for _, _, part in held)
@@ -227,6 +228,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
     """``ctx, runs`` of repeated windows for contexts ``(key, ctx, place, bytes)``, a shard of whole keys at a time."""
 
     def run(batches):
+        forget_words()
         shard, group, key, ctxs = _Shard(length), [], None, []
 
         def flush():

@@ -14,12 +14,11 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, texts_of
+from factorloom.llm.common import forget_words, materialize, texts_of
 
 SAMPLE_ROWS = 20_000  # labelled documents that the weights are fitted on, the ones with the smallest hash of their id
 FEATURES = 1 << 20
@@ -57,6 +56,7 @@ def _instances(docs: DataFrame) -> DataFrame:
     """``y, sentences``: the features of each sentence."""
 
     def run(batches):
+        forget_words()
         cached = lru_cache(50_000)(features_of)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -132,6 +132,7 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, thr
     base = float(np.log1p(-1 / (1 + np.exp(-bias))))
 
     def run(batches):
+        forget_words()
         table = shared.value
         known = _Known(lambda word: any(f in table for f in features_of(word)))
         for batch in batches:
@@ -192,17 +193,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; the texts never leave their task."""
     weights, bias = fit(docs, training_labels(labels, "toxic", 3, 1))
-    columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     base = float(np.log1p(-1 / (1 + np.exp(-bias))))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def keep(batches):
+        forget_words()
         table = shared.value
         known = _Known(lambda word: any(f in table for f in features_of(word)))
-        return pd.Series([_score(t or "", table, known, bias, base) for t in texts])
+        for batch in batches:
+            yield batch.filter(pa.array([_score(v.as_py() or "", table, known, bias, base) < threshold for v in batch.column("text")], pa.bool_()))
 
-    return docs.withColumn("__score", score("text")).where(F.col("__score") < threshold).select(*columns)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
