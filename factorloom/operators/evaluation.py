@@ -33,9 +33,9 @@ def daily_ic(pairs: DataFrame, method: str = "spearman", least: int = 3, keys: l
 
 
 def ic_summary(ic: DataFrame, per_year: int = 252, keys=("factor", "ret"), p: bool = True) -> DataFrame:
-    """Mean, deviation, ICIR, annual ICIR, t, p, n and share of positive dates."""
+    """Mean, deviation, ICIR, annual ICIR, t, p, n and share of positive dates (beyond rounding of a zero)."""
     out = ic.groupBy(*keys).agg(
-        F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_ratio")
+        F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive_ratio")
     )
     out = out.withColumn("icir", F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.col("ic_std")))
     out = out.withColumns({"icir_annual": F.col("icir") * math.sqrt(per_year), "t_stat": F.col("icir") * F.sqrt("n")})

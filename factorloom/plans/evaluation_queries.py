@@ -152,7 +152,7 @@ def e1_daily_pearson_ic(spark, d):
     return rounded(ev.daily_ic(pairs(spark, d), "pearson", LEAST), ic=6)
 
 
-_SUM = IC + ", summary as (select factor, ret, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, count(ic) as n, avg(cast(ic > 0 as int)) as positive_ratio from ic group by all)"
+_SUM = IC + ", summary as (select factor, ret, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, count(ic) as n, avg(cast(ic > 1e-12 as int)) as positive_ratio from ic group by all)"
 
 
 @query(
@@ -189,10 +189,10 @@ def e3_bucket_profile(spark, d):
     return rounded(ev.bucket_profile(quantiles(spark, d)), mean_ret=6, std_ret=6)
 
 
-@query(q.with_(_EDGES, "select factor, ret, bucket, date, format('{:.5e}', product(1 + mean_ret) over (partition by factor, ret, bucket order by date rows between unbounded preceding and current row)) as growth from qr where mean_ret < 1"))
+@query(q.with_(_EDGES, "select factor, ret, bucket, date, format('{:.5e}', product(1 + mean_ret) over (partition by factor, ret, bucket order by date rows between unbounded preceding and current row) - 1) as growth from qr where mean_ret < 1"))
 def e4_cumulative_returns(spark, d):
     rows = ev.cumulative_returns(quantiles(spark, d).where("mean_ret < 1"))
-    return rows.select("factor", "ret", "bucket", "date", F.format_string("%.5e", F.col("cum_ret") + 1).alias("growth"))
+    return rows.select("factor", "ret", "bucket", "date", F.format_string("%.5e", "cum_ret").alias("growth"))
 
 
 _SPREAD = _EDGES + ", sp as (select date, factor, ret, avg(case when bucket = 5 then mean_ret end) - avg(case when bucket = 1 then mean_ret end) as spread from qr group by all)"

@@ -18,7 +18,7 @@ def connect(sf_dir):
 def _cell(v):
     if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)):
         return "NULL"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
     try:
         return f"{float(v):.9g}"
