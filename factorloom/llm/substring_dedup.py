@@ -36,7 +36,7 @@ LENGTH = 400
 GRAM = 32
 HOT_CONTEXTS = 4_096
 SHARD_BYTES = 400_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000  # of texts that are hashed together
 
 CONTEXT_SCHEMA = "key long, ctx long, doc_id long, start long, windows int"
 
@@ -286,20 +286,21 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     found = MembershipFilter(by_doc, "doc_id", by_doc.count()).apply(docs, "doc_id").join(by_doc, "doc_id")
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            rows = []
-            for value, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                data = value.as_py().encode("utf-8")
-                for w in wanted:
-                    part = data[w["start"] : w["start"] + w["windows"] + length - 1]
-                    if len(part) < length:
-                        continue  # another text under the same doc_id
-                    first, n, _, place = contexts_of(np.frombuffer(part, np.uint8), np.array([len(part)]), length)
-                    if len(first) == 1:  # likewise
-                        rows.append((w["key"], w["ctx"], int(place[0]), part))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "ctx", "place", "bytes"])
+            for at in range(0, batch.num_rows, 100):
+                part, rows = batch.slice(at, 100), []
+                for value, wanted in zip(part.column("text"), part.column("wanted").to_pylist(), strict=True):
+                    data = value.as_py().encode("utf-8")
+                    for w in wanted:
+                        context = data[w["start"] : w["start"] + w["windows"] + length - 1]
+                        if len(context) < length:
+                            continue  # another text under the same doc_id
+                        first, n, _, place = contexts_of(np.frombuffer(context, np.uint8), np.array([len(context)]), length)
+                        if len(first) == 1:  # likewise
+                            rows.append((w["key"], w["ctx"], int(place[0]), context))
+                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "ctx", "place", "bytes"])
 
     return found.select("text", "wanted").mapInArrow(run, "key long, ctx long, place long, bytes binary")
 
