@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import cache
 
-import numpy as np
 import regex
 
 from factorloom.llm.common import Memo
@@ -128,8 +128,8 @@ class WordCoder:
         return self.fold(out)
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache

@@ -81,23 +81,25 @@ def pack_block(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
         bins[rows] = bin_no + np.arange(len(rows))
         bin_no += len(rows)
         left[c] = 0
-    open_ = np.flatnonzero(left)
-    while len(open_):
-        room = limits.astype(float)
-        offset = 0
-        while True:
-            fits = open_[(classes[open_] <= room).all(axis=1) & (left[open_] > 0)]
-            if not len(fits):
-                break
-            c = fits[np.argmax(scaled[fits] @ (room / limits))]
-            row = members[ends[c] - left[c]]
-            left[c] -= 1
-            bins[row], offsets[row] = bin_no, offset
-            offset += int(classes[c, 0])
-            room = room - classes[c]
-        bin_no += 1
-        if left[open_].min() == 0:
-            open_ = open_[left[open_] > 0]
+    while left.any():
+        open_ = np.flatnonzero(left)
+        own, share = classes[open_], scaled[open_] / limits
+        fresh = True
+        while fresh:  # bins over the same classes; one that ran out stays, unpicked, until a bin is done
+            room, offset, ran_out = limits.astype(float), 0, False
+            while True:
+                fits = (own <= room).all(axis=1) & (left[open_] > 0)
+                if not fits.any():
+                    break
+                c = open_[np.argmax(np.where(fits, share @ room, -1.0))]
+                row = members[ends[c] - left[c]]
+                left[c] -= 1
+                ran_out |= left[c] == 0
+                bins[row], offsets[row] = bin_no, offset
+                offset += int(classes[c, 0])
+                room = room - classes[c]
+            bin_no += 1
+            fresh = not ran_out
     return bins, offsets
 
 
