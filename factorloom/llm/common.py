@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,12 @@ class Memo(dict):
 
 
 def forget_words() -> None:
-    """Empties the caches that earlier stages left in this reused Python worker."""
+    """Empties the caches that earlier stages left in this reused Python worker, and gives unused memory back."""
     for memo in _MEMOS:
         if (m := memo()) is not None:
             m.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 FILTER_BITS = 32_768  # bits of one bitmap of Spark's bitmap functions (4 KB)

@@ -35,7 +35,7 @@ from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 LENGTH = 400
 GRAM = 32
 HOT_CONTEXTS = 4_096
-SHARD_BYTES = 400_000
+SHARD_BYTES = 150_000
 BLOCK_BYTES = 1_000_000  # of texts that are hashed together
 
 CONTEXT_SCHEMA = "key long, ctx long, doc_id long, start long, windows int"
@@ -248,7 +248,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
                 if k != key:
                     repeated_windows(group, length, shard)
                     group, key = [], k
-                    if shard.size > SHARD_BYTES or len(ctxs) > 50_000:
+                    if shard.size > SHARD_BYTES or len(ctxs) > 10_000:
                         yield flush()
                 group.append((len(ctxs), place, data))
                 ctxs.append(ctx)
