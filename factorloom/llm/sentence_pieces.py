@@ -27,6 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from factorloom.llm.common import Memo, texts_of
 
 SPACE = "▁"
+KEPT_CHARS = 64  # longer words and runs are not remembered
+
+
+class ShortMemo(Memo):
+    """A cache of short keys, so that its size is bounded in characters as well."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= KEPT_CHARS else self.make(key)
 
 
 class PieceTable:
@@ -61,8 +69,9 @@ class PieceTable:
         self.text_of = {str(i): s.replace(SPACE, " ") for i, s in self.pieces.items()}
         self.text_of |= {str(i): chr(b) for b, i in self.bytes.items() if b < 128} | {str(self.end_id): ""}
         self.compatible: dict[int, bool] = {}
-        self.words = Memo(self.encode_word)  # by the word with its marks
-        self.spaced = Memo(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
+        self.runs = ShortMemo(self.encode_part)  # by the run of a word
+        self.words = ShortMemo(self.encode_word)  # by the word with its marks
+        self.spaced = ShortMemo(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
 
     def _pair(self, a: int, b: int) -> bool:
         """Does BPE of the two pieces' strings end with the boundary between them intact?"""
@@ -127,13 +136,19 @@ class PieceTable:
 
     def encode_word(self, word: str) -> str:
         """Ids of one word (with its space marks) as decimals joined by one space."""
-        for k in range(len(word) - 1, 0, -1):  # cut where no piece has the two characters next to each other
-            if word[k - 1 : k + 1] not in self.joined:
-                head = self.spaced[word[1:k]] if word[0] == SPACE and k > 1 else self.words[word[:k]]
-                return f"{head} {self.words[word[k:]]}"
-        if word in self.known or len(word) > 1:
-            return " ".join(map(str, self.encode_run(word)))
-        return " ".join(str(self.bytes[b]) for b in word.encode("utf-8"))
+        joined, out, start = self.joined, [], 0
+        for k in range(1, len(word) + 1):  # cut where no piece has the two characters next to each other
+            if k < len(word) and word[k - 1 : k + 1] in joined:
+                continue
+            run, start = word[start:k], k
+            out.append(self.runs[run])
+        return " ".join(out)
+
+    def encode_part(self, run: str) -> str:
+        """Ids of a run of a word as decimals joined by one space: pieces, or the bytes of one unknown character."""
+        if run in self.known or len(run) > 1:
+            return " ".join(map(str, self.encode_run(run)))
+        return " ".join(str(self.bytes[b]) for b in run.encode("utf-8"))
 
     def encode(self, text: str) -> str:
         """Ids of a text in decimals joined by one space, without the end id."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -53,6 +54,16 @@ def test_pieces_equal_the_library(spark):
     assert encode_decode(documents(spark, []), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["0123456789", string.ascii_letters + "0123456789+/", "".join(map(chr, range(0x4E00, 0x5200))), "😀🎉🚀👍🏽", "éa\u03010漢"])
+def test_long_words_equal_the_library(letters):
+    word = "".join(random.Random(5).choices(letters, k=20_000))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in (word, f"a {word}\n {word[:2000]}"):
+        ids = sp.encode(text)
+        got = piece_table(PIECES).encode(text)
+        assert got == " ".join(map(str, ids)) and piece_table(PIECES).decode(got) == sp.decode(ids)
+
+
 def test_piece_table_round_trip():
     table = piece_table(PIECES)
     for t in texts(60, 9):
