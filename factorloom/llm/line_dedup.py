@@ -9,7 +9,14 @@ hashes a line (segment left out, for its own length and for one less) find these
 and only lines that share one emit variants, only for the characters of the
 segment left out.  What joins is verified by edit distance on the texts.
 
-Exact repeats are found by digest before that.  A line is dropped when an earlier
+Long lines may differ by more: an edit for every ``EDIT_CHARS`` characters, up to
+``MAX_EDITS``.  k edits leave k + 1 runs of a line intact, and the longest of them has
+at least (n - k) / (k + 1) characters.  Every window of that length selects the gram of
+least hash within it, so lines within k edits select a common gram, at places at most k
+apart.  Gram sizes follow classes of lengths; a line just above a class also selects as
+a member of it.  Lines that share a gram are verified by edit distance as well.
+
+Exact repeats are found by digest before that, whatever their length in the query.  A line is dropped when an earlier
 line of the corpus, by document and line number, is within the bound; the earliest
 stays.  A variant's group is bounded by the alphabet and the length of a line (its
 members differ at one place), and mass repeats are one digest with a count.
@@ -28,6 +35,10 @@ from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, m
 from factorloom.llm.rolling import RangeHash, mix
 
 MIN_CHARS = 20  # shorter lines stay: short lines are within one edit by chance
+EXACT_CHARS = 1  # the query drops exact repeats from this length on
+EDIT_CHARS = 32  # a pair may differ by an edit for so many characters of the shorter line, at least 1
+MAX_EDITS = 5  # but by no more than these
+CELL = 16  # places of grams are joined by cells of this size
 SEGMENTS = 4
 BLOCK_CHARS = 500_000  # of lines that are hashed together
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
@@ -57,13 +68,16 @@ def segment_keys(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def list_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Lines of at least ``min_chars`` characters: place, digest and segment keys; no text."""
+def list_lines(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """Lines of at least ``exact_chars`` characters: place, digest and segment keys (none below ``min_chars``); no text."""
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
 
     def rows_of(ids, numbers, lines):
         digests = [hashlib.md5(x.encode("utf-8")).digest() for x in lines]
-        offsets = np.arange(len(lines) + 1, dtype=np.int32) * (2 * SEGMENTS)
-        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(segment_keys(lines).ravel()))
+        long = np.array([len(x) >= min_chars for x in lines], bool)
+        offsets = np.append(0, np.cumsum(long)).astype(np.int32) * np.int32(2 * SEGMENTS)
+        keys = segment_keys([x for x in lines if len(x) >= min_chars]).ravel()
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
         cols = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), keys]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "digest", "keys"])
 
@@ -73,7 +87,7 @@ def list_lines(docs: DataFrame, min_chars: int) -> DataFrame:
             ids, numbers, lines, size = [], [], [], 0
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for k, line in enumerate(value.as_py().split("\n")):
-                    if len(line) < min_chars:
+                    if len(line) < least:
                         continue
                     ids.append(doc_id)
                     numbers.append(k)
@@ -103,16 +117,8 @@ def deletion_variants(line: str, slots: list[int]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([h.of(np.array([0]), np.array([n])), h.joined(head, at, tail)]), np.concatenate([[-1], at])
 
 
-def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Digests of the lines that have an earlier line within one edit.
-
-    ``distinct`` has ``digest, at`` (struct of the first place) and ``keys`` of every different line.
-    """
-    keys = distinct.select("digest", F.posexplode("keys").alias("slot", "key"))
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    slots = MembershipFilter(shared, "key", shared.count()).apply(keys, "key").join(shared, "key", "left_semi")
-    slots = slots.groupBy("digest").agg(F.collect_set("slot").alias("slots"))
-    wanted = slots.join(distinct.select("digest", "at"), "digest")
+def lines_at(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``digest, doc_id, line, text, slots`` of lines given by ``digest``, ``at`` (struct of the first place) and ``slots``."""
     wanted = wanted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line", "digest", "slots")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     found = MembershipFilter(wanted, "doc_id", wanted.count()).apply(docs, "doc_id").join(wanted, "doc_id")
@@ -131,7 +137,20 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["digest", "doc_id", "line", "text", "slots"])
 
-    lines = materialize(found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>"), "lines")
+    return materialize(found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>"), "lines")
+
+
+def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Digests of the lines that have an earlier line within one edit.
+
+    ``distinct`` has ``digest, at`` (struct of the first place) and ``keys`` of every different line.
+    """
+    keys = distinct.select("digest", F.posexplode("keys").alias("slot", "key"))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    slots = MembershipFilter(shared, "key", shared.count()).apply(keys, "key").join(shared, "key", "left_semi")
+    slots = slots.groupBy("digest").agg(F.collect_set("slot").alias("slots"))
+    wanted = slots.join(distinct.select("digest", "at"), "digest")
+    lines = lines_at(wanted, docs)
 
     def rows_of(held):
         sizes = [len(at) for _, at, *_ in held]
@@ -171,14 +190,122 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("text", "other_text", 1) >= 0).select("digest").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def edit_bound(n, edit_chars: int, max_edits: int):
+    return np.clip(n // edit_chars, 1, max_edits)
+
+
+def gram_classes(edit_chars: int, max_edits: int) -> np.ndarray:
+    """Least lengths of the classes of lines that may differ by 2 edits or more."""
+    lows = [edit_chars * k for k in range(2, max_edits + 1)]
+    while lows[-1] < 1 << 31:
+        lows.append(lows[-1] * 5 // 4 + 1)
+    return np.array(lows, np.int64)
+
+
+def line_grams(lines: list[str], edit_chars: int = EDIT_CHARS, max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line index, hash and place of every selected gram."""
+    n = np.array([len(x) for x in lines], np.int64)
+    end = np.cumsum(n)
+    begin = end - n
+    h = RangeHash(_code_points(lines))
+    lows = gram_classes(edit_chars, max_edits)
+    own = np.searchsorted(lows, n, "right") - 1
+    lower = np.searchsorted(lows, n - max_edits, "right") - 1
+    out = []
+    for c in np.unique(np.concatenate([own, lower])):
+        if c < 0:
+            continue
+        k = int(edit_bound(lows[c], edit_chars, max_edits))
+        run = max(1, -(-(int(lows[c]) - k) // (k + 1)))
+        q = max(1, run // 2)
+        w = run - q + 1
+        which = np.flatnonzero((own == c) | (lower == c))
+        sizes = n[which] - q + 1  # grams of each line
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        lo = np.repeat(begin[which], sizes) + at
+        codes = mix(h.of(lo, lo + q) ^ mix(np.array([c + 1], np.uint64)))
+        least = (codes >> np.uint64(32) << np.uint64(32)) | np.arange(len(codes), dtype=np.uint64)  # the leftmost of equal ones
+        size = 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < w:
+            least = np.minimum(least[: size - w], least[w - size :])
+        starts = np.flatnonzero((at <= np.repeat(sizes, sizes) - w)[: len(least)])
+        found = np.unique(least[starts] & np.uint64((1 << 32) - 1)).astype(np.int64)
+        out.append((np.repeat(which, sizes)[found], codes[found].view(np.int64), at[found]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
+    """``key, at, n, doc_id, line, digest`` of the grams that lines of ``2 * edit_chars`` characters or more select."""
+
+    def rows_of(ids, numbers, lines):
+        index, keys, at = line_grams(lines, edit_chars, max_edits)
+        take = pa.array(index)
+        digests = pa.array([hashlib.md5(x.encode("utf-8")).digest() for x in lines], pa.binary())
+        n = pa.array([len(x) for x in lines], pa.int32())
+        cols = [pa.array(keys), pa.array(at.astype(np.int32)), n.take(take), pa.array(ids, pa.int64()).take(take), pa.array(numbers, pa.int32()).take(take), digests.take(take)]
+        return pa.RecordBatch.from_arrays(cols, ["key", "at", "n", "doc_id", "line", "digest"])
+
+    def run(batches):
+        forget_words()
+        for batch in batches:
+            ids, numbers, lines, size = [], [], [], 0
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for k, line in enumerate(value.as_py().split("\n")):
+                    if len(line) < 2 * edit_chars:
+                        continue
+                    ids.append(doc_id)
+                    numbers.append(k)
+                    lines.append(line)
+                    size += len(line)
+                    if size > BLOCK_CHARS:
+                        yield rows_of(ids, numbers, lines)
+                        ids, numbers, lines, size = [], [], [], 0
+            if lines:
+                yield rows_of(ids, numbers, lines)
+
+    return docs.mapInArrow(run, "key long, at int, n int, doc_id long, line int, digest binary")
+
+
+def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
+    """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits."""
+    grams = list_grams(docs, edit_chars, max_edits)
+    code = F.xxhash64("digest")
+    shared = grams.select("key", code.alias("code")).groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
+    shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
+    found = MembershipFilter(shared, "key", shared.count()).apply(grams, "key").join(shared, "key", "left_semi")
+    firsts = distinct.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+    found = materialize(found.join(firsts, ["digest", "doc_id", "line"], "left_semi").distinct(), "grams")
+    cells = F.array_distinct(F.array(*(F.floor((F.col("at") + F.lit(d)) / CELL) for d in (-max_edits, max_edits))))
+    left = found.select("key", "at", "n", "digest", F.struct("doc_id", "line").alias("place"), F.explode(cells).alias("cell"))
+    right = found.select("key", *(F.col(c).alias(f"o_{c}") for c in ("at", "n", "digest")), F.struct("doc_id", "line").alias("o_place"), F.floor(F.col("at") / CELL).alias("cell"))
+    pairs = left.join(right, ["key", "cell"]).where((F.col("o_place") < F.col("place")) & (F.abs(F.col("at") - F.col("o_at")) <= max_edits))
+    bound = F.least(F.lit(max_edits), F.floor(F.least("n", "o_n") / edit_chars))
+    pairs = pairs.where((bound >= 2) & (F.abs(F.col("n") - F.col("o_n")) <= bound))
+    pairs = materialize(pairs.select("digest", "place", "o_digest", "o_place", bound.cast("int").alias("bound")).distinct(), "gram-pairs")
+    places = pairs.select("digest", F.col("place").alias("at")).unionByName(pairs.select(F.col("o_digest").alias("digest"), F.col("o_place").alias("at"))).distinct()
+    text = lines_at(places.withColumn("slots", F.array().cast("array<int>")), docs).select("digest", "text").dropDuplicates(["digest"])
+    pairs = pairs.join(text, "digest").join(text.select(F.col("digest").alias("o_digest"), F.col("text").alias("o_text")), "o_digest")
+    distance = F.levenshtein("text", "o_text", max_edits)
+    return pairs.where((distance >= 0) & (distance <= F.col("bound"))).select("digest").distinct()
+
+
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``doc_id, dropped`` (sorted line numbers from 0) for documents that lose lines."""
     docs = texts_of(docs).where("doc_id is not null")
-    lines = materialize(list_lines(docs, min_chars), "lines")
+    lines = materialize(list_lines(docs, min_chars, exact_chars), "lines")
     place = F.struct("doc_id", "line")
     distinct = lines.groupBy("digest").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "distinct")
-    near = materialize(near_lines(distinct, docs), "near").withColumn("near", F.lit(True))
+    near = near_lines(distinct, docs)
+    if max_edits > 1:
+        near = near.unionByName(farther_lines(distinct, docs, edit_chars, max_edits)).distinct()
+    near = materialize(near, "near").withColumn("near", F.lit(True))
     losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
     losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
     places = lines.select("doc_id", "line", "digest", F.xxhash64("digest").alias("h"))
@@ -188,16 +315,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return materialize(places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, exactly or within one edit; all rows stay.
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """``docs`` without the lines that repeat an earlier one, exactly or within the edit bound; all rows stay.
 
     Lines end at line feeds and keep their other white space; a line shorter than
-    ``min_chars`` characters stays.  ``n_chars``, where there is one, becomes the
+    ``min_chars`` characters stays, but for exact repeats of ``exact_chars`` or more.
+    The bound is an edit for every ``edit_chars`` characters of the shorter line, at
+    least 1 and at most ``max_edits``.  ``n_chars``, where there is one, becomes the
     length of the new text.  Null texts stay null, a document of which no line
     is left becomes empty, and rows with a null ``doc_id`` stay as they are.
     Rows that repeat a ``doc_id`` with the same text are one document.
     """
-    rows = _cut(docs, dropped_lines(docs, min_chars))
+    rows = _cut(docs, dropped_lines(docs, min_chars, exact_chars, max_edits, edit_chars))
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
         rows = rows.withColumn("n_chars", n_chars)
@@ -212,7 +341,7 @@ def _cut(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return with_edits(docs, dropped.withColumnRenamed("dropped", "__dropped"), "__dropped").withColumn("text", text)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` for every row of ``docs`` with a ``doc_id``.
 
     A null or empty text is one empty line.  See ``drop_lines`` for what is removed.
@@ -220,10 +349,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     docs = texts_of(docs).where("doc_id is not null")
     counted = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     n_removed = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long")
-    return _cut(counted, dropped_lines(docs, min_chars)).select(
+    return _cut(counted, dropped_lines(docs, min_chars, exact_chars, max_edits, edit_chars)).select(
         "doc_id", "n_lines", n_removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), exact_chars=EXACT_CHARS, max_edits=MAX_EDITS)

@@ -240,6 +240,37 @@ def test_dropped_lines_keep_rows_and_columns(spark):
     assert drop_lines(documents(spark, [])).count() == 0 and line_dedup(documents(spark, [])).count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_bound_grows_with_the_line(spark):
+    random.seed(11)
+    lines = []
+    for _ in range(24):
+        base = "".join(random.choice("abcdé ") for _ in range(random.choice([20, 30, 63, 64, 66, 95, 97, 128, 160, 170, 203])))
+        for edits in (0, 1, 2, 3, 4, 5, 6):
+            chars = list(base)
+            for _ in range(edits):
+                k = random.randrange(len(chars))
+                chars[k : k + random.randint(0, 1)] = random.choice(["", "x", "yz"[random.randint(0, 1)]])
+            lines.append("".join(chars))
+    random.shuffle(lines)
+    lines += ["}", "", "ok", "}", "", "a" * 400, "a" * 404, "ab" * 100, "ba" * 100]
+    expected = []
+    for i, line in enumerate(lines):
+        bound = lambda o, line=line: min(5, max(1, min(len(o), len(line)) // 32))
+        near = any(o == line or (min(len(o), len(line)) >= 20 and abs(len(o) - len(line)) <= 5 and distance(o, line) <= bound(o)) for o in lines[:i])
+        expected.append(int(bool(line) and near))
+    got = line_dedup(documents(spark, list(enumerate(lines))), exact_chars=1, max_edits=5).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == expected and sum(expected) > 60
+
+
 # ---- SimHash
 
 
