@@ -358,7 +358,7 @@ def z3_streamed_daily_closes(spark, d):
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/factorloom-streams"
     quotes = src.quotes_of(st.read_events(spark, d, "events.parquet"))
-    return st.run_to_memory(st.bars(quotes, "1 day"), f"bars_{uuid.uuid4().hex}", "complete", f"{root}/{uuid.uuid4().hex}").select("ticker", "start", "close")
+    return st.run_to_parquet(st.bars(quotes, "1 day"), f"{root}/bars-{uuid.uuid4().hex}", f"{root}/{uuid.uuid4().hex}", "complete").select("ticker", "start", "close")
 
 
 @query()
@@ -370,4 +370,4 @@ def z5_live_positions(spark, d):
     path = f"{root}/bars-{uuid.uuid4().hex}"
     st.bars(src.quotes(spark, d), "1 day").select("ticker", "start", "close").write.parquet(path)
     stream = spark.readStream.schema("ticker long, start timestamp, close double").parquet(path)
-    return st.run_to_memory(st.live_crossover(stream), f"positions_{uuid.uuid4().hex}", "append", f"{root}/{uuid.uuid4().hex}")
+    return st.run_to_parquet(st.live_crossover(stream), f"{root}/positions-{uuid.uuid4().hex}", f"{root}/{uuid.uuid4().hex}")

@@ -82,7 +82,24 @@ def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return stream.sparkSession.table(name)
 
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends a stream's results to a Parquet table, exactly once by its checkpoint."""
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into a Parquet table and returns it; no row passes the driver.
+
+    Appended results are written exactly once by the checkpoint.  In complete mode
+    every micro-batch writes the whole result to a folder of its own below ``path``,
+    and the last one is returned.
+    """
+    if mode == "complete":
+        last = []
+
+        def write(rows: DataFrame, batch_id: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/{batch_id}")
+            last[:] = [batch_id]
+
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        read = stream.sparkSession.read.schema(stream.schema)
+        return read.parquet(f"{path}/{last[0]}") if last else stream.sparkSession.createDataFrame([], stream.schema)
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -235,3 +235,16 @@ def test_live_positions_equal_a_fold(spark):
                     position = now
                 above = now
             assert r["position"] == position
+
+
+def test_streamed_queries_stay_out_of_the_driver(spark, monkeypatch):
+    from factorloom.plans import portfolio_queries as pq
+
+    def refuse(*args):
+        raise AssertionError("the memory sink collects the result to the driver")
+
+    monkeypatch.setattr(st, "run_to_memory", refuse)
+    got = pq.z3_streamed_daily_closes(spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.bars(quotes(spark, SF), "1 day").select("ticker", "start", "close").collect()))
+    held = pq.z5_live_positions(spark, SF)
+    assert held.count() == got.count() and all("parquet" in f for df in (got, held) for f in df.inputFiles())
