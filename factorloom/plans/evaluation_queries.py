@@ -285,7 +285,7 @@ def e12_ic_decay(spark, d):
 @query()
 def e12_half_life(spark, d):
     w = wide(spark, d)
-    return ev.half_life(ev.ic_decay(long(spark, d, w), w, 10))
+    return ev.half_life(ev.ic_decay(long(spark, d, w), w, 20))
 
 
 @query()

@@ -248,3 +248,13 @@ def test_streamed_queries_stay_out_of_the_driver(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.bars(quotes(spark, SF), "1 day").select("ticker", "start", "close").collect()))
     held = pq.z5_live_positions(spark, SF)
     assert held.count() == got.count() and all("parquet" in f for df in (got, held) for f in df.inputFiles())
+
+
+def test_half_lives_up_to_twenty_periods(spark, monkeypatch):
+    from factorloom.plans import evaluation_queries as eq
+
+    def slow(factors, prices, horizons=20):
+        return spark.createDataFrame([("f", h, 1.0 if h < 20 else 0.4) for h in range(1, horizons + 1)], "factor string, horizon int, ic double")
+
+    monkeypatch.setattr(eq.ev, "ic_decay", slow)
+    assert [tuple(r) for r in eq.e12_half_life(spark, SF).collect()] == [("f", 20)]
