@@ -127,20 +127,21 @@ def with_edits(docs: DataFrame, edits: DataFrame, column: str) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, n_rows: int, how: str = "left") -> DataFrame:
-    """``rows`` joined with ``table`` (unique in ``key``), whose ``count`` says how many rows have the key.
+def join_skewed(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, n_rows: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (unique in the columns of ``key``), whose ``count`` says how many rows have the key.
 
     Hot keys meet their rows by broadcast: at most ``1 / HOT_SHARE`` keys can have
     that share of the rows, so its size is bounded whatever the data.  Their rows
     are then spread over the tasks of the second join, none of whose keys is hot.
     """
-    values = [c for c in table.columns if c != key]
+    key = [key] if isinstance(key, str) else key
+    values = [c for c in table.columns if c not in key]
     hot = F.col(count) >= max(2, n_rows * HOT_SHARE)
-    few = table.where(hot).select(F.col(key), F.struct(*values).alias("__hot"))
-    rest = table.where(~hot).select(F.col(key), F.struct(*values).alias("__rest"), F.lit(0).alias("__salt"))
+    few = table.where(hot).select(*key, F.struct(*values).alias("__hot"))
+    rest = table.where(~hot).select(*key, F.struct(*values).alias("__rest"), F.lit(0).alias("__salt"))
     out = rows.join(F.broadcast(few), key, "left")
     salt = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
-    out = out.withColumn("__salt", salt).join(rest, [key, "__salt"], "left")
+    out = out.withColumn("__salt", salt).join(rest, [*key, "__salt"], "left")
     found = F.coalesce("__hot", "__rest")
     out = out.select(*rows.columns, *(found[c].alias(c) for c in values), found.isNotNull().alias("__found"))
     return (out if how == "left" else out.where("__found")).drop("__found")

@@ -6,14 +6,17 @@ come from a rule that every copy of a string obeys alike: each window of
 least hash.  Neighbouring windows with one anchor form a context, which holds
 every byte of its windows; on average a context owns some 190 windows.
 
-1. One pass over the texts lists contexts (anchor key, hash, place), no bytes.
+1. One pass over the texts lists contexts (anchor key, 128-bit hash, place), no bytes.
 2. Contexts that are equal as a whole, whatever their number, repeat as a whole;
    they are counted with map-side sums, so mass copies never meet in one task.
 3. Only where one anchor key has several different contexts are bytes needed.
-   One of each is cut from its text and sent to the shard of its key, which sorts
-   its suffixes by induced sorting and reads repeats off the permuted common
-   prefixes.  A key with more than ``HOT_CONTEXTS`` different contexts would be
-   too much for one task; its windows are hashed and counted instead.
+   These contexts are cut into parts by classes of neighbouring distances to the
+   anchor.  All windows of a class share a core of bytes, so equal windows have
+   equal cores: the parts with one core are what has to stay together.  Equal parts
+   are counted, and one of each is sent to the shard of its core, which sorts its
+   suffixes by induced sorting and reads repeats off the permuted common prefixes.
+   A shard is sorted whenever it is full.  A core with too many different parts for
+   one shard is dealt out by narrower classes, whose cores are longer, and so on.
 4. Repeated windows go back to every place of their context, are merged by
    document, and only documents with any are joined with their text again.
 """
@@ -34,11 +37,15 @@ from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 32
-HOT_CONTEXTS = 4_096
+CLASS = 64  # windows of a part, at most
+CORE_PARTS = 256  # different parts with one core that a shard takes; beyond, classes are a quarter as wide
 SHARD_BYTES = 150_000
-BLOCK_BYTES = 1_000_000  # of texts that are hashed together
+BLOCK_BYTES = 250_000  # of texts that are hashed together
 
-CONTEXT_SCHEMA = "key long, ctx long, doc_id long, start long, windows int"
+CONTEXT_SCHEMA = "key long, c0 long, c1 long, doc_id long, start long, windows int, place int"
+PART_SCHEMA = "g0 long, g1 long, h0 long, h1 long, u0 long, u1 long, lo int, windows int, place int, doc_id long, start long"
+RUNS = "array<struct<lo:long,hi:long>>"
+RUN_TYPE = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,16 +88,14 @@ def contexts_of(block: np.ndarray, lengths: np.ndarray, length: int = LENGTH) ->
 
 
 def _blocks(batch, length: int):
-    """Rows of an Arrow batch as blocks of long enough texts: bytes, text lengths, ids, offset of each text.
+    """Rows of an Arrow batch as blocks of long enough texts: id, offset in the text, bytes.
 
     A text beyond ``BLOCK_BYTES`` comes in slices that overlap by ``length - 1``
     bytes, so every window is in exactly one slice.
     """
     held, size = [], 0
-    for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-        data = value.as_py().encode("utf-8")
-        if len(data) < length:
-            continue
+    for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+        data = value.as_py()
         for lo in range(0, len(data) - length + 1, BLOCK_BYTES):
             part = data[lo : lo + BLOCK_BYTES + length - 1]
             if held and size + len(part) > BLOCK_BYTES:
@@ -102,8 +107,13 @@ def _blocks(batch, length: int):
         yield held
 
 
+def _two_longs(digests: list[bytes]) -> list[pa.Array]:
+    codes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(codes[:, k]), pa.int64()) for k in (0, 1)]
+
+
 def list_contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All contexts: ``key, ctx`` (hash of its bytes and anchor place), ``doc_id, start, windows``."""
+    """All contexts: ``key``, ``c0, c1`` (hash of its bytes and anchor place), ``doc_id, start, windows, place``."""
 
     def run(batches):
         forget_words()
@@ -116,196 +126,205 @@ def list_contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 begin = np.cumsum(sizes) - sizes
                 ids = np.array([d for d, _, _ in held], np.int64)
                 offsets = np.array([lo for _, lo, _ in held], np.int64)
-                view, h = memoryview(data), xxhash.xxh3_64_intdigest
+                view, h = memoryview(data), xxhash.xxh3_128_digest
                 ends = (first + windows + length - 1).tolist()
-                ctx = np.array([h(view[a:b], p) for a, b, p in zip(first.tolist(), ends, place.tolist(), strict=True)], np.uint64)
+                codes = _two_longs([h(view[a:b], p) for a, b, p in zip(first.tolist(), ends, place.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key), pa.array(ctx.view(np.int64)), pa.array(ids[of]),
-                        pa.array(first - begin[of] + offsets[of]), pa.array(windows.astype(np.int32)),
+                        pa.array(key), *codes, pa.array(ids[of]), pa.array(first - begin[of] + offsets[of]),
+                        pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)),
                     ],
-                    ["key", "ctx", "doc_id", "start", "windows"],
+                    ["key", "c0", "c1", "doc_id", "start", "windows", "place"],
                 )
 
     return docs.mapInArrow(run, CONTEXT_SCHEMA)
 
 
-CLASS = 32  # windows of a context are compared by classes of so many neighbouring distances to the anchor
+def _with_texts(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``text, wanted`` of the documents that ``wanted`` (``doc_id`` and ``columns``) names, a list for each.
 
-
-def repeated_windows(group: list[tuple[int, int, bytes]], length: int, shard: "_Shard") -> None:
-    """Finds windows that occur in two different contexts of one anchor key; the rest is left to ``shard``.
-
-    ``group`` has (row, place of the anchor, bytes) of each context.  Windows at
-    distances of one class from the anchor share a core of ``length - CLASS + 1``
-    bytes, fixed by the anchor, so equal windows have equal cores: a part with a
-    core of its own cannot repeat, parts that are equal as a whole do.
+    A document's list is no longer than the document, as its strings differ in start or in class.
     """
-    cores: dict = {}
-    for row, place, data in group:
-        windows = len(data) - length + 1
-        lo = 0
-        while lo < windows:
-            rank = (place - lo) // CLASS
-            hi = min(windows, place - rank * CLASS + 1)  # windows lo..hi-1 have this rank
-            core = place - rank * CLASS
-            key = (rank, data[core : core + length - CLASS + 1])
-            cores.setdefault(key, []).append((row, lo, hi, place - lo, data[lo : hi + length - 1]))
-            lo = hi
-    for parts in cores.values():
-        if len(parts) == 1:
-            continue
-        distinct: dict = {}
-        for row, lo, hi, off, part in parts:
-            distinct.setdefault((off, part), []).append((row, lo, hi))
-        for places in distinct.values():
-            if len(places) > 1:
-                for row, lo, hi in places:
-                    shard.mark(row, lo, hi)
-        if len(distinct) > 1:
-            for (_, part), places in distinct.items():
-                shard.add(part, places)
-
-
-class _Shard:
-    """Text of one shard: parts of contexts, sorted together once enough are there."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.marked: dict[int, list[tuple[int, int]]] = {}
-        self.reset()
-
-    def reset(self):
-        self.parts, self.places, self.size = [], [], 0
-
-    def mark(self, row: int, lo: int, hi: int):
-        self.marked.setdefault(row, []).append((lo, hi))
-
-    def add(self, part: bytes, places: list[tuple[int, int, int]]):
-        self.parts.append(part)
-        self.places.append(places)
-        self.size += len(part) + 1
-
-    def sort(self):
-        """Marks the windows of the parts that repeat within the shard."""
-        if self.parts:
-            sizes = np.array([len(p) for p in self.parts])
-            s = np.frombuffer(b"\0".join(self.parts) + b"\0\0", np.uint8).astype(np.int64) + 1
-            begin = np.cumsum(sizes + 1) - sizes - 1
-            s[begin + sizes] = 1
-            s[-1] = 0
-            sa = suffix_array(s, 258)
-            prefix = common_prefixes(s, sa, self.length)
-            repeats = np.zeros(len(s), bool)
-            ordered = prefix[sa] >= self.length
-            repeats[sa[ordered]] = True
-            repeats[sa[:-1][ordered[1:]]] = True
-            for places, lo, size in zip(self.places, begin.tolist(), sizes.tolist(), strict=True):
-                found = repeats[lo : lo + size - self.length + 1]
-                if found.any():
-                    steps = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
-                    for a, b in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True):
-                        for row, at, _ in places:
-                            self.mark(row, at + a, at + b)
-        self.reset()
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            if hi > out[-1][1]:
-                out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
-
+    by_doc = materialize(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted")
+    found = MembershipFilter(by_doc, "doc_id", by_doc.count()).apply(docs, "doc_id").join(by_doc, "doc_id")
+    return found.select("doc_id", "text", "wanted")
 
-RUNS = "array<struct<lo:long,hi:long>>"
 
+def _strings(batch, length: int):
+    """Documents of a batch with their wanted strings: id, and (fields, bytes) of those whose bytes have the wanted hash.
 
-def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
-    """``ctx, runs`` of repeated windows for contexts ``(key, ctx, place, bytes)``, a shard of whole keys at a time."""
+    The hash rules out another text under the same ``doc_id``.
+    """
+    h = xxhash.xxh3_128_digest
+    lists = batch.column("wanted")
+    for k in range(batch.num_rows):
+        data, wanted = batch.column("text")[k].as_py().encode("utf-8"), lists[k].values
+        columns = {f.name: wanted.field(f.name).to_pylist() for f in wanted.type}
+        rows = [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
+        for row in rows:
+            part = data[row["start"] : row["start"] + row["windows"] + length - 1]
+            if h(part, row["place"]) == row["h0"].to_bytes(8, "little", signed=True) + row["h1"].to_bytes(8, "little", signed=True):
+                yield batch.column("doc_id")[k].as_py(), row, part
+
+
+def _parts(docs: DataFrame, strings: DataFrame, length: int, width: int) -> DataFrame:
+    """Parts of ``strings`` (``h0, h1, doc_id, start, windows, place``) by classes of ``width`` distances to the anchor.
+
+    ``g0, g1`` is the hash of a part's core and class, ``h0, h1`` of its bytes and
+    place, ``u0, u1`` the string's, ``lo`` the part's first window in it.
+    """
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in PART_SCHEMA.split(", ")]
 
     def run(batches):
         forget_words()
-        shard, group, key, ctxs = _Shard(length), [], None, []
-
-        def flush():
-            shard.sort()
-            rows = sorted(shard.marked)
-            runs = [[{"lo": a, "hi": b} for a, b in _merged(shard.marked[r])] for r in rows]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([ctxs[r] for r in rows], pa.int64()), pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                ["ctx", "runs"],
-            )
-            shard.marked = {}
-            ctxs.clear()
-            return out
-
+        h = xxhash.xxh3_128_digest
         for batch in batches:
-            for k, ctx, place, data in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "place", "bytes")), strict=True):
-                if k != key:
-                    repeated_windows(group, length, shard)
-                    group, key = [], k
-                    if shard.size > SHARD_BYTES or len(ctxs) > 10_000:
-                        yield flush()
-                group.append((len(ctxs), place, data))
-                ctxs.append(ctx)
-        repeated_windows(group, length, shard)
-        yield flush()
-
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"ctx long, runs {RUNS}")
-
+            cores, parts, strings, rows = [], [], [], []
+
+            def flushed(cores, parts, strings, rows):
+                cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                codes = [*_two_longs(cores), *_two_longs(parts), *_two_longs(strings)]
+                return pa.RecordBatch.from_arrays([*codes, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+
+            for doc_id, row, data in _strings(batch, length):
+                windows, place = row["windows"], row["place"]
+                own = h(data, place)
+                lo = 0
+                while lo < windows:
+                    rank = (place - lo) // width
+                    core = place - rank * width
+                    hi = min(windows, core + 1)  # windows lo..hi-1 have this rank
+                    cores.append(h(data[core : core + length - width + 1], rank))
+                    parts.append(h(data[lo : hi + length - 1], place - lo))
+                    strings.append(own)
+                    rows.append((lo, hi - lo, place - lo, doc_id, row["start"] + lo))
+                    lo = hi
+                if len(rows) > 20_000:
+                    yield flushed(cores, parts, strings, rows)
+                    cores, parts, strings, rows = [], [], [], []
+            yield flushed(cores, parts, strings, rows)
+
+    return _with_texts(docs, strings, ["h0", "h1", "start", "windows", "place"]).mapInArrow(run, PART_SCHEMA)
+
+
+def merged_runs(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start and end of the unions of runs that touch or overlap; owners are small and ascending."""
+    if not len(lo):
+        return owner, lo, hi
+    order = np.lexsort((lo, owner))
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    shift = owner * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + shift)
+    new = np.append(True, (lo + shift)[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(lo)) - 1
+    return owner[first], lo[first], reach[last] - shift[last]
+
+
+def _run_lists(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> pa.Array:
+    """Arrow lists of merged runs for owners 0 to n - 1."""
+    owner, lo, hi = merged_runs(owner, lo, hi)
+    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["lo", "hi"]))
+
+
+def repeats_in_shard(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, first window and window behind the last of each run of windows that start twice or more in the shard."""
+    sizes = np.array([len(p) for p in parts])
+    s = np.frombuffer(b"\0".join(parts) + b"\0\0", np.uint8).astype(np.int32) + 1
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    s[begin + sizes] = 1
+    s[-1] = 0
+    sa = suffix_array(s, 258)
+    ordered = common_prefixes(s, sa, length)[sa] >= length
+    repeats = np.zeros(len(s) + 1, np.int8)
+    repeats[sa[ordered]] = 1
+    repeats[sa[:-1][ordered[1:]]] = 1
+    edges = np.zeros(len(s) + 1, np.int8)  # windows that would reach over a part's end do not count
+    edges[begin] = 1
+    edges[begin + sizes - length + 1] = -1
+    repeats &= np.cumsum(edges, dtype=np.int8)
+    steps = np.diff(repeats, prepend=np.int8(0))
+    lo, hi = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    of = np.searchsorted(begin, lo, side="right") - 1
+    return of, lo - begin[of], hi - begin[of]
+
+
+def _sorted_shards(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """``h0, h1, runs`` of the windows of ``parts`` that repeat among the parts with one core."""
 
-def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for keys with too many contexts for one task: windows are hashed and counted with map-side sums."""
-
-    def run(batches):
-        h = xxhash.xxh3_64_intdigest
+    def cut(batches):
+        names = ["g0", "g1", "h0", "h1", "bytes"]
         for batch in batches:
-            ctx, at, code = [], [], []
-            for c, data in zip(batch.column("ctx").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                for lo in range(len(data) - length + 1):
-                    ctx.append(c)
-                    at.append(lo)
-                    code.append(h(data[lo : lo + length]))
-            codes = np.array(code, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.int64()), pa.array(at, pa.int64()), pa.array(codes, pa.int64())], ["ctx", "lo", "code"])
-
-    windows = materialize(contexts.mapInArrow(run, "ctx long, lo long, code long"), "windows")
-    often = windows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
-    found = join_skewed(windows, often, "code", "n", windows.count(), "inner")
-    return found.groupBy("ctx").agg(F.collect_list(F.struct("lo", (F.col("lo") + 1).alias("hi"))).alias("runs"))
-
-
-def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key, ctx, place, bytes`` of the wanted contexts ``(key, ctx, doc_id, start, windows)``, cut from their texts."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "start", "windows")).alias("wanted"))
-    by_doc = materialize(by_doc, "wanted")
-    found = MembershipFilter(by_doc, "doc_id", by_doc.count()).apply(docs, "doc_id").join(by_doc, "doc_id")
+            rows, size = [], 0
+            for _, row, data in _strings(batch, length):
+                rows.append((row["g0"], row["g1"], row["h0"], row["h1"], data))
+                size += len(data)
+                if size > 4 * BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    def sort(batches):
+        forget_words()
+        ids, parts, size, last = [], [], 0, None
+
+        def flushed():
+            of, lo, hi = repeats_in_shard(parts, length)
+            some = np.unique(of)
+            codes = np.array(ids, np.int64).reshape(-1, 2)[some]
+            runs = _run_lists(np.searchsorted(some, of), lo, hi, len(some))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(codes[:, 0])), pa.array(np.ascontiguousarray(codes[:, 1])), runs], ["h0", "h1", "runs"])
 
-    def run(batches):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part, rows = batch.slice(at, 100), []
-                for value, wanted in zip(part.column("text"), part.column("wanted").to_pylist(), strict=True):
-                    data = value.as_py().encode("utf-8")
-                    for w in wanted:
-                        context = data[w["start"] : w["start"] + w["windows"] + length - 1]
-                        if len(context) < length:
-                            continue  # another text under the same doc_id
-                        first, n, _, place = contexts_of(np.frombuffer(context, np.uint8), np.array([len(context)]), length)
-                        if len(first) == 1:  # likewise
-                            rows.append((w["key"], w["ctx"], int(place[0]), context))
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "ctx", "place", "bytes"])
-
-    return found.select("text", "wanted").mapInArrow(run, "key long, ctx long, place long, bytes binary")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+            cols = [batch.column(c).to_pylist() for c in ("g0", "g1", "h0", "h1")]
+            for g0, g1, h0, h1, data in zip(*cols, batch.column("bytes"), strict=True):
+                if (g0, g1) != last:
+                    last = (g0, g1)
+                    if size > SHARD_BYTES:
+                        yield flushed()
+                        ids, parts, size = [], [], 0
+                value = data.as_py()
+                ids.append((h0, h1))
+                parts.append(value)
+                size += len(value)
+        if parts:
+            yield flushed()
+
+    cutting = _with_texts(docs, parts, ["g0", "g1", "h0", "h1", "start", "windows", "place"])
+    strings = cutting.mapInArrow(cut, "g0 long, g1 long, h0 long, h1 long, bytes binary")
+    return strings.repartition("g0", "g1").sortWithinPartitions("g0", "g1").mapInArrow(sort, f"h0 long, h1 long, runs {RUNS}")
+
+
+def _whole(windows: str):
+    """The run of all windows."""
+    return F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col(windows).cast("long").alias("hi"))).alias("runs")
+
+
+def _repeats(docs: DataFrame, strings: DataFrame, length: int, width: int, most: int) -> DataFrame:
+    """``u0, u1, runs`` of windows of ``strings`` that also occur in another string with the same anchor."""
+    parts = materialize(_parts(docs, strings, length, width), "parts")
+    first = [F.first(c).alias(c) for c in ("g0", "g1", "windows", "place", "doc_id", "start")]  # of one row, as each takes the group's first
+    distinct = materialize(parts.groupBy("h0", "h1").agg(F.count("*").alias("n"), *first), "distinct-parts")
+    cores = materialize(distinct.groupBy("g0", "g1").agg(F.count("*").alias("d")).where("d > 1"), "cores")
+    shared = MembershipFilter(cores, "g0", cores.count()).apply(distinct.drop("n"), "g0").join(cores, ["g0", "g1"])
+    found = distinct.where("n > 1").select("h0", "h1", _whole("windows"))
+    found = found.unionByName(_sorted_shards(docs, shared.where(F.col("d") <= most), length))
+    if width > 1 and not cores.where(F.col("d") > most).isEmpty():
+        crowded = shared.where(F.col("d") > most).drop("g0", "g1", "d")
+        deeper = _repeats(docs, crowded, length, max(1, width // 4), most)
+        found = found.unionByName(deeper.select(F.col("u0").alias("h0"), F.col("u1").alias("h1"), "runs"))
+    found = found.groupBy("h0", "h1").agg(F.flatten(F.collect_list("runs")).alias("runs")).join(distinct.select("h0", "h1", "n"), ["h0", "h1"])
+    found = materialize(found, "part-repeats")
+    places = MembershipFilter(found, "h0", found.count()).apply(parts.select("h0", "h1", "u0", "u1", "lo"), "h0")
+    places = join_skewed(places, found, ["h0", "h1"], "n", parts.count(), "inner")
+    places = places.select("u0", "u1", F.expr("transform(runs, r -> struct(lo + r.lo as lo, lo + r.hi as hi))").alias("runs"))
+    return places.groupBy("u0", "u1").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, core_parts: int = CORE_PARTS) -> DataFrame:
     """``doc_id, spans``: the maximal byte runs to remove, for documents that have any.
 
     A byte is in a span when a string of ``length`` bytes that covers it also
@@ -313,38 +332,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_contexts: int = HO
     """
     docs = texts_of(docs).where("doc_id is not null")
     contexts = materialize(list_contexts(docs, length), "contexts")
-    n_contexts = contexts.count()
-    distinct = contexts.groupBy("key", "ctx").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("doc_id", "start"), F.struct("doc_id", "start")).alias("at"), F.max("windows").alias("windows")
-    )
-    distinct = materialize(distinct, "distinct")
-    keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "keys")
+    first = [F.first(c).alias(c) for c in ("key", "doc_id", "start", "windows", "place")]
+    distinct = materialize(contexts.groupBy("c0", "c1").agg(F.count("*").alias("n"), *first), "distinct")
+    keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key"), "keys")
     hard = MembershipFilter(keys, "key", keys.count()).apply(distinct, "key").join(keys, "key")
-    hard = hard.select("key", "ctx", "at.doc_id", "at.start", "windows", "d")
-
-    sorted_ = _sorted_shards(_bytes_of(docs, hard.where(F.col("d") <= hot_contexts), length), length)
-    parts = [sorted_]
-    if not keys.where(F.col("d") > hot_contexts).isEmpty():
-        parts.append(_counted_windows(_bytes_of(docs, hard.where(F.col("d") > hot_contexts), length), length))
-    whole = distinct.where("n > 1").select(
-        "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("windows").cast("long").alias("hi"))).alias("runs")
-    )
-    found = whole
-    for p in parts:
-        found = found.unionByName(p)
-    # runs of a context from either source; a context's hash is its identity
-    found = found.groupBy("ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    counts = distinct.groupBy("ctx").agg(F.sum("n").alias("n"))
-    found = materialize(found.join(counts, "ctx"), "repeats")
-
-    places = MembershipFilter(found, "ctx", found.count()).apply(contexts.select("ctx", "doc_id", "start"), "ctx")
-    places = join_skewed(places, found, "ctx", "n", n_contexts, "inner")
+    hard = hard.select(F.col("c0").alias("h0"), F.col("c1").alias("h1"), "doc_id", "start", "windows", "place")
+    found = _repeats(docs, hard, length, CLASS, core_parts).select(F.col("u0").alias("c0"), F.col("u1").alias("c1"), "runs")
+    found = found.unionByName(distinct.where("n > 1").select("c0", "c1", _whole("windows")))
+    found = found.groupBy("c0", "c1").agg(F.flatten(F.collect_list("runs")).alias("runs")).join(distinct.select("c0", "c1", "n"), ["c0", "c1"])
+    found = materialize(found, "repeats")
+
+    places = MembershipFilter(found, "c0", found.count()).apply(contexts.select("c0", "c1", "doc_id", "start"), "c0")
+    places = join_skewed(places, found, ["c0", "c1"], "n", contexts.count(), "inner")
     runs = places.select("doc_id", F.expr(f"transform(runs, r -> struct(start + r.lo as lo, start + r.hi + {length - 1} as hi))").alias("runs"))
 
     def merge(batches):
         for batch in batches:
-            spans = [_merged([(r["lo"], r["hi"]) for r in runs]) for runs in batch.column("runs").to_pylist()]
-            spans = pa.array([[{"lo": a, "hi": b} for a, b in s] for s in spans], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+            lists = batch.column("runs")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            flat = lists.flatten()
+            spans = _run_lists(owner, flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans], ["doc_id", "spans"])
 
     by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -424,4 +431,5 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """``remove_repeats`` over the whole of ``documents``, and ``changed``: does the document lose bytes?"""
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("changed", F.col("n_removed") > 0)

@@ -37,7 +37,7 @@ def _induce_by_bucket(s, is_s, lms, n_symbols):
     counts = np.bincount(s, minlength=n_symbols)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     head = starts.copy()
     by = np.argsort(s[lms], kind="stable")
     seeds = lms[by]
@@ -113,7 +113,7 @@ def _induce_by_entry(s, is_s, lms, n_symbols):
             c = text[j]
             sa[tail[c]] = j
             tail[c] -= 1
-    return np.array(sa, np.int64)
+    return np.array(sa, np.int32)
 
 
 def _same_substrings(s, is_s, left, right, size):
@@ -134,23 +134,23 @@ def suffix_array(s: np.ndarray, n_symbols: int) -> np.ndarray:
     """Suffix array of ``s``, whose last value is 0 and occurs nowhere else (Nong, Zhang and Chan, 2009)."""
     n = len(s)
     if n <= 2:
-        return np.arange(n - 1, -1, -1, dtype=np.int64)
+        return np.arange(n - 1, -1, -1, dtype=np.int32)
     is_s = _types(s)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     induce = _induce_by_bucket if n > 64 * n_symbols else _induce_by_entry
     sa = induce(s, is_s, lms, n_symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
-    size = np.zeros(n, np.int64)  # of the substring that ends with the next left-most S position
+    size = np.zeros(n, np.int32)  # of the substring that ends with the next left-most S position
     size[lms[:-1]] = np.diff(lms) + 1
     size[lms[-1]] = 1
-    new = np.ones(len(order), np.int64)
+    new = np.ones(len(order), np.int32)
     if len(order) > 1:
         new[1:] = ~_same_substrings(s, is_s, order[:-1], order[1:], size)
-    names = np.cumsum(new) - 1
+    names = np.cumsum(new, dtype=np.int32) - 1
     if names[-1] + 1 < len(order):
-        name = np.zeros(n, np.int64)
+        name = np.zeros(n, np.int32)
         name[order] = names
         order = lms[suffix_array(name[lms], int(names[-1]) + 1)]
     else:
@@ -166,14 +166,14 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     only the others are compared, eight symbols at a time.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     derived = (before > 0) & (at > 0)
     derived[derived] = s[at[derived] - 1] == s[before[derived] - 1]
     wide = np.zeros(n + 8, np.uint8 if s.max() < 256 else np.uint32)
     wide[:n] = s
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     rows = np.flatnonzero(~derived & (before >= 0))
     # a value bounds those derived from it, so these are compared in full up to where the text ends
     left = rows

@@ -168,9 +168,10 @@ def test_removed_repeats(spark):
     assert got == spans_by_hand(pairs, 400)
 
 
-def test_hot_anchor_keys_are_counted(spark):
+@pytest.mark.parametrize("most", [1, 3])
+def test_crowded_cores_are_dealt_out(spark, most):
     pairs = repeating(4)
-    spans = {r[0]: sum(s["hi"] - s["lo"] for s in r[1]) for r in repeated_spans(documents(spark, pairs), 400, hot_contexts=2).collect()}
+    spans = {r[0]: sum(s["hi"] - s["lo"] for s in r[1]) for r in repeated_spans(documents(spark, pairs), 400, core_parts=most).collect()}
     assert all(spans.get(i, 0) == n for i, _, n, _, _ in spans_by_hand(pairs, 400))
 
 
