@@ -4,6 +4,10 @@ A sentence's probability is a logistic function of its distinct words and word
 starts; a document's is the noisy-or of its sentences, so one bad sentence makes
 a bad document.  The weights are learnt from document labels through the
 noisy-or, and afterwards the sentence scores point at the offending sentences.
+
+A sentence without any learnt feature has the probability 0, in fitting and in
+scoring, and what a sentence has up to ``QUIET`` counts as 0 in scoring.  So
+neutral text adds nothing, however long it is.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ FEATURES = 1 << 20
 MIN_DOCS = 4  # of the sample that a feature must occur in
 MIN_DEVIATION = 5.0  # standard deviations by which bad documents must be in excess among those
 RIDGE = 2e-5
+QUIET = 0.05  # probability of a sentence up to which it says nothing about its document
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -106,22 +111,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
     doc_of_sentence = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
     sentence = np.repeat(np.arange(len(doc_of_sentence)), np.concatenate(sizes))
 
-    w, b = np.zeros(len(often)), -6.0
+    # only sentences with features take part
+    some = np.unique(sentence)
+    instances_of = Instances(np.searchsorted(some, sentence), x, doc_of_sentence[some], y, len(often))
+    w, b = np.zeros(len(often)), -3.0
     m, v, step = np.zeros(len(often) + 1), np.zeros(len(often) + 1), 0.15
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=w[x], minlength=len(doc_of_sentence)) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        quiet = np.bincount(doc_of_sentence, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
-        doc = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-9)
-        # d(log loss)/dz of a sentence: p for a clean document, -p (1 - doc) / doc for a bad one
-        pull = np.where(y > 0, -(1 - doc) / doc, 1.0)[doc_of_sentence] * p / len(y)
-        g = np.append(np.bincount(x, weights=pull[sentence], minlength=len(w)) + RIDGE * w, pull.sum())
+        _, g = instances_of.loss_and_gradient(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return {int(f): float(s) for f, s in zip(often, w, strict=True) if abs(s) > 1e-3}, float(b)
 
 
+class Instances:
+    """Features of sentences and sentences of labelled documents, as flat arrays.
+
+    ``sentence`` and ``feature`` list the pairs, ``doc`` has each sentence's document, ``y`` the labels.
+    """
+
+    def __init__(self, sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, y: np.ndarray, n_features: int):
+        self.sentence, self.feature, self.doc, self.y, self.n_features = sentence, feature, doc, y, n_features
+
+    def loss_and_gradient(self, w: np.ndarray, b: float, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
+        """Mean log loss of the noisy-or of each document with ridge penalty, and its gradient by the weights and the bias."""
+        y, n = self.y, max(len(self.y), 1)
+        z = np.bincount(self.sentence, weights=w[self.feature], minlength=len(self.doc)) + b
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        quiet = np.bincount(self.doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
+        bad = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-9)
+        loss = -(np.where(y > 0, np.log(bad), quiet)).sum() / n + ridge / 2 * float(w @ w)
+        # d(log loss)/dz of a sentence: p for a clean document, -p (1 - bad) / bad for a bad one
+        pull = np.where(y > 0, -(1 - bad) / bad, 1.0)[self.doc] * p / n
+        by_weight = np.bincount(self.feature, weights=pull[self.sentence], minlength=self.n_features) + ridge * w
+        return loss, np.append(by_weight, pull.sum())
+
+
 def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted, offending`` for every row: noisy-or of the sentences, and those that reach a half.
 
@@ -129,8 +154,6 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, thr
     scored, whatever their length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    base = float(np.log1p(-1 / (1 + np.exp(-bias))))
-
     def run(batches):
         forget_words()
         table = shared.value
@@ -139,7 +162,7 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, thr
             scores, found = [], []
             for value in batch.column("text"):
                 bad: list[str] = []
-                scores.append(_score(value.as_py(), table, known, bias, base, bad))
+                scores.append(_score(value.as_py(), table, known, bias, bad))
                 found.append(bad)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "score", "offending"]
@@ -149,17 +172,17 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, thr
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
 
 
-def _score(text: str, table: dict, known: dict, bias: float, base: float, bad: list | None = None) -> float:
+def _score(text: str, table: dict, known: dict, bias: float, bad: list | None = None) -> float:
     """Noisy-or of a text's sentences; ``bad`` collects the sentences that reach a half."""
     quiet = 0.0
     for part in sentences(text):
         words = [w for w in _WORD.findall(part.lower()) if known[w]]
         if not words:
-            quiet += base
             continue
-        z = bias + sum(table.get(f, 0.0) for f in {f for w in words for f in features_of(w)})  # once a sentence, as in fitting
+        z = bias + sum(table[f] for f in {f for w in words for f in features_of(w)} if f in table)  # once a sentence, as in fitting
         p = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
-        quiet += math.log1p(-min(p, 1 - 1e-12))
+        if p > QUIET:
+            quiet += math.log1p(-min((p - QUIET) / (1 - QUIET), 1 - 1e-12))
         if bad is not None and p >= 0.5:
             bad.append(part)
     return -math.expm1(quiet)
@@ -194,18 +217,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """``docs`` without the rows whose score reaches ``threshold``; the texts never leave their task."""
     weights, bias = fit(docs, training_labels(labels, "toxic", 3, 1))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    base = float(np.log1p(-1 / (1 + np.exp(-bias))))
-
     def keep(batches):
         forget_words()
         table = shared.value
         known = _Known(lambda word: any(f in table for f in features_of(word)))
         for batch in batches:
-            yield batch.filter(pa.array([_score(v.as_py() or "", table, known, bias, base) < threshold for v in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([_score(v.as_py() or "", table, known, bias) < threshold for v in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxicity`` of the whole of ``documents`` learnt from ``labels``, with the number of offending sentences."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity(docs, labels).withColumn("n_offending", F.size("offending")).drop("offending")
