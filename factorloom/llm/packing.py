@@ -118,7 +118,8 @@ def pack_pieces(
     A sequence holds at most ``max_tokens`` of column ``tokens``,
     ``max_segments`` rows and ``max_loss_tokens`` of column ``loss_tokens``; a
     row beyond a limit by itself is alone in its sequence.  ``key`` names the
-    columns that order the rows; repeated keys are packed like other rows.
+    columns that order the rows within a block; rows are dealt into blocks by key
+    and place in the table, so repeated and null keys spread like others.
     Sequence ids are unique but not consecutive.  ``pieces`` is read twice, so
     pass a written table.
     """
@@ -133,7 +134,7 @@ def pack_pieces(
         block = int(pdf["_block"].iloc[0])
         return pdf[columns].assign(sequence_id=(block << 32) + bins, offset=offsets)
 
-    block = F.pmod(F.xxhash64(*key), F.lit(n_blocks))
+    block = F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.lit(n_blocks))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return pieces.withColumn("_block", block).groupBy("_block").applyInPandas(pack, schema)
 
@@ -150,6 +151,29 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return pack_pieces(pieces, ["doc_id", "start"], "length", "loss_tokens")
 
 
+def pack_conversations(turns: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = 16, max_loss_tokens: int = MAX_TOKENS // 2) -> DataFrame:
+    """Packs conversations (``conv_id, turn, role, text``) as instruction examples: only turns of the assistant bear loss.
+
+    Returns ``conv_id, tokens, loss_tokens, sequence_id, offset``, a row a
+    conversation.  A turn's tokens are those of its text and an end id; null texts
+    count as empty.  Turns without a ``conv_id`` are left out.  The limit on loss
+    tokens keeps a sequence from being all answers.
+    """
+
+    def count(batches):
+        encode = byte_coder(tokenizer_path)
+        for batch in batches:
+            tokens = [len(encode(v.as_py() or "")) // 4 + 1 for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("answer"), pa.array(tokens, pa.int64())], ["conv_id", "answer", "tokens"])
+
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("answer")
+    counted = turns.where("conv_id is not null").select("conv_id", answer, "text").mapInArrow(count, "conv_id long, answer boolean, tokens long")
+    loss = F.sum(F.when(F.col("answer"), F.col("tokens")).otherwise(0)).alias("loss_tokens")
+    examples = materialize(counted.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), loss), "examples")
+    return pack_pieces(examples, ["conv_id"], "tokens", "loss_tokens", max_tokens, max_segments, max_loss_tokens)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
