@@ -32,12 +32,13 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-CACHE_ENTRIES = 400_000  # of a generation of each worker cache
+CACHE_ENTRIES = 200_000  # of a generation of each worker cache
+KEPT_CHARS = 64  # longer keys are not remembered, which bounds a cache in bytes as well
 _MEMOS: list = []
 
 
 class Memo(dict):
-    """A bounded cache of ``make`` in two generations: a full one becomes the old one, from which what is asked for comes back."""
+    """A bounded cache of ``make`` by short strings in two generations: a full one becomes the old one, from which what is asked for comes back."""
 
     def __init__(self, make):
         super().__init__()
@@ -48,6 +49,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > KEPT_CHARS:
+            return value
         if len(self) >= CACHE_ENTRIES:
             self.old = dict(self)
             self.clear()

@@ -27,14 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from factorloom.llm.common import Memo, texts_of
 
 SPACE = "▁"
-KEPT_CHARS = 64  # longer words and runs are not remembered
-
-
-class ShortMemo(Memo):
-    """A cache of short keys, so that its size is bounded in characters as well."""
-
-    def __missing__(self, key):
-        return super().__missing__(key) if len(key) <= KEPT_CHARS else self.make(key)
 
 
 class PieceTable:
@@ -69,9 +61,9 @@ class PieceTable:
         self.text_of = {str(i): s.replace(SPACE, " ") for i, s in self.pieces.items()}
         self.text_of |= {str(i): chr(b) for b, i in self.bytes.items() if b < 128} | {str(self.end_id): ""}
         self.compatible: dict[int, bool] = {}
-        self.runs = ShortMemo(self.encode_part)  # by the run of a word
-        self.words = ShortMemo(self.encode_word)  # by the word with its marks
-        self.spaced = ShortMemo(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
+        self.runs = Memo(self.encode_part)  # by the run of a word
+        self.words = Memo(self.encode_word)  # by the word with its marks
+        self.spaced = Memo(lambda word: self.encode_word(SPACE + word))  # by the word behind one mark
 
     def _pair(self, a: int, b: int) -> bool:
         """Does BPE of the two pieces' strings end with the boundary between them intact?"""
@@ -219,5 +211,6 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_decode`` of the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
