@@ -250,4 +250,5 @@ def _links(points: DataFrame, forest: Forest, cosine: float) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``similar_vectors`` of the whole of ``embeddings``."""
     return similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -355,4 +355,5 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | N
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_dedup`` of the whole of ``documents`` with the growing edit bound; exact repeats of any length but 0."""
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), exact_chars=EXACT_CHARS, max_edits=MAX_EDITS)

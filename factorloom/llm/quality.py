@@ -146,5 +146,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality`` of the whole of ``documents`` learnt from ``labels``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality(docs, labels)

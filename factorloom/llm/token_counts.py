@@ -45,5 +45,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``count_tokens`` of the whole of ``documents``, with a limit of 512 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))

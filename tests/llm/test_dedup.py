@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, with_edits
 from factorloom.llm.embedding_dedup import similar_vectors
-from factorloom.llm.exact_dedup import exact_dedup
+from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import drop_lines, line_dedup
 from factorloom.llm.simhash_dedup import anchor_masks, keep_one_of_each, links_at_anchors, simhash_components
 from factorloom.llm.substring_dedup import remove_repeats, repeated_spans, strip_repeats
@@ -101,6 +101,24 @@ def test_exact_dedup(spark, weak):
     assert got == exact_by_hand(pairs)
 
 
+def test_digest_index_over_several_flushes(spark):
+    random.seed(1)
+    index, seen = DigestIndex(), defaultdict(list)
+    for k in range(6):
+        rows = [(random.choice("abcdefgh") * 3 + str(k % 2), 100 * k + j) for j in range(30)]
+        for d, i in rows:
+            seen[d].append(i)
+        index.flush(spark.createDataFrame(rows, "digest string, doc_id long"))
+    assert [len(x) for x in index.levels] == [2, 1]
+    ask = spark.createDataFrame([(d,) for d in [*seen, "none"]], "digest string")
+    expected = {d: (min(i), len(i)) for d, i in seen.items()}
+    assert {r["digest"]: (r["keep_id"], r["n"]) for r in index.lookup(ask).collect()} == expected
+    index.compact()
+    assert len(index.runs()) == 1
+    assert {r["digest"]: (r["keep_id"], r["n"]) for r in index.lookup(ask).collect()} == expected
+    assert DigestIndex().lookup(ask).count() == 0
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(documents(spark, [])).count() == 0
 

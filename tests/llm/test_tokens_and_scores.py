@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import string
 import zlib
 
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from factorloom.llm.packing import pack_block, pack_documents, pack_pieces
-from factorloom.llm.quality import fit_rules, quality, text_statistics
+from factorloom.llm.packing import pack_block, pack_conversations, pack_documents, pack_pieces
+from factorloom.llm.quality import STATISTICS, fit_rules, quality, score_column, text_statistics
 from factorloom.llm.queries import QUERIES, SQL
 from factorloom.llm.sentence_pieces import encode_decode, piece_table
 from factorloom.llm.token_counts import count_tokens
-from factorloom.llm.toxicity import drop_toxic, toxicity
+from factorloom.llm.toxicity import QUIET, Instances, drop_toxic, features_of, fit, score_documents, sentences, toxicity, training_labels
 from tests.conftest import SF
 from tests.llm.test_dedup import documents
 from tests.oracle import assert_same, connect
@@ -113,6 +114,29 @@ def test_instruction_examples_are_packed(spark):
     assert packed.count() == 500 and worst[0] <= 512 and worst[1] <= 3 and worst[2] <= 120
 
 
+def test_conversations_are_packed_within_their_loss(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    packed = pack_conversations(turns.unionByName(spark.createDataFrame([(None, 1, "user", "a"), (10**9, 0, None, None)], "conv_id long, turn long, role string, text string")), BPE)
+    tokenizer = Tokenizer.from_file(BPE)
+    expected: dict = {}
+    for r in turns.collect():
+        n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        own = expected.setdefault(r["conv_id"], [0, 0])
+        own[0] += n
+        own[1] += n * (r["role"] == "assistant")
+    expected[10**9] = [1, 0]
+    assert {r["conv_id"]: [r["tokens"], r["loss_tokens"]] for r in packed.collect()} == expected
+    sums = packed.groupBy("sequence_id").agg(F.sum("tokens").alias("t"), F.sum("loss_tokens").alias("l"), F.count("*").alias("s")).collect()
+    assert all(r["s"] == 1 or (r["t"] <= 1024 and r["l"] <= 512 and r["s"] <= 16) for r in sums)
+
+
+def test_repeated_keys_spread_over_blocks(spark):
+    rows = spark.range(0, 6000, 1, 3).select(F.lit(None).cast("long").alias("k"), F.lit(5).cast("long").alias("t"))
+    packed = pack_pieces(rows, ["k"], "t", "t", block_pieces=1000)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("block")).count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 6 and max(sizes) < 1500
+
+
 def held_out_id(k, modulus, remainder):
     return zlib.crc32(str(k).encode()) % modulus == remainder
 
@@ -147,6 +171,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in rows.items() if not r["predicted"]}
 
 
+def test_noisy_or_by_hand_and_neutral_text(spark):
+    docs, labels = labelled(400)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights, bias = fit(documents(spark, docs), training_labels(lab, "toxic", 3, 1))
+    neutral = " Qqzzq kkxxk." * 20_000  # words of which no feature has a weight
+    assert not any(f in weights for w in ("qqzzq", "kkxxk") for f in features_of(w))
+    long = [(k + 10_000, t + neutral) for k, t in docs[:40]]
+    got = {r["doc_id"]: r["score"] for r in score_documents(documents(spark, docs + long), weights, bias).collect()}
+    for k, text in docs:
+        quiet = 1.0
+        for s in sentences(text):
+            found = {f for w in re.findall(r"\w+", s.lower()) for f in features_of(w)} & weights.keys()
+            if found:
+                p = 1 / (1 + np.exp(-(bias + sum(weights[f] for f in found))))
+                quiet *= 1 - max(0.0, (p - QUIET) / (1 - QUIET))
+        assert abs(got[k] - (1 - quiet)) < 1e-9
+    assert all(abs(got[k + 10_000] - got[k]) < 1e-12 for k, _ in docs[:40])
+
+
+def test_noisy_or_gradient():
+    rng = np.random.default_rng(4)
+    doc = np.sort(rng.integers(0, 12, 40))
+    data = Instances(rng.integers(0, 40, 150), rng.integers(0, 9, 150), doc, (rng.random(12) < 0.4).astype(float), 9)
+    w, b = rng.standard_normal(9), -1.0
+    _, g = data.loss_and_gradient(w, b)
+    for k in range(10):
+        e = np.eye(10)[k] * 1e-6
+        up, down = data.loss_and_gradient(w + e[:9], b + e[9])[0], data.loss_and_gradient(w - e[:9], b - e[9])[0]
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-6
+
+
+def test_rules_by_hand(spark):
+    """The compiled column is the logistic sum of the rules that hold."""
+    docs, labels = labelled(400)
+    rows = text_statistics(documents(spark, docs)).join(spark.createDataFrame([(k, q) for k, q, _ in labels], "doc_id long, y int"), "doc_id").cache()
+    rules, intercept = fit_rules(rows)
+    assert rules
+    for r in rows.withColumn("score", score_column(rules, intercept)).collect():
+        z = intercept + sum(w for rule, w in rules if all(lo < r[STATISTICS[f]] <= hi for f, lo, hi in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+    rows.unpersist()
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity(documents(spark, [(1, "a b.")]), lab).first()["score"] <= 1
