@@ -1,13 +1,22 @@
 """SimHash near-dedup by anchor-point covering.
 
-Two fingerprints of 64 bits that differ in at most ``THRESHOLD`` = 4 bits differ
-in at most 2 within one of their halves.  On a half of 32 bits the anchors are the
-words of a Hamming code of length 31, with the last bit free: its covering radius
-is 1.  The midpoint of two halves that differ in at most 2 bits is within 1 of
-both, and some anchor is within the covering radius of the midpoint; so both
-fingerprints lie within 1 (their share of the threshold) + 1 (the radius) = 2 of a
-common anchor.  Each half is sent to all anchors within 2, 16.5 on average of
-2**27, and fingerprints are compared where they meet.
+Two fingerprints of 64 bits that differ in at most 4 bits differ in at most 2
+within one of their halves.  On a half of 32 bits the anchors are the words of a
+Hamming code of length 31, with the last bit free: its covering radius is 1.  The
+midpoint of two halves that differ in at most 2 bits is within 1 of both, and some
+anchor is within the covering radius of the midpoint; so both fingerprints lie
+within 1 (their share of the threshold) + 1 (the radius) = 2 of a common anchor.
+Each half is sent to all anchors within 2, 16.5 on average of 2**27, and
+fingerprints are compared where they meet.
+
+An anchor that very many fingerprints share is dealt out further: two of its
+fingerprints within 4 bits differ in at most 2 within one of the quarters of the
+other half, and quarters have anchors of their own, of a Hamming code of length 15.
+
+Fingerprints of several words reach farther: ``bits_apart`` of a similarity is the
+expected number of differing bits, and texts link up to it.  There the covering
+leaves out pairs that differ in more than 2 bits within every half (and share no
+anchor at 3 or 4 by chance); the tests measure what is found.
 
 Fingerprints are distinct before that, so copies cost nothing, and every anchor
 gives back a spanning forest of its links, not its pairs.
@@ -15,25 +24,47 @@ gives back a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import connected_components, forget_words, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.rolling import mix
 
 SHINGLE_WORDS = 4
 SEED = 42
 THRESHOLD = 4
 SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
+CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
+
+
+def bits_apart(similarity: float, n_words: int) -> int:
+    """Bits in which fingerprints of ``n_words`` times 64 bits of two equally long texts of that Jaccard similarity differ.
+
+    Their shingle vectors have the cosine 2 s / (1 + s), and a bit differs with the share of their angle in a half turn.
+    """
+    return int(64 * n_words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
 
+def _ones(codes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit codes have each bit."""
+    lanes = np.unpackbits(codes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)  # a byte a bit, eight to a lane
+    full = len(lanes) // 255 * 255
+    sums = lanes[:full].reshape(-1, 255, 8).sum(axis=1)  # 255 ones fit a byte
+    rest = lanes[full:].sum(axis=0, keepdims=True)
+    return np.concatenate([sums, rest]).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of a text's word shingles (XXH64): a bit is set where over half the hashes, repeats included, have it."""
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED, n_words: int = 1) -> bytes:
+    """SimHash of a text's word shingles (XXH64), little-endian: a bit is set where over half the hashes, repeats
+    included, have it.  Words after the first take further hashes mixed from the first."""
     tokens = text.encode("utf-8").lower().split()  # ASCII letters and ASCII white space only
     if not tokens:
-        return 0
+        return bytes(8 * n_words)
     data = b" ".join(tokens)
     h = xxhash.xxh64_intdigest
     if len(tokens) <= words:
@@ -43,32 +74,39 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [h(data[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
     codes = np.array(hashes, "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(codes), 1 << 16):
-        part = codes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(codes), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(n_words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(codes), 1 << 14):
+            part = codes[at : at + (1 << 14)]
+            ones += _ones(mix(part + np.uint64(k)) if k else part)
+        out.append(np.packbits(2 * ones > len(codes), bitorder="little").tobytes())
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bytes) and ``words`` (the same as longs)."""
 
     def run(batches):
         forget_words()
         for batch in batches:
-            fps = np.array([fingerprint(v.as_py()) for v in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(v.as_py(), words, n_words=n_words) for v in batch.column("text")]
+            longs = pa.array(np.frombuffer(b"".join(fps), "<i8"), pa.int64())
+            offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * np.int32(n_words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(offsets, longs)], ["doc_id", "fp", "words"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>")
 
 
-def anchor_masks() -> list[list[int]]:
-    """By syndrome, what turns a half into each anchor within 2: bit p-1 is position p of the code, bit 31 the free bit."""
-    free = 1 << 31
+def anchor_masks(checks: int = 5) -> list[list[int]]:
+    """By syndrome, what turns a block of ``2**checks`` bits into each anchor within 2: bit p-1 is position p of the
+    code, the last bit the free bit."""
+    size = 1 << checks
+    free = 1 << (size - 1)
     out = [[0, free]]
-    for s in range(1, 32):
-        one = 1 << (s - 1)
-        two = [one_of(p) | one_of(p ^ s) for p in range(1, 32) if p < p ^ s]
+    for s in range(1, size):
+        one = one_of(s)
+        two = [one_of(p) | one_of(p ^ s) for p in range(1, size) if p < p ^ s]
         out.append([one, one | free, *two])
     return out
 
@@ -77,32 +115,50 @@ def one_of(position: int) -> int:
     return 1 << (position - 1)
 
 
-def anchors(half: Column) -> Column:
-    """Array of all anchors within 2 of a half (a long below 2**32)."""
+def anchors(block: Column, checks: int = 5) -> Column:
+    """Array of all anchors within 2 of a block (a long below ``2**2**checks``)."""
     syndrome = F.lit(0)
-    for k in range(5):
-        checked = sum(one_of(p) for p in range(1, 32) if p >> k & 1)
-        syndrome = syndrome + F.shiftleft(F.bit_count(half.bitwiseAND(F.lit(checked))) % 2, k)
-    masks = F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in anchor_masks()))
-    return F.transform(F.element_at(masks, syndrome + 1), lambda m: m.bitwiseXOR(half))
+    for k in range(checks):
+        checked = sum(one_of(p) for p in range(1, 1 << checks) if p >> k & 1)
+        syndrome = syndrome + F.shiftleft(F.bit_count(block.bitwiseAND(F.lit(checked))) % 2, k)
+    masks = F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in anchor_masks(checks)))
+    return F.transform(F.element_at(masks, syndrome + 1), lambda m: m.bitwiseXOR(block))
+
+
+def _tagged_anchors(words: Column, n_words: int, checks: int) -> Column:
+    """Anchors of all blocks of ``2**checks`` bits, in the higher bits the number of the block."""
+    size, out = 1 << checks, []
+    for b in range(64 * n_words // size):
+        block = F.shiftrightunsigned(F.element_at(words, b * size // 64 + 1), b * size % 64).bitwiseAND(F.lit((1 << size) - 1))
+        tag = F.lit(b << 32).cast("long")
+        out.append(F.transform(anchors(block, checks), lambda a: a + tag))  # noqa: B023  called at once
+    return F.concat(*out)
 
 
-def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links ``(u, v)`` of ids whose fingerprints differ in at most ``threshold`` (4 or fewer) bits.
+def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD, n_words: int = 1, crowd: int = CROWD) -> DataFrame:
+    """Links ``(u, v)`` of ids whose fingerprints differ in at most ``threshold`` bits.
 
-    ``points`` has distinct ``fp`` with an ``id``.  The links span: two ids are
-    connected by them exactly when they are by all links.
+    ``points`` has distinct ``fp`` with ``words`` and an ``id``.  With one word and
+    a threshold up to 4 the links span: two ids are connected by them exactly when
+    they are by all links.
     """
-    if not 0 <= threshold <= 4:
-        raise ValueError("the halves and the code cover thresholds up to 4")
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    tagged = F.concat(anchors(low), F.transform(anchors(high), lambda a: a + F.lit(1 << 32)))
-    sent = points.select("fp", "id", F.explode(tagged).alias("anchor"))
+    sent = points.select("fp", "id", "words", F.explode(_tagged_anchors(F.col("words"), n_words, 5)).alias("anchor"))
+    crowds = materialize(sent.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowds")
+    plain = sent
+    if not crowds.isEmpty():
+        flagged = MembershipFilter(crowds, "anchor", crowds.count()).flag(sent, "anchor")
+        # anchors beyond crowd are few: rows of anchors divided by crowd at most; rows meet them in a join that is split where skewed
+        maybe = flagged.where("__maybe").join(crowds.hint("merge"), "anchor", "left")
+        quarters = F.filter(_tagged_anchors(F.col("words"), n_words, 4), lambda q: F.shiftright(q, 33) != F.shiftright("anchor", 32))
+        crowded = maybe.where("n is not null").select("fp", "id", "anchor", F.explode(quarters).alias("quarter"))
+        plain = flagged.where("not __maybe").select("fp", "id", "anchor").unionByName(maybe.where("n is null").select("fp", "id", "anchor"))
+        plain = plain.unionByName(crowded.select("fp", "id", F.xxhash64("anchor", "quarter").alias("anchor")))
 
     def run(batches):
         held = None
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "fp", "id")]
+            rows = [batch.column(c).to_numpy() for c in ("anchor", "id")]
+            rows.append(np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, n_words))
             if held is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
             if not len(rows[0]):
@@ -113,13 +169,16 @@ def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         if held is not None:
             yield _forest(*held, threshold)
 
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
+    return plain.select("anchor", "id", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
+
+
+def _near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= threshold
 
 
-def _forest(anchor, fp, ids, threshold) -> pa.RecordBatch:
+def _forest(anchor, ids, fp, threshold) -> pa.RecordBatch:
     """A spanning forest of the links between rows of equal anchors; rows are sorted by anchor."""
     u, v = [], []
-    fp = fp.astype(np.int64).view(np.uint64)
     if len(anchor):
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         sizes = np.diff(np.append(first, len(anchor)))
@@ -127,7 +186,7 @@ def _forest(anchor, fp, ids, threshold) -> pa.RecordBatch:
         for step in range(1, min(SCAN, int(sizes.max()))):
             same = (anchor[step:] == anchor[:-step]) & small[step:]
             at = np.flatnonzero(same)
-            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= threshold]
+            at = at[_near(fp[at], fp[at + step], threshold)]
             u.append(ids[at])
             v.append(ids[at + step])
         for k in np.flatnonzero(sizes > SCAN):
@@ -136,7 +195,7 @@ def _forest(anchor, fp, ids, threshold) -> pa.RecordBatch:
                 queue, rest = [rest[0]], rest[1:]
                 while queue and len(rest):
                     x = queue.pop()
-                    near = np.bitwise_count(fp[rest] ^ fp[x]) <= threshold
+                    near = _near(fp[rest], fp[x], threshold)
                     found = rest[near]
                     rest = rest[~near]
                     u.append(np.full(len(found), ids[x]))
@@ -162,31 +221,36 @@ def _forest(anchor, fp, ids, threshold) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
 
-def simhash_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` for every row of ``docs`` with a ``doc_id``.
+def simhash_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
+    """``doc_id, fingerprint`` (16 hex digits a word), ``component_id`` for every row of ``docs`` with a ``doc_id``.
 
     Null, empty and white-space texts have fingerprint zero, which links like any
     other.  ``component_id`` is the smallest ``doc_id`` that chains of links
     reach.  Rows with a null ``doc_id`` are left out; repeated rows come back
     each.
     """
-    rows = materialize(fingerprints(docs.where("doc_id is not null")), "fingerprints")
-    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
-    parts = connected_components(links_at_anchors(points, threshold))
+    if n_words == 1 and not 0 <= threshold <= 4:
+        raise ValueError("the halves and the code cover thresholds up to 4; take more words for more")
+    rows = materialize(fingerprints(docs.where("doc_id is not null"), words, n_words), "fingerprints")
+    points = materialize(rows.groupBy("fp", "words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
+    parts = connected_components(links_at_anchors(points, threshold, n_words))
     points = points.join(parts, points["id"] == parts["node"], "left")
     points = points.select("fp", "n", F.coalesce("component", "id").alias("component_id"))
     out = join_skewed(rows, points, "fp", "n", rows.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.concat(*(F.lower(F.lpad(F.hex(F.element_at("words", k + 1)), 16, "0")) for k in range(n_words)))
+    return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest ``doc_id``.
 
     Rows with a null ``doc_id`` stay.
     """
-    gone = materialize(simhash_components(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    found = simhash_components(docs, threshold, words, n_words)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return with_edits(docs, gone.withColumn("__gone", F.lit(True)), "__gone").where("__gone is null").drop("__gone")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``simhash_components`` of the whole of ``documents``: 4-word shingles, links up to 4 bits."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -14,7 +14,7 @@ from factorloom.llm.common import MembershipFilter, connected_components, join_s
 from factorloom.llm.embedding_dedup import similar_vectors
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import drop_lines, line_dedup
-from factorloom.llm.simhash_dedup import anchor_masks, keep_one_of_each, links_at_anchors, simhash_components
+from factorloom.llm.simhash_dedup import anchor_masks, bits_apart, keep_one_of_each, links_at_anchors, simhash_components
 from factorloom.llm.substring_dedup import remove_repeats, repeated_spans, strip_repeats
 from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 
@@ -299,27 +299,29 @@ def fingerprint_by_hand(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_anchors_cover():
-    """Every two halves that differ in at most two bits share an anchor."""
-    masks = anchor_masks()
+@pytest.mark.parametrize("checks", [4, 5])
+def test_anchors_cover(checks):
+    """Every two blocks that differ in at most two bits share an anchor."""
+    masks, size = anchor_masks(checks), 1 << checks
 
     def around(x):
         s = 0
-        for p in range(1, 32):
+        for p in range(1, size):
             if x >> (p - 1) & 1:
                 s ^= p
         return {x ^ m for m in masks[s]}
 
     random.seed(1)
     for _ in range(200):
-        x = random.getrandbits(32)
+        x = random.getrandbits(size)
         a = around(x)
-        for i in range(32):
-            for j in range(i, 32):
+        for i in range(size):
+            for j in range(i, size):
                 assert a & around(x ^ (1 << i) ^ (1 << j)) if i != j else a & around(x ^ (1 << i))
 
 
-def test_links_connect_what_is_close(spark):
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_links_connect_what_is_close(spark, crowd):
     random.seed(5)
     points = {random.getrandbits(64) for _ in range(150)}
     for p in sorted(points)[:60]:
@@ -329,8 +331,8 @@ def test_links_connect_what_is_close(spark):
                 x ^= 1 << b
             points.add(x)
     ids = dict(enumerate(sorted(points)))
-    df = spark.createDataFrame([(x if x < 2**63 else x - 2**64, i) for i, x in ids.items()], "fp long, id long")
-    got = {r["node"]: r["component"] for r in connected_components(links_at_anchors(df)).collect()}
+    df = spark.createDataFrame([(bytearray(x.to_bytes(8, "little")), [x if x < 2**63 else x - 2**64], i) for i, x in ids.items()], "fp binary, words array<long>, id long")
+    got = {r["node"]: r["component"] for r in connected_components(links_at_anchors(df, crowd=crowd)).collect()}
     expected = union_find(ids, [(a, b) for a in ids for b in range(a) if (ids[a] ^ ids[b]).bit_count() <= 4])
     assert {i: got.get(i, i) for i in ids} == expected
 
@@ -354,6 +356,27 @@ def test_simhash_components(spark):
     assert simhash_components(documents(spark, [])).count() == 0
 
 
+def test_near_copies_at_a_similarity(spark):
+    """Of planted pairs well above a Jaccard similarity of 0.8 by five words most are found, of those well below few, of others none."""
+    random.seed(9)
+    words = ["w%d" % k for k in range(5000)]
+    pairs, similarity = [], {}
+    for i in range(240):
+        base = random.choices(words, k=400)
+        other = list(base)
+        for k in random.sample(range(400), i // 24 * 2):
+            other[k] = "v%d" % random.randrange(10**6)
+        a, b = ({tuple(x[k : k + 5]) for k in range(396)} for x in (base, other))
+        similarity[i] = len(a & b) / len(a | b)
+        pairs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_components(documents(spark, pairs), bits_apart(0.8, 3), 5, 3).collect()}
+    linked = {i: got[2 * i] == got[2 * i + 1] for i in similarity}
+    assert all(got[2 * i] in (2 * i,) and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in similarity)  # only pairs link
+    rate = lambda lo, hi: np.mean([linked[i] for i, s in similarity.items() if lo <= s < hi])
+    print("found at 0.95+, 0.88+, 0.80+:", rate(0.95, 2), rate(0.88, 0.95), rate(0.8, 0.88))
+    assert rate(0.95, 2) > 0.97 and rate(0.88, 0.95) > 0.8 and rate(0, 0.7) < 0.25
+
+
 # ---- embeddings
 
 
