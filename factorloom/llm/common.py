@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+_SCOPES: list[list[str]] = []  # scratch tables of each open scope, innermost last
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables that are written inside are removed at the end, but for ``result`` tables."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, level: int = -1) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    if len(_SCOPES) >= -level:
+        _SCOPES[level].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def result(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for what outlives the innermost scope."""
+    return materialize(df, name, -2)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) plus ``more``; other columns are pruned."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -150,7 +173,7 @@ def join_skewed(rows: DataFrame, table: DataFrame, key: str | list[str], count:
     return (out if how == "left" else out.where("__found")).drop("__found")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as rows ``(u, v)`` of longs.
 
     Returns ``(node, component)`` for every node that has an edge to another
@@ -169,24 +192,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialize(e, "cc")
-    before = state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, F.col("v") > F.col("u")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-        e = materialize(small.where("u <> v").distinct(), "cc")
-        after = state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+    with scratch_scope(edges.sparkSession):
+        e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        e = materialize(e, "cc")
+        before = state(e)
+        while before[0]:  # each round lowers some node until none is left to lower, so this ends
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = star(both, F.col("v") > F.col("u")).where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+                least.select("u", F.col("m").alias("v"))
+            )
+            e = materialize(small.where("u <> v").distinct(), "cc")
+            after = state(e)
+            if after == before:
+                break
+            before = after
+        e = result(e, "components")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -12,8 +12,7 @@ segment left out.  What joins is verified by edit distance on the texts.
 Long lines may differ by more: an edit for every ``EDIT_CHARS`` characters, up to
 ``MAX_EDITS``.  k edits leave k + 1 runs of a line intact, and the longest of them has
 at least (n - k) / (k + 1) characters.  Every window of that length selects the gram of
-least hash within it, so lines within k edits select a common gram, at places at most k
-apart.  Gram sizes follow classes of lengths; a line just above a class also selects as
+least hash within it, so lines within k edits select a common gram.  Gram sizes follow classes of lengths; a line just above a class also selects as
 a member of it.  Lines that share a gram are verified by edit distance as well.
 
 Exact repeats are found by digest before that, whatever their length in the query.  A line is dropped when an earlier
@@ -31,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
 from factorloom.llm.rolling import RangeHash, mix
 
 MIN_CHARS = 20  # shorter lines stay: short lines are within one edit by chance
 EXACT_CHARS = 1  # the query drops exact repeats from this length on
 EDIT_CHARS = 32  # a pair may differ by an edit for so many characters of the shorter line, at least 1
 MAX_EDITS = 5  # but by no more than these
-CELL = 16  # places of grams are joined by cells of this size
 SEGMENTS = 4
 BLOCK_CHARS = 500_000  # of lines that are hashed together
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
@@ -272,47 +270,82 @@ def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, at int, n int, doc_id long, line int, digest binary")
 
 
+LETTERS = 32  # classes of characters whose counts tell most far lines apart
+
+
+def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
+    """``lines`` (``digest, doc_id, line, text``) with ``keys``, their different selected grams, and ``letters``, counts of character classes."""
+
+    def run(batches):
+        forget_words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column("text").to_pylist()
+                index, codes, _ = line_grams(texts, edit_chars, max_edits)
+                pairs = np.unique(np.stack([index, codes], axis=1), axis=0)
+                offsets = np.append(0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(texts)))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(pairs[:, 1])))
+                letters = np.stack([np.bincount(_code_points([t]) % LETTERS, minlength=LETTERS) for t in texts]).astype(np.int32)
+                ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * np.int32(LETTERS))
+                cols = [part.column(c) for c in ("digest", "doc_id", "line", "text")]
+                yield pa.RecordBatch.from_arrays([*cols, keys, pa.ListArray.from_arrays(ends, pa.array(letters.ravel()))], ["digest", "doc_id", "line", "text", "keys", "letters"])
+
+    return lines.mapInArrow(run, "digest binary, doc_id long, line int, text string, keys array<long>, letters array<int>")
+
+
 def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
-    """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits."""
+    """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits.
+
+    Lines with a common gram meet in a semi-join, at their least common gram only,
+    and are compared right there: what leaves a task is a line, never a pair.
+    An edit changes the counts of characters by 2 at most, so most far lines are
+    told apart by these before their edit distance is taken.
+    """
     grams = list_grams(docs, edit_chars, max_edits)
     code = F.xxhash64("digest")
     shared = grams.select("key", code.alias("code")).groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
     shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
-    found = MembershipFilter(shared, "key", shared.count()).apply(grams, "key").join(shared, "key", "left_semi")
-    firsts = distinct.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
-    found = materialize(found.join(firsts, ["digest", "doc_id", "line"], "left_semi").distinct(), "grams")
-    cells = F.array_distinct(F.array(*(F.floor((F.col("at") + F.lit(d)) / CELL) for d in (-max_edits, max_edits))))
-    left = found.select("key", "at", "n", "digest", F.struct("doc_id", "line").alias("place"), F.explode(cells).alias("cell"))
-    right = found.select("key", *(F.col(c).alias(f"o_{c}") for c in ("at", "n", "digest")), F.struct("doc_id", "line").alias("o_place"), F.floor(F.col("at") / CELL).alias("cell"))
-    pairs = left.join(right, ["key", "cell"]).where((F.col("o_place") < F.col("place")) & (F.abs(F.col("at") - F.col("o_at")) <= max_edits))
-    bound = F.least(F.lit(max_edits), F.floor(F.least("n", "o_n") / edit_chars))
-    pairs = pairs.where((bound >= 2) & (F.abs(F.col("n") - F.col("o_n")) <= bound))
-    pairs = materialize(pairs.select("digest", "place", "o_digest", "o_place", bound.cast("int").alias("bound")).distinct(), "gram-pairs")
-    places = pairs.select("digest", F.col("place").alias("at")).unionByName(pairs.select(F.col("o_digest").alias("digest"), F.col("o_place").alias("at"))).distinct()
-    text = lines_at(places.withColumn("slots", F.array().cast("array<int>")), docs).select("digest", "text").dropDuplicates(["digest"])
-    pairs = pairs.join(text, "digest").join(text.select(F.col("digest").alias("o_digest"), F.col("text").alias("o_text")), "o_digest")
-    distance = F.levenshtein("text", "o_text", max_edits)
-    return pairs.where((distance >= 0) & (distance <= F.col("bound"))).select("digest").distinct()
+    may_share = MembershipFilter(shared, "key", shared.count())
+    wanted = may_share.apply(grams.select("key", "digest"), "key").join(shared, "key", "left_semi").select("digest").distinct()
+    wanted = wanted.join(distinct.select("digest", "at"), "digest").withColumn("slots", F.array().cast("array<int>"))
+    lines = materialize(line_keys(lines_at(wanted, docs), edit_chars, max_edits), "keyed-lines")
+    place, n = F.struct("doc_id", "line").alias("place"), F.char_length("text").alias("n")
+    rows = lines.select("digest", place, n, "text", "keys", "letters", F.explode("keys").alias("key"))
+    rows = may_share.apply(rows, "key")
+    left, right = rows.alias("l"), rows.alias("o")
+    bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "o.n") / edit_chars))
+    apart = F.aggregate(F.zip_with("l.letters", "o.letters", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    distance = F.levenshtein("l.text", "o.text", max_edits)
+    near = (
+        F.when((F.col("o.place") >= F.col("l.place")) | (bound < 2) | (F.abs(F.col("l.n") - F.col("o.n")) > bound), False)
+        .when(apart > 2 * bound, False)
+        .when(F.array_min(F.array_intersect("l.keys", "o.keys")) != F.col("l.key"), False)
+        .otherwise((distance >= 0) & (distance <= bound))
+    )
+    found = left.join(right.hint("merge"), (F.col("l.key") == F.col("o.key")) & near, "left_semi")
+    return found.select("digest").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``doc_id, dropped`` (sorted line numbers from 0) for documents that lose lines."""
     docs = texts_of(docs).where("doc_id is not null")
-    lines = materialize(list_lines(docs, min_chars, exact_chars), "lines")
-    place = F.struct("doc_id", "line")
-    distinct = lines.groupBy("digest").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    distinct = materialize(distinct, "distinct")
-    near = near_lines(distinct, docs)
-    if max_edits > 1:
-        near = near.unionByName(farther_lines(distinct, docs, edit_chars, max_edits)).distinct()
-    near = materialize(near, "near").withColumn("near", F.lit(True))
-    losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
-    losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
-    places = lines.select("doc_id", "line", "digest", F.xxhash64("digest").alias("h"))
-    places = MembershipFilter(losing, "h", losing.count()).apply(places, "h").drop("h")
-    places = join_skewed(places, losing.drop("h"), "digest", "n", lines.count(), "inner")
-    places = places.where("near or at.doc_id <> doc_id or at.line <> line")
-    return materialize(places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
+    with scratch_scope(docs.sparkSession):
+        lines = materialize(list_lines(docs, min_chars, exact_chars), "lines")
+        place = F.struct("doc_id", "line")
+        distinct = lines.groupBy("digest").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+        distinct = materialize(distinct, "distinct")
+        near = near_lines(distinct, docs)
+        if max_edits > 1:
+            near = near.unionByName(farther_lines(distinct, docs, edit_chars, max_edits)).distinct()
+        near = materialize(near, "near").withColumn("near", F.lit(True))
+        losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
+        losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
+        places = lines.select("doc_id", "line", "digest", F.xxhash64("digest").alias("h"))
+        places = MembershipFilter(losing, "h", losing.count()).apply(places, "h").drop("h")
+        places = join_skewed(places, losing.drop("h"), "digest", "n", lines.count(), "inner")
+        places = places.where("near or at.doc_id <> doc_id or at.line <> line")
+        return result(places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, texts_of
+from factorloom.llm.common import materialize, scratch_scope, texts_of
 from factorloom.llm.toxicity import bucket, training_labels
 
 STATISTICS = [
@@ -138,8 +138,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     ``doc_id`` are scored too, and not held out; of repeated ids each row is scored.
     """
     rows = materialize(text_statistics(docs), "statistics")
-    known = materialize(rows.join(training_labels(labels, "quality", 5, 0), "doc_id"), "labelled")
-    rules, intercept = fit_rules(known)
+    with scratch_scope(docs.sparkSession):
+        known = materialize(rows.join(training_labels(labels, "quality", 5, 0), "doc_id"), "labelled")
+        rules, intercept = fit_rules(known)
     held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     scored = rows.select("doc_id", held_out, score_column(rules, intercept).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
 from factorloom.llm.rolling import mix
 
 SHINGLE_WORDS = 4
@@ -246,8 +246,9 @@ def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = S
 
     Rows with a null ``doc_id`` stay.
     """
-    found = simhash_components(docs, threshold, words, n_words)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    with scratch_scope(docs.sparkSession):
+        found = simhash_components(docs, threshold, words, n_words)
+        gone = result(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return with_edits(docs, gone.withColumn("__gone", F.lit(True)), "__gone").where("__gone is null").drop("__gone")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
 from factorloom.llm.rolling import RangeHash, mix
 from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
 
@@ -331,31 +331,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core_parts: int = CORE
     starts anywhere else in ``docs``, in the same document or another.
     """
     docs = texts_of(docs).where("doc_id is not null")
-    contexts = materialize(list_contexts(docs, length), "contexts")
-    first = [F.first(c).alias(c) for c in ("key", "doc_id", "start", "windows", "place")]
-    distinct = materialize(contexts.groupBy("c0", "c1").agg(F.count("*").alias("n"), *first), "distinct")
-    keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key"), "keys")
-    hard = MembershipFilter(keys, "key", keys.count()).apply(distinct, "key").join(keys, "key")
-    hard = hard.select(F.col("c0").alias("h0"), F.col("c1").alias("h1"), "doc_id", "start", "windows", "place")
-    found = _repeats(docs, hard, length, CLASS, core_parts).select(F.col("u0").alias("c0"), F.col("u1").alias("c1"), "runs")
-    found = found.unionByName(distinct.where("n > 1").select("c0", "c1", _whole("windows")))
-    found = found.groupBy("c0", "c1").agg(F.flatten(F.collect_list("runs")).alias("runs")).join(distinct.select("c0", "c1", "n"), ["c0", "c1"])
-    found = materialize(found, "repeats")
-
-    places = MembershipFilter(found, "c0", found.count()).apply(contexts.select("c0", "c1", "doc_id", "start"), "c0")
-    places = join_skewed(places, found, ["c0", "c1"], "n", contexts.count(), "inner")
-    runs = places.select("doc_id", F.expr(f"transform(runs, r -> struct(start + r.lo as lo, start + r.hi + {length - 1} as hi))").alias("runs"))
-
-    def merge(batches):
-        for batch in batches:
-            lists = batch.column("runs")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            flat = lists.flatten()
-            spans = _run_lists(owner, flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans], ["doc_id", "spans"])
-
-    by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return materialize(by_doc.mapInArrow(merge, f"doc_id long, spans {RUNS}"), "spans")
+    with scratch_scope(docs.sparkSession):
+        contexts = materialize(list_contexts(docs, length), "contexts")
+        first = [F.first(c).alias(c) for c in ("key", "doc_id", "start", "windows", "place")]
+        distinct = materialize(contexts.groupBy("c0", "c1").agg(F.count("*").alias("n"), *first), "distinct")
+        keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key"), "keys")
+        hard = MembershipFilter(keys, "key", keys.count()).apply(distinct, "key").join(keys, "key")
+        hard = hard.select(F.col("c0").alias("h0"), F.col("c1").alias("h1"), "doc_id", "start", "windows", "place")
+        found = _repeats(docs, hard, length, CLASS, core_parts).select(F.col("u0").alias("c0"), F.col("u1").alias("c1"), "runs")
+        found = found.unionByName(distinct.where("n > 1").select("c0", "c1", _whole("windows")))
+        found = found.groupBy("c0", "c1").agg(F.flatten(F.collect_list("runs")).alias("runs")).join(distinct.select("c0", "c1", "n"), ["c0", "c1"])
+        found = materialize(found, "repeats")
+
+        places = MembershipFilter(found, "c0", found.count()).apply(contexts.select("c0", "c1", "doc_id", "start"), "c0")
+        places = join_skewed(places, found, ["c0", "c1"], "n", contexts.count(), "inner")
+        runs = places.select("doc_id", F.expr(f"transform(runs, r -> struct(start + r.lo as lo, start + r.hi + {length - 1} as hi))").alias("runs"))
+
+        def merge(batches):
+            for batch in batches:
+                lists = batch.column("runs")
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+                flat = lists.flatten()
+                spans = _run_lists(owner, flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans], ["doc_id", "spans"])
+
+        by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        return result(by_doc.mapInArrow(merge, f"doc_id long, spans {RUNS}"), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

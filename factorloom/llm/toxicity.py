@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import forget_words, materialize, texts_of
+from factorloom.llm.common import forget_words, materialize, scratch_scope, texts_of
 
 SAMPLE_ROWS = 20_000  # labelled documents that the weights are fitted on, the ones with the smallest hash of their id
 FEATURES = 1 << 20
@@ -88,23 +88,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
     of its sentences only.  Without rows of both labels there are no weights, and
     the bias is that of the share of ones.
     """
-    ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    instances = materialize(_instances(texts_of(docs).join(F.broadcast(ids), "doc_id")), "instances")
-    n, ones = instances.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not 0 < ones < n:
-        share = (ones + 1) / (n + 2)
-        return {}, float(np.log(share / (1 - share)))
-    often = _telling(instances, ones / n)
-    column = {f: k for k, f in enumerate(often)}
-
-    def pick(batches):
-        for batch in batches:
-            found = [[[column[f] for f in s if f in column] for s in doc] for doc in batch.column("sentences").to_pylist()]
-            sizes = [np.array([len(s) for s in doc], "<i4").tobytes() for doc in found]
-            feats = [np.array([f for s in doc for f in s], "<i4").tobytes() for doc in found]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], ["y", "sizes", "features"])
-
-    rows = instances.mapInArrow(pick, "y int, sizes binary, features binary").collect()
+    with scratch_scope(docs.sparkSession):
+        ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        instances = materialize(_instances(texts_of(docs).join(F.broadcast(ids), "doc_id")), "instances")
+        n, ones = instances.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+        if not 0 < ones < n:
+            share = (ones + 1) / (n + 2)
+            return {}, float(np.log(share / (1 - share)))
+        often = _telling(instances, ones / n)
+        column = {f: k for k, f in enumerate(often)}
+
+        def pick(batches):
+            for batch in batches:
+                found = [[[column[f] for f in s if f in column] for s in doc] for doc in batch.column("sentences").to_pylist()]
+                sizes = [np.array([len(s) for s in doc], "<i4").tobytes() for doc in found]
+                feats = [np.array([f for s in doc for f in s], "<i4").tobytes() for doc in found]
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], ["y", "sizes", "features"])
+
+        rows = instances.mapInArrow(pick, "y int, sizes binary, features binary").collect()
     y = np.array([r["y"] for r in rows], float)
     sizes = [np.frombuffer(r["sizes"], "<i4") for r in rows]
     x = np.concatenate([np.frombuffer(r["features"], "<i4") for r in rows])
