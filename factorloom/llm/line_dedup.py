@@ -138,6 +138,54 @@ def lines_at(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>"), "lines")
 
 
+def _same_ahead(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from ``a[i]`` and ``b[j]`` on are equal."""
+    n, at, step = min(len(a) - i, len(b) - j), 0, 16
+    while at < n and a[i + at : i + at + step] == b[j + at : j + at + step]:
+        at += step
+        step *= 2
+    lo, hi = min(at, n), min(at + step, n)  # equal up to lo, not up to hi unless both are n
+    while lo < hi:
+        middle = (lo + hi + 1) // 2
+        if a[i + lo : i + middle] == b[j + lo : j + middle]:
+            lo = middle
+        else:
+            hi = middle - 1
+    return lo
+
+
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Is the edit distance at most ``most``? Furthest places by diagonal (Landau and Vishkin), linear in the lines."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    ends: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            i = max(ends.get(d, -2) + 1, ends.get(d - 1, -2), ends.get(d + 1, -2) + 1) if e else 0
+            i = min(i, len(a), len(b) - d)
+            if i < 0 or i + d < 0:
+                continue
+            i += _same_ahead(a, i, b, i + d)
+            if i == len(a) and i + d == len(b):
+                return True
+            now[d] = i
+        ends = now
+    return False
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Digests of ``pairs`` (``digest, text, o_text, bound``) within their bound."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c) for c in ("text", "o_text", "bound")]
+            keep = [within_edits(a.as_py(), b.as_py(), k.as_py()) for a, b, k in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(keep, pa.bool_()))], ["digest"])
+
+    return pairs.mapInArrow(run, "digest binary").distinct()
+
+
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """Digests of the lines that have an earlier line within one edit.
 
@@ -184,8 +232,8 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = pairs.where("first is not null and struct(first.doc_id, first.line) < struct(doc_id, line)")
     pairs = pairs.select("digest", F.col("first.digest").alias("other")).distinct()
     text = lines.select("digest", "text").dropDuplicates(["digest"])
-    pairs = pairs.join(text, "digest").join(text.select(F.col("digest").alias("other"), F.col("text").alias("other_text")), "other")
-    return pairs.where(F.levenshtein("text", "other_text", 1) >= 0).select("digest").distinct()
+    pairs = pairs.join(text, "digest").join(text.select(F.col("digest").alias("other"), F.col("text").alias("o_text")), "other")
+    return _verified(pairs.select("digest", "text", "o_text", F.lit(1).alias("bound")))
 
 
 def edit_bound(n, edit_chars: int, max_edits: int):
@@ -270,11 +318,23 @@ def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, at int, n int, doc_id long, line int, digest binary")
 
 
-LETTERS = 32  # classes of characters whose counts tell most far lines apart
+LETTERS, PAIRS = 64, 128  # classes of characters and of neighbouring characters
+
+
+def parities(line: str) -> np.ndarray:
+    """Three longs: by bit, is the number of characters (first) or of neighbouring pairs (others) of its class odd?
+
+    An edit changes the parity of 2 classes of characters and of 4 classes of pairs at most.
+    """
+    c = _code_points([line]).astype(np.uint64)
+    ones = np.bincount((mix(c) % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS)
+    twos = np.bincount((mix((c[:-1] << np.uint64(32)) | c[1:]) % np.uint64(PAIRS)).astype(np.int64), minlength=PAIRS)
+    return np.packbits((np.concatenate([ones, twos]) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
-    """``lines`` (``digest, doc_id, line, text``) with ``keys``, their different selected grams, and ``letters``, counts of character classes."""
+    """``lines`` (``digest, doc_id, line, text``) with ``keys``, their different selected grams, and ``p0, p1, p2``, their parities."""
+    names = ["digest", "doc_id", "line", "text"]
 
     def run(batches):
         forget_words()
@@ -286,21 +346,18 @@ def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
                 pairs = np.unique(np.stack([index, codes], axis=1), axis=0)
                 offsets = np.append(0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(texts)))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(pairs[:, 1])))
-                letters = np.stack([np.bincount(_code_points([t]) % LETTERS, minlength=LETTERS) for t in texts]).astype(np.int32)
-                ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * np.int32(LETTERS))
-                cols = [part.column(c) for c in ("digest", "doc_id", "line", "text")]
-                yield pa.RecordBatch.from_arrays([*cols, keys, pa.ListArray.from_arrays(ends, pa.array(letters.ravel()))], ["digest", "doc_id", "line", "text", "keys", "letters"])
+                odd = np.stack([parities(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), keys, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(3))], [*names, "keys", "p0", "p1", "p2"])
 
-    return lines.mapInArrow(run, "digest binary, doc_id long, line int, text string, keys array<long>, letters array<int>")
+    return lines.mapInArrow(run, "digest binary, doc_id long, line int, text string, keys array<long>, p0 long, p1 long, p2 long")
 
 
 def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits.
 
-    Lines with a common gram meet in a semi-join, at their least common gram only,
-    and are compared right there: what leaves a task is a line, never a pair.
-    An edit changes the counts of characters by 2 at most, so most far lines are
-    told apart by these before their edit distance is taken.
+    Lines with a common gram meet in a join, at their least common gram only, and
+    are compared right behind it: what leaves a task is a line, never a pair.
+    Edits change few parities, so within the join most far lines are told apart by these.
     """
     grams = list_grams(docs, edit_chars, max_edits)
     code = F.xxhash64("digest")
@@ -311,20 +368,18 @@ def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edi
     wanted = wanted.join(distinct.select("digest", "at"), "digest").withColumn("slots", F.array().cast("array<int>"))
     lines = materialize(line_keys(lines_at(wanted, docs), edit_chars, max_edits), "keyed-lines")
     place, n = F.struct("doc_id", "line").alias("place"), F.char_length("text").alias("n")
-    rows = lines.select("digest", place, n, "text", "keys", "letters", F.explode("keys").alias("key"))
+    rows = lines.select("digest", place, n, "text", "keys", "p0", "p1", "p2", F.explode("keys").alias("key"))
     rows = may_share.apply(rows, "key")
     left, right = rows.alias("l"), rows.alias("o")
     bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "o.n") / edit_chars))
-    apart = F.aggregate(F.zip_with("l.letters", "o.letters", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-    distance = F.levenshtein("l.text", "o.text", max_edits)
+    odd = [F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"o.p{k}"))) for k in range(3)]
     near = (
         F.when((F.col("o.place") >= F.col("l.place")) | (bound < 2) | (F.abs(F.col("l.n") - F.col("o.n")) > bound), False)
-        .when(apart > 2 * bound, False)
-        .when(F.array_min(F.array_intersect("l.keys", "o.keys")) != F.col("l.key"), False)
-        .otherwise((distance >= 0) & (distance <= bound))
+        .when((odd[0] > 2 * bound) | (odd[1] + odd[2] > 4 * bound), False)
+        .otherwise(F.array_min(F.array_intersect("l.keys", "o.keys")) == F.col("l.key"))
     )
-    found = left.join(right.hint("merge"), (F.col("l.key") == F.col("o.key")) & near, "left_semi")
-    return found.select("digest").distinct()
+    pairs = left.join(right.hint("merge"), (F.col("l.key") == F.col("o.key")) & near)
+    return _verified(pairs.select("l.digest", "l.text", F.col("o.text").alias("o_text"), bound.cast("int").alias("bound")))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:

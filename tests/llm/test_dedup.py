@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, with_edits
 from factorloom.llm.embedding_dedup import similar_vectors
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
-from factorloom.llm.line_dedup import drop_lines, line_dedup
+from factorloom.llm.line_dedup import drop_lines, line_dedup, within_edits
 from factorloom.llm.simhash_dedup import anchor_masks, bits_apart, keep_one_of_each, links_at_anchors, simhash_components
 from factorloom.llm.substring_dedup import remove_repeats, repeated_spans, strip_repeats
 from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
@@ -268,6 +268,21 @@ def distance(a, b):
     return row[-1]
 
 
+def test_bounded_edit_distance():
+    random.seed(12)
+    for _ in range(1500):
+        a = "".join(random.choices("ab😀", k=random.randint(0, 40)))
+        b = list(a)
+        for _ in range(random.randint(0, 5)):
+            k = random.randint(0, len(b))
+            b[k : k + random.randint(0, 2)] = random.choices("abc", k=random.randint(0, 2))
+        b = "".join(b)
+        for most in (0, 1, 2, 5):
+            assert within_edits(a, b, most) == (distance(a, b) <= most), (a, b, most)
+    long = "".join(random.choices("abc ", k=300_000))
+    assert within_edits(long, long[:1000] + "x" + long[1001:200_000] + long[200_001:], 2) and not within_edits(long, long[::-1], 5)
+
+
 def test_edit_bound_grows_with_the_line(spark):
     random.seed(11)
     lines = []
