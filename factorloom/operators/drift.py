@@ -38,6 +38,16 @@ def compare_means(rows: DataFrame, x: str, keys: list[str], threshold: float = 0
     return wide.withColumn("change", change).withColumn("drifted", change > threshold)
 
 
+def drift_report(ic: DataFrame, spreads: DataFrame, threshold: float = 0.5, train: float = 0.6, valid: float = 0.2) -> DataFrame:
+    """``factor, ret, ic_change, ic_drifted, spread_change, spread_drifted, passed``: both series over the parts of the split."""
+    keys, parts = ["factor", "ret"], []
+    for name, rows, x in (("ic", ic, "ic"), ("spread", spreads, "spread")):
+        own = compare_means(with_split(rows, train, valid), x, keys, threshold)
+        parts.append(own.select(*keys, F.col("change").alias(f"{name}_change"), F.col("drifted").alias(f"{name}_drifted")))
+    drifted = F.coalesce("ic_drifted", F.lit(False)) | F.coalesce("spread_drifted", F.lit(False))
+    return parts[0].join(parts[1], keys, "full").withColumn("passed", ~drifted)
+
+
 def compare_series(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """Two-sample t, Mann-Whitney and Kolmogorov-Smirnov p values of ``x`` by ``later``; each side needs ``least`` values."""
     side = lambda flag, fn: fn(F.when(F.col("later") == flag, F.col("x")))

@@ -24,6 +24,12 @@ def paired(factors: DataFrame, returns: DataFrame) -> DataFrame:
     return x.join(y, ["date", "ticker"])
 
 
+def pairs_of(wide: DataFrame, factors: list[str], returns: list[str]) -> DataFrame:
+    """``paired`` for factors and returns that are columns of one frame: one pass, no join."""
+    cells = [F.struct(F.lit(f).alias("factor"), F.lit(r).alias("ret"), F.col(f).alias("x"), F.col(r).alias("y")) for f in factors for r in returns]
+    return wide.select("date", "ticker", F.explode(F.array(*cells)).alias("c")).select("date", "ticker", "c.*").where("x is not null and y is not null")
+
+
 def daily_ic(pairs: DataFrame, method: str = "spearman", least: int = 3, keys: list[str] = KEYS) -> DataFrame:
     """``date, factor, ret, ic, n``: correlation of values or of their average ranks."""
     if method == "spearman":
@@ -78,9 +84,10 @@ def bucket_profile(quantiles: DataFrame) -> DataFrame:
 
 
 def cumulative_returns(quantiles: DataFrame) -> DataFrame:
-    """Compounded mean return of each bucket over its dates."""
+    """Compounded mean return of each bucket over its dates, and the log of its growth, which does not overflow."""
     w = Window.partitionBy("factor", "ret", "bucket").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return quantiles.select(*KEYS, "bucket", (F.product(1 + F.col("mean_ret")).over(w) - 1).alias("cum_ret"))
+    rows = quantiles.select(*KEYS, "bucket", F.sum(F.log1p("mean_ret")).over(w).alias("log_growth"))
+    return rows.withColumn("cum_ret", F.expm1("log_growth"))
 
 
 def spread(quantiles: DataFrame, q: int = 5, method: str = "top_minus_bottom") -> DataFrame:
@@ -175,14 +182,15 @@ def by_date_share(rows: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def ic_decay(factors: DataFrame, prices: DataFrame, horizons: int = 20, price: str = "close") -> DataFrame:
-    """``factor, horizon, ic``: pooled rank correlation of the factor with the return over each horizon."""
+    """``factor, horizon, ic``: pooled rank correlation of the factor with the return over each horizon.
+
+    Ranks are taken in sorts that spill, a pair of factor and horizon a task.
+    """
     rets = prices.select("date", "ticker", *(forward_return(h, price).alias(str(h)) for h in range(1, horizons + 1)))
     long = rets.unpivot(["date", "ticker"], [str(h) for h in range(1, horizons + 1)], "horizon", "y").where("y is not null")
     pairs = factors.where("value is not null").select("date", "ticker", "factor", F.col("value").alias("x")).join(long, ["date", "ticker"])
     keys = ["factor", "horizon"]
-    rx = global_ranks(pairs.select(*keys, "x"), keys).withColumnRenamed("rank", "rx")
-    ry = global_ranks(pairs.select(*keys, F.col("y").alias("x")), keys).select(*keys, F.col("x").alias("y"), F.col("rank").alias("ry"))
-    ranked = pairs.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
+    ranked = pairs.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)})
     return ranked.groupBy(*keys).agg(corr_of("rx", "ry").alias("ic")).withColumn("horizon", F.col("horizon").cast("int"))
 
 
@@ -234,6 +242,56 @@ def combined(wide: DataFrame, columns: list[str], name: str = "combined") -> Dat
     return wide.select("date", "ticker", F.lit(name).alias("factor"), mean.alias("value"))
 
 
+def analyze(pairs: DataFrame, q: int = 5, least: int = 3, method: str = "spearman", p: bool = True) -> DataFrame:
+    """A row for each factor and return: IC summary, spread of the extreme buckets and monotonicity, all in one."""
+    buckets = quantile_returns(pairs, q)
+    summary = ic_summary(daily_ic(pairs, method, least), p=p)
+    return summary.join(spread_summary(spread(buckets, q)), ["factor", "ret"], "left").join(monotonicity(buckets, p=False).drop("q"), ["factor", "ret"], "left")
+
+
+def qualified(analysis: DataFrame, least_icir: float = 0.5, most_p: float = 0.05, top: int | None = None) -> DataFrame:
+    """``analysis`` with ``qualified`` (ICIR above and p below the bounds), the largest ICIR first."""
+    ok = (F.col("icir") > least_icir) & (F.col("p_value") < most_p)
+    rows = analysis.withColumn("qualified", F.coalesce(ok, F.lit(False))).orderBy(F.desc("icir"), "factor", "ret")
+    return rows if top is None else rows.where("qualified").limit(top)
+
+
+# ---- factor library: an append-only history, one row a factor and version
+
+
+def library_state(history: DataFrame) -> DataFrame:
+    """The latest row of each factor."""
+    columns = [c for c in history.columns if c != "factor"]
+    return history.groupBy("factor").agg(F.max_by(F.struct(*columns), "version").alias("s")).select("factor", "s.*")
+
+
+def library_add(history: DataFrame, candidates: DataFrame, version: int) -> DataFrame:
+    """``history`` and the candidates (``factor, ic_mean, icir, passed``) that passed and are not active in it."""
+    active = library_state(history).where("status = 'active'").select("factor")
+    new = candidates.where("passed").join(active, "factor", "left_anti")
+    return history.unionByName(new.select("factor", F.lit(version).alias("version"), F.lit("active").alias("status"), "ic_mean", "icir"))
+
+
+def library_update(history: DataFrame, quality: DataFrame, version: int) -> DataFrame:
+    """``history`` and a new version of each active factor with its new quality (``factor, ic_mean, icir``)."""
+    active = library_state(history).where("status = 'active'").select("factor")
+    rows = quality.join(active, "factor", "left_semi")
+    return history.unionByName(rows.select("factor", F.lit(version).alias("version"), F.lit("active").alias("status"), "ic_mean", "icir"))
+
+
+def library_remove(history: DataFrame, factors: DataFrame, version: int) -> DataFrame:
+    """``history`` and a row with status ``removed`` of each active factor among ``factors``."""
+    rows = library_state(history).where("status = 'active'").join(factors.select("factor"), "factor", "left_semi")
+    return history.unionByName(rows.select("factor", F.lit(version).alias("version"), F.lit("removed").alias("status"), "ic_mean", "icir"))
+
+
+def library_report(history: DataFrame) -> DataFrame:
+    """Active factors with their number of versions, the largest absolute IC first."""
+    versions = history.groupBy("factor").agg(F.count("*").alias("versions"))
+    rows = library_state(history).where("status = 'active'").join(versions, "factor")
+    return rows.orderBy(F.desc(F.abs("ic_mean")), "factor")
+
+
 def prediction_metrics(df: DataFrame, y: str = "y_true", z: str = "y_pred") -> DataFrame:
     """MSE, MAE, RMSE, R2, IC and rank IC over all complete rows."""
     rows = df.where(F.col(y).isNotNull() & F.col(z).isNotNull()).select(F.col(y).alias("y"), F.col(z).alias("z"))

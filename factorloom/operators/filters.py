@@ -11,10 +11,10 @@ STAGES = ["st", "suspended", "limit_move", "listing_age", "volume", "price", "tu
 
 
 def limit_move(threshold: float = 0.095) -> Column:
-    """The close moved by the limit or more: 4.8 % for ST, 19.8 % for tickers 300/688 that are not, else ``threshold``."""
+    """The close moved by more than the limit: 4.8 % for ST, 19.8 % for tickers 300/688 that are not, else ``threshold``."""
     code = F.col("ticker").cast("string")
     limit = F.when(F.col("st_flag") == 1, 0.048).when(code.startswith("300") | code.startswith("688"), 0.198).otherwise(threshold)
-    return F.abs(F.col("close") / F.lag("close").over(wt()) - 1) >= limit
+    return F.abs(F.col("close") / F.lag("close").over(wt()) - 1) > limit
 
 
 def turnover_of(columns: list[str]) -> Column:

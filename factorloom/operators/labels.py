@@ -112,6 +112,39 @@ def grade_labels(df: DataFrame, r: str, grades: int = 5) -> DataFrame:
     return own.withColumn("grade", F.least(F.floor(pct * grades), F.lit(grades - 1)).cast("int"))
 
 
+def quantile_labels(df: DataFrame, r: str, q: int = 5, per_date: bool = True) -> DataFrame:
+    """``label`` from 0 to ``q - 1`` by inner quantiles of the date or of all rows (left-closed); null stays null."""
+    edges = F.percentile(r, [k / q for k in range(1, q)]).alias("_e")
+    cuts = df.groupBy("date").agg(edges) if per_date else df.agg(edges)
+    out = df.join(cuts, "date", "left") if per_date else df.join(F.broadcast(cuts), F.lit(True))
+    label = F.when(F.col(r).isNotNull(), F.size(F.filter("_e", lambda e: e <= F.col(r))))
+    return out.withColumn("label", label).drop("_e")
+
+
+def forward_returns_with(panel: DataFrame, periods: tuple[int, ...] = (1, 5), transform: str = "none", index: DataFrame | None = None, price: str = "close") -> DataFrame:
+    """``panel`` with ``fwd_k`` for each period: the forward return as it is, or its ``excess`` over ``index``, its
+    residual from the date's mean (``demeaned``) or the date's and industry's (``industry``), or its ``rank`` in the date."""
+    out = panel.withColumns({f"fwd_{k}": forward_return(k, price) for k in periods})
+    for k in periods:
+        c = f"fwd_{k}"
+        if transform == "excess":
+            out = excess_over_index(out, c, index).withColumn(c, F.col("residual")).drop("residual")
+        elif transform in ("demeaned", "industry"):
+            keys = ("date",) if transform == "demeaned" else ("date", "industry")
+            out = demeaned(out, c, keys).withColumn(c, F.col("residual")).drop("residual")
+        elif transform == "rank":
+            out = percent_rank(out, c, ["date"]).withColumn(c, F.col("rank_pct")).drop("rank_pct")
+        elif transform != "none":
+            raise ValueError(transform)
+    return out
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, share`` of each class, nulls included as a class."""
+    rows = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(df.agg(F.count("*").alias("_t"))), F.lit(True)).select("label", "n", (F.col("n") / F.col("_t")).alias("share"))
+
+
 def group_sizes(df: DataFrame) -> DataFrame:
     """``date, n`` in date order, as ranking trainers take them."""
     return df.groupBy("date").agg(F.count("*").alias("n")).orderBy("date")

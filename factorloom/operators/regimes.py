@@ -44,7 +44,9 @@ def pca_states(df: DataFrame, columns: list[str], share: float = 0.9) -> tuple[D
 
 def clusters(states: DataFrame, components: list[str], ks=(4, 5, 6), seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows by ``k`` with ``cluster``, and ``k, silhouette, calinski_harabasz`` on the training rows."""
-    rows = states.withColumn("features", array_to_vector(F.array(*components))).cache()
+    # cached while the models are fitted; the returned rows are computed from the source again
+    plain = states.withColumn("features", array_to_vector(F.array(*components)))
+    rows = plain.cache()
     train, parts, quality = rows.where("phase = 'train'"), [], []
     for k in ks:
         model = KMeans(k=k, seed=seed, maxIter=30).fit(train)
@@ -56,6 +58,7 @@ def clusters(states: DataFrame, components: list[str], ks=(4, 5, 6), seed: int =
         within = float(model.summary.trainingCost)
         ch = ((total - within) / (k - 1)) / (within / (n - k)) if within > 0 and n > k else float("nan")
         quality.append((k, float(sil), float(ch)))
+    rows.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -101,6 +104,35 @@ def best_component(states: DataFrame, components: list[str], r: str) -> DataFram
     return rows.orderBy(F.desc(F.abs("ic")), "component").limit(1).withColumn("direction", F.signum("ic").cast("int"))
 
 
+def strength_threshold(states: DataFrame, components: list[str], r: str, share: float = 0.6) -> DataFrame:
+    """``best_component`` with ``threshold``: that quantile of the component times its direction on the training rows."""
+    long = states.where("phase = 'train'").unpivot(["date", "ticker"], components, "component", "x")
+    cuts = long.groupBy("component").agg(F.percentile("x", share).alias("up"), F.percentile(-F.col("x"), share).alias("down"))
+    threshold = F.when(F.col("direction") < 0, F.col("down")).otherwise(F.col("up")).alias("threshold")
+    return best_component(states, components, r).join(cuts, "component").select("component", "ic", "direction", threshold)
+
+
+def regime_signal(labelled: DataFrame, selected: DataFrame, best: DataFrame, components: list[str]) -> DataFrame:
+    """``date, ticker, raw``: the row is in a selected cluster of any k, and its strength exceeds the threshold.
+
+    ``labelled`` has a row for each k, ``selected`` has ``k, cluster``, ``best`` is ``strength_threshold``'s row.
+    """
+    marked = labelled.join(F.broadcast(selected.select("k", "cluster", F.lit(1).alias("_in"))), ["k", "cluster"], "left").join(F.broadcast(best), F.lit(True))
+    value = F.coalesce(*(F.when(F.col("component") == c, F.col(c)) for c in components))
+    on = F.col("_in").isNotNull() & (value * F.col("direction") > F.col("threshold"))
+    return marked.groupBy("date", "ticker").agg(F.max(F.coalesce(on, F.lit(False)).cast("int")).alias("raw"))
+
+
+def component_power(states: DataFrame, components: list[str], r: str, q: int = 5) -> DataFrame:
+    """``component, ic, bucket, n, mean_ret``: rank correlation of the first five components, quantile returns of the best."""
+    long = states.unpivot([r], components[:5], "component", "x").withColumnRenamed(r, "y").where("x is not null and y is not null")
+    ranks = long.withColumns({"rx": average_rank("x", ["component"]), "ry": average_rank("y", ["component"])})
+    ics = ranks.groupBy("component").agg(corr_of("rx", "ry").alias("ic"), inner_edges("x", q).alias("_e"))
+    best = ics.orderBy(F.desc(F.abs("ic")), "component").limit(1)
+    rows = long.join(F.broadcast(best), "component").withColumn("bucket", bucket_of("x", F.col("_e")))
+    return rows.groupBy("component", "ic", "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("mean_ret"))
+
+
 def held_signal(df: DataFrame, raw: str, hold: int = 3) -> DataFrame:
     """Adds ``signal``: a raw signal is held ``hold`` rows, and a new one counts only after that (greedy, per ticker)."""
 

@@ -32,11 +32,11 @@ def query(sql: str | None = None):
 
 # ---- the frames that the queries start from
 
-WIDE = f"""{q.STAGED}, wide as (
+WIDE = f"""{q.STAGED}, wide as materialized (
   select date, ticker, industry, close, close * shares_outstanding as market_cap, {q.change('close', 5)} as roc_5d,
     {q.roll('stddev_samp', 'ret1', 20)} as vol_20d, close / ({q.roll('avg', 'close', 10)}) - 1 as price_to_sma_10d,
     lead(close, 6) over ({q.T}) / lead(close, 1) over ({q.T}) - 1 as r5, lead(close, 2) over ({q.T}) / lead(close, 1) over ({q.T}) - 1 as r1 from staged)"""
-LONG = WIDE + ", long as (" + " union all ".join(f"select date, ticker, industry, market_cap, '{f}' as factor, {f} as value from wide" for f in FACTORS) + ")"
+LONG = WIDE + ", long as materialized (" + " union all ".join(f"select date, ticker, industry, market_cap, '{f}' as factor, {f} as value from wide" for f in FACTORS) + ")"
 PAIRS = (
     LONG
     + """, rets as (select date, ticker, 'r5' as ret, r5 as y from wide where r5 is not null union all select date, ticker, 'r1', r1 from wide where r1 is not null),
@@ -64,8 +64,7 @@ def long(spark, d, w=None):
 
 
 def pairs(spark, d):
-    w = wide(spark, d)
-    return ev.paired(long(spark, d, w), w.unpivot(["date", "ticker"], ["r5", "r1"], "ret", "value"))
+    return ev.pairs_of(wide(spark, d), FACTORS, ["r5", "r1"])
 
 
 def ic(spark, d):
@@ -81,11 +80,12 @@ def rounded(df, **digits):
 _CUT = LONG + ", c as (select date, factor, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi, count(value) as n from long group by all)"
 _WINS = _CUT + ", wins as (select l.date, l.ticker, l.industry, l.market_cap, l.factor, case when n >= 3 and value is not null then least(greatest(value, lo), hi) else value end as value from long l join c on l.date = c.date and l.factor = c.factor)"
 _STD = _WINS + """, st as (select date, factor, avg(value) as m, stddev_samp(value) as s, count(value) as n, min(value) as a, max(value) as b from wins group by all),
-std as (select w.date, w.ticker, w.industry, w.market_cap, w.factor, case when n >= 3 then case when s > 0 then (value - m) / s else value * 0 end else value end as value from wins w join st on w.date = st.date and w.factor = st.factor)"""
-_NEU = """, ok as (select *, ln(market_cap) as lx from {0} where value is not null and market_cap > 0),
-dm as (select *, value - avg(value) over (partition by date, factor, industry) as dy, lx - avg(lx) over (partition by date, factor, industry) as dx, count(*) over (partition by date, factor) as n from ok),
-neu as (select date, ticker, factor, case when n >= 3 then case when sum(dx * dx) over (partition by date, factor) > 1e-18
-  then dy - sum(dx * dy) over (partition by date, factor) / sum(dx * dx) over (partition by date, factor) * dx else dy end else value end as value from dm
+std as materialized (select w.date, w.ticker, w.industry, w.market_cap, w.factor, case when n >= 3 then case when s > 0 then (value - m) / s else value * 0 end else value end as value from wins w join st on w.date = st.date and w.factor = st.factor)"""
+_NEU = """, ok as materialized (select *, ln(market_cap) as lx, coalesce(industry, '?') as ind from {0} where value is not null and market_cap > 0),
+gi as materialized (select date, factor, ind, avg(value) as my, avg(lx) as mx from ok group by all),
+dm as materialized (select ok.date, ok.ticker, ok.factor, ok.value, ok.value - my as dy, lx - mx as dx from ok join gi on ok.date = gi.date and ok.factor = gi.factor and ok.ind = gi.ind),
+gd as materialized (select date, factor, count(*) as n, sum(dx * dx) as sxx, sum(dx * dy) as sxy from dm group by all),
+neu as (select dm.date, ticker, dm.factor, case when n >= 3 then case when sxx > 1e-18 then dy - sxy / sxx * dx else dy end else value end as value from dm join gd on dm.date = gd.date and dm.factor = gd.factor
   union all select date, ticker, factor, value from {0} where value is null or market_cap is null or market_cap <= 0)"""
 
 
@@ -189,10 +189,9 @@ def e3_bucket_profile(spark, d):
     return rounded(ev.bucket_profile(quantiles(spark, d)), mean_ret=6, std_ret=6)
 
 
-@query(q.with_(_EDGES, "select factor, ret, bucket, date, format('{:.5e}', product(1 + mean_ret) over (partition by factor, ret, bucket order by date rows between unbounded preceding and current row) - 1) as growth from qr where mean_ret < 1"))
+@query(q.with_(_EDGES, f"select factor, ret, bucket, date, {q.near('sum(ln(1 + mean_ret)) over (partition by factor, ret, bucket order by date rows between unbounded preceding and current row)', 4)} as log_growth from qr"))
 def e4_cumulative_returns(spark, d):
-    rows = ev.cumulative_returns(quantiles(spark, d).where("mean_ret < 1"))
-    return rows.select("factor", "ret", "bucket", "date", F.format_string("%.5e", "cum_ret").alias("growth"))
+    return rounded(ev.cumulative_returns(quantiles(spark, d)), log_growth=4).select("factor", "ret", "bucket", "date", "log_growth")
 
 
 _SPREAD = _EDGES + ", sp as (select date, factor, ret, avg(case when bucket = 5 then mean_ret end) - avg(case when bucket = 1 then mean_ret end) as spread from qr group by all)"
@@ -270,19 +269,16 @@ def e11_ks(spark, d):
     return rounded(ev.ks(rows, ["factor"], p=False), ks=6)
 
 
-@query(
-    q.with_(
-        WIDE + ", h as (" + " union all ".join(f"select date, ticker, {h} as horizon, lead(close, {h}) over ({q.T}) / close - 1 as y from wide" for h in range(1, 6)) + f"), p as (select '{FACTORS[0]}' as factor, h.horizon, w.{FACTORS[0]} as x, h.y from h join wide w on h.date = w.date and h.ticker = w.ticker where w.{FACTORS[0]} is not null and h.y is not null), r as (select horizon, {q.avg_rank('x', 'horizon')} as rx, {q.avg_rank('y', 'horizon')} as ry from p)",
-        f"select '{FACTORS[0]}' as factor, horizon, {q.near('corr(rx, ry)')} as ic from r group by horizon",
-    )
-)
+_DECAY = WIDE + ", hz as (" + " union all ".join(f"select date, ticker, {h} as horizon, lead(close, {h}) over ({q.T}) / close - 1 as y from wide" for h in range(1, 21)) + "), fx as (" + " union all ".join(f"select date, ticker, '{f}' as factor, {f} as x from wide" for f in FACTORS) + f"), p as (select factor, horizon, x, y from hz join fx on hz.date = fx.date and hz.ticker = fx.ticker where x is not null and y is not null), r as (select factor, horizon, {q.avg_rank('x', 'factor, horizon')} as rx, {q.avg_rank('y', 'factor, horizon')} as ry from p)"
+
+
+@query(q.with_(_DECAY, f"select factor, horizon, {q.near('corr(rx, ry)')} as ic from r group by all"))
 def e12_ic_decay(spark, d):
     w = wide(spark, d)
-    rows = ev.ic_decay(long(spark, d, w).where(F.col("factor") == FACTORS[0]), w, 5)
-    return rounded(rows, ic=6)
+    return rounded(ev.ic_decay(long(spark, d, w), w, 20), ic=6)
 
 
-@query()
+@query(q.with_(_DECAY + ", dc as (select factor, horizon, abs(corr(rx, ry)) as a from r group by all)", "select factor, min(case when dc.a < f.a / 2 then horizon end) as half_life from dc join (select factor, a from dc where horizon = 1) f using (factor) group by factor"))
 def e12_half_life(spark, d):
     w = wide(spark, d)
     return ev.half_life(ev.ic_decay(long(spark, d, w), w, 20))
@@ -347,6 +343,72 @@ def a6_monthly_ic(spark, d):
     return rows.select("factor", "ret", "month", *(near(str(y) if str(y) in rows.columns else F.lit(None).cast("double")).alias(f"y{y}") for y in range(1995, 2002)))
 
 
+_ALL = _SUM + """, e as (select date, factor, ret, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) as e from pairs group by all having count(*) >= 5), b as (select p.*, 1 + len(list_filter(e.e, lambda v: v <= p.x)) as bucket from pairs p join e on p.date = e.date and p.factor = e.factor and p.ret = e.ret), qr as (select date, factor, ret, bucket, avg(y) as mean_ret from b group by all),
+sp as (select date, factor, ret, avg(case when bucket = 5 then mean_ret end) - avg(case when bucket = 1 then mean_ret end) as spread from qr group by all),
+ss as (select factor, ret, avg(spread) as spread_mean, stddev_samp(spread) as spread_std from sp where spread is not null group by all),
+m as (select factor, ret, bucket, avg(mean_ret) as m from qr group by all), t as (select a.factor, a.ret, avg(sign(b.m - a.m)) as tau from m a join m b on a.factor = b.factor and a.ret = b.ret and a.bucket < b.bucket group by all)"""
+
+
+@query(q.with_(_ALL, f"select s.factor, s.ret, n, {q.near('ic_mean')} as ic_mean, {q.near('ic_mean / ic_std')} as icir, {q.near('spread_mean')} as spread_mean, {q.near('spread_mean / spread_std * sqrt(252)')} as sharpe, {q.near('tau')} as tau from summary s left join ss on s.factor = ss.factor and s.ret = ss.ret left join t on s.factor = t.factor and s.ret = t.ret"))
+def e9_full_analysis(spark, d):
+    rows = ev.analyze(pairs(spark, d), least=LEAST, p=False)
+    return rounded(rows.select("factor", "ret", "n", "ic_mean", "icir", "spread_mean", "sharpe", "tau"), ic_mean=6, icir=6, spread_mean=6, sharpe=6, tau=6)
+
+
+@query(q.with_(_ALL, f"select factor, ret, {q.near('ic_mean / ic_std')} as icir, cast(ic_mean / ic_std > 0.05 as boolean) as above from summary"))
+def e13_evaluate_all(spark, d):
+    rows = ev.qualified(ev.analyze(pairs(spark, d), least=LEAST).withColumn("p_value", F.lit(0.0)), 0.05, 0.05)
+    return rounded(rows.select("factor", "ret", "icir", F.col("qualified").alias("above")), icir=6)
+
+
+@query()
+def e13_qualified(spark, d):
+    rows = ev.qualified(ev.analyze(pairs(spark, d), least=LEAST))
+    return rounded(rows.select("factor", "ret", "icir", "p_value", "qualified"), icir=6, p_value=6)
+
+
+@query(
+    q.with_(
+        IC + ", hv as (select factor, avg(case when year(date) < 1996 then ic end) as a, avg(case when year(date) >= 1996 then ic end) as b from ic where ret = 'r5' group by 1)",
+        f"select factor, 2::bigint as versions, {q.near('b')} as ic_mean from hv where factor <> 'vol_20d' and a is not null",
+    )
+)
+def e17_factor_library(spark, d):
+    """Adds every factor by its IC up to 1995, updates with the IC since, removes one, and reports the active ones."""
+    rows = ic(spark, d).where("ret = 'r5'")
+    quality = lambda part: part.groupBy("factor").agg(F.avg("ic").alias("ic_mean"), (F.avg("ic") / F.stddev_samp("ic")).alias("icir"))
+    history = spark.createDataFrame([], "factor string, version int, status string, ic_mean double, icir double")
+    history = ev.library_add(history, quality(rows.where(F.year("date") < 1996)).withColumn("passed", F.lit(True)), 1)
+    history = ev.library_update(history, quality(rows.where(F.year("date") >= 1996)), 2)
+    history = ev.library_remove(history, spark.createDataFrame([("vol_20d",)], "factor string"), 3)
+    return rounded(ev.library_report(history), ic_mean=6).select("factor", "versions", "ic_mean")
+
+
+@query(q.with_(WIDE + f", k as (select date, roc_5d as x, r5 as y from wide where roc_5d is not null and r5 is not null), r as (select date, {q.avg_rank('x', 'date')} as rx, {q.avg_rank('y', 'date')} as ry from k)", f"select date, {q.near('corr(rx, ry)')} as ic, count(*) as n from r group by 1 having count(*) >= 3 and stddev_pop(rx) > 0 and stddev_pop(ry) > 0"))
+def e19_prediction_ic(spark, d):
+    """Rank IC by date of a prediction (here the last five rows' return) with three names or more."""
+    rows = wide(spark, d).select("date", F.col("roc_5d").alias("x"), F.col("r5").alias("y")).where("x is not null and y is not null")
+    return rounded(ev.daily_ic(rows, "spearman", 3, ["date"]), ic=6)
+
+
+@query(q.with_(WIDE + ", g as (select quantile_cont(r5, [0.25, 0.5, 0.75]) as e from wide), dt as (select date, quantile_cont(r5, [0.25, 0.5, 0.75]) as e from wide group by 1)", "select w.date, w.ticker, case when r5 is not null then len(list_filter(dt.e, lambda v: v <= r5)) end::int as by_date, case when r5 is not null then len(list_filter(g.e, lambda v: v <= r5)) end::int as over_all from wide w left join dt on w.date = dt.date, g"))
+def t8_quantile_labels(spark, d):
+    rows = lab.quantile_labels(wide(spark, d).select("date", "ticker", "r5"), "r5", 4).withColumnRenamed("label", "by_date")
+    return lab.quantile_labels(rows, "r5", 4, per_date=False).select("date", "ticker", "by_date", F.col("label").alias("over_all"))
+
+
+@query(q.with_(f"{q.BARS}, fw as (select date, ticker, lead(close) over ({q.T}) / close - 1 as f1, lead(close, 5) over ({q.T}) / close - 1 as f5 from bars)", f"select date, ticker, {q.near('case when count(f1) over (partition by date) >= 10 then f1 - avg(f1) over (partition by date) else f1 end', 5)} as fwd_1, {q.near('case when count(f5) over (partition by date) >= 10 then f5 - avg(f5) over (partition by date) else f5 end', 5)} as fwd_5 from fw"))
+def t9_transformed_returns(spark, d):
+    rows = lab.forward_returns_with(src.bars(spark, d), (1, 5), "demeaned")
+    return rounded(rows.select("date", "ticker", "fwd_1", "fwd_5"), fwd_1=5, fwd_5=5)
+
+
+@query(q.with_(f"{q.BARS}, lb as (select cast(lead(close) over ({q.T}) / close - 1 > 0 as int) as label from bars)", f"select label, count(*) as n, {q.near('count(*) / sum(count(*)) over ()')} as share from lb group by 1"))
+def a4_label_counts(spark, d):
+    rows = src.bars(spark, d).withColumn("r", lab.forward_return(1)).withColumn("label", lab.binary_label("r"))
+    return rounded(lab.label_counts(rows, "label"), share=6)
+
+
 # ---- splits
 
 
@@ -379,6 +441,17 @@ def p3_leakage(spark, d):
     return splits.leakage(splits.single_split(src.bars(spark, d), 0.6, 0.2, purge=5, embargo=2), 5)
 
 
+@query(
+    q.with_(
+        f"{q.BARS}, dd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from bars)), s as (select date, case when i <= floor(n * 0.7) - 10 then 'train' when i > floor(n * 0.7) and i <= floor(n * 0.85) - 10 then 'valid' when i > floor(n * 0.85) then 'test' end as split from dd)",
+        "select split, count(*) as n, min(date) as first_date, max(date) as last_date from bars join s using (date) where split is not null group by 1",
+    )
+)
+def p4_split_by_position(spark, d):
+    rows = splits.by_position(src.bars(spark, d), purge=10)
+    return rows.where("split is not null").groupBy("split").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 # ---- selection
 
 
@@ -403,6 +476,13 @@ def k3_correlation_filter(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+@query()
+def k4_importances(spark, d):
+    """Features by the sum of their normalized forest importances for the next row's and the next five rows' return."""
+    found = selection.importances(wide(spark, d), FACTORS, ["r1", "r5"], len(FACTORS))
+    return rounded(spark.createDataFrame(found, "feature string, importance double"), importance=6)
+
+
 _TRAIN = WIDE + ", dd as (select date, row_number() over (order by date) <= floor(count(*) over () * 0.8) as train from (select distinct date from wide)), st as (select " + ", ".join(f"quantile_cont({f}, 0.25) as a_{f}, quantile_cont({f}, 0.5) as m_{f}, quantile_cont({f}, 0.75) as b_{f}" for f in FACTORS) + " from wide join dd using (date) where train)"
 
 
@@ -431,3 +511,45 @@ def d3_ic_drift(spark, d):
 def d5_ic_tests(spark, d):
     rows = drift.with_split(ic(spark, d)).where("split in ('train', 'test')").withColumn("later", F.col("split") == "test")
     return drift.compare_series(rows.withColumnRenamed("ic", "x"), ["factor", "ret"])
+
+
+_PARTS = "(select date, case when i <= floor(n * 0.6) then 'train' when i <= floor(n * 0.8) then 'valid' else 'test' end as split from (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from {0})))"
+_CHANGE = "abs(avg(case when split = 'valid' then {0} end) - avg(case when split = 'test' then {0} end)) / nullif(abs(avg(case when split = 'train' then {0} end)), 0)"
+
+
+@query(
+    q.with_(
+        LONG + ", ls as (select l.*, split from long l join " + _PARTS.format("long") + """ using (date) where value is not null), ed as (select factor, list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as e from ls where split = 'train' group by 1),
+bn as (select ls.factor, 1 + len(list_filter(e, lambda v: v < value)) as bin, split from ls join ed using (factor))"""
+        + "".join(f", c_{s} as (select factor, bin, count(*) filter (split = 'train') as a, count(*) filter (split = '{s}') as b from bn where split in ('train', '{s}') group by all), s_{s} as (select factor, (a + 1) / (sum(a) over w + count(*) over w) as p, (b + 1) / (sum(b) over w + count(*) over w) as q from c_{s} window w as (partition by factor)), r_{s} as (select factor, sum((q - p) * ln(q / p)) as psi from s_{s} group by 1)" for s in ("valid", "test")),
+        f"select v.factor, {q.near('v.psi', 5)} as psi_valid, {q.near('t.psi', 5)} as psi_test, greatest(v.psi, t.psi) > 0.2 as drifted from r_valid v join r_test t using (factor)",
+    )
+)
+def d2_feature_drift(spark, d):
+    rows = drift.with_split(long(spark, d))
+    return rounded(drift.feature_drift(rows), psi_valid=5, psi_test=5)
+
+
+@query(
+    q.with_(
+        _SPREAD + ", sd as (select * from sp where spread is not null), s as (select sd.*, split from sd join " + _PARTS.format("sd") + " using (date))",
+        "select factor, ret, " + ", ".join(f"""{q.near(f"avg(case when split = '{s}' then spread end)")} as {s}, {q.near(f"avg(case when split = '{s}' then cast(spread > 0 as int) end)")} as {s}_positive""" for s in ("train", "valid", "test")) + " from s group by all",
+    )
+)
+def d4_spread_drift(spark, d):
+    rows = drift.with_split(ev.spread(quantiles(spark, d), 5))
+    out = drift.compare_means(rows, "spread", ["factor", "ret"], 0.5)
+    names = [c for s in ("train", "valid", "test") for c in (s, f"{s}_positive")]
+    return rounded(out, **{c: 6 for c in names}).select("factor", "ret", *names)
+
+
+@query(
+    q.with_(
+        IC + _SPREAD[len(PAIRS):] + ", sd as (select * from sp where spread is not null), si as (select factor, ret, " + _CHANGE.format("ic") + " as c from ic join " + _PARTS.format("ic") + " using (date) group by all), ss as (select factor, ret, " + _CHANGE.format("spread") + " as c from sd join " + _PARTS.format("sd") + " using (date) group by all)",
+        f"select factor, ret, {q.near('si.c', 4)} as ic_change, {q.near('ss.c', 4)} as spread_change, not (coalesce(si.c > 0.5, false) or coalesce(ss.c > 0.5, false)) as passed from si full join ss using (factor, ret)",
+    )
+)
+def d6_drift_report(spark, d):
+    p = pairs(spark, d)
+    rows = drift.drift_report(ev.daily_ic(p, least=LEAST), ev.spread(ev.quantile_returns(p, 5), 5))
+    return rounded(rows, ic_change=4, spread_change=4).select("factor", "ret", "ic_change", "spread_change", "passed")

@@ -138,7 +138,7 @@ def c11_clean_factors(spark, d):
 # ---- filters
 
 _FLAGGED = f"""{q.PANEL}, lim as (
-  select *, abs(close / lag(close) over ({q.T}) - 1) >= case when st_flag = 1 then 0.048
+  select *, abs(close / lag(close) over ({q.T}) - 1) > case when st_flag = 1 then 0.048
     when (cast(ticker as varchar) like '300%' or cast(ticker as varchar) like '688%') then 0.198 else 5.0 end as hit from panel),
 flagged as (select *, case when st_flag = 1 then 'st' when volume = 0 and amount = 0 then 'suspended' when coalesce(hit, false) then 'limit_move'
   when date_diff('day', list_date, date) < 60 then 'listing_age' when volume < 10 then 'volume' when close < 1000 then 'price'
@@ -295,11 +295,24 @@ def a1_column_quality(spark, d):
 
 @query(
     q.with_(
-        f"{q.BARS}, g as (select date, date_diff('day', lag(date) over (order by date), date) as gap from (select distinct date from bars))",
-        "select 0::bigint as duplicate_keys, (select max(gap) from g)::int as largest_gap, 'PASS' as status",
+        f"""{q.BARS}, planted as (select date, ticker from bars union all select date, ticker from bars where ticker % 7 = 0),
+k as (select sum(n - 1)::bigint as duplicate_keys from (select count(*) as n from planted group by date, ticker)),
+g as (select max(gap)::int as largest_gap from (select date_diff('day', lag(date) over (order by date), date) as gap from (select distinct date from planted)))""",
+        "select duplicate_keys, largest_gap, case when duplicate_keys > 0 or largest_gap > 15 then 'WARNING' else 'PASS' end as status from k, g",
     )
 )
 def a1_panel_quality(spark, d):
+    bars = src.bars(spark, d)
+    return quality.panel_quality(bars.unionByName(bars.where("ticker % 7 = 0")))
+
+
+@query(
+    q.with_(
+        f"{q.BARS}, g as (select date, date_diff('day', lag(date) over (order by date), date) as gap from (select distinct date from bars)), k as (select count(*) as n from bars group by date, ticker)",
+        "select (select sum(n - 1)::bigint from k) as duplicate_keys, (select max(gap)::int from g) as largest_gap, case when (select sum(n - 1) from k) > 0 or (select max(gap) from g) > 15 then 'WARNING' else 'PASS' end as status",
+    )
+)
+def a1_panel_quality_of_bars(spark, d):
     return quality.panel_quality(src.bars(spark, d))
 
 

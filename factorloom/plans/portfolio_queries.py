@@ -166,9 +166,20 @@ def g1_pca_states(spark, d):
     return rows
 
 
-def _clusters(spark, d):
+def _states(spark, d):
     states, _ = rg.pca_states(rg.phases(wide(spark, d)), FACTORS)
-    return rg.clusters(states, [c for c in states.columns if c.startswith("PC")], (4, 5))
+    return states, [c for c in states.columns if c.startswith("PC")]
+
+
+def _clusters(spark, d, ks=(4, 5, 6)):
+    return rg.clusters(*_states(spark, d), ks)
+
+
+def _selected(spark, d, rows):
+    """Clusters chosen over all k; returns are measured against their deviation over all rows."""
+    stats = rg.cluster_returns(rows, "r1")
+    deviation = wide(spark, d).agg(F.stddev_samp("r1")).first()[0] or 0.0
+    return rg.select_clusters(rg.rank_clusters(stats, rg.validate_clusters(stats, deviation)))
 
 
 @query()
@@ -183,21 +194,20 @@ def g3_cluster_quality(spark, d):
 
 @query()
 def g4_g5_g7_cluster_selection(spark, d):
-    rows, _ = _clusters(spark, d)
-    stats = rg.cluster_returns(rows, "r1")
-    ranked = rg.rank_clusters(stats, rg.validate_clusters(stats, 0.1))
-    return rounded(rg.select_clusters(ranked).select("k", "cluster", "global_rank", "validated", "mean_ret"), mean_ret=5)
+    return rounded(_selected(spark, d, _clusters(spark, d)[0]).select("k", "cluster", "global_rank", "validated", "mean_ret"), mean_ret=5)
 
 
 @query()
 def g6_best_component(spark, d):
-    states, _ = rg.pca_states(rg.phases(wide(spark, d)), FACTORS)
-    return rounded(rg.best_component(states, [c for c in states.columns if c.startswith("PC")], "r1"), ic=4)
+    return rounded(rg.strength_threshold(*_states(spark, d), "r1"), ic=4, threshold=3)
 
 
 @query()
 def g8_held_signal(spark, d):
-    return rg.held_signal(_signal(spark, d).select("date", "ticker", F.col("signal").alias("raw")), "raw")
+    states, components = _states(spark, d)
+    rows, _ = rg.clusters(states, components, (4, 5, 6))
+    raw = rg.regime_signal(rows, _selected(spark, d, rows), rg.strength_threshold(states, components, "r1"), components)
+    return rg.held_signal(raw, "raw")
 
 
 _PERF = _SIG + f""", h as (select *, coalesce(lag(signal) over ({q.T}), 0) as h from sig), f as (select *, abs(h - coalesce(lag(h) over ({q.T}), 0)) as flip from h),
@@ -250,9 +260,14 @@ def h4_ranking_power(spark, d):
     return rounded(rg.ranking_power(_signal(spark, d), "state"), mean_ret=6)
 
 
+@query()
+def h4_component_power(spark, d):
+    return rounded(rg.component_power(*_states(spark, d), "r1"), ic=4, mean_ret=5)
+
+
 @query()
 def h5_state_filter(spark, d):
-    return rounded(rg.state_filter(rg.cluster_returns(_clusters(spark, d)[0], "r1")), train_ret=5, test_ret=5)
+    return rounded(rg.state_filter(rg.cluster_returns(_clusters(spark, d, (3, 4, 5))[0], "r1")), train_ret=5, test_ret=5)
 
 
 _GRID = _SIG + """, nd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from sig)),

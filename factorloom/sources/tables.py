@@ -53,16 +53,40 @@ def write_export(bars: DataFrame, path: str) -> None:
     export_rows(bars).write.mode("overwrite").option("header", True).partitionBy("exchange", "symbol").csv(path)
 
 
+def write_panel(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """A panel or factor dataset, partitioned by the year of ``date``, as Parquet or CSV."""
+    writer = df.withColumn("year", F.year("date")).repartition("year").write.mode("overwrite").partitionBy("year")
+    writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+
+
+def write_evaluation(tables: dict[str, DataFrame], path: str) -> None:
+    """Evaluation tables: each as CSV under its name, and the one named ``summary`` as JSON too."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        if name == "summary":
+            df.write.mode("overwrite").json(f"{path}/{name}_json")
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """One row ``n_rows, hash``: the sum of row hashes, so the order of rows does not matter."""
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash"))
 
 
-def create_snapshot(df: DataFrame, root: str, snapshot_id: str, **about: str) -> DataFrame:
-    """Writes ``root/data/id`` as Parquet and ``root/meta/id`` as one JSON row; returns the metadata."""
+def create_snapshot(df: DataFrame, root: str, snapshot_id: str, filters: dict[str, str] | None = None, label: str | None = None, **about: str) -> DataFrame:
+    """Writes ``root/data/id`` as Parquet and ``root/meta/id`` as one JSON row; returns the metadata.
+
+    The metadata has the number of rows and the hash, ``filters`` (name to setting),
+    ``missing`` (share of nulls by column) and ``labels`` (rows by class of ``label``).
+    """
     df.write.parquet(f"{root}/data/{snapshot_id}")
     stored = df.sparkSession.read.parquet(f"{root}/data/{snapshot_id}")
-    meta = content_hash(stored).withColumns({"snapshot_id": F.lit(snapshot_id), **{k: F.lit(v) for k, v in about.items()}})
+    missing = stored.agg(F.to_json(F.struct(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in stored.columns))).alias("missing"))
+    meta = content_hash(stored).join(F.broadcast(missing), F.lit(True)).withColumn("filters", F.to_json(F.create_map(*(F.lit(x) for kv in (filters or {"": ""}).items() for x in kv))))
+    if label is not None:
+        pairs = stored.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("k")).agg(F.count("*").alias("v"))
+        counts = pairs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))).alias("labels"))
+        meta = meta.join(F.broadcast(counts), F.lit(True))
+    meta = meta.withColumns({"snapshot_id": F.lit(snapshot_id), **{k: F.lit(v) for k, v in about.items()}})
     meta.write.json(f"{root}/meta/{snapshot_id}")
     return df.sparkSession.read.json(f"{root}/meta/{snapshot_id}")
 

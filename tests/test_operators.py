@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,69 @@ def test_half_lives_up_to_twenty_periods(spark, monkeypatch):
 
     monkeypatch.setattr(eq.ev, "ic_decay", slow)
     assert [tuple(r) for r in eq.e12_half_life(spark, SF).collect()] == [("f", 20)]
+
+
+def test_limit_moves_beyond_the_limit_only(spark):
+    rows = [(1, 1, 100.0), (1, 2, 600.0), (2, 1, 100.0), (2, 2, 600.1), (3, 1, 100.0), (3, 2, 599.0)]
+    from factorloom.operators.filters import limit_move
+
+    df = spark.createDataFrame([(t, d, c, 0) for t, d, c in rows], "ticker int, date int, close double, st_flag int")
+    hits = {(r["ticker"], r["date"]): r["hit"] for r in df.withColumn("hit", limit_move(5.0)).collect()}
+    assert not hits[1, 2] and hits[2, 2] and not hits[3, 2] and hits[1, 1] is None
+
+
+def test_factor_library(spark):
+
+    history = spark.createDataFrame([], "factor string, version int, status string, ic_mean double, icir double")
+    cand = spark.createDataFrame([("a", 0.1, 1.0, True), ("b", -0.3, 0.5, True), ("c", 0.9, 2.0, False)], "factor string, ic_mean double, icir double, passed boolean")
+    one = ev.library_add(history, cand, 1)
+    assert ev.library_add(one, cand, 2).count() == 2  # neither is new
+    two = ev.library_update(one, cand.where("factor in ('a', 'c')").withColumn("ic_mean", F.lit(-0.5)), 2)
+    assert [(r["factor"], r["ic_mean"], r["versions"]) for r in ev.library_report(two).collect()] == [("a", -0.5, 2), ("b", -0.3, 1)]
+    gone = ev.library_remove(two, cand.select("factor"), 3)
+    assert ev.library_report(gone).count() == 0 and gone.count() == 5
+    assert ev.library_report(ev.library_add(gone, cand, 4)).count() == 2  # removed ones may come back
+
+
+def test_qualified_factors(spark):
+
+    rows = spark.createDataFrame([("a", "r", 0.6, 0.01), ("b", "r", 0.9, 0.2), ("c", "r", 0.7, 0.04), ("d", "r", None, None)], "factor string, ret string, icir double, p_value double")
+    assert [(r["factor"], r["qualified"]) for r in ev.qualified(rows).collect()] == [("b", False), ("c", True), ("a", True), ("d", False)]
+    assert [r["factor"] for r in ev.qualified(rows, top=1).collect()] == ["c"]
+
+
+def test_regime_signal(spark):
+
+    rows = [(1, 1, 4, 0, 2.0), (1, 1, 5, 3, 2.0), (2, 1, 4, 1, 2.0), (2, 1, 5, 1, 2.0), (3, 1, 4, 0, 0.5), (3, 1, 5, 3, 0.5)]
+    labelled = spark.createDataFrame(rows, "date int, ticker int, k int, cluster int, PC1 double")
+    selected = spark.createDataFrame([(5, 3)], "k int, cluster int")
+    best = spark.createDataFrame([("PC1", 0.1, 1, 1.0)], "component string, ic double, direction int, threshold double")
+    assert {r["date"]: r["raw"] for r in rg.regime_signal(labelled, selected, best, ["PC1"]).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_principal_components_against_numpy(spark):
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6)) @ rng.standard_normal((6, 6))
+    names = [f"f{k}" for k in range(6)]
+    df = spark.createDataFrame([(k, 1, "train" if k < 200 else "test", *map(float, r)) for k, r in enumerate(x)], "date int, ticker int, phase string, " + ", ".join(f"{n} double" for n in names))
+    states, shares = rg.pca_states(df, names)
+    z = (x - x[:200].mean(axis=0)) / x[:200].std(axis=0, ddof=1)
+    values, vectors = np.linalg.eigh(np.cov(z[:200].T))
+    assert np.allclose(shares, (values[::-1] / values.sum())[: len(shares)], atol=1e-8)
+    got = np.array([[r[f"PC{i + 1}"] for i in range(len(shares))] for r in states.orderBy("date").collect()])
+    assert np.allclose(np.abs(got), np.abs(z @ vectors[:, ::-1][:, : len(shares)]), atol=1e-6)
+
+
+def test_written_tables(spark, tmp_path):
+
+    df = spark.createDataFrame([("2020-01-01", 1, 2.0, 0), ("2021-01-01", 1, None, 1), ("2021-01-02", 2, 3.0, 1)], "date string, ticker int, x double, y int").withColumn("date", F.to_date("date"))
+    for form in ("parquet", "csv"):
+        tables.write_panel(df, f"{tmp_path}/{form}", form)
+        back = spark.read.option("header", True).csv(f"{tmp_path}/csv") if form == "csv" else spark.read.parquet(f"{tmp_path}/parquet")
+        assert back.count() == 3 and back.where("year = 2021").count() == 2
+    tables.write_evaluation({"summary": df.groupBy("y").count(), "buckets": df}, f"{tmp_path}/ev")
+    assert spark.read.json(f"{tmp_path}/ev/summary_json").count() == 2 and spark.read.option("header", True).csv(f"{tmp_path}/ev/buckets").count() == 3
+    meta = tables.create_snapshot(df, f"{tmp_path}/s", "ds_2021Q1_v1", filters={"min_price": "1"}, label="y").first()
+    assert '"min_price":"1"' in meta["filters"] and '"1":2' in meta["labels"] and '"x":0.33' in meta["missing"]
+    assert tables.load_snapshot(spark, f"{tmp_path}/s", "ds_2021Q1_v1").count() == 3
