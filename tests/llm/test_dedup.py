@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, with_edits
-from factorloom.llm.embedding_dedup import similar_vectors
+from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import drop_lines, line_dedup, within_edits
 from factorloom.llm.simhash_dedup import anchor_masks, bits_apart, keep_one_of_each, links_at_anchors, simhash_components
@@ -415,3 +415,61 @@ def test_similar_vectors_against_brute_force(spark):
     assert all(got[5000 + k]["n_links"] == 0 and got[5000 + k]["kept"] for k in range(len(odd)))
     assert got[6001]["component_id"] == 6000 and got[6001]["n_links"] == 1 and not got[6001]["kept"]
     assert similar_vectors(df.where("vec_id < 0")).count() == 0
+
+
+def planted(n, dim, rng, pairs, dense=0, noise=0.0):
+    """Random vectors, of which some have a partner at a cosine just above 0.95, and a dense group."""
+    x = rng.standard_normal((n, dim))
+    for k in range(pairs):
+        a = x[2 * k] / np.linalg.norm(x[2 * k])
+        b = rng.standard_normal(dim)
+        b -= (b @ a) * a
+        x[2 * k + 1] = a * 0.955 + b / np.linalg.norm(b) * (1 - 0.955**2) ** 0.5
+    if dense:
+        centre = rng.standard_normal(dim)
+        x[-dense:] = centre + noise * rng.standard_normal((dense, dim))
+    return x
+
+
+def links_by_hand(x):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return (unit @ unit.T >= 0.95).sum(axis=1) - 1
+
+
+@pytest.mark.parametrize("n", [3000, 12_000])
+def test_recall_of_planted_links(spark, n):
+    x = planted(n, 32, np.random.default_rng(n), 600)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in similar_vectors(df, leaf=64).collect()}
+    degrees = links_by_hand(x)
+    recall = sum(got.values()) / degrees.sum()
+    print("recall of planted links", n, recall)
+    assert recall >= 0.97 and all(got[k] <= degrees[k] for k in range(n))
+
+
+def test_dense_group_is_kept_together_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = planted(6000, 32, rng, 200, dense=2000, noise=0.17).astype(np.float32)
+    forest = Forest((x / np.linalg.norm(x, axis=1)[:, None]).astype(float), len(x), leaf=64, block=300)
+    row, code = forest.leaves(x[-2000:] / np.linalg.norm(x[-2000:], axis=1)[:, None])
+    assert len(forest.blocked) and len(row) / 2000 < 6 * len(forest.directions)
+    index, block, cell = forest.cells(code, np.arange(len(code)) % 2000)
+    sizes = np.unique(np.stack([code[index], cell]), axis=1, return_counts=True)[1]
+    assert sizes.max() < 1200
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = {r["vec_id"]: r for r in similar_vectors(df, leaf=64, block=300).collect()}
+    degrees = links_by_hand(x.astype(float))
+    found = sum(r["n_links"] for r in rows.values())
+    assert found >= 0.99 * degrees.sum() and all(rows[k]["n_links"] <= degrees[k] for k in range(len(x)))
+
+
+def test_extreme_magnitudes(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2e-200, -1e-200]), (4, [1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
+def test_copies_of_a_vector_by_number_of_vectors():
+    copies = {n: trees_for(depth_for(n)) * (1 + 0.127) ** depth_for(n) for n in (10**4, 10**6, 10**8)}
+    print("expected copies a vector", copies)
+    assert copies[10**4] < 12 and copies[10**8] < 100
