@@ -135,7 +135,7 @@ def lines_at(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["digest", "doc_id", "line", "text", "slots"])
 
-    return materialize(found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>"), "lines")
+    return found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>")
 
 
 def _same_ahead(a: str, i: int, b: str, j: int) -> int:
@@ -196,7 +196,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     slots = MembershipFilter(shared, "key", shared.count()).apply(keys, "key").join(shared, "key", "left_semi")
     slots = slots.groupBy("digest").agg(F.collect_set("slot").alias("slots"))
     wanted = slots.join(distinct.select("digest", "at"), "digest")
-    lines = lines_at(wanted, docs)
+    lines = materialize(lines_at(wanted, docs), "lines")
 
     def rows_of(held):
         sizes = [len(at) for _, at, *_ in held]
@@ -355,9 +355,9 @@ def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
 def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits.
 
-    Lines with a common gram meet in a join, at their least common gram only, and
-    are compared right behind it: what leaves a task is a line, never a pair.
-    Edits change few parities, so within the join most far lines are told apart by these.
+    Lines with a common gram meet in a join, without their texts and at their least
+    common gram only.  Edits change few parities, so within the join most far lines
+    are told apart by these, and few pairs come out of it to be compared.
     """
     grams = list_grams(docs, edit_chars, max_edits)
     code = F.xxhash64("digest")
@@ -367,19 +367,26 @@ def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edi
     wanted = may_share.apply(grams.select("key", "digest"), "key").join(shared, "key", "left_semi").select("digest").distinct()
     wanted = wanted.join(distinct.select("digest", "at"), "digest").withColumn("slots", F.array().cast("array<int>"))
     lines = materialize(line_keys(lines_at(wanted, docs), edit_chars, max_edits), "keyed-lines")
-    place, n = F.struct("doc_id", "line").alias("place"), F.char_length("text").alias("n")
-    rows = lines.select("digest", place, n, "text", "keys", "p0", "p1", "p2", F.explode("keys").alias("key"))
-    rows = may_share.apply(rows, "key")
-    left, right = rows.alias("l"), rows.alias("o")
-    bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "o.n") / edit_chars))
-    odd = [F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"o.p{k}"))) for k in range(3)]
+    # a line is known by its first place here; texts stay behind until few pairs are left
+    names = ["doc_id", "line", "n", "p0", "p1", "p2", "keys"]
+    rows = lines.select("doc_id", "line", F.char_length("text").alias("n"), "p0", "p1", "p2", "keys", F.explode("keys").alias("key"))
+    rows = may_share.apply(rows, "key").where(F.size("keys") > 0)
+    left, right = rows, rows.select("key", *(F.col(c).alias(f"o_{c}") for c in names))
+    bound = F.least(F.lit(max_edits), F.floor(F.least("n", "o_n") / edit_chars))
+    odd = [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(3)]
+    later = (F.col("doc_id") > F.col("o_doc_id")) | ((F.col("doc_id") == F.col("o_doc_id")) & (F.col("line") > F.col("o_line")))
     near = (
-        F.when((F.col("o.place") >= F.col("l.place")) | (bound < 2) | (F.abs(F.col("l.n") - F.col("o.n")) > bound), False)
+        F.when(~later | (bound < 2) | (F.abs(F.col("n") - F.col("o_n")) > bound), False)
         .when((odd[0] > 2 * bound) | (odd[1] + odd[2] > 4 * bound), False)
-        .otherwise(F.array_min(F.array_intersect("l.keys", "o.keys")) == F.col("l.key"))
+        .otherwise(F.array_min(F.array_intersect("keys", "o_keys")) == F.col("l.key"))
     )
-    pairs = left.join(right.hint("merge"), (F.col("l.key") == F.col("o.key")) & near)
-    return _verified(pairs.select("l.digest", "l.text", F.col("o.text").alias("o_text"), bound.cast("int").alias("bound")))
+    pairs = left.alias("l").join(right.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & near)
+    pairs = materialize(pairs.select("doc_id", "line", "o_doc_id", "o_line", bound.cast("int").alias("bound")), "gram-pairs")
+    texts = lines.select("doc_id", "line", "digest", "text")
+    texts = MembershipFilter(ends := pairs.select(F.explode(F.array("doc_id", "o_doc_id")).alias("doc_id")).distinct(), "doc_id", ends.count()).apply(texts, "doc_id")
+    others = texts.select(F.col("doc_id").alias("o_doc_id"), F.col("line").alias("o_line"), F.col("text").alias("o_text"))
+    pairs = pairs.join(texts, ["doc_id", "line"]).join(others, ["o_doc_id", "o_line"])
+    return _verified(pairs.select("digest", "text", "o_text", "bound"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
