@@ -38,7 +38,7 @@ EXACT_CHARS = 1  # the query drops exact repeats from this length on
 EDIT_CHARS = 32  # a pair may differ by an edit for so many characters of the shorter line, at least 1
 MAX_EDITS = 5  # but by no more than these
 SEGMENTS = 4
-BLOCK_CHARS = 500_000  # of lines that are hashed together
+BLOCK_CHARS = 125_000  # of lines that are hashed together
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -397,10 +397,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int
         place = F.struct("doc_id", "line")
         distinct = lines.groupBy("digest").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys"))
         distinct = materialize(distinct, "distinct")
-        near = near_lines(distinct, docs)
+        with scratch_scope(docs.sparkSession):
+            near = result(near_lines(distinct, docs), "near")
         if max_edits > 1:
-            near = near.unionByName(farther_lines(distinct, docs, edit_chars, max_edits)).distinct()
-        near = materialize(near, "near").withColumn("near", F.lit(True))
+            with scratch_scope(docs.sparkSession):
+                near = near.unionByName(result(farther_lines(distinct.drop("keys"), docs, edit_chars, max_edits), "farther")).distinct()
+        near = near.withColumn("near", F.lit(True))
         losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
         losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
         places = lines.select("doc_id", "line", "digest", F.xxhash64("digest").alias("h"))
