@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ EDIT_CHARS = 32  # a pair may differ by an edit for so many characters of the sh
 MAX_EDITS = 5  # but by no more than these
 SEGMENTS = 4
 BLOCK_CHARS = 125_000  # of lines that are hashed together
+SEEN_LINES = 50_000  # digests that a task remembers to list the grams of a repeated line once
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -121,19 +123,27 @@ def lines_at(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     found = MembershipFilter(wanted, "doc_id", wanted.count()).apply(docs, "doc_id").join(wanted, "doc_id")
 
+    def rows_of(rows):
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, ["digest", "doc_id", "line", "text", "slots"])
+
     def cut(batches):
         forget_words()
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for doc_id, value, items in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            for doc_id, value, items in zip(*(batch.column(c) for c in ("doc_id", "text", "wanted")), strict=True):
                 lines = value.as_py().split("\n")
-                for w in items:
+                for w in items.as_py():
                     text = lines[w["line"]] if w["line"] < len(lines) else ""
                     if hashlib.md5(text.encode("utf-8")).digest() == w["digest"]:  # else another text under the same doc_id
-                        rows.append((w["digest"], doc_id, w["line"], text, w["slots"]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["digest", "doc_id", "line", "text", "slots"])
+                        rows.append((w["digest"], doc_id.as_py(), w["line"], text, w["slots"]))
+                        size += len(text)
+                        if size > 4 * BLOCK_CHARS:
+                            yield rows_of(rows)
+                            rows, size = [], 0
+        if rows:
+            yield rows_of(rows)
 
     return found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>")
 
@@ -287,35 +297,40 @@ def line_grams(lines: list[str], edit_chars: int = EDIT_CHARS, max_edits: int =
 
 
 def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
-    """``key, at, n, doc_id, line, digest`` of the grams that lines of ``2 * edit_chars`` characters or more select."""
+    """``key, digest`` of the grams that lines of ``2 * edit_chars`` characters or more select.
 
-    def rows_of(ids, numbers, lines):
-        index, keys, at = line_grams(lines, edit_chars, max_edits)
-        take = pa.array(index)
-        digests = pa.array([hashlib.md5(x.encode("utf-8")).digest() for x in lines], pa.binary())
-        n = pa.array([len(x) for x in lines], pa.int32())
-        cols = [pa.array(keys), pa.array(at.astype(np.int32)), n.take(take), pa.array(ids, pa.int64()).take(take), pa.array(numbers, pa.int32()).take(take), digests.take(take)]
-        return pa.RecordBatch.from_arrays(cols, ["key", "at", "n", "doc_id", "line", "digest"])
+    A task leaves out lines that it has listed lately; any line is listed at least once.
+    """
+
+    def rows_of(digests, lines):
+        index, keys, _ = line_grams(lines, edit_chars, max_edits)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(digests, pa.binary()).take(pa.array(index))], ["key", "digest"])
 
     def run(batches):
         forget_words()
+        seen: set[bytes] = set()
+        digests, lines, size = [], [], 0
         for batch in batches:
-            ids, numbers, lines, size = [], [], [], 0
-            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for k, line in enumerate(value.as_py().split("\n")):
+            for value in batch.column("text"):
+                for line in value.as_py().split("\n"):
                     if len(line) < 2 * edit_chars:
                         continue
-                    ids.append(doc_id)
-                    numbers.append(k)
+                    digest = hashlib.md5(line.encode("utf-8")).digest()
+                    if digest in seen:
+                        continue
+                    if len(seen) >= SEEN_LINES:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest)
                     lines.append(line)
                     size += len(line)
                     if size > BLOCK_CHARS:
-                        yield rows_of(ids, numbers, lines)
-                        ids, numbers, lines, size = [], [], [], 0
-            if lines:
-                yield rows_of(ids, numbers, lines)
+                        yield rows_of(digests, lines)
+                        digests, lines, size = [], [], 0
+        if lines:
+            yield rows_of(digests, lines)
 
-    return docs.mapInArrow(run, "key long, at int, n int, doc_id long, line int, digest binary")
+    return docs.select("text").mapInArrow(run, "key long, digest binary")
 
 
 LETTERS, PAIRS = 64, 128  # classes of characters and of neighbouring characters
@@ -339,8 +354,12 @@ def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     def run(batches):
         forget_words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            if not batch.num_rows:
+                continue
+            sizes = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy())
+            cuts = np.append(np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1, batch.num_rows)
+            for lo, hi in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
                 texts = part.column("text").to_pylist()
                 index, codes, _ = line_grams(texts, edit_chars, max_edits)
                 pairs = np.unique(np.stack([index, codes], axis=1), axis=0)
