@@ -41,6 +41,8 @@ MAX_EDITS = 5  # but by no more than these
 SEGMENTS = 4
 BLOCK_CHARS = 125_000  # of lines that are hashed together
 SEEN_LINES = 50_000  # digests that a task remembers to list the grams of a repeated line once
+LISTED_GRAMS = 1_000_000  # hashes that a task sorts before it sends them, and that meet in one bucket, about
+GRAMS_A_LINE = 20
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -347,6 +349,59 @@ def parities(line: str) -> np.ndarray:
     return np.packbits((np.concatenate([ones, twos]) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def bucket_bits(n_lines: int) -> int:
+    """Leading bits of a hash that name its bucket: buckets of about ``LISTED_GRAMS`` hashes, 1,024 of them at least."""
+    return min(32, max(10, (n_lines * GRAMS_A_LINE // LISTED_GRAMS).bit_length()))
+
+
+def repeated_prefixes(grams: DataFrame, bits: int) -> DataFrame:
+    """``prefix`` (the leading ``bits + 32`` bits) of every key that is listed twice or more, and few others.
+
+    Keys are sent as sorted lists of 32 bits by bucket, so a key costs little more
+    than 4 bytes of shuffle; a task sends a key twice at most.
+    """
+
+    def lists_of(keys):
+        keys = np.sort(np.concatenate(keys).view(np.uint64) >> np.uint64(32 - bits))
+        keep = np.ones(len(keys), bool)
+        keep[2:] = keys[2:] != keys[:-2]
+        keys = keys[keep]
+        buckets, first = np.unique(keys >> np.uint64(32), return_index=True)
+        offsets = pa.array(np.append(first, len(keys)).astype(np.int32))
+        low = pa.array((keys & np.uint64((1 << 32) - 1)).astype(np.uint32).view(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.ListArray.from_arrays(offsets, low)], ["bucket", "low"])
+
+    def send(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column("key").to_numpy())
+            size += batch.num_rows
+            if size > LISTED_GRAMS:
+                yield lists_of(held)
+                held, size = [], 0
+        if size:
+            yield lists_of(held)
+
+    def repeated(bucket, lists):
+        low = np.sort(np.concatenate(lists).view(np.uint32)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array((np.array([bucket]) << 32) | np.unique(low[1:][low[1:] == low[:-1]]))], ["prefix"])
+
+    def receive(batches):
+        last, lists = None, []
+        for batch in batches:
+            for bucket, low in zip(batch.column("bucket").to_pylist(), batch.column("low"), strict=True):
+                if bucket != last:
+                    if lists:
+                        yield repeated(last, lists)
+                    last, lists = bucket, []
+                lists.append(low.values.to_numpy().copy())
+        if lists:
+            yield repeated(last, lists)
+
+    lists = grams.select("key").mapInArrow(send, "bucket long, low array<int>")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "prefix long")
+
+
 def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """``lines`` (``digest, doc_id, line, text``) with ``keys``, their different selected grams, and ``p0, p1, p2``, their parities."""
     names = ["digest", "doc_id", "line", "text"]
@@ -378,13 +433,18 @@ def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edi
     common gram only.  Edits change few parities, so within the join most far lines
     are told apart by these, and few pairs come out of it to be compared.
     """
-    grams = list_grams(docs, edit_chars, max_edits)
-    code = F.xxhash64("digest")
-    shared = grams.select("key", code.alias("code")).groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
+    # a line is known by a code of its digest here; keys that are listed once are left out before the exact count
+    grams = list_grams(docs, edit_chars, max_edits).select("key", F.xxhash64("digest").alias("code"))
+    bits = bucket_bits(distinct.count())
+    repeated = materialize(repeated_prefixes(list_grams(docs, edit_chars, max_edits), bits), "repeated-prefixes")
+    counted = grams.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
+    counted = MembershipFilter(repeated, "prefix", repeated.count()).apply(counted, "prefix")
+    shared = counted.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
     shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
     may_share = MembershipFilter(shared, "key", shared.count())
-    wanted = may_share.apply(grams.select("key", "digest"), "key").join(shared, "key", "left_semi").select("digest").distinct()
-    wanted = wanted.join(distinct.select("digest", "at"), "digest").withColumn("slots", F.array().cast("array<int>"))
+    wanted = may_share.apply(grams, "key").join(shared, "key", "left_semi").select("code").distinct()
+    wanted = distinct.select("digest", "at").withColumn("code", F.xxhash64("digest")).join(wanted, "code", "left_semi").drop("code")
+    wanted = wanted.withColumn("slots", F.array().cast("array<int>"))
     lines = materialize(line_keys(lines_at(wanted, docs), edit_chars, max_edits), "keyed-lines")
     # a line is known by its first place here; texts stay behind until few pairs are left
     names = ["doc_id", "line", "n", "p0", "p1", "p2", "keys"]

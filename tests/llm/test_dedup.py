@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
-from factorloom.llm.line_dedup import drop_lines, line_dedup, within_edits
+from factorloom.llm.line_dedup import bucket_bits, drop_lines, line_dedup, within_edits, repeated_prefixes
 from factorloom.llm.simhash_dedup import anchor_masks, bits_apart, keep_one_of_each, links_at_anchors, simhash_components
 from factorloom.llm.substring_dedup import remove_repeats, repeated_spans, strip_repeats
 from factorloom.llm.suffix_arrays import common_prefixes, suffix_array
@@ -305,6 +305,19 @@ def test_edit_bound_grows_with_the_line(spark):
     assert [r["n_removed"] for r in got] == expected and sum(expected) > 60
 
 
+def test_repeated_prefixes(spark):
+    rng = np.random.default_rng(5)
+    keys = np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 3000), [0, -1, (1 << 63) - 1, -(1 << 63)]])
+    keys = np.concatenate([keys, rng.choice(keys, 700), np.repeat(keys[:2], 500), keys[-4:]])
+    grams = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(5)
+    for bits in (10, 32):
+        prefixes, n = np.unique(keys.view(np.uint64) >> np.uint64(32 - bits), return_counts=True)
+        got = [r["prefix"] for r in repeated_prefixes(grams, bits).collect()]
+        assert sorted(got) == sorted(prefixes[n > 1].view(np.int64).tolist()) and len(got) >= 600
+    assert repeated_prefixes(grams.where("false"), 10).count() == 0
+    assert bucket_bits(0) == 10 and bucket_bits(10**12) == 25 and bucket_bits(10**18) == 32
+
+
 # ---- SimHash
 
 
