@@ -27,7 +27,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -338,15 +337,18 @@ def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
 LETTERS, PAIRS = 64, 128  # classes of characters and of neighbouring characters
 
 
-def parities(line: str) -> np.ndarray:
-    """Three longs: by bit, is the number of characters (first) or of neighbouring pairs (others) of its class odd?
+def parities(lines: list[str]) -> np.ndarray:
+    """Three longs a line: by bit, is the number of characters (first) or of neighbouring pairs (others) of its class odd?
 
     An edit changes the parity of 2 classes of characters and of 4 classes of pairs at most.
     """
-    c = _code_points([line]).astype(np.uint64)
-    ones = np.bincount((mix(c) % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS)
-    twos = np.bincount((mix((c[:-1] << np.uint64(32)) | c[1:]) % np.uint64(PAIRS)).astype(np.int64), minlength=PAIRS)
-    return np.packbits((np.concatenate([ones, twos]) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    c = _code_points(lines).astype(np.uint64)
+    of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    ones = of * LETTERS + (mix(c) % np.uint64(LETTERS)).astype(np.int64)
+    twos = of[1:] * PAIRS + (mix((c[:-1] << np.uint64(32)) | c[1:]) % np.uint64(PAIRS)).astype(np.int64)
+    twos = twos[of[1:] == of[:-1]]
+    counts = [np.bincount(x, minlength=len(lines) * k).reshape(-1, k) for x, k in ((ones, LETTERS), (twos, PAIRS))]
+    return np.packbits((np.concatenate(counts, axis=1) & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def bucket_bits(n_lines: int) -> int:
@@ -402,69 +404,82 @@ def repeated_prefixes(grams: DataFrame, bits: int) -> DataFrame:
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "prefix long")
 
 
-def line_keys(lines: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
-    """``lines`` (``digest, doc_id, line, text``) with ``keys``, their different selected grams, and ``p0, p1, p2``, their parities."""
-    names = ["digest", "doc_id", "line", "text"]
+def list_keyed(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
+    """Lines of ``2 * edit_chars`` characters or more without their texts: ``digest, doc_id, line, n`` (characters),
+    ``p0, p1, p2`` (parities) and ``keys``, their different selected grams."""
+
+    def rows_of(ids, numbers, lines):
+        index, codes, _ = line_grams(lines, edit_chars, max_edits)
+        order = np.lexsort((codes, index))
+        index, codes = index[order], codes[order]
+        new = np.append(True, (index[1:] != index[:-1]) | (codes[1:] != codes[:-1]))[: len(index)]
+        offsets = np.append(0, np.cumsum(np.bincount(index[new], minlength=len(lines)))).astype(np.int32)
+        odd = parities(lines)
+        digests = [hashlib.md5(x.encode("utf-8")).digest() for x in lines]
+        cols = [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array([len(x) for x in lines], pa.int32())]
+        cols += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[new]))], ["digest", "doc_id", "line", "n", "p0", "p1", "p2", "keys"])
 
     def run(batches):
         forget_words()
+        ids, numbers, lines, size = [], [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy())
-            cuts = np.append(np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1, batch.num_rows)
-            for lo, hi in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
-                part = batch.slice(lo, hi - lo)
-                texts = part.column("text").to_pylist()
-                index, codes, _ = line_grams(texts, edit_chars, max_edits)
-                pairs = np.unique(np.stack([index, codes], axis=1), axis=0)
-                offsets = np.append(0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(texts)))).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(pairs[:, 1])))
-                odd = np.stack([parities(t) for t in texts])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), keys, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(3))], [*names, "keys", "p0", "p1", "p2"])
-
-    return lines.mapInArrow(run, "digest binary, doc_id long, line int, text string, keys array<long>, p0 long, p1 long, p2 long")
-
-
-def farther_lines(distinct: DataFrame, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for k, line in enumerate(value.as_py().split("\n")):
+                    if len(line) < 2 * edit_chars:
+                        continue
+                    ids.append(doc_id)
+                    numbers.append(k)
+                    lines.append(line)
+                    size += len(line)
+                    if size > BLOCK_CHARS:
+                        yield rows_of(ids, numbers, lines)
+                        ids, numbers, lines, size = [], [], [], 0
+        if lines:
+            yield rows_of(ids, numbers, lines)
+
+    return docs.mapInArrow(run, "digest binary, doc_id long, line int, n int, p0 long, p1 long, p2 long, keys array<long>")
+
+
+def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits.
 
     Lines with a common gram meet in a join, without their texts and at their least
     common gram only.  Edits change few parities, so within the join most far lines
     are told apart by these, and few pairs come out of it to be compared.
+    ``n_lines``, the number of different lines, sets the size of buckets.
     """
-    # a line is known by a code of its digest here; keys that are listed once are left out before the exact count
-    grams = list_grams(docs, edit_chars, max_edits).select("key", F.xxhash64("digest").alias("code"))
-    bits = bucket_bits(distinct.count())
-    repeated = materialize(repeated_prefixes(list_grams(docs, edit_chars, max_edits), bits), "repeated-prefixes")
-    counted = grams.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
+    # keys that are listed once are left out before the exact count
+    grams = list_grams(docs, edit_chars, max_edits)
+    bits = bucket_bits(n_lines)
+    repeated = materialize(repeated_prefixes(grams, bits), "repeated-prefixes")
+    counted = grams.select("key", F.xxhash64("digest").alias("code"), F.shiftrightunsigned("key", 32 - bits).alias("prefix"))
     counted = MembershipFilter(repeated, "prefix", repeated.count()).apply(counted, "prefix")
     shared = counted.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
     shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
-    may_share = MembershipFilter(shared, "key", shared.count())
-    wanted = may_share.apply(grams, "key").join(shared, "key", "left_semi").select("code").distinct()
-    wanted = distinct.select("digest", "at").withColumn("code", F.xxhash64("digest")).join(wanted, "code", "left_semi").drop("code")
-    wanted = wanted.withColumn("slots", F.array().cast("array<int>"))
-    lines = materialize(line_keys(lines_at(wanted, docs), edit_chars, max_edits), "keyed-lines")
-    # a line is known by its first place here; texts stay behind until few pairs are left
-    names = ["doc_id", "line", "n", "p0", "p1", "p2", "keys"]
-    rows = lines.select("doc_id", "line", F.char_length("text").alias("n"), "p0", "p1", "p2", "keys", F.explode("keys").alias("key"))
-    rows = may_share.apply(rows, "key").where(F.size("keys") > 0)
-    left, right = rows, rows.select("key", *(F.col(c).alias(f"o_{c}") for c in names))
-    bound = F.least(F.lit(max_edits), F.floor(F.least("n", "o_n") / edit_chars))
-    odd = [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(3)]
-    later = (F.col("doc_id") > F.col("o_doc_id")) | ((F.col("doc_id") == F.col("o_doc_id")) & (F.col("line") > F.col("o_line")))
+    # repeats of a line are one row from here on; of its grams it keeps those that may be shared
+    names = ["n", "p0", "p1", "p2"]
+    rows = list_keyed(docs, edit_chars, max_edits).select("digest", F.struct("doc_id", "line").alias("at"), *names, F.explode("keys").alias("key"))
+    rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
+    lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
+    lines = materialize(lines, "keyed-lines")
+    rows = lines.select("at", *names, "keys", F.explode("keys").alias("key"))
+    rows = rows.select("at", *names, "key", F.filter("keys", lambda k: k < F.col("key")).alias("less"))
+    bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "r.n") / edit_chars))
+    odd = [F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(3)]
     near = (
-        F.when(~later | (bound < 2) | (F.abs(F.col("n") - F.col("o_n")) > bound), False)
+        F.when((F.col("l.at") <= F.col("r.at")) | (bound < 2) | (F.abs(F.col("l.n") - F.col("r.n")) > bound), False)
         .when((odd[0] > 2 * bound) | (odd[1] + odd[2] > 4 * bound), False)
-        .otherwise(F.array_min(F.array_intersect("keys", "o_keys")) == F.col("l.key"))
+        .otherwise(~F.arrays_overlap("l.less", "r.less"))
     )
-    pairs = left.alias("l").join(right.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & near)
-    pairs = materialize(pairs.select("doc_id", "line", "o_doc_id", "o_line", bound.cast("int").alias("bound")), "gram-pairs")
-    texts = lines.select("doc_id", "line", "digest", "text")
-    texts = MembershipFilter(ends := pairs.select(F.explode(F.array("doc_id", "o_doc_id")).alias("doc_id")).distinct(), "doc_id", ends.count()).apply(texts, "doc_id")
-    others = texts.select(F.col("doc_id").alias("o_doc_id"), F.col("line").alias("o_line"), F.col("text").alias("o_text"))
-    pairs = pairs.join(texts, ["doc_id", "line"]).join(others, ["o_doc_id", "o_line"])
+    # both sides are one shuffle: their columns are named apart behind it
+    pairs = rows.alias("l").join(rows.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & near)
+    pairs = materialize(pairs.select(F.col("l.at").alias("at"), F.col("r.at").alias("o_at"), bound.cast("int").alias("bound")), "gram-pairs")
+    ends = pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct()
+    wanted = lines.select("digest", "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
+    texts = materialize(lines_at(wanted, docs), "pair-lines").select("digest", F.struct("doc_id", "line").alias("at"), "text")
+    others = texts.select(F.col("at").alias("o_at"), F.col("text").alias("o_text"))
+    pairs = pairs.join(texts, "at").join(others, "o_at")
     return _verified(pairs.select("digest", "text", "o_text", "bound"))
 
 
@@ -480,7 +495,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int
             near = result(near_lines(distinct, docs), "near")
         if max_edits > 1:
             with scratch_scope(docs.sparkSession):
-                near = near.unionByName(result(farther_lines(distinct.drop("keys"), docs, edit_chars, max_edits), "farther")).distinct()
+                near = near.unionByName(result(farther_lines(distinct.count(), docs, edit_chars, max_edits), "farther")).distinct()
         near = near.withColumn("near", F.lit(True))
         losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
         losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
