@@ -305,6 +305,17 @@ def test_edit_bound_grows_with_the_line(spark):
     assert [r["n_removed"] for r in got] == expected and sum(expected) > 60
 
 
+def test_far_lines_of_odd_tables(spark):
+    schema = "doc_id long, text string, keys string, digest int"
+    assert line_dedup(spark.createDataFrame([], schema), exact_chars=1, max_edits=5).count() == 0
+    base = "".join(random.Random(3).choices("abcdefgh ", k=200))
+    near = base[:50] + "XY" + base[52:]
+    rows = [(1, None), (2, ""), (3, base), (3, base), (4, near + "\n" + "a" * 5000), (5, base + "\nshort"), (None, base)]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], schema)
+    got = line_dedup(docs, exact_chars=1, max_edits=5).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_removed"]) for r in got] == [(1, 0), (2, 0), (3, 0), (3, 0), (4, 1), (5, 1)]
+
+
 def test_repeated_prefixes(spark):
     rng = np.random.default_rng(5)
     keys = np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 3000), [0, -1, (1 << 63) - 1, -(1 << 63)]])
