@@ -39,7 +39,7 @@ EDIT_CHARS = 32  # a pair may differ by an edit for so many characters of the sh
 MAX_EDITS = 5  # but by no more than these
 SEGMENTS = 4
 BLOCK_CHARS = 125_000  # of lines that are hashed together
-SEEN_LINES = 50_000  # digests that a task remembers to list the grams of a repeated line once
+SEEN_LINES = 50_000  # digests that a task remembers, so that it lists a repeated line about once
 LISTED_GRAMS = 1_000_000  # hashes that a task sorts before it sends them, and that meet in one bucket, about
 GRAMS_A_LINE = 20
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
@@ -297,43 +297,6 @@ def line_grams(lines: list[str], edit_chars: int = EDIT_CHARS, max_edits: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def list_grams(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
-    """``key, digest`` of the grams that lines of ``2 * edit_chars`` characters or more select.
-
-    A task leaves out lines that it has listed lately; any line is listed at least once.
-    """
-
-    def rows_of(digests, lines):
-        index, keys, _ = line_grams(lines, edit_chars, max_edits)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(digests, pa.binary()).take(pa.array(index))], ["key", "digest"])
-
-    def run(batches):
-        forget_words()
-        seen: set[bytes] = set()
-        digests, lines, size = [], [], 0
-        for batch in batches:
-            for value in batch.column("text"):
-                for line in value.as_py().split("\n"):
-                    if len(line) < 2 * edit_chars:
-                        continue
-                    digest = hashlib.md5(line.encode("utf-8")).digest()
-                    if digest in seen:
-                        continue
-                    if len(seen) >= SEEN_LINES:
-                        seen.clear()
-                    seen.add(digest)
-                    digests.append(digest)
-                    lines.append(line)
-                    size += len(line)
-                    if size > BLOCK_CHARS:
-                        yield rows_of(digests, lines)
-                        digests, lines, size = [], [], 0
-        if lines:
-            yield rows_of(digests, lines)
-
-    return docs.select("text").mapInArrow(run, "key long, digest binary")
-
-
 LETTERS, PAIRS = 64, 128  # classes of characters and of neighbouring characters
 
 
@@ -406,37 +369,48 @@ def repeated_prefixes(grams: DataFrame, bits: int) -> DataFrame:
 
 def list_keyed(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """Lines of ``2 * edit_chars`` characters or more without their texts: ``digest, doc_id, line, n`` (characters),
-    ``p0, p1, p2`` (parities) and ``keys``, their different selected grams."""
+    ``p0, p1, p2`` (parities) and ``keys``, their different selected grams.
 
-    def rows_of(ids, numbers, lines):
+    A task leaves out a line that it has lately listed from an earlier place; every line is listed at its first place.
+    """
+
+    def rows_of(digests, ids, numbers, lines):
         index, codes, _ = line_grams(lines, edit_chars, max_edits)
         order = np.lexsort((codes, index))
         index, codes = index[order], codes[order]
         new = np.append(True, (index[1:] != index[:-1]) | (codes[1:] != codes[:-1]))[: len(index)]
         offsets = np.append(0, np.cumsum(np.bincount(index[new], minlength=len(lines)))).astype(np.int32)
         odd = parities(lines)
-        digests = [hashlib.md5(x.encode("utf-8")).digest() for x in lines]
         cols = [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array([len(x) for x in lines], pa.int32())]
         cols += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(3)]
         return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[new]))], ["digest", "doc_id", "line", "n", "p0", "p1", "p2", "keys"])
 
     def run(batches):
         forget_words()
-        ids, numbers, lines, size = [], [], [], 0
+        seen: dict[bytes, tuple[int, int]] = {}
+        digests, ids, numbers, lines, size = [], [], [], [], 0
         for batch in batches:
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for k, line in enumerate(value.as_py().split("\n")):
                     if len(line) < 2 * edit_chars:
                         continue
+                    digest = hashlib.md5(line.encode("utf-8")).digest()
+                    before = seen.get(digest)
+                    if before is not None and before <= (doc_id, k):
+                        continue
+                    if len(seen) >= SEEN_LINES:
+                        seen.clear()
+                    seen[digest] = (doc_id, k)
+                    digests.append(digest)
                     ids.append(doc_id)
                     numbers.append(k)
                     lines.append(line)
                     size += len(line)
                     if size > BLOCK_CHARS:
-                        yield rows_of(ids, numbers, lines)
-                        ids, numbers, lines, size = [], [], [], 0
+                        yield rows_of(digests, ids, numbers, lines)
+                        digests, ids, numbers, lines, size = [], [], [], [], 0
         if lines:
-            yield rows_of(ids, numbers, lines)
+            yield rows_of(digests, ids, numbers, lines)
 
     return docs.mapInArrow(run, "digest binary, doc_id long, line int, n int, p0 long, p1 long, p2 long, keys array<long>")
 
@@ -449,17 +423,18 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     are told apart by these, and few pairs come out of it to be compared.
     ``n_lines``, the number of different lines, sets the size of buckets.
     """
+    keyed = materialize(list_keyed(docs, edit_chars, max_edits), "keyed")
     # keys that are listed once are left out before the exact count
-    grams = list_grams(docs, edit_chars, max_edits)
     bits = bucket_bits(n_lines)
-    repeated = materialize(repeated_prefixes(grams, bits), "repeated-prefixes")
-    counted = grams.select("key", F.xxhash64("digest").alias("code"), F.shiftrightunsigned("key", 32 - bits).alias("prefix"))
+    repeated = materialize(repeated_prefixes(keyed.select(F.explode("keys").alias("key")), bits), "repeated-prefixes")
+    counted = keyed.select(F.xxhash64("digest").alias("code"), F.explode("keys").alias("key"))
+    counted = counted.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
     counted = MembershipFilter(repeated, "prefix", repeated.count()).apply(counted, "prefix")
     shared = counted.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
     shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
     # repeats of a line are one row from here on; of its grams it keeps those that may be shared
     names = ["n", "p0", "p1", "p2"]
-    rows = list_keyed(docs, edit_chars, max_edits).select("digest", F.struct("doc_id", "line").alias("at"), *names, F.explode("keys").alias("key"))
+    rows = keyed.select("digest", F.struct("doc_id", "line").alias("at"), *names, F.explode("keys").alias("key"))
     rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
     lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
     lines = materialize(lines, "keyed-lines")
