@@ -111,7 +111,12 @@ class MembershipFilter:
         bits = keys.where(F.col(key).isNotNull()).select(
             self._bucket(h).alias("__filter_bucket"), F.explode(F.array(*self._bits(h))).alias("__filter_bit")
         )
-        self.table = bits.groupBy("__filter_bucket").agg(F.bitmap_construct_agg("__filter_bit").alias("__filter_map"))
+        bitmaps = bits.groupBy("__filter_bucket").agg(F.bitmap_construct_agg("__filter_bit").alias("__bitmap"))
+        # words of 32 bits: a probe then reads one number instead of cutting the bitmap
+        at = F.sequence(F.lit(1), F.lit(FILTER_BITS // 8 - 3), F.lit(4))
+        words = F.transform(at, lambda k: F.conv(F.hex(F.substring("__bitmap", k, F.lit(4))), 16, 10).cast("long"))
+        words = F.transform(words, lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int"))
+        self.table = bitmaps.select("__filter_bucket", words.alias("__filter_map"))
 
     def _bucket(self, h):
         return F.pmod(h, F.lit(self.n))
@@ -124,8 +129,9 @@ class MembershipFilter:
         """Adds ``__maybe``: false only where the row's key is certainly not in the filter (or null)."""
 
         def has(pos):
-            byte = F.conv(F.hex(F.substring("__filter_map", F.shiftright(pos, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            return F.getbit(byte, (pos % 8).cast("int")) == 1
+            word = F.get("__filter_map", F.shiftright(pos, 5).cast("int"))
+            byte, bit = F.shiftright(pos, 3).bitwiseAND(F.lit(3)), pos.bitwiseAND(F.lit(7))  # the first byte of a word is its highest
+            return F.getbit(word, (24 - 8 * byte + bit).cast("int")) == 1
 
         h = F.xxhash64(F.col(key))
         out = df.withColumn("__filter_bucket", self._bucket(h)).join(F.broadcast(self.table), "__filter_bucket", "left")
