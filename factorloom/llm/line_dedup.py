@@ -423,21 +423,22 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     are told apart by these, and few pairs come out of it to be compared.
     ``n_lines``, the number of different lines, sets the size of buckets.
     """
-    keyed = materialize(list_keyed(docs, edit_chars, max_edits), "keyed")
-    # keys that are listed once are left out before the exact count
-    bits = bucket_bits(n_lines)
-    repeated = materialize(repeated_prefixes(keyed.select(F.explode("keys").alias("key")), bits), "repeated-prefixes")
-    counted = keyed.select(F.xxhash64("digest").alias("code"), F.explode("keys").alias("key"))
-    counted = counted.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
-    counted = MembershipFilter(repeated, "prefix", repeated.count()).apply(counted, "prefix")
-    shared = counted.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
-    shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
-    # repeats of a line are one row from here on; of its grams it keeps those that may be shared
     names = ["n", "p0", "p1", "p2"]
-    rows = keyed.select("digest", F.struct("doc_id", "line").alias("at"), *names, F.explode("keys").alias("key"))
-    rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
-    lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
-    lines = materialize(lines, "keyed-lines")
+    with scratch_scope(docs.sparkSession):  # the grams of all lines are removed before the pairs take room
+        keyed = materialize(list_keyed(docs, edit_chars, max_edits), "keyed")
+        # keys that are listed once are left out before the exact count
+        bits = bucket_bits(n_lines)
+        repeated = materialize(repeated_prefixes(keyed.select(F.explode("keys").alias("key")), bits), "repeated-prefixes")
+        counted = keyed.select(F.xxhash64("digest").alias("code"), F.explode("keys").alias("key"))
+        counted = counted.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
+        counted = MembershipFilter(repeated, "prefix", repeated.count()).apply(counted, "prefix")
+        shared = counted.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b"))
+        shared = materialize(shared.where("a <> b").select("key"), "shared-grams")
+        # repeats of a line are one row from here on; of its grams it keeps those that may be shared
+        rows = keyed.select("digest", F.struct("doc_id", "line").alias("at"), *names, F.explode("keys").alias("key"))
+        rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
+        lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
+        lines = result(lines, "keyed-lines")
     rows = lines.select("at", *names, "keys", F.explode("keys").alias("key"))
     rows = rows.select("at", *names, "key", F.filter("keys", lambda k: k < F.col("key")).alias("less"))
     bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "r.n") / edit_chars))
