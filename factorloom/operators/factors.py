@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.functions.windows import corr_of, kurt_of, rolling, skew_of, wt, wt_last
+from factorloom.operators.rules import exponential_means
 
 
 def _named(name: str):
@@ -185,21 +186,17 @@ def shifted(df: DataFrame, columns: list[str], by: int = 1) -> DataFrame:
     return df.withColumns({c: F.lag(c, by).over(wt()) for c in columns})
 
 
-def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """``date, ticker, macd, macd_signal, macd_hist`` by exponential means with adjusted weights.
-
-    The recursion needs a ticker's rows in order: one group a ticker, as long as its history.
-    """
+def with_macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """``panel`` with ``macd, macd_signal, macd_hist`` by exponential means with adjusted weights."""
+    df = exponential_means(panel, {"_fast": ("close", fast), "_slow": ("close", slow)})
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = exponential_means(df, {"macd_signal": ("macd", signal)})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("date", ignore_index=True)
-        line = pdf.close.ewm(span=fast).mean() - pdf.close.ewm(span=slow).mean()
-        sig = line.ewm(span=signal).mean()
-        return pdf[["date", "ticker"]].assign(macd=line, macd_signal=sig, macd_hist=line - sig)
 
-    kind = panel.schema["ticker"].dataType.simpleString()
-    schema = f"date date, ticker {kind}, macd double, macd_signal double, macd_hist double"
-    return panel.select("date", "ticker", "close").groupBy("ticker").applyInPandas(run, schema)
+def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """``date, ticker, macd, macd_signal, macd_hist``; see ``with_macd``."""
+    return with_macd(panel.select("date", "ticker", "close"), fast, slow, signal).drop("close")
 
 
 def window_summaries(panel: DataFrame, n: int = 10, columns=("close", "volume")) -> DataFrame:

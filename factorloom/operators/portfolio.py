@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.windows import rolling, wd, wt, wt_past
+from factorloom.operators import rules
 
 
 def top_scores(scores: DataFrame, k: int) -> DataFrame:
@@ -141,66 +140,57 @@ def ma_grid(panel: DataFrame, fast=range(3, 11), slow=(15, 20, 25, 30), days: in
     return daily.groupBy("fast", "slow").agg(sharpe.alias("sharpe"), F.avg("net").alias("mean_ret")).orderBy(F.desc("sharpe"), "fast", "slow")
 
 
-def _fold(panel: DataFrame, columns: list[str], step) -> DataFrame:
-    """Position of each row by a sequential rule per ticker: ``step(state, row)`` returns the state, of which the
-    first item is the position.  A group is one ticker's history."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        state, out = (0,), np.zeros(len(pdf), np.int32)
-        for k, row in enumerate(pdf[columns].to_numpy(float)):
-            state = step(state, row)
-            out[k] = state[0]
-        held = np.concatenate([[0], out[:-1]]) if len(out) else out
-        ret = pdf.close.pct_change().fillna(0.0).to_numpy() * held
-        return pdf[["date", "ticker"]].assign(position=out, ret=ret)
-
-    kind = panel.schema["ticker"].dataType.simpleString()
-    return panel.select("date", "ticker", "close", *(c for c in columns if c != "close")).groupBy("ticker").applyInPandas(
-        run, f"date date, ticker {kind}, position int, ret double"
-    )
-
-
-def bollinger_strategy(panel: DataFrame, n: int = 20, width: float = 2.0, stop: float = 0.05, target: float = 0.10) -> DataFrame:
-    """Enter above the upper or below the lower band; leave at the middle, a 5 % loss or a 10 % gain."""
-    mid, sd = rolling(F.avg, F.col("close"), n), rolling(F.stddev_samp, F.col("close"), n)
-    df = panel.withColumns({"mid": mid, "up": mid + width * sd, "low_band": mid - width * sd})
-
-    def step(state, row):
-        close, mid, up, low = row
-        if np.isnan(mid):
-            return (0,)
-        if state[0] == 0:
-            if close > up:
-                return (1, close, 1)
-            return (1, close, -1) if close < low else (0,)
-        _, entry, side = state
-        crossed = close <= mid if side > 0 else close >= mid
-        return (0,) if crossed or close <= entry * (1 - stop) or close >= entry * (1 + target) else state
-
-    return _fold(df, ["close", "mid", "up", "low_band"], step)
-
-
-def ma_atr_strategy(panel: DataFrame, fast: int = 5, slow: int = 20, atr: int = 14, layers: int = 3, stop: float = 2.0) -> DataFrame:
-    """Enter on a golden cross, add a layer an ATR gained, leave on a death cross or ``stop`` ATR below the last entry."""
-    from factorloom.operators.factors import true_range
+WARM_UP = 100  # rows that a ticker must have before a rule may act
+
+
+def _ready(n: int) -> Column:
+    return F.row_number().over(wt()) >= n
 
-    df = panel.withColumn("_tr", true_range())
-    df = df.withColumns({"f": rolling(F.avg, F.col("close"), fast), "s": rolling(F.avg, F.col("close"), slow), "atr": rolling(F.avg, F.col("_tr"), atr)})
-    df = df.withColumns({"f0": F.lag("f").over(wt()), "s0": F.lag("s").over(wt())})
 
-    def step(state, row):
-        close, f, s, f0, s0, a = row
-        if np.isnan([f, s, f0, s0, a]).any():
-            return (0,)
-        if state[0] == 0:
-            return (1, close) if f > s and f0 <= s0 else (0,)
-        n, entry = state
-        if (f < s and f0 >= s0) or close <= entry - stop * a:
-            return (0,)
-        return (n + 1, close) if n < layers and close >= entry + a else state
+def bollinger_strategy(panel: DataFrame, n: int = 20, width: float = 2.0, stop: float = 0.05, target: float = 0.10, warm_up: int = WARM_UP) -> DataFrame:
+    """Enter when the close crosses the upper band upwards or the lower one downwards; leave at or below the middle, a 5 % loss or a 10 % gain."""
+    mid, sd = rolling(F.avg, F.col("close"), n), rolling(F.stddev_pop, F.col("close"), n)
+    df = panel.withColumns({"mid": mid, "up": mid + width * sd, "low_band": mid - width * sd, "_ready": _ready(warm_up)})
+    before = {c: F.lag(c).over(wt()) for c in ("close", "up", "low_band")}
+    crossed = ((F.col("close") > F.col("up")) & (before["close"] <= before["up"])) | ((F.col("close") < F.col("low_band")) & (before["close"] >= before["low_band"]))
+    df = df.withColumns({"enters": F.coalesce(crossed & F.col("_ready"), F.lit(False)), "back": F.coalesce((F.col("close") <= F.col("mid")) & F.col("_ready"), F.lit(False))})
 
-    return _fold(df, ["close", "f", "s", "f0", "s0", "atr"], step)
+    def step(state: Column, row: Column) -> Column:
+        entry, close = state["entry"], row["close"]
+        leaves = row["back"] | (close <= entry * (1 - stop)) | (close >= entry * (1 + target))
+        return F.struct(F.when(entry == 0, F.when(row["enters"], close).otherwise(0.0)).when(leaves, 0.0).otherwise(entry).alias("entry"))
+
+    out = rules.fold(df, ["close", "enters", "back"], F.struct(F.lit(0.0).alias("entry")), step)
+    return rules.with_returns(out.withColumn("position", (F.col("state.entry") != 0).cast("int")))
+
+
+def ma_atr_strategy(
+    panel: DataFrame, fast: int = 5, slow: int = 20, atr: int = 14, layers: int = 3, stop: float = 2.0, add: float = 1.0, warm_up: int = WARM_UP
+) -> DataFrame:
+    """Enter on a golden cross; leave on a death cross or ``stop`` ATR below the first entry; while the fast mean is
+    above, add a layer (of ``layers``) at ``add`` ATR above the last one.  ``position`` counts layers."""
+    from factorloom.operators.factors import true_range
+
+    df = panel.withColumns({"_tr": true_range(), "_ready": _ready(warm_up)})
+    df = df.withColumns({"f": rolling(F.avg, F.col("close"), fast), "s": rolling(F.avg, F.col("close"), slow), "atr": rolling(F.avg, F.col("_tr"), atr)})
+    f0, s0 = F.lag("f").over(wt()), F.lag("s").over(wt())
+    signals = {"golden": (F.col("f") > F.col("s")) & (f0 <= s0), "death": (F.col("f") < F.col("s")) & (f0 >= s0), "up": F.col("f") > F.col("s")}
+    known = F.col("_ready") & F.col("atr").isNotNull()
+    df = df.withColumns({k: F.coalesce(c & known, F.lit(False)) for k, c in signals.items()} | {"atr": F.when(known, F.col("atr"))})
+
+    def step(state: Column, row: Column) -> Column:
+        n, entry, last, close, a = state["n"], state["entry"], state["last"], row["close"], row["atr"]
+        made = lambda k, e, x: F.struct(F.lit(k).cast("int").alias("n") if isinstance(k, int) else k.alias("n"), e.alias("entry"), x.alias("last"))
+        flat, zero = made(0, F.lit(0.0), F.lit(0.0)), n == 0
+        adds = row["up"] & (n < layers) & F.coalesce(close >= last + a * add, F.lit(False))
+        return (
+            F.when(zero & row["golden"], made(1, close, close)).when(zero | row["death"], flat).when(adds, made(n + 1, entry, close))
+            .when(F.coalesce(close <= entry - a * stop, F.lit(False)), flat).otherwise(state)
+        )
+
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("entry"), F.lit(0.0).alias("last"))
+    out = rules.fold(df, ["close", "golden", "death", "up", "atr"], begin, step)
+    return rules.with_returns(out.withColumn("position", F.col("state.n")))
 
 
 def stochastic(panel: DataFrame, n: int = 9, smooth: int = 3) -> DataFrame:
@@ -211,31 +201,36 @@ def stochastic(panel: DataFrame, n: int = 9, smooth: int = 3) -> DataFrame:
     return df.withColumn("d", rolling(F.avg, F.col("k"), smooth)).drop("_rsv")
 
 
-def macd_kd_strategy(panel: DataFrame, low: float = 20, high: float = 80) -> DataFrame:
-    """A dip of K below ``low`` arms a buy, done when MACD is above its signal; K above ``high`` arms the sale."""
-    from factorloom.operators.factors import macd
+def macd_kd_strategy(panel: DataFrame, low: float = 20, high: float = 80, warm_up: int = WARM_UP) -> DataFrame:
+    """K crossing ``low`` upwards buys if K and D made a golden cross in the zone below before and MACD is above zero;
+    K crossing ``high`` downwards sells if they made a death cross in the zone above and MACD is below zero.
 
-    df = stochastic(panel).join(macd(panel), ["date", "ticker"])
-
-    def step(state, row):
-        _, k, line, signal = row
-        position, armed = state if len(state) == 2 else (0, 0)
-        if np.isnan(k):
-            return (position, armed)
-        armed = 1 if k < low else -1 if k > high else armed
-        if position == 0 and armed == 1 and line > signal:
-            return (1, 0)
-        if position == 1 and armed == -1 and line < signal:
-            return (0, 0)
-        return (position, armed)
-
-    return _fold(df, ["close", "k", "macd", "macd_signal"], step)
+    A cross is forgotten once K is in the opposite zone, or at such a crossing of
+    K on MACD's right side.  No flag depends on the position, so flags and
+    position are the last event of their kind: windows, no fold.
+    """
+    from factorloom.operators.factors import with_macd
+
+    df = with_macd(stochastic(panel)).withColumn("_ready", _ready(warm_up))
+    k, d, dif = F.col("k"), F.col("d"), F.col("macd")
+    k0, d0 = F.lag("k").over(wt()), F.lag("d").over(wt())
+    marks = {
+        "_arm_buy": (k > d) & (k0 <= d0) & ((k <= low) | (d <= low)), "_arm_sell": (k < d) & (k0 >= d0) & ((k >= high) | (d >= high)),
+        "_up": (dif > 0) & (k > low) & (k0 <= low), "_down": (dif < 0) & (k < high) & (k0 >= high), "_over": k >= high, "_under": k <= low,
+    }
+    df = df.withColumns({name: F.coalesce(c & F.col("_ready"), F.lit(False)) for name, c in marks.items()})
+    armed = lambda arm, spent, away: F.last(F.when(F.col(spent) | F.col(away), 0).when(F.col(arm), 1), ignorenulls=True).over(wt_past())
+    df = df.withColumns({"_buy_flag": armed("_arm_buy", "_up", "_over"), "_sell_flag": armed("_arm_sell", "_down", "_under")})
+    was = lambda flag: F.coalesce(F.lag(flag).over(wt()), F.lit(0)) == 1
+    df = df.withColumns({"_buy": F.col("_up") & (F.col("_arm_buy") | was("_buy_flag")), "_sell": F.col("_down") & (F.col("_arm_sell") | was("_sell_flag"))})
+    position = F.coalesce(F.last(F.when(F.col("_buy"), 1).when(F.col("_sell"), 0), ignorenulls=True).over(wt_past()), F.lit(0))
+    return rules.with_returns(df.withColumn("position", position))
 
 
 def macd_crossover(panel: DataFrame) -> DataFrame:
-    from factorloom.operators.factors import macd
+    from factorloom.operators.factors import with_macd
 
-    return crossover(panel.join(macd(panel), ["date", "ticker"]), "macd", "macd_signal")
+    return crossover(with_macd(panel), "macd", "macd_signal")
 
 
 def cumulative(df: DataFrame) -> DataFrame:

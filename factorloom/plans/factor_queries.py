@@ -110,7 +110,7 @@ _boll = {
     "bb_width": f"4 * {_s} / {_m}",
 }
 _add("w23_bollinger", _family(op.bollinger), _boll)
-QUERIES["w24_macd"] = lambda spark, d: _near(op.macd(bars(spark, d)))
+_add("w24_macd", lambda spark, d: op.macd(bars(spark, d)), {c: c for c in ("macd", "macd_signal", "macd_hist")}, f"recursive {q.BARS}, {q.macd()}", "macd")
 _add(
     "w25_shifted_features", lambda spark, d: op.shifted(_family(op.roc)(spark, d), ["roc_5d", "roc_20d"]).select("date", "ticker", "roc_5d", "roc_20d"),
     {f"roc_{n}d": f"lag(roc_{n}d) over ({q.T})" for n in (5, 20)},

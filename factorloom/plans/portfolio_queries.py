@@ -125,18 +125,68 @@ def r9_ma_crossover(spark, d):
     return pf.ma_crossover(src.bars(spark, d)).select("ticker", "date", "signal", "position", near("ret").alias("ret"))
 
 
-@query()
+_HELD_RET = f"coalesce(lag(position) over ({q.T}), 0) * coalesce(close / lag(close) over ({q.T}) - 1, 0)"
+
+
+@query(
+    q.with_(
+        f"recursive {q.BARS}, {q.macd()}" + _CROSS[_CROSS.index(", ma as") :].replace(f"({q.roll('avg', 'close', 5)}) > ({q.roll('avg', 'close', 20)})", "macd > macd_signal").replace("from bars)", "from macd)"),
+        f"select ticker, date, signal, position, {q.near('ret')} as ret from rs",
+    )
+)
 def r10_macd_crossover(spark, d):
     return pf.macd_crossover(src.bars(spark, d)).select("ticker", "date", "signal", "position", near("ret").alias("ret"))
 
 
-def _strategy(fn):
-    return lambda spark, d: rounded(fn(src.bars(spark, d)), ret=6)
+_READY = "i >= 100"
+_BOLL = f"""recursive {q.BARS}, bb as (select *, row_number() over ({q.T}) as i, {q.roll('avg', 'close', 20)} as mid, 2 * {q.roll('stddev_pop', 'close', 20)} as sd from bars),
+bx as materialized (select *, coalesce({_READY} and (close > mid + sd and lag(close) over ({q.T}) <= lag(mid + sd) over ({q.T}) or close < mid - sd and lag(close) over ({q.T}) >= lag(mid - sd) over ({q.T})), false) as enters,
+  coalesce({_READY} and close <= mid, false) as back from bb),
+st as (select ticker, date, i, close, case when enters then close else 0.0 end as entry from bx where i = 1
+  union all select b.ticker, b.date, b.i, b.close, case when s.entry = 0 then case when b.enters then b.close else 0.0 end
+    when b.back or b.close <= s.entry * (1 - 0.05::double) or b.close >= s.entry * (1 + 0.1::double) then 0.0 else s.entry end
+  from st s join bx b on b.ticker = s.ticker and b.i = s.i + 1),
+ps as (select *, cast(entry <> 0 as int) as position from st)"""
+
+
+@query(q.with_(_BOLL, f"select ticker, date, position, {q.near(_HELD_RET)} as ret from ps"))
+def r11_bollinger_strategy(spark, d):
+    return rounded(pf.bollinger_strategy(src.bars(spark, d)), ret=6)
+
+
+_LAYERS = f"""recursive {q.BARS}, tr as (select *, row_number() over ({q.T}) as i, greatest(high - low, abs(high - lag(close) over ({q.T})), abs(low - lag(close) over ({q.T}))) as tr from bars),
+mm as (select *, {q.roll('avg', 'close', 5)} as f, {q.roll('avg', 'close', 20)} as s, {q.roll('avg', 'tr', 14)} as atr from tr),
+mx as materialized (select ticker, date, i, close, case when {_READY} then atr end as a, coalesce({_READY} and f > s and lag(f) over ({q.T}) <= lag(s) over ({q.T}), false) as golden,
+  coalesce({_READY} and f < s and lag(f) over ({q.T}) >= lag(s) over ({q.T}), false) as death, coalesce({_READY} and f > s, false) as up from mm),
+st as (select ticker, date, i, close, 0 as n, 0.0::double as entry, 0.0::double as last from mx where i = 1
+  union all select ticker, date, i, close, case e when 'enter' then 1 when 'out' then 0 when 'add' then n + 1 else n end, case e when 'enter' then close when 'out' then 0.0 else entry end,
+    case when e in ('enter', 'add') then close when e = 'out' then 0.0 else last end
+  from (select m.*, s.n, s.entry, s.last, case when s.n = 0 and golden then 'enter' when s.n = 0 or death then 'out' when up and s.n < 3 and coalesce(m.close >= s.last + m.a, false) then 'add'
+    when coalesce(m.close <= s.entry - 2 * m.a, false) then 'out' end as e from st s join mx m on m.ticker = s.ticker and m.i = s.i + 1)),
+ps as (select ticker, date, close, n as position from st)"""
+
+
+@query(q.with_(_LAYERS, f"select ticker, date, position, {q.near(_HELD_RET)} as ret from ps"))
+def r12_ma_atr_strategy(spark, d):
+    return rounded(pf.ma_atr_strategy(src.bars(spark, d)), ret=6)
+
+
+_LOW, _HIGH = q.roll("min", "low", 9), q.roll("max", "high", 9)
+_W = f"over ({q.T} rows between unbounded preceding and current row)"
+_KD = f"""recursive {q.BARS}, {q.macd()}, rv as (select ticker, date, (close - ({_LOW})) / nullif(({_HIGH}) - ({_LOW}), 0) * 100 as rsv from bars),
+kk as (select *, {q.roll('avg', 'rsv', 3)} as k from rv), kd as (select ticker, date, k, {q.roll('avg', 'k', 3)} as d from kk),
+kx as (select m.*, k, d, lag(k) over ({q.T}) as k0, lag(d) over ({q.T}) as d0 from macd m join kd using (ticker, date)),
+ev as (select *, coalesce({_READY} and k > d and k0 <= d0 and (k <= 20 or d <= 20), false) as arm_b, coalesce({_READY} and k < d and k0 >= d0 and (k >= 80 or d >= 80), false) as arm_s,
+  coalesce({_READY} and macd > 0 and k > 20 and k0 <= 20, false) as up, coalesce({_READY} and macd < 0 and k < 80 and k0 >= 80, false) as down,
+  coalesce({_READY} and k >= 80, false) as above, coalesce({_READY} and k <= 20, false) as below from kx),
+fl as (select *, last_value(case when up or above then 0 when arm_b then 1 end ignore nulls) {_W} as fb, last_value(case when down or below then 0 when arm_s then 1 end ignore nulls) {_W} as fs from ev),
+tr as (select *, up and (arm_b or coalesce(lag(fb) over ({q.T}), 0) = 1) as buy, down and (arm_s or coalesce(lag(fs) over ({q.T}), 0) = 1) as sell from fl),
+ps as (select ticker, date, close, coalesce(last_value(case when buy then 1 when sell then 0 end ignore nulls) {_W}, 0) as position from tr)"""
 
 
-QUERIES["r11_bollinger_strategy"] = _strategy(pf.bollinger_strategy)
-QUERIES["r12_ma_atr_strategy"] = _strategy(pf.ma_atr_strategy)
-QUERIES["r13_macd_kd_strategy"] = _strategy(pf.macd_kd_strategy)
+@query(q.with_(_KD, f"select ticker, date, position, {q.near(_HELD_RET)} as ret from ps"))
+def r13_macd_kd_strategy(spark, d):
+    return rounded(pf.macd_kd_strategy(src.bars(spark, d)), ret=6)
 
 
 @query()

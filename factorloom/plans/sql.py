@@ -50,6 +50,17 @@ def near(x: str, digits: int = 6) -> str:
     return f"round(({x}) + {0.31415926 * 10.0**-digits!r}, {digits}) + 0.0"
 
 
+def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> str:
+    """``macd`` with ``macd, macd_signal, macd_hist`` of ``bars``: the exponential means row after row (needs ``with recursive``)."""
+    bf, bs, bg = (repr(1 - 2 / (n + 1)) for n in (fast, slow, signal))
+    return f"""rn as materialized (select *, row_number() over ({T}) as i from bars),
+em as (select ticker, date, i, close, close as nf, 1.0::double as df, close as ns, 1.0::double as ds, 0.0::double as line, 0.0::double as sn, 1.0::double as sd from rn where i = 1
+  union all select ticker, date, i, close, nf, df, ns, ds, nf / df - ns / ds, nf / df - ns / ds + {bg} * sn, 1 + {bg} * sd from (
+    select r.ticker, r.date, r.i, r.close, r.close + {bf} * e.nf as nf, 1 + {bf} * e.df as df, r.close + {bs} * e.ns as ns, 1 + {bs} * e.ds as ds, e.sn, e.sd
+    from em e join rn r on r.ticker = e.ticker and r.i = e.i + 1)),
+macd as (select ticker, date, close, i, line as macd, sn / sd as macd_signal, line - sn / sd as macd_hist from em)"""
+
+
 def with_(ctes: str, body: str) -> str:
     return f"with {ctes}\n{body}"
 
