@@ -24,6 +24,7 @@ from factorloom.llm.common import materialize, result, scratch_scope
 
 MIN_CHARS, MIN_COUNT = 5, 3
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
+LONG_REST = 62  # lengths from here on share a bit
 WHOLE = 32  # code points of a node's name that are kept as they are; longer ones end in a digest
 
 
@@ -53,8 +54,11 @@ def _search_begin(side: str, length: Column) -> Column:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """``node, edges`` over ``words`` (``word, n``); an edge has ``label, child, word, n``, the last two where a word ends at the child.
+    """``node, edges`` over ``words`` (``word, n``); an edge has ``label, child, word, n, starts, rests``.
 
+    ``word`` and ``n`` are set where a word ends at the child; ``starts`` are the
+    code points that follow there, ``rests`` a bit for each length that may follow
+    (the last for all longer ones).
     A word's prefixes count from one shorter than where searches of words about
     its length begin.  Node names start with ``f`` for words as they are and ``r``
     for reversed ones.
@@ -67,23 +71,25 @@ def trie(words: DataFrame) -> DataFrame:
     at = both.select("*", begin.alias("begin"), F.explode(F.sequence(F.greatest(F.lit(1), begin - 1), length)).alias("pos"))
     at = at.withColumn("node", _name(F.col("side"), _left("text", F.col("pos"))))
     following = F.substr("text", F.col("pos") + 1, F.lit(1))  # empty where the word ends
+    left = F.expr(f"shiftleft(1L, least({LONG_REST}, length(text) - pos))")
     seen = at.groupBy("node").agg(
-        F.min(following).alias("a"), F.max(following).alias("b"), F.bool_or(F.col("pos") == F.col("begin")).alias("begins")
+        F.min(following).alias("a"), F.max(following).alias("b"), F.bool_or(F.col("pos") == F.col("begin")).alias("begins"),
+        F.array_join(F.collect_set(following), "").alias("starts"), F.bit_or(left).alias("rests"),
     )
-    nodes = seen.where("a <> b or a = '' or begins").select("node")
+    nodes = seen.where("a <> b or a = '' or begins").select("node", "starts", "rests")
     # the nodes on each word's path, and between each two of them an edge
     path = at.select("word", "n", "text", "pos", "node").join(nodes, "node").groupBy("word", "n", "text", F.substring("node", 1, 1).alias("side"))
-    path = path.agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("path"))
+    path = path.agg(F.sort_array(F.collect_list(F.struct("pos", "node", "starts", "rests"))).alias("path"))
     step = F.posexplode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("k", "to")
     edges = path.where(F.size("path") > 1).select("word", "n", "text", "path", step).withColumn("from", F.get("path", F.col("k")))
     ends = F.col("to.pos") == F.length("text")
     edges = edges.select(
         F.col("from.node").alias("node"), F.substr("text", F.col("from.pos") + 1, F.col("to.pos") - F.col("from.pos")).alias("label"), F.col("to.node").alias("child"),
-        F.when(ends, F.col("word")).alias("word"), F.when(ends, F.col("n")).alias("n"),
+        F.when(ends, F.col("word")).alias("word"), F.when(ends, F.col("n")).alias("n"), F.struct("to.starts", "to.rests").alias("below"),
     )
     # words that share an edge agree in all but its end, where one word alone can end
-    edges = edges.groupBy("node", "child").agg(F.min("label").alias("label"), F.min("word").alias("word"), F.min("n").alias("n"))
-    return edges.groupBy("node").agg(F.collect_list(F.struct("label", "child", "word", "n")).alias("edges"))
+    edges = edges.groupBy("node", "child").agg(F.min("label").alias("label"), F.min("word").alias("word"), F.min("n").alias("n"), F.min("below").alias("below"))
+    return edges.groupBy("node").agg(F.collect_list(F.struct("label", "child", "word", "n", "below.starts", "below.rests")).alias("edges"))
 
 
 def _begin(words: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def _begin(words: DataFrame) -> DataFrame:
 
 def _advance(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     """All states one edge further: the edge as it is, or with one edit that makes its label of one, two or no code points more or less."""
-    on = frontier.join(nodes.hint("merge"), "node").select("word", "text", "pos", "edits", F.inline("edges").alias("label", "child", "near", "near_n"))
+    on = frontier.join(nodes.hint("merge"), "node").select("word", "text", "pos", "edits", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
     size = F.length("label")
     rest = F.length("text") - F.col("pos")
     of = lambda k: F.substr("text", F.col("pos") + 1, k)
@@ -108,8 +114,12 @@ def _advance(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(same, F.struct(size.alias("k"), F.lit(0).alias("more"))),
         *(F.when(one(k), F.struct(k.alias("k"), F.lit(1).alias("more"))) for k in (size, size + 1, size - 1)),
     )
-    moved = on.select("word", "text", "pos", "edits", "child", "near", "near_n", F.inline(F.array_compact(moves)).alias("k", "more"))
-    return moved.select("word", "text", (F.col("pos") + F.col("k")).alias("pos"), F.col("child").alias("node"), (F.col("edits") + F.col("more")).alias("edits"), "near", "near_n")
+    moved = on.select("word", "text", "pos", "edits", "child", "near", "near_n", "starts", "rests", F.inline(F.array_compact(moves)).alias("k", "more"))
+    moved = moved.withColumns({"pos": F.col("pos") + F.col("k"), "edits": F.col("edits") + F.col("more")})
+    # once the edit is made the rest must follow as it is: its length and its next code point tell at once where it can't
+    rest = F.length("text") - F.col("pos")
+    fits = F.expr(f"getbit(rests, least({LONG_REST}, length(text) - pos)) = 1") & ((rest == 0) | F.contains("starts", F.substr("text", F.col("pos") + 1, F.lit(1))))
+    return moved.where((F.col("edits") == 0) | fits).select("word", "text", "pos", F.col("child").alias("node"), "edits", "near", "near_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
