@@ -54,8 +54,8 @@ def corr_of(x: str, y: str, over=None) -> Column:
 
 def average_rank(x: str, keys: list[str]) -> Column:
     """Rank of ``x`` within ``keys`` with ties averaged; the null rows of ``x`` should be filtered before."""
-    ranks, ties = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys, x)
-    return F.rank().over(ranks) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    w = Window.partitionBy(*keys).orderBy(x)
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2.0  # the count runs to the last equal value: one window for both
 
 
 def forward_filled(x: str) -> Column:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.tests import p_of_kendall, p_of_ks, p_of_t
 from factorloom.functions.windows import average_rank, corr_of
-from factorloom.operators.labels import forward_return, global_ranks
+from factorloom.operators.labels import forward_return
+from factorloom.operators.order import bounds_of, exact_quantiles, prefix_counts, rank_within, two_sample, with_piece, with_ranks
+from factorloom.sources.scratch import written
 
 KEYS = ["date", "factor", "ret"]
 
@@ -68,8 +70,10 @@ def equal_width_edges(x: str, q: int) -> Column:
 def with_buckets(pairs: DataFrame, q: int, method: str = "quantile", closed: str = "left", keys: list[str] = KEYS) -> DataFrame:
     """``pairs`` with ``bucket``; groups with fewer rows than buckets go."""
     edges = inner_edges("x", q) if method == "quantile" else equal_width_edges("x", q)
-    cuts = pairs.groupBy(*keys).agg(edges.alias("_e"), F.count("*").alias("_n")).where(F.col("_n") >= q)
-    return pairs.join(cuts, keys).withColumn("bucket", bucket_of("x", F.col("_e"), closed)).drop("_e", "_n")
+    cuts = pairs.groupBy(*keys).agg(edges.alias("_e"), F.count("*").alias("_n"), F.min("x").alias("_m")).where(F.col("_n") >= q)
+    if closed == "right":  # an edge that is the smallest value too adds no bucket
+        cuts = cuts.withColumn("_e", F.filter("_e", lambda e: e > F.col("_m")))
+    return pairs.join(cuts, keys).withColumn("bucket", bucket_of("x", F.col("_e"), closed)).drop("_e", "_n", "_m")
 
 
 def quantile_returns(pairs: DataFrame, q: int = 5, method: str = "quantile") -> DataFrame:
@@ -146,8 +150,8 @@ def psi(rows: DataFrame, keys: list[str], n_bins: int = 10, smooth: str = "floor
     shares become 1e-4 (``floor``), or every count gets one more (``add_one``).
     """
     rows = rows.where("x is not null")
-    edges = rows.where("not later").groupBy(*keys).agg(inner_edges("x", n_bins).alias("_e"))
-    binned = rows.join(edges, keys).withColumn("bin", bucket_of("x", F.col("_e"), "right"))
+    edges = exact_quantiles(rows.where("not later"), "x", keys, [k / n_bins for k in range(1, n_bins)], "_e")
+    binned = rows.join(F.broadcast(edges), keys).withColumn("bin", bucket_of("x", F.col("_e"), "right"))
     counts = binned.groupBy(*keys, "bin").agg(
         F.count(F.when(~F.col("later"), 1)).alias("a"), F.count(F.when(F.col("later"), 1)).alias("b"),
     )
@@ -162,14 +166,8 @@ def psi(rows: DataFrame, keys: list[str], n_bins: int = 10, smooth: str = "floor
 
 
 def ks(rows: DataFrame, keys: list[str], p: bool = True) -> DataFrame:
-    """``keys, ks, n1, n2``: largest distance of the two distributions, from counts by value in value order."""
-    counts = rows.where("x is not null").groupBy(*keys, "x").agg(
-        F.count(F.when(~F.col("later"), 1)).alias("a"), F.count(F.when(F.col("later"), 1)).alias("b")
-    )
-    past = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("a").over(past) / F.sum("a").over(all_) - F.sum("b").over(past) / F.sum("b").over(all_))
-    out = counts.withColumn("_d", gap).groupBy(*keys).agg(F.max("_d").alias("ks"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    """``keys, ks, n1, n2``: largest distance of the two distributions, from running counts by value in pieces of its range."""
+    out = two_sample(rows, keys).select(*keys, "ks", "n1", "n2")
     return out.withColumn("p_value", p_of_ks("ks", "n1", "n2")) if p else out
 
 
@@ -181,17 +179,31 @@ def by_date_share(rows: DataFrame, share: float = 0.8) -> DataFrame:
     return rows.join(F.broadcast(ranked), "date")
 
 
-def ic_decay(factors: DataFrame, prices: DataFrame, horizons: int = 20, price: str = "close") -> DataFrame:
-    """``factor, horizon, ic``: pooled rank correlation of the factor with the return over each horizon.
+def ic_decay(wide: DataFrame, factors: list[str], horizons: int = 20, price: str = "close") -> DataFrame:
+    """``factor, horizon, ic``: pooled rank correlation of each factor with the return over each horizon.
 
-    Ranks are taken in sorts that spill, a pair of factor and horizon a task.
+    ``wide`` has a row a date and ticker.  A factor and a horizon rank all complete
+    rows; both ranks come from pieces of the value's range, which are told once for
+    a row's factors and returns, before the row is repeated for each pair of them.
     """
-    rets = prices.select("date", "ticker", *(forward_return(h, price).alias(str(h)) for h in range(1, horizons + 1)))
-    long = rets.unpivot(["date", "ticker"], [str(h) for h in range(1, horizons + 1)], "horizon", "y").where("y is not null")
-    pairs = factors.where("value is not null").select("date", "ticker", "factor", F.col("value").alias("x")).join(long, ["date", "ticker"])
+    hs = range(1, horizons + 1)
+    rows = wide.select(*(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(factors)), *(forward_return(h, price).alias(f"y{h}") for h in hs))
+    rows = written(rows, "decay")
+    names = rows.columns
+    rows = rows.join(F.broadcast(rows.agg(*(bounds_of(c).alias(f"b_{c}") for c in names))), F.lit(True))
+    for c in names:
+        rows = with_piece(rows, c, f"b_{c}", f"p_{c}").drop(f"b_{c}")
+    cells = [
+        F.struct(F.lit(i).alias("factor"), F.lit(h).alias("horizon"), F.col(f"x{i}").alias("x"), F.col(f"y{h}").alias("y"), F.col(f"p_x{i}").alias("px"), F.col(f"p_y{h}").alias("py"))
+        for i in range(len(factors)) for h in hs
+    ]
     keys = ["factor", "horizon"]
-    ranked = pairs.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)})
-    return ranked.groupBy(*keys).agg(corr_of("rx", "ry").alias("ic")).withColumn("horizon", F.col("horizon").cast("int"))
+    pairs = rows.select(F.inline(F.array(*cells))).where("x is not null and y is not null")
+    met = pairs.groupBy(*keys, "px", "py").agg(F.count(F.lit(1)).alias("c"))  # the counts of both sides' pieces
+    for c in ("x", "y"):
+        pairs = rank_within(pairs, c, keys, prefix_counts(met, keys, f"p{c}", {"n": F.sum("c")}), f"r{c}", f"p{c}")
+    out = pairs.groupBy(*keys).agg(corr_of("rx", "ry").alias("ic"))
+    return out.select(F.element_at(F.array(*map(F.lit, factors)), F.col("factor") + 1).alias("factor"), "horizon", "ic")
 
 
 def half_life(decay: DataFrame) -> DataFrame:
@@ -201,40 +213,6 @@ def half_life(decay: DataFrame) -> DataFrame:
     return rows.groupBy("factor").agg(F.min(F.when(F.abs("ic") < F.col("_first") / 2, F.col("horizon"))).alias("half_life"))
 
 
-def screen(summary: DataFrame, tiers=(("strict", 0.02, 0.5, 0.05), ("exploratory", 0.005, 0.15, 0.10))) -> DataFrame:
-    """``factor, ret, tier, direction, fail_reasons`` by absolute IC, absolute ICIR and p; missing values pass."""
-    ic, icir, p = F.abs("ic_mean"), F.abs("icir"), F.col("p_value")
-
-    def fails(tier):
-        _, least_ic, least_icir, most_p = tier
-        tests = (("ic", ic < least_ic), ("icir", icir < least_icir), ("p", p > most_p))
-        return F.concat_ws(",", *(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in tests))
-
-    strict, loose = fails(tiers[0]), fails(tiers[1])
-    return summary.select(
-        "factor", "ret", "ic_mean", F.when(strict == "", tiers[0][0]).when(loose == "", tiers[1][0]).alias("tier"),
-        F.signum("ic_mean").cast("int").alias("direction"), loose.alias("fail_reasons"),
-    )
-
-
-def correlation_matrix(wide: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pooled Pearson correlations of all pairs, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
-        return {}
-    row = wide.agg(*(corr_of(a, b) for a, b in pairs)).first()
-    return dict(zip(pairs, row, strict=True))
-
-
-def decorrelate(wide: DataFrame, columns: list[str], most: float = 0.8) -> list[str]:
-    """Greedy in the given order: a factor is kept unless it correlates with one already kept."""
-    corr, kept = correlation_matrix(wide, columns), []
-    for c in columns:
-        if all(abs(corr[(k, c)] or 0.0) < most for k in kept):
-            kept.append(c)
-    return kept
-
-
 def combined(wide: DataFrame, columns: list[str], name: str = "combined") -> DataFrame:
     """Long frame of the row mean of the kept factors."""
     present = F.filter(F.array(*columns), lambda x: x.isNotNull())
@@ -294,11 +272,10 @@ def library_report(history: DataFrame) -> DataFrame:
 
 def prediction_metrics(df: DataFrame, y: str = "y_true", z: str = "y_pred") -> DataFrame:
     """MSE, MAE, RMSE, R2, IC and rank IC over all complete rows."""
-    rows = df.where(F.col(y).isNotNull() & F.col(z).isNotNull()).select(F.col(y).alias("y"), F.col(z).alias("z"))
-    ry = global_ranks(rows.select(F.col("y").alias("x"))).select(F.col("x").alias("y"), F.col("rank").alias("ry"))
-    rz = global_ranks(rows.select(F.col("z").alias("x"))).select(F.col("x").alias("z"), F.col("rank").alias("rz"))
+    rows = df.where(F.col(y).isNotNull() & F.col(z).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(z).cast("double").alias("z"))
+    rows = with_ranks(with_ranks(rows, "y", [], "ry"), "z", [], "rz")
     e = F.col("y") - F.col("z")
-    return rows.join(ry, "y").join(rz, "z").agg(
+    return rows.agg(
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.avg(e * e) / F.var_pop("y")).alias("r2"), corr_of("y", "z").alias("ic"), corr_of("ry", "rz").alias("rank_ic"), F.count("*").alias("n"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.tests import inverse_normal
 from factorloom.functions.windows import average_rank, wd, wt, wt_last
+from factorloom.operators.order import exact_quantiles, with_ranks
 
 
 def forward_return(n: int, price: str = "close", lag: int = 0, log: bool = False) -> Column:
@@ -57,8 +58,7 @@ def demeaned(df: DataFrame, r: str, keys=("date",), least: int = 10) -> DataFram
 def percent_rank(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
     """``rank_pct`` = average rank / n per date or over all rows.
 
-    Over all rows, equal values are counted first and the counts are summed over
-    ranges of values, so no task holds more than a range and its running total.
+    Over all rows, ranks come from pieces of the value's range: no task sorts all.
     """
     keys = ["date"] if keys is None else keys
     own = df.where(F.col(x).isNotNull())
@@ -66,30 +66,9 @@ def percent_rank(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFr
         n = F.count(x).over(Window.partitionBy(*keys))
         ranked = own.withColumn("rank_pct", average_rank(x, keys) / n)
         return ranked.unionByName(df.where(F.col(x).isNull()).withColumn("rank_pct", F.lit(None).cast("double")))
-    ranks = global_ranks(own.select(F.col(x).alias("x")))
-    total = own.agg(F.count("*").alias("_total"))
-    out = df.join(ranks.withColumnRenamed("x", x), x, "left").join(F.broadcast(total), F.lit(True))
-    return out.withColumn("rank_pct", F.col("rank") / F.col("_total")).drop("rank", "_total")
-
-
-def global_ranks(values: DataFrame, keys: list[str] | None = None, pieces: int = 64) -> DataFrame:
-    """``keys, x, rank``: average rank of every different value over all rows, without a one-task window.
-
-    Values are counted, dealt into ranges, summed by range and by value within a
-    range; only the range totals (``pieces`` rows a key) are summed in one window.
-    """
-    keys = keys or []
-    counts = values.groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx("x", [k / pieces for k in range(1, pieces)], 10_000).alias("_b"))
-    joined = counts.join(F.broadcast(bounds), keys) if keys else counts.join(F.broadcast(bounds), F.lit(True))
-    piece = F.size(F.filter("_b", lambda b: b < F.col("x")))
-    counts = joined.withColumn("_piece", piece).drop("_b")
-    totals = counts.groupBy(*keys, "_piece").agg(F.sum("n").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    within = Window.partitionBy(*keys, "_piece").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    out = counts.join(F.broadcast(totals), [*keys, "_piece"]).withColumn("_less", F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return out.select(*keys, "x", (F.col("_less") + (F.col("n") + 1) / 2.0).alias("rank"))
+    ranked = with_ranks(own, x, []).join(F.broadcast(own.agg(F.count("*").alias("_total"))), F.lit(True))
+    ranked = ranked.withColumn("rank_pct", F.col("rank") / F.col("_total")).drop("rank", "_total")
+    return ranked.unionByName(df.where(F.col(x).isNull()).withColumn("rank_pct", F.lit(None).cast("double")))
 
 
 def rank_labels(df: DataFrame, r: str, kind: str = "zscore", least: int = 30) -> DataFrame:
@@ -113,12 +92,22 @@ def grade_labels(df: DataFrame, r: str, grades: int = 5) -> DataFrame:
 
 
 def quantile_labels(df: DataFrame, r: str, q: int = 5, per_date: bool = True) -> DataFrame:
-    """``label`` from 0 to ``q - 1`` by inner quantiles of the date or of all rows (left-closed); null stays null."""
-    edges = F.percentile(r, [k / q for k in range(1, q)]).alias("_e")
-    cuts = df.groupBy("date").agg(edges) if per_date else df.agg(edges)
-    out = df.join(cuts, "date", "left") if per_date else df.join(F.broadcast(cuts), F.lit(True))
-    label = F.when(F.col(r).isNotNull(), F.size(F.filter("_e", lambda e: e <= F.col(r))))
-    return out.withColumn("label", label).drop("_e")
+    """``label`` from 0 by quantiles of the date or of all rows: the different edges below the value.
+
+    Intervals are closed on the right, equal edges count once, so there may be
+    fewer than ``q`` labels.  A date with fewer than ``q`` values has none, nor has
+    a group of one value only; null stays null.
+    """
+    shares = [k / q for k in range(q)]
+    if per_date:
+        cuts = df.groupBy("date").agg(F.percentile(r, shares).alias("_e"), F.max(r).alias("_m"), F.count(r).alias("_n")).where(F.col("_n") >= q)
+        out = df.join(cuts, "date", "left")
+    else:
+        cuts = exact_quantiles(df, r, [], shares, "_e").join(F.broadcast(df.agg(F.max(r).alias("_m"))), F.lit(True))
+        out = df.join(F.broadcast(cuts), F.lit(True), "left")
+    label = F.size(F.filter(F.array_distinct("_e"), lambda e: e < F.col(r))) - 1  # the first edge is the smallest value
+    label = F.when(F.col(r).isNotNull() & (F.col("_e")[0] < F.col("_m")), F.greatest(label, F.lit(0)))
+    return out.select(*df.columns, label.alias("label"))
 
 
 def forward_returns_with(panel: DataFrame, periods: tuple[int, ...] = (1, 5), transform: str = "none", index: DataFrame | None = None, price: str = "close") -> DataFrame:

@@ -90,8 +90,8 @@ def exact_quantiles(df: DataFrame, x: str, keys: list[str], shares: list[float],
 
 
 def two_sample(rows: DataFrame, keys: list[str], pieces: int = PIECES) -> DataFrame:
-    """``keys, n1, n2, ks, r1``: sizes of the sides (``later`` false and true), the largest distance of their distributions
-    in ``x``, and the sum of the first side's average ranks among both."""
+    """``keys, n1, n2, ks, r1, ties``: sizes of the sides (``later`` false and true), the largest distance of their distributions
+    in ``x``, and the sum of the first side's average ranks among both, and the sum of t ** 3 - t over values that occur t times."""
     counts = _bounded(rows.select(*keys, "x", "later"), "x", keys, pieces).groupBy(*keys, "_piece", "x").agg(
         F.count(F.when(~F.col("later"), 1)).alias("a"), F.count(F.when(F.col("later"), 1)).alias("b")
     )
@@ -103,4 +103,7 @@ def two_sample(rows: DataFrame, keys: list[str], pieces: int = PIECES) -> DataFr
     gap = F.abs(F.try_divide("_a", "n1") - F.try_divide("_b", "n2"))
     less = F.col("_a") + F.col("_b") - F.col("a") - F.col("b")
     rank = less + (F.col("a") + F.col("b") + 1) / 2.0
-    return run.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("ks"), F.sum(F.col("a") * rank).alias("r1"))
+    tied = (F.col("a") + F.col("b")).cast("double")
+    return run.groupBy(*keys).agg(
+        F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("ks"), F.sum(F.col("a") * rank).alias("r1"), F.sum(tied * tied * tied - tied).alias("ties")
+    )

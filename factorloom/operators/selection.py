@@ -7,7 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.operators.evaluation import correlation_matrix
+from factorloom.operators.screening import correlation_matrix
 from factorloom.operators.splits import numbered_dates
 
 

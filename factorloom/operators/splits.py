@@ -35,9 +35,10 @@ def walk_forward(df: DataFrame, folds: int, least_train: int, purge: int = 0, em
     return df.join(F.broadcast(out), "date")
 
 
-def leakage(df: DataFrame, horizon: int) -> DataFrame:
-    """One row ``shared_dates, gap_ok``: no date in two splits, and splits at least ``horizon`` dates apart."""
-    numbered = df.select("date", "split").where("split is not null").distinct().join(numbered_dates(df).select("date", "i"), "date")
+def leakage(df: DataFrame, horizon: int, dates: DataFrame | None = None) -> DataFrame:
+    """One row ``shared_dates, gap_ok``: no date in two splits, and splits more than ``horizon`` dates apart, by the numbers of ``dates`` (default: those of ``df``)."""
+    dates = numbered_dates(df) if dates is None else dates
+    numbered = df.select("date", "split").where("split is not null").distinct().join(dates.select("date", "i"), "date")
     shared = numbered.groupBy("date").agg(F.count("*").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("shared_dates"))
     bounds = numbered.groupBy("split").agg(F.min("i").alias("a"), F.max("i").alias("b"))
     before = F.lag("b").over(Window.orderBy("a"))

@@ -11,7 +11,9 @@ from factorloom.operators import evaluation as ev
 from factorloom.operators import factors as fac
 from factorloom.operators import labels as lab
 from factorloom.plans import sql as q
+from factorloom.operators.screening import correlation_matrix, correlations, screen
 from factorloom.sources import panel as src
+from factorloom.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -167,7 +169,7 @@ def e2_ic_summary(spark, d):
     return rounded(rows, ic_mean=6, ic_std=6, positive_ratio=6, icir=6, icir_annual=6, t_stat=6)
 
 
-@query()
+@query(q.with_(_SUM, f"select factor, ret, {q.near(q.p_t('(ic_mean / ic_std * sqrt(n))', '(n - 1)'))} as p_value from summary"))
 def e2_ic_p_values(spark, d):
     return rounded(ev.ic_summary(ic(spark, d)).select("factor", "ret", "p_value"), p_value=6)
 
@@ -213,7 +215,7 @@ def e6_monotonicity(spark, d):
     return rounded(ev.monotonicity(quantiles(spark, d), p=False), tau=6, ordered_ratio=6).select("factor", "ret", "tau", "ordered_ratio")
 
 
-@query()
+@query(q.with_(_EDGES + ", m as (select factor, ret, bucket, avg(mean_ret) as m from qr group by all), t as (select a.factor, a.ret, avg(sign(b.m - a.m)) as tau from m a join m b on a.factor = b.factor and a.ret = b.ret and a.bucket < b.bucket group by all)", f"select factor, ret, {q.near(q.p_kendall('tau'))} as p_value from t"))
 def e6_kendall_p(spark, d):
     return rounded(ev.monotonicity(quantiles(spark, d)).select("factor", "ret", "p_value"), p_value=6)
 
@@ -274,27 +276,70 @@ _DECAY = WIDE + ", hz as (" + " union all ".join(f"select date, ticker, {h} as h
 
 @query(q.with_(_DECAY, f"select factor, horizon, {q.near('corr(rx, ry)')} as ic from r group by all"))
 def e12_ic_decay(spark, d):
-    w = wide(spark, d)
-    return rounded(ev.ic_decay(long(spark, d, w), w, 20), ic=6)
+    return rounded(ev.ic_decay(wide(spark, d), FACTORS, 20), ic=6)
 
 
 @query(q.with_(_DECAY + ", dc as (select factor, horizon, abs(corr(rx, ry)) as a from r group by all)", "select factor, min(case when dc.a < f.a / 2 then horizon end) as half_life from dc join (select factor, a from dc where horizon = 1) f using (factor) group by factor"))
 def e12_half_life(spark, d):
-    w = wide(spark, d)
-    return ev.half_life(ev.ic_decay(long(spark, d, w), w, 20))
+    return ev.half_life(ev.ic_decay(wide(spark, d), FACTORS, 20))
+
+
+_CLEAN = _STD + f""", pairs as (select s.date, s.ticker, s.factor, 'r5' as ret, s.value as x, w.r5 as y from std s join wide w on s.date = w.date and s.ticker = w.ticker where s.value is not null and w.r5 is not null),
+ranked as (select *, {q.avg_rank('x', 'date, factor')} as rx, {q.avg_rank('y', 'date, factor')} as ry from pairs),
+ic as (select date, factor, corr(rx, ry) as ic from ranked group by all having count(*) >= {LEAST} and stddev_pop(rx) > 0 and stddev_pop(ry) > 0),
+sm as (select factor, avg(ic) as ic_mean, avg(ic) / stddev_samp(ic) as icir, count(ic) as n from ic group by 1),
+e as (select date, factor, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) as e from pairs group by all having count(*) >= 5),
+qr as (select p.date, p.factor, 1 + len(list_filter(e.e, lambda v: v <= p.x)) as bucket, avg(y) as mean_ret from pairs p join e on p.date = e.date and p.factor = e.factor group by all),
+sp as (select factor, avg(spread) as spread_mean from (select date, factor, avg(case when bucket = 5 then mean_ret end) - avg(mean_ret) as spread from qr group by all) where spread is not null group by 1),
+bm as (select factor, bucket, avg(mean_ret) as m from qr group by all), ta as (select a.factor, avg(sign(b.m - a.m)) as tau from bm a join bm b on a.factor = b.factor and a.bucket < b.bucket group by 1),
+dd as (select date, row_number() over (order by date) > floor(count(*) over () * 0.8) as later from (select distinct date from std)), lt as (select s.factor, value, later from std s join dd on s.date = dd.date where value is not null),
+ed as (select factor, list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as e from lt where not later group by 1),
+bn as (select lt.factor, 1 + len(list_filter(e, lambda v: v < value)) as bin, count(*) filter (not later) as a, count(*) filter (later) as b from lt join ed using (factor) group by all),
+sh as (select factor, greatest(a / sum(a) over (partition by factor), 1e-4) as p, greatest(b / sum(b) over (partition by factor), 1e-4) as s from bn), ps as (select factor, sum((s - p) * ln(s / p)) as psi from sh group by 1),
+cv as (select factor, value, count(*) filter (not later) as a, count(*) filter (later) as b from lt group by all),
+g as (select factor, abs(sum(a) over w / sum(a) over (partition by factor) - sum(b) over w / sum(b) over (partition by factor)) as dist, a, b from cv window w as (partition by factor order by value rows between unbounded preceding and current row)),
+kk as (select factor, max(dist) as ks, sum(a) as n1, sum(b) as n2 from g group by 1),
+al as (select sm.*, spread_mean, tau, psi, ks, {q.p_t('(icir * sqrt(sm.n))', '(sm.n - 1)')} as p, {q.p_kendall('tau')} as tau_p, {q.p_ks('ks', 'n1', 'n2')} as ks_p from sm left join sp using (factor) left join ta using (factor) left join ps using (factor) left join kk using (factor)),
+fl as (select *, abs(ic_mean) >= 0.02 and p < 0.05 as ic_s, abs(icir * sqrt(252)) >= 0.5 as ir_s, abs(ic_mean) >= 0.005 and p < 0.1 as ic_e, abs(icir * sqrt(252)) >= 0.15 as ir_e from al),
+ca as (select factor, coalesce(ic_s and ir_s or ic_e and ir_e, false) as ok from fl), co as (select abs(corr(roc_5d, vol_20d)) as c01, abs(corr(roc_5d, price_to_sma_10d)) as c02, abs(corr(vol_20d, price_to_sma_10d)) as c12 from wide),
+a0 as (select co.*, coalesce((select ok from ca where factor = 'roc_5d'), false) as k0 from co), a1 as (select *, case when k0 then c01 else 0 end as m1 from a0),
+a2 as (select *, m1 < 0.8 and coalesce((select ok from ca where factor = 'vol_20d'), false) as k1 from a1), a3 as (select *, greatest(case when k0 then c02 else 0 end, case when k1 then c12 else 0 end) as m2 from a2),
+mc as (select 'roc_5d' as factor, 0.0::double as mc union all select 'vol_20d', m1 from a3 union all select 'price_to_sma_10d', m2 from a3),
+vd as (select fl.*, mc, ic_s and ir_s and mc < 0.8 as strict, ic_e and ir_e and mc < 0.8 as explore from fl join mc using (factor))"""
 
 
-@query()
+@query(
+    q.with_(
+        _CLEAN,
+        f"""select factor, case when ic_mean >= 0 then 'positive' else 'negative' end as direction, {q.near('ic_mean')} as ic_mean, {q.near('icir * sqrt(252)', 5)} as icir_annual, {q.near('p')} as p_value, {q.near('spread_mean')} as spread_mean,
+  {q.near('tau')} as tau, {q.near('psi', 5)} as psi, {q.near('ks_p', 5)} as ks_p, {q.near('mc', 5)} as max_correlation, coalesce(spread_mean > 0, true) as pass_spread, case when tau is null then true else tau > 0 and tau_p < 0.05 end as pass_monotonic,
+  coalesce(psi < 0.25, false) as pass_psi, coalesce(ks_p > 0.05, false) as pass_ks, mc < 0.8 as pass_correlation, case when strict then 'strict' when explore then 'exploratory' end as tier,
+  case when explore then '' else concat_ws(',', case when not ic_e then 'ic' end, case when not ir_e then 'icir' end, case when mc >= 0.8 then 'correlation' end) end as fail_reasons, strict or explore as selected from vd""",
+    )
+)
 def e14_screen(spark, d):
-    return rounded(ev.screen(ev.ic_summary(ic(spark, d))), ic_mean=6)
+    w = written(wide(spark, d), "screened")
+    clean = xs.standardize(xs.winsorize(long(spark, d, w)))
+    own = written(clean.select("date", "ticker", "factor", "value"), "cleaned")
+    p = ev.paired(own, w.select("date", "ticker", F.lit("r5").alias("ret"), F.col("r5").alias("value")))
+    buckets = ev.quantile_returns(p, 5)
+    later = ev.by_date_share(own.withColumnRenamed("value", "x"))
+    quality = ev.ic_summary(ev.daily_ic(p, least=LEAST)).select("factor", "ic_mean", "icir_annual", "p_value")
+    for more in (
+        ev.spread_summary(ev.spread(buckets, 5, "top_minus_mean")).select("factor", "spread_mean"), ev.monotonicity(buckets).select("factor", "tau", F.col("p_value").alias("tau_p")),
+        ev.psi(later, ["factor"]), ev.ks(later, ["factor"]).select("factor", F.col("p_value").alias("ks_p")),
+    ):
+        quality = quality.join(more, "factor", "left")
+    out = screen(written(quality, "quality"), correlation_matrix(w, FACTORS), FACTORS)
+    kept = ["factor", "direction", "ic_mean", "icir_annual", "p_value", "spread_mean", "tau", "psi", "ks_p", "max_correlation", "pass_spread", "pass_monotonic", "pass_psi", "pass_ks", "pass_correlation", "tier", "fail_reasons", "selected"]
+    return rounded(out.select(*kept), ic_mean=6, icir_annual=5, p_value=6, spread_mean=6, tau=6, psi=5, ks_p=5, max_correlation=5)
 
 
 @query(q.with_(WIDE, f"select {q.near('corr(roc_5d, vol_20d)')} as c_0_1, {q.near('corr(roc_5d, price_to_sma_10d)')} as c_0_2, {q.near('corr(vol_20d, price_to_sma_10d)')} as c_1_2 from wide"))
 def e15_correlations(spark, d):
-    corr = ev.correlation_matrix(wide(spark, d), FACTORS)
-    names = {(a, b): f"c_{FACTORS.index(a)}_{FACTORS.index(b)}" for a, b in corr}
-    row = spark.createDataFrame([tuple(corr.values())], ", ".join(f"{names[k]} double" for k in corr))
-    return row.select(*(near(c).alias(c) for c in row.columns))
+    at = lambda c: F.array_position(F.array(*map(F.lit, FACTORS)), F.col(c)) - 1
+    rows = correlations(wide(spark, d), FACTORS).withColumn("pair", F.concat(F.lit("c_"), at("a"), F.lit("_"), at("b")))
+    return rows.groupBy().pivot("pair", ["c_0_1", "c_0_2", "c_1_2"]).agg(near(F.first("corr")))
 
 
 @query(
@@ -322,7 +367,7 @@ def e18_prediction_metrics(spark, d):
 
 @query(
     q.with_(
-        WIDE + ", k as (select date, ticker, roc_5d as x, r5 as y from wide where roc_5d is not null and r5 is not null), e as (select date, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) as e from k group by 1 having count(*) >= 5), b as (select k.*, 1 + len(list_filter(e, lambda v: v < x)) as bucket from k join e using (date))",
+        WIDE + ", k as (select date, ticker, roc_5d as x, r5 as y from wide where roc_5d is not null and r5 is not null), e as (select date, min(x) as least, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) as e from k group by 1 having count(*) >= 5), b as (select k.*, 1 + len(list_filter(e, lambda v: v < x and v > least)) as bucket from k join e using (date))",
         f"select bucket, count(*) as n, {q.near('avg(y)')} as mean_ret, {q.near('stddev_samp(y)')} as std_ret from b group by 1",
     )
 )
@@ -355,16 +400,20 @@ def e9_full_analysis(spark, d):
     return rounded(rows.select("factor", "ret", "n", "ic_mean", "icir", "spread_mean", "sharpe", "tau"), ic_mean=6, icir=6, spread_mean=6, sharpe=6, tau=6)
 
 
-@query(q.with_(_ALL, f"select factor, ret, {q.near('ic_mean / ic_std')} as icir, cast(ic_mean / ic_std > 0.05 as boolean) as above from summary"))
+_Q13 = _SUM + f", pv as (select *, ic_mean / ic_std as icir, {q.p_t('(ic_mean / ic_std * sqrt(n))', '(n - 1)')} as p from summary)"
+
+
+@query(q.with_(_Q13, f"select factor, ret, n, {q.near('icir')} as icir, {q.near('icir * sqrt(n)')} as t_stat, {q.near('p')} as p_value, coalesce(icir > 0.5 and p < 0.05, false) as qualified from pv"))
 def e13_evaluate_all(spark, d):
-    rows = ev.qualified(ev.analyze(pairs(spark, d), least=LEAST).withColumn("p_value", F.lit(0.0)), 0.05, 0.05)
-    return rounded(rows.select("factor", "ret", "icir", F.col("qualified").alias("above")), icir=6)
+    """All factors and returns with the bounds of the qualification as they are."""
+    rows = ev.qualified(ev.analyze(pairs(spark, d), least=LEAST))
+    return rounded(rows.select("factor", "ret", "n", "icir", "t_stat", "p_value", "qualified"), icir=6, t_stat=6, p_value=6)
 
 
-@query()
+@query(q.with_(_Q13, f"select factor, ret, {q.near('icir')} as icir from pv where icir > 0.1 and p < 0.05 order by icir desc, factor, ret limit 3"))
 def e13_qualified(spark, d):
-    rows = ev.qualified(ev.analyze(pairs(spark, d), least=LEAST))
-    return rounded(rows.select("factor", "ret", "icir", "p_value", "qualified"), icir=6, p_value=6)
+    """The three best of those that qualify at a lower ICIR."""
+    return rounded(ev.qualified(ev.analyze(pairs(spark, d), least=LEAST), 0.1, 0.05, 3).select("factor", "ret", "icir"), icir=6)
 
 
 @query(
@@ -391,7 +440,16 @@ def e19_prediction_ic(spark, d):
     return rounded(ev.daily_ic(rows, "spearman", 3, ["date"]), ic=6)
 
 
-@query(q.with_(WIDE + ", g as (select quantile_cont(r5, [0.25, 0.5, 0.75]) as e from wide), dt as (select date, quantile_cont(r5, [0.25, 0.5, 0.75]) as e from wide group by 1)", "select w.date, w.ticker, case when r5 is not null then len(list_filter(dt.e, lambda v: v <= r5)) end::int as by_date, case when r5 is not null then len(list_filter(g.e, lambda v: v <= r5)) end::int as over_all from wide w left join dt on w.date = dt.date, g"))
+_CUTS = "list_distinct(quantile_cont(r5, [0, 0.25, 0.5, 0.75])) as e, min(r5) as a, max(r5) as b, count(r5) as n"
+
+
+@query(
+    q.with_(
+        WIDE + f", g as (select {_CUTS} from wide), dt as (select date, {_CUTS} from wide group by 1)",
+        "select w.date, w.ticker, " + ", ".join(f"case when r5 is not null and {t}.a < {t}.b{least} then greatest(len(list_filter({t}.e, lambda v: v < r5)) - 1, 0) end::int as {name}" for t, name, least in (("dt", "by_date", " and dt.n >= 4"), ("g", "over_all", "")))
+        + " from wide w left join dt on w.date = dt.date, g",
+    )
+)
 def t8_quantile_labels(spark, d):
     rows = lab.quantile_labels(wide(spark, d).select("date", "ticker", "r5"), "r5", 4).withColumnRenamed("label", "by_date")
     return lab.quantile_labels(rows, "r5", 4, per_date=False).select("date", "ticker", "by_date", F.col("label").alias("over_all"))
@@ -436,9 +494,25 @@ def p2_walk_forward(spark, d):
     return rows.groupBy("fold", "split").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("select 0::bigint as shared_dates, true as gap_ok")
+_SHARED = f"""{q.BARS}, dd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from bars)),
+s0 as (select date, i, case when i <= floor(n * 0.6) - 5 then 'train' when i > floor(n * 0.6) + 2 and i <= floor(n * 0.8) - 5 then 'valid' when i > floor(n * 0.8) + 2 then 'test' end as split from dd),
+s1 as (select date, i, split from s0 where split is not null), s2 as (select * from s1 union select date, i, 'valid' from s1 where i % 100 = 0),
+gp as (select a - lag(b) over (order by a) as g from (select split, min(i) as a, max(i) as b from {{}} group by 1))"""
+
+
+@query(
+    " union all ".join(
+        f"select '{name}' as rows, * from (with {_SHARED.format(t)} select (select count(*) from (select date from {t} group by 1 having count(distinct split) > 1)) as shared_dates, (select coalesce(min(g) > 5, true) from gp) as gap_ok)"
+        for name, t in (("split", "s1"), ("planted", "s2"))
+    )
+)
 def p3_leakage(spark, d):
-    return splits.leakage(splits.single_split(src.bars(spark, d), 0.6, 0.2, purge=5, embargo=2), 5)
+    """The check of a clean split, and of one where every hundredth date is in the validation part as well."""
+    clean = written(splits.single_split(src.bars(spark, d), 0.6, 0.2, purge=5, embargo=2), "split").where("split is not null").select("date", "split")
+    i = splits.numbered_dates(src.bars(spark, d))
+    planted = clean.unionByName(clean.join(F.broadcast(i.where("i % 100 = 0").select("date")), "date").withColumn("split", F.lit("valid")))
+    parts = [splits.leakage(rows, 5, i).withColumn("rows", F.lit(name)) for name, rows in (("split", clean), ("planted", planted))]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -495,26 +569,54 @@ def k5_robust_scaling(spark, d):
 # ---- drift
 
 
+_PARTS = "(select date, case when i <= floor(n * 0.6) then 'train' when i <= floor(n * 0.8) then 'valid' else 'test' end as split from (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from {0})))"
+
+
+def _changes(rows: str, x: str, metrics: dict[str, str]) -> str:
+    """``cg``: factor, ret, metric, the value of each split and the changes relative to the training part."""
+    each = " union all ".join(f"select factor, ret, '{m}' as metric, split, {e.format(x)} as v from {rows} group by all" for m, e in metrics.items())
+    base = "nullif(abs(train), 0)"
+    return f"""mv as ({each}), pv as (select factor, ret, metric, {', '.join(f"max(v) filter (split = '{s}') as {s}" for s in ('train', 'valid', 'test'))} from mv group by all),
+cg as (select *, abs(valid - train) / {base} as valid_vs_train, abs(test - train) / {base} as test_vs_train, abs(valid - test) / {base} as valid_vs_test from pv)"""
+
+
+_IC_METRICS = {"mean": "avg({0})", "std": "stddev_samp({0})", "icir": "avg({0}) / stddev_samp({0})", "icir_annual": "avg({0}) / stddev_samp({0}) * sqrt(252)", "positive_ratio": "avg(cast({0} > 1e-12 as int))"}
+_SP_METRICS = {"mean": "avg({0})", "sharpe": "avg({0}) / stddev_samp({0})", "positive_ratio": "avg(cast({0} > 0 as int))"}
+_IC_SPLIT = IC + ", isp as (select ic.*, split from ic join " + _PARTS.format("ic") + " using (date))"
+_SD = ", sd as (select * from sp where spread is not null), ssp as (select sd.*, split from sd join " + _PARTS.format("sd") + " using (date))"
+_COMPARED = ("train", "valid", "test", "valid_vs_train", "test_vs_train", "valid_vs_test")
+_COMPARED_SQL = "select factor, ret, metric, " + ", ".join(f"{q.near(c, 4)} as {c}" for c in _COMPARED) + ", valid_vs_test > 0.5 as drifted from cg"
+
+
+@query(q.with_(_IC_SPLIT + ", " + _changes("isp", "ic", _IC_METRICS), _COMPARED_SQL))
+def d3_ic_drift(spark, d):
+    return rounded(drift.compare_ic(drift.with_split(ic(spark, d)), ["factor", "ret"]), **dict.fromkeys(_COMPARED, 4))
+
+
+def _tests(rows: str, later: str) -> str:
+    """``ts``: the statistics of the three tests of ``ic`` by ``later`` over the rows of ``rows``; ties are told to nine digits."""
+    return f"""tx as (select factor, ret, {q.near('ic', 9)} as x, {later} as later from {rows}),
+tr as (select *, rank() over w + (count(*) over (partition by factor, ret, x) - 1) / 2.0 as r, count(*) over (partition by factor, ret, x) as t from tx window w as (partition by factor, ret order by x)),
+tm as (select factor, ret, count(*) filter (not later)::double as n1, count(*) filter (later)::double as n2, avg(x) filter (not later) as m1, avg(x) filter (later) as m2, var_samp(x) filter (not later) as v1, var_samp(x) filter (later) as v2,
+  sum(r) filter (not later) as r1, sum(t * t - 1)::double as ties from tr group by all),
+td as (select factor, ret, max(abs(f1 - f2)) as ks from (select factor, ret, x, count(*) filter (not later) over w / (count(*) filter (not later) over (partition by factor, ret))::double as f1, count(*) filter (later) over w / (count(*) filter (later) over (partition by factor, ret))::double as f2
+  from tr window w as (partition by factor, ret order by x range between unbounded preceding and current row)) group by all),
+ts as (select *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) as t_stat, r1 - n1 * (n1 + 1) / 2 as u_stat,
+  greatest((abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) as z_stat from tm join td using (factor, ret) where n1 >= 5 and n2 >= 5)"""
+
+
+_TESTED = ("t_stat", "u_stat", "z_stat", "ks", "p_t", "p_mann_whitney", "p_ks")
+
+
 @query(
     q.with_(
-        IC + ", dd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from ic)), s as (select ic.*, case when i <= floor(dd.n * 0.6) then 'train' when i <= floor(dd.n * 0.8) then 'valid' else 'test' end as split from ic join dd using (date)), m as (select factor, ret, split, avg(ic) as m, stddev_samp(ic) as sd from s group by all), p as (select factor, ret, max(m) filter (split = 'train') as t, max(m) filter (split = 'valid') as v, max(m) filter (split = 'test') as e from m group by all)",
-        f"select factor, ret, {q.near('t')} as train, {q.near('v')} as valid, {q.near('e')} as test, abs(v - e) / abs(t) > 0.5 as drifted from p",
+        _IC_SPLIT + ", tt as (select * from isp where split <> 'valid'), " + _tests("tt", "split = 'test'"),
+        f"select factor, ret, n1::bigint as n1, n2::bigint as n2, {', '.join(f'{q.near(c, 5)} as {c}' for c in _TESTED[:4])}, {q.near(q.p_t('t_stat', '(n1 + n2 - 2)'), 5)} as p_t, {q.near(q.p_normal('z_stat'), 5)} as p_mann_whitney, {q.near(q.p_ks('ks', 'n1', 'n2'), 5)} as p_ks from ts",
     )
 )
-def d3_ic_drift(spark, d):
-    rows = drift.with_split(ic(spark, d))
-    out = drift.compare_means(rows, "ic", ["factor", "ret"], 0.5)
-    return rounded(out, train=6, valid=6, test=6).select("factor", "ret", "train", "valid", "test", "drifted")
-
-
-@query()
 def d5_ic_tests(spark, d):
     rows = drift.with_split(ic(spark, d)).where("split in ('train', 'test')").withColumn("later", F.col("split") == "test")
-    return drift.compare_series(rows.withColumnRenamed("ic", "x"), ["factor", "ret"])
-
-
-_PARTS = "(select date, case when i <= floor(n * 0.6) then 'train' when i <= floor(n * 0.8) then 'valid' else 'test' end as split from (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from {0})))"
-_CHANGE = "abs(avg(case when split = 'valid' then {0} end) - avg(case when split = 'test' then {0} end)) / nullif(abs(avg(case when split = 'train' then {0} end)), 0)"
+    return rounded(drift.compare_series(rows.withColumn("x", near("ic", 9)), ["factor", "ret"]), **dict.fromkeys(_TESTED, 5))
 
 
 @query(
@@ -530,26 +632,21 @@ def d2_feature_drift(spark, d):
     return rounded(drift.feature_drift(rows), psi_valid=5, psi_test=5)
 
 
-@query(
-    q.with_(
-        _SPREAD + ", sd as (select * from sp where spread is not null), s as (select sd.*, split from sd join " + _PARTS.format("sd") + " using (date))",
-        "select factor, ret, " + ", ".join(f"""{q.near(f"avg(case when split = '{s}' then spread end)")} as {s}, {q.near(f"avg(case when split = '{s}' then cast(spread > 0 as int) end)")} as {s}_positive""" for s in ("train", "valid", "test")) + " from s group by all",
-    )
-)
+@query(q.with_(_SPREAD + _SD + ", " + _changes("ssp", "spread", _SP_METRICS), _COMPARED_SQL))
 def d4_spread_drift(spark, d):
     rows = drift.with_split(ev.spread(quantiles(spark, d), 5))
-    out = drift.compare_means(rows, "spread", ["factor", "ret"], 0.5)
-    names = [c for s in ("train", "valid", "test") for c in (s, f"{s}_positive")]
-    return rounded(out, **{c: 6 for c in names}).select("factor", "ret", *names)
+    return rounded(drift.compare_spreads(rows, ["factor", "ret"]), **dict.fromkeys(_COMPARED, 4))
 
 
 @query(
     q.with_(
-        IC + _SPREAD[len(PAIRS):] + ", sd as (select * from sp where spread is not null), si as (select factor, ret, " + _CHANGE.format("ic") + " as c from ic join " + _PARTS.format("ic") + " using (date) group by all), ss as (select factor, ret, " + _CHANGE.format("spread") + " as c from sd join " + _PARTS.format("sd") + " using (date) group by all)",
-        f"select factor, ret, {q.near('si.c', 4)} as ic_change, {q.near('ss.c', 4)} as spread_change, not (coalesce(si.c > 0.5, false) or coalesce(ss.c > 0.5, false)) as passed from si full join ss using (factor, ret)",
+        _IC_SPLIT + _SPREAD[len(PAIRS):] + _SD + ", " + _changes("isp", "ic", _IC_METRICS) + ", " + _changes("ssp", "spread", _SP_METRICS).replace("mv as", "mw as").replace("from mv", "from mw").replace("pv as", "pw as").replace("from pv", "from pw").replace("cg as", "ch as")
+        + ", tt as (select * from isp where split <> 'train'), " + _tests("tt", "split = 'test'") + f", tp as (select factor, ret, ks, {q.p_ks('ks', 'n1', 'n2')} as p from ts)"
+        + ", ci as (select factor, ret, max(valid_vs_test) filter (metric = 'mean') as a, max(valid_vs_test) filter (metric = 'icir') as b from cg group by all), cs as (select factor, ret, valid_vs_test as c from ch where metric = 'mean')",
+        f"select factor, ret, {q.near('a', 4)} as ic_change, {q.near('b', 4)} as icir_change, {q.near('c', 4)} as spread_change, {q.near('p', 5)} as ic_ks_p, p < 0.05 as significant, not (coalesce(a > 0.5, false) or coalesce(b > 0.5, false) or coalesce(c > 0.5, false)) as passed from ci full join cs using (factor, ret) left join tp using (factor, ret)",
     )
 )
 def d6_drift_report(spark, d):
     p = pairs(spark, d)
-    rows = drift.drift_report(ev.daily_ic(p, least=LEAST), ev.spread(ev.quantile_returns(p, 5), 5))
-    return rounded(rows, ic_change=4, spread_change=4).select("factor", "ret", "ic_change", "spread_change", "passed")
+    rows = drift.drift_report(rounded(ev.daily_ic(p, least=LEAST), ic=9), ev.spread(ev.quantile_returns(p, 5), 5))
+    return rounded(rows, ic_change=4, icir_change=4, spread_change=4, ic_ks_p=5).select("factor", "ret", "ic_change", "icir_change", "spread_change", "ic_ks_p", "significant", "passed")

@@ -61,6 +61,33 @@ em as (select ticker, date, i, close, close as nf, 1.0::double as df, close as n
 macd as (select ticker, date, close, i, line as macd, sn / sd as macd_signal, line - sn / sd as macd_hist from em)"""
 
 
+def p_t(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom: the finite series in cos(atan(t / sqrt(df)))."""
+    c2 = f"({df} / ({df} + ({t}) * ({t})))"
+    sin = f"(abs({t}) / sqrt({df} + ({t}) * ({t})))"
+    even = f"{sin} * coalesce(list_sum(list_transform(range(0, cast({df} // 2 as bigint)), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0) - lgamma(0.5) + j * ln({c2})))), 0)"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {sin} * coalesce(list_sum(list_transform(range(0, cast(({df} - 1) // 2 as bigint)), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5) + lgamma(1.5) + (j + 0.5) * ln({c2})))), 0))"
+    return f"(1 - case when {df} % 2 = 0 then {even} else {odd} end)"
+
+
+def p_ks(d: str, n1: str, n2: str) -> str:
+    """Asymptotic p of the two-sample Kolmogorov-Smirnov statistic."""
+    s = f"(({d}) * sqrt(({n1}) * ({n2}) / (({n1}) + ({n2}))))"
+    return f"case when {s} < 1e-9 then 1.0 else least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * (k * {s}) ** 2))))) end"
+
+
+def p_normal(z: str) -> str:
+    """Two-sided p of a normal value: 1 - erf(z / sqrt(2)) by the series of positive terms."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    return f"case when {z} = 0 then 1.0 else 1 - 2 * exp(-{x} * {x}) * list_sum(list_transform(range(0, 200), lambda j: exp((2 * j + 1) * ln({x}) - ln(2.0) - lgamma(j + 1.5)))) end"
+
+
+def p_kendall(tau: str, n: str = "5") -> str:
+    """Exact p of Kendall's tau of five values: orders of five by their number of inversions."""
+    assert n == "5"
+    return f"least(1.0, 2 * list_sum([1, 4, 9, 15, 20, 22, 20, 15, 9, 4, 1][1:cast(round((1 - abs({tau})) * 5) as int) + 1]) / 120.0)"
+
+
 def with_(ctes: str, body: str) -> str:
     return f"with {ctes}\n{body}"
 
