@@ -60,7 +60,7 @@ def decorrelate(corr: dict[tuple[str, str], float | None], columns: list[str], c
     accepted: list[str] = []
     found = {}
     for c in columns:
-        found[c] = max((abs(corr.get((k, c)) or 0.0) for k in accepted), default=0.0)
+        found[c] = max((abs(corr.get((k, c), corr.get((c, k))) or 0.0) for k in accepted), default=0.0)
         if c in candidates and found[c] < most:
             accepted.append(c)
     return found

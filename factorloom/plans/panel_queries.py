@@ -10,6 +10,7 @@ from factorloom.operators import filters, joins, labels, quality, sets
 from factorloom.plans import sql as q
 from factorloom.sources import panel as src
 from factorloom.sources import tables
+from factorloom.sources.scratch import new_folder, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -472,10 +473,11 @@ def l3_union(spark, d):
     return sets.union_all([x, y])
 
 
-@query(q.with_(q.BARS, "select date from bars where ticker = 1 intersect select date from bars where ticker = 2"))
+@query(q.with_(f"{q.BARS}, {q.REPORTS}", "select ticker, date from bars intersect select ticker, cast(date_trunc('week', announce_date) as date) from reports"))
 def l4_common_dates(spark, d):
-    b = src.bars(spark, d)
-    return sets.common(b.where("ticker = 1"), b.where("ticker = 2"), ["date"])
+    """Weeks of all tickers that have both a bar and an announcement."""
+    weeks = src.reports(spark, d).select("ticker", F.to_date(F.date_trunc("week", "announce_date")).alias("date"))
+    return sets.common(src.bars(spark, d).select("ticker", "date"), weeks, ["ticker", "date"])
 
 
 @query(q.with_(q.BARS, "select count(distinct date) as n_dates, count(distinct ticker) as n_tickers from bars"))
@@ -489,3 +491,59 @@ def l6_missing_keys(spark, d):
     wanted = src.table(spark, d, "orders").select(F.col("o_custkey").alias("ticker")).distinct()
     counts = src.quotes(spark, d).groupBy("ticker").agg(F.count("*").alias("n"))
     return sets.with_missing(wanted, counts, "ticker").select("ticker", F.coalesce("n", F.lit(0)).alias("n"), "missing")
+
+
+# ---- written tables: what a query returns has been written and read again
+
+
+@query(q.with_(q.BARS, f"select f.form, year(date)::int as year, count(*) as n, {q.near('sum(close)', 3)} as close from bars, (values ('csv'), ('parquet')) f(form) group by 1, 2"))
+def s6_written_panel(spark, d):
+    root, parts = new_folder(spark, "panel"), []
+    bars = written(src.bars(spark, d).select("date", "ticker", "close"), "bars")
+    for form in ("csv", "parquet"):
+        tables.write_panel(bars, f"{root}/{form}", form)
+        back = spark.read.schema("date date, ticker long, close double, year int").option("header", True).format(form).load(f"{root}/{form}")
+        parts.append(back.groupBy(F.lit(form).alias("form"), "year").agg(F.count("*").alias("n"), near(F.sum("close"), 3).alias("close")))
+    return parts[0].unionByName(parts[1])
+
+
+_SNAPS = f"""{q.BARS}, sn as (select date, ticker, close, lead(close) over ({q.T}) / close - 1 as fwd from bars),
+both_ as (select 'ds_2001Q4_v1' as snapshot_id, *, case when fwd > 0 then '1' when fwd is not null then '0' else 'null' end as label from sn
+  union all select 'ds_2001Q4_v2', *, case when fwd > 0 then '1' when fwd is not null then '0' else 'null' end from sn where close >= 1000)"""
+
+
+@query(
+    q.with_(
+        _SNAPS,
+        f"select snapshot_id, count(*) as n_rows, {q.near('avg(cast(fwd is null as int))')} as missing, count(*) filter (label = '1') as up, count(*) filter (label = '0') as down, true as verified, {q.near('sum(close)', 3)} as close from both_ group by 1",
+    )
+)
+def s7_s8_snapshots(spark, d):
+    """Two versions of a panel: created, listed, loaded with their hashes verified, and summed up from what was loaded."""
+    root = new_folder(spark, "snapshots")
+    rows = src.bars(spark, d).select("date", "ticker", "close", labels.forward_return(1).alias("fwd")).withColumn("up", labels.binary_label("fwd"))
+    rows = written(rows, "panel")
+    tables.create_next_snapshot(rows, root, 2001, 4, label="up")
+    tables.create_next_snapshot(rows.where("close >= 1000"), root, 2001, 4, label="up", filters={"least_close": "1000"})
+    parts = []
+    for meta in tables.list_snapshots(spark, root).collect():  # a row a version
+        loaded = tables.load_snapshot(spark, root, meta["snapshot_id"])
+        count = lambda k, m=meta: F.coalesce(F.get_json_object(F.lit(m["labels"]), f"$.{k}").cast("long"), F.lit(0))
+        parts.append(
+            loaded.agg(F.count("*").alias("n"), near(F.sum("close"), 3).alias("close")).select(
+                F.lit(meta["snapshot_id"]).alias("snapshot_id"), F.lit(meta["n_rows"]).alias("n_rows"), near(F.get_json_object(F.lit(meta["missing"]), "$.fwd").cast("double")).alias("missing"),
+                count("1").alias("up"), count("0").alias("down"), (F.col("n") == meta["n_rows"]).alias("verified"), "close",
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@query(q.with_(q.BARS, f"select 'buckets' as table_name, ticker % 5 as bucket, count(*) as n, {q.near('avg(close)', 4)} as mean_close from bars group by all union all select 'summary', -1, count(*), {q.near('avg(close)', 4)} from bars"))
+def s9_written_evaluation(spark, d):
+    bars = src.bars(spark, d)
+    stats = lambda df: df.agg(F.count("*").alias("n"), near(F.avg("close"), 4).alias("mean_close"))
+    root = new_folder(spark, "evaluation")
+    tables.write_evaluation({"buckets": stats(bars.groupBy((F.col("ticker") % 5).alias("bucket"))), "summary": stats(bars.groupBy()).select(F.lit(-1).cast("long").alias("bucket"), "n", "mean_close")}, root)
+    a = spark.read.schema("bucket long, n long, mean_close double").option("header", True).csv(f"{root}/buckets").withColumn("table_name", F.lit("buckets"))
+    b = spark.read.schema("bucket long, n long, mean_close double").json(f"{root}/summary_json").withColumn("table_name", F.lit("summary"))
+    return a.unionByName(b).select("table_name", "bucket", "n", "mean_close")

@@ -13,6 +13,7 @@ from factorloom.operators import regimes as rg
 from factorloom.plans import sql as q
 from factorloom.plans.evaluation_queries import FACTORS, WIDE, rounded, wide
 from factorloom.sources import panel as src
+from factorloom.sources.scratch import new_folder, path_of, written
 from factorloom.streaming import quotes as st
 
 QUERIES: dict = {}
@@ -416,23 +417,56 @@ def z3_minute_bars(spark, d):
     return st.bars(src.quotes(spark, d), "1 minute")
 
 
+def _arriving(spark, d, chunk, name):
+    """A folder that event files arrive in one after the other, in the order of ``chunk``."""
+    rows = written(src.table(spark, d, "events").withColumn("_chunk", chunk), name)
+    path = new_folder(spark, name)
+    for (k,) in sorted(rows.select("_chunk").distinct().collect()):  # a handful
+        rows.where(F.col("_chunk") == k).drop("_chunk").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _places(spark):
+    root = new_folder(spark, "stream")
+    return f"{root}/table", f"{root}/checkpoint"
+
+
+_LATEST = "l as (select *, row_number() over (partition by ticker order by ts desc, event_id desc) as k from quotes)"
+
+
+@query(q.with_(f"{_Q}, {_LATEST}", "select ticker, ts, event_id, price, size from l where k = 1 and ts >= timestamp '2024-01-30 12:00:00' - interval 720 minute"))
+def z2_streamed_latest(spark, d):
+    """The latest quotes by a stream in update mode over files that do not come in time order, read back as of a time."""
+    stream = st.read_events(spark, _arriving(spark, d, F.col("event_id") % 4, "events-by-turn"))
+    return st.recent(st.run_latest(src.quotes_of(stream), *_places(spark)), "2024-01-30 12:00:00", 720)
+
+
+_ARRIVAL = "ts + case when event_id % 7 = 0 then interval 5 day else interval 0 day end"
+_LATE = _Q + f""", ar as (select *, (epoch({_ARRIVAL})::bigint // 432000) as c, date_trunc('day', ts)::timestamp as start from quotes),
+mx as (select c, max(ts) as m from ar group by 1), wm as (select c, max(m) over (order by c rows between unbounded preceding and 2 preceding) - interval 1 day as wm from mx),
+lt as (select ar.*, coalesce(start + interval 1 day <= wm, false) as late from ar join wm using (c)), fin as (select max(ts) - interval 1 day as f from ar)"""
+
+
+@query(q.with_(_LATE, "select start, count(*) filter (not late and start + interval 1 day <= f) as in_bars, count(*) filter (late) as too_late from lt, fin group by 1 having in_bars + too_late > 0"))
+def z4_late_ticks(spark, d):
+    """Ticks by day in bars of a stream with a watermark of a day, and those that came too late; every seventh tick comes five days late."""
+    arrival = F.unix_timestamp("ts") + F.when(F.col("event_id") % 7 == 0, 432_000).otherwise(0)
+    stream = src.quotes_of(st.read_events(spark, _arriving(spark, d, F.floor(arrival / 432_000), "events-by-arrival")))
+    made, late = st.run_bars_and_late(stream, "1 day", "1 day", *_places(spark))
+    counts = late.groupBy(F.date_trunc("day", "ts").alias("start")).agg(F.count("*").alias("too_late"))
+    return made.groupBy("start").agg(F.sum("n").alias("in_bars")).join(counts, "start", "full").select("start", F.coalesce("in_bars", F.lit(0)).alias("in_bars"), F.coalesce("too_late", F.lit(0)).alias("too_late"))
+
+
 @query(q.with_(_Q + ", b as (select ticker, date_trunc('day', ts)::timestamp as start, last(price order by ts, event_id) as close from quotes group by 1, 2)", "select ticker, start, close from b"))
 def z3_streamed_daily_closes(spark, d):
     """The daily bars by a streaming query over the event files."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/factorloom-streams"
     quotes = src.quotes_of(st.read_events(spark, d, "events.parquet"))
-    return st.run_to_parquet(st.bars(quotes, "1 day"), f"{root}/bars-{uuid.uuid4().hex}", f"{root}/{uuid.uuid4().hex}", "complete").select("ticker", "start", "close")
+    return st.run_to_parquet(st.bars(quotes, "1 day"), *_places(spark), "complete").select("ticker", "start", "close")
 
 
 @query()
 def z5_live_positions(spark, d):
     """Crossover positions over the stream of daily bars, replayed from the bars of the events."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/factorloom-streams"
-    path = f"{root}/bars-{uuid.uuid4().hex}"
-    st.bars(src.quotes(spark, d), "1 day").select("ticker", "start", "close").write.parquet(path)
-    stream = spark.readStream.schema("ticker long, start timestamp, close double").parquet(path)
-    return st.run_to_parquet(st.live_crossover(stream), f"{root}/positions-{uuid.uuid4().hex}", f"{root}/{uuid.uuid4().hex}")
+    made = written(st.bars(src.quotes(spark, d), "1 day").select("ticker", "start", "close"), "bars")
+    stream = spark.readStream.schema("ticker long, start timestamp, close double").parquet(path_of(made))
+    return st.run_to_parquet(st.live_crossover(stream), *_places(spark))

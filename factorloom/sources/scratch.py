@@ -13,9 +13,19 @@ def shared_root(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch").rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder: what uses it several times computes it once, and lost executors cost no more than a read."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def path_of(table: DataFrame) -> str:
+    """The folder of a table that ``written`` made."""
+    return table.inputFiles()[0].rpartition("/")[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +74,64 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def create_snapshot(df: DataFrame, root: str, snapshot_id: str, filters: dict[str, str] | None = None, label: str | None = None, **about: str) -> DataFrame:
-    """Writes ``root/data/id`` as Parquet and ``root/meta/id`` as one JSON row; returns the metadata.
+    """Writes the version ``snapshot_id`` below ``root`` and returns its manifest; fails if any writer has claimed it before.
 
-    The metadata has the number of rows and the hash, ``filters`` (name to setting),
-    ``missing`` (share of nulls by column) and ``labels`` (rows by class of ``label``).
+    A version is claimed by a file that can be created once only.  Its rows are
+    written next, and read again for the manifest, which appears last and whole, by
+    a rename; without it nobody reads the version.  The manifest has the number of
+    rows and the hash, ``filters`` (name to setting), ``missing`` (share of nulls by
+    column) and ``labels`` (rows by class of ``label``).
     """
-    df.write.parquet(f"{root}/data/{snapshot_id}")
-    stored = df.sparkSession.read.parquet(f"{root}/data/{snapshot_id}")
+    if not claim_snapshot(df.sparkSession, root, snapshot_id):
+        raise FileExistsError(f"snapshot {snapshot_id} has been claimed")
+    return _write_snapshot(df, root, snapshot_id, filters, label, about)
+
+
+def create_next_snapshot(df: DataFrame, root: str, year: int, quarter: int, **more) -> DataFrame:
+    """``create_snapshot`` under the first free ``ds_{year}Q{quarter}_v{n}``; of several writers at once, each gets a number of its own."""
+    spark = df.sparkSession
+    filters, label = more.pop("filters", None), more.pop("label", None)
+    taken = folder_names(spark, f"{root}/claims")
+    while True:
+        snapshot_id = next_snapshot_id(taken, year, quarter)
+        if claim_snapshot(spark, root, snapshot_id):
+            return _write_snapshot(df, root, snapshot_id, filters, label, more)
+        taken = [*taken, snapshot_id]
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none if it does not exist."""
+    at, fs = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    at, fs = _path(spark, folder)
+    fs.delete(at, True)
+
+
+def _path(spark: SparkSession, name: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def claim_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> bool:
+    """Whether this call, and no other before, created the version's claim."""
+    at, fs = _path(spark, f"{root}/claims/{snapshot_id}")
+    fs.mkdirs(at.getParent())
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _write_snapshot(df: DataFrame, root: str, snapshot_id: str, filters: dict[str, str] | None, label: str | None, about: dict[str, str]) -> DataFrame:
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{root}/data/{snapshot_id}")  # of a claim whose writer died there may be parts
+    stored = spark.read.parquet(f"{root}/data/{snapshot_id}")
     missing = stored.agg(F.to_json(F.struct(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in stored.columns))).alias("missing"))
     meta = content_hash(stored).join(F.broadcast(missing), F.lit(True)).withColumn("filters", F.to_json(F.create_map(*(F.lit(x) for kv in (filters or {"": ""}).items() for x in kv))))
     if label is not None:
@@ -87,8 +139,13 @@ def create_snapshot(df: DataFrame, root: str, snapshot_id: str, filters: dict[st
         counts = pairs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))).alias("labels"))
         meta = meta.join(F.broadcast(counts), F.lit(True))
     meta = meta.withColumns({"snapshot_id": F.lit(snapshot_id), **{k: F.lit(v) for k, v in about.items()}})
-    meta.write.json(f"{root}/meta/{snapshot_id}")
-    return df.sparkSession.read.json(f"{root}/meta/{snapshot_id}")
+    meta.write.mode("overwrite").json(f"{root}/pending/{snapshot_id}")
+    source, fs = _path(spark, f"{root}/pending/{snapshot_id}")
+    target, _ = _path(spark, f"{root}/meta/{snapshot_id}")
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise FileExistsError(f"snapshot {snapshot_id} has a manifest already")
+    return spark.read.json(f"{root}/meta/{snapshot_id}")
 
 
 def next_snapshot_id(existing: list[str], year: int, quarter: int) -> str:
@@ -98,13 +155,19 @@ def next_snapshot_id(existing: list[str], year: int, quarter: int) -> str:
 
 
 def load_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
-    """The snapshot's rows, after its hash has been computed again and compared."""
+    """The snapshot's rows, after its hash has been computed again and compared; a version without a manifest does not exist."""
+    if snapshot_id not in folder_names(spark, f"{root}/meta"):
+        raise FileNotFoundError(f"snapshot {snapshot_id} is not complete")
     df = spark.read.parquet(f"{root}/data/{snapshot_id}")
-    meta = spark.read.json(f"{root}/meta/{snapshot_id}").first()
-    if content_hash(df).first()["hash"] != meta["hash"]:
+    meta, found = spark.read.json(f"{root}/meta/{snapshot_id}").first(), content_hash(df).first()
+    if (found["hash"], found["n_rows"]) != (meta["hash"], meta["n_rows"]):
         raise ValueError(f"snapshot {snapshot_id} does not match its hash")
     return df
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.json(f"{root}/meta/*").orderBy("snapshot_id")
+    """The manifests of all complete versions."""
+    names = folder_names(spark, f"{root}/meta")
+    if not names:
+        return spark.createDataFrame([], "snapshot_id string, n_rows long, hash string, missing string, filters string")
+    return spark.read.json([f"{root}/meta/{x}" for x in names]).orderBy("snapshot_id")

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,15 +98,6 @@ def test_bucket_edges(spark):
     assert [r[0] for r in df.select(ev.bucket_of("x", F.col("e"), "right")).collect()] == [1, 1, 2, 3]
 
 
-def test_global_ranks_equal_a_window(spark):
-    rows = [(float((k * 37) % 23),) for k in range(500)]
-    ranks = {r["x"]: r["rank"] for r in lab.global_ranks(frame(spark, rows, "x double"), pieces=7).collect()}
-    values = sorted(v for (v,) in rows)
-    for v in set(values):
-        at = [i + 1 for i, x in enumerate(values) if x == v]
-        assert ranks[v] == sum(at) / len(at)
-
-
 def test_p_values():
     assert tests.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
     assert tests.normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-8)
@@ -254,7 +246,7 @@ def test_streamed_queries_stay_out_of_the_driver(spark, monkeypatch):
 def test_half_lives_up_to_twenty_periods(spark, monkeypatch):
     from factorloom.plans import evaluation_queries as eq
 
-    def slow(factors, prices, horizons=20):
+    def slow(wide, factors, horizons=20):
         return spark.createDataFrame([("f", h, 1.0 if h < 20 else 0.4) for h in range(1, horizons + 1)], "factor string, horizon int, ic double")
 
     monkeypatch.setattr(eq.ev, "ic_decay", slow)
@@ -325,3 +317,112 @@ def test_written_tables(spark, tmp_path):
     meta = tables.create_snapshot(df, f"{tmp_path}/s", "ds_2021Q1_v1", filters={"min_price": "1"}, label="y").first()
     assert '"min_price":"1"' in meta["filters"] and '"1":2' in meta["labels"] and '"x":0.33' in meta["missing"]
     assert tables.load_snapshot(spark, f"{tmp_path}/s", "ds_2021Q1_v1").count() == 3
+
+
+def test_snapshots_are_claimed_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "a int, x double")
+    root = str(tmp_path / "snaps")
+    assert tables.list_snapshots(spark, root).count() == 0
+    assert tables.claim_snapshot(spark, root, "ds_2024Q1_v1")  # a writer that dies here
+    assert not tables.claim_snapshot(spark, root, "ds_2024Q1_v1")
+    assert tables.create_next_snapshot(df, root, 2024, 1).first()["snapshot_id"] == "ds_2024Q1_v2"
+    assert [r["snapshot_id"] for r in tables.list_snapshots(spark, root).collect()] == ["ds_2024Q1_v2"]
+    with pytest.raises(FileExistsError):
+        tables.create_snapshot(df, root, "ds_2024Q1_v2")
+    with pytest.raises(FileNotFoundError):
+        tables.load_snapshot(spark, root, "ds_2024Q1_v1")
+    df.withColumn("x", F.lit(9.0)).write.mode("overwrite").parquet(f"{root}/data/ds_2024Q1_v2")
+    with pytest.raises(ValueError, match="hash"):
+        tables.load_snapshot(spark, root, "ds_2024Q1_v2")
+
+
+def test_concurrent_snapshots_get_numbers_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    df, root = spark.range(5), str(tmp_path / "snaps")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda _: tables.create_next_snapshot(df, root, 2024, 2).first()["snapshot_id"], range(4)))
+    assert sorted(ids) == [f"ds_2024Q2_v{k}" for k in range(1, 5)]
+    assert all(tables.load_snapshot(spark, root, i).count() == 5 for i in ids)
+
+
+def test_keyed_table_keeps_the_last_row_and_survives_a_repeated_batch(spark, tmp_path):
+    path, schema = str(tmp_path / "keyed"), "ticker long, ts long, event_id long, price double"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert st.read_keyed(spark, path, batch((0, 0, 0, 0.0)).schema).count() == 0
+    merge = lambda rows, k: st.merge_keyed(rows, k, path, ["ticker"], ["ts", "event_id"])
+    merge(batch((1, 10, 1, 1.0), (2, 10, 2, 2.0)), 0)
+    second = batch((1, 9, 3, 3.0), (2, 11, 4, 4.0), (3, 1, 5, 5.0))
+    for _ in range(2):  # the second time as after a failure
+        merge(second, 1)
+    merge(batch((1, 10, 9, 9.0)), 2)
+    got = st.read_keyed(spark, path, second.schema).orderBy("ticker").collect()
+    assert [tuple(r) for r in got] == [(1, 10, 9, 9.0), (2, 11, 4, 4.0), (3, 1, 5, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "keyed").iterdir()) == ["v1", "v2"]
+
+
+def test_correlations_against_numpy(spark):
+    from factorloom.operators.screening import correlation_matrix, correlations
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 6)) + 1e3
+    x[:, 1] += 3 * x[:, 0]
+    x[:, 5] = 7.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = [f"f{k}" for k in range(6)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["a"], r["b"]): r for r in correlations(df, names).collect()}
+    for i in range(6):
+        for j in range(i + 1, 6):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[names[i], names[j]]
+            assert r["n"] == both.sum()
+            assert r["corr"] is None if j == 5 else r["corr"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-10)
+    assert list(correlation_matrix(df, names)) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    assert correlation_matrix(df, names[:1]) == {}
+
+
+def test_screening_takes_factors_in_order(spark):
+    from factorloom.operators.screening import screen
+
+    schema = "factor string, ic_mean double, icir_annual double, p_value double, spread_mean double, tau double, tau_p double, psi double, ks_p double"
+    rows = [
+        ("a", 0.03, 0.6, 0.01, 0.1, 1.0, 0.01, 0.1, 0.5),  # strict
+        ("b", -0.03, -0.6, 0.01, -0.1, -1.0, 0.01, 0.3, 0.01),  # strict by size, but too near to a
+        ("c", 0.01, 0.2, 0.09, None, None, None, None, None),  # exploratory
+        ("d", 0.03, 0.6, 0.10, 0.1, 1.0, 0.20, 0.1, 0.5),  # p is not below either bound
+        ("e", 0.02, 0.5, 0.05, 0.0, 0.5, 0.01, 0.25, 0.05),  # p is not below the strict bound: exploratory
+        ("f", 0.0, None, None, 0.1, 1.0, 0.01, 0.1, 0.5),  # nothing known
+    ]
+    corr = {("a", "b"): -0.9, ("b", "c"): 0.99, ("a", "c"): 0.79, ("c", "e"): 0.5, ("d", "e"): 0.95}
+    quality = spark.createDataFrame(rows, schema)
+    got = {r["factor"]: r for r in screen(quality, corr, list("abcdef")).collect()}
+    assert {k: r["tier"] for k, r in got.items()} == {"a": "strict", "b": None, "c": "exploratory", "d": None, "e": "exploratory", "f": None}
+    assert {k: r["fail_reasons"] for k, r in got.items()} == {"a": "", "b": "correlation", "c": "", "d": "ic", "e": "", "f": "ic,icir"}
+    assert got["b"]["max_correlation"] == 0.9 and got["c"]["max_correlation"] == 0.79 and got["e"]["max_correlation"] == 0.5  # b and d were not accepted
+    assert [got[k]["direction"] for k in "abf"] == ["positive", "negative", "positive"]
+    assert [got[k]["pass_spread"] for k in "abce"] == [True, False, True, False] and [got[k]["pass_psi"] for k in "ace"] == [True, False, False]
+    assert [got[k]["pass_monotonic"] for k in "abcd"] == [True, False, True, False] and [got[k]["pass_ks"] for k in "ace"] == [True, False, False]
+    assert [k for k, r in sorted(got.items()) if r["selected"]] == ["a", "c", "e"]
+    strict_only = screen(quality, corr, list("abcdef"), fallback=False)
+    assert [r["factor"] for r in strict_only.where("selected").collect()] == ["a"]
+    last_first = {r["factor"]: r["tier"] for r in screen(quality, corr, list("fedcba")).collect()}
+    assert last_first["b"] is None and last_first["a"] == "strict"  # c came before b
+
+
+@pytest.mark.parametrize("q", [2, 3, 5])
+def test_quantile_labels_are_right_closed(spark, q):
+    rng = np.random.default_rng(q)
+    rows = [(d, t, float(v)) for d in range(6) for t, v in enumerate(rng.integers(0, 4, 12) if d % 2 else rng.standard_normal(12))]
+    rows += [(7, t, 1.0) for t in range(9)] + [(8, 0, 1.0), (9, 0, None), (9, 1, 2.0), (9, 2, 3.0)]
+    df = frame(spark, rows, "date int, ticker int, r double")
+    got = lab.quantile_labels(df, "r", q).toPandas()
+    whole = lab.quantile_labels(df, "r", q, per_date=False).toPandas()
+
+    def cut(x):
+        return pd.qcut(x, q, labels=False, duplicates="drop") if x.notna().sum() >= q and x.nunique() > 1 else pd.Series(np.nan, x.index)
+
+    for _, g in got.groupby("date"):
+        assert np.array_equal(g.label.astype(float), cut(g.r).astype(float), equal_nan=True)
+    assert np.array_equal(whole.label.astype(float), cut(whole.r).astype(float), equal_nan=True)
