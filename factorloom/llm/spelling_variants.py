@@ -48,9 +48,9 @@ def letter_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _search_begin(side: str, length: Column) -> Column:
-    """Code points before a search in a trie: the first half, of the reversed words the longer one."""
+    """Code points before a search in a trie: the first half, of the reversed words the longer one; none for words of up to three."""
     half = F.floor(length / 2).cast("int")
-    return half if side == "f" else length - half
+    return F.when(length > 3, half if side == "f" else length - half).otherwise(0)
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -59,16 +59,16 @@ def trie(words: DataFrame) -> DataFrame:
     ``word`` and ``n`` are set where a word ends at the child; ``starts`` are the
     code points that follow there, ``rests`` a bit for each length that may follow
     (the last for all longer ones).
-    A word's prefixes count from one shorter than where searches of words about
-    its length begin.  Node names start with ``f`` for words as they are and ``r``
+    A word's prefixes count from where searches of words of about its length begin.  Node names start with ``f`` for words as they are and ``r``
     for reversed ones.
     """
     both = words.select(
         "word", "n", F.explode(F.array(F.struct(F.lit("f").alias("side"), F.col("word").alias("text")), F.struct(F.lit("r").alias("side"), F.reverse("word").alias("text")))).alias("x")
     ).select("word", "n", "x.*")
     length = F.length("text")
-    begin = F.when(F.col("side") == "f", _search_begin("f", length)).otherwise(_search_begin("r", length))
-    at = both.select("*", begin.alias("begin"), F.explode(F.sequence(F.greatest(F.lit(1), begin - 1), length)).alias("pos"))
+    begin = lambda n: F.when(F.col("side") == "f", _search_begin("f", n)).otherwise(_search_begin("r", n))
+    first = F.least(*(begin(length + k) for k in (-1, 0, 1)))
+    at = both.select("*", begin(length).alias("begin"), F.explode(F.sequence(first, length)).alias("pos"))
     at = at.withColumn("node", _name(F.col("side"), _left("text", F.col("pos"))))
     following = F.substr("text", F.col("pos") + 1, F.lit(1))  # empty where the word ends
     left = F.expr(f"shiftleft(1L, least({LONG_REST}, length(text) - pos))")
@@ -102,24 +102,48 @@ def _begin(words: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sides)
 
 
-def _advance(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All states one edge further: the edge as it is, or with one edit that makes its label of one, two or no code points more or less."""
-    on = frontier.join(nodes.hint("merge"), "node").select("word", "text", "pos", "edits", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
+def _rest(n=None) -> Column:
+    """Code points of the word from its position on, the first ``n`` of them."""
+    return F.substr("text", F.col("pos") + 1, F.length("text") if n is None else n)
+
+
+def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+    """States without an edit over all edges of their node: as the label is, or with one edit that makes it one, two or no code points more or less."""
+    on = frontier.where("edits = 0").join(nodes.hint("merge"), "node").select("word", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
+    size, left = F.length("label"), F.length("text") - F.col("pos")
+    tail = F.substr("label", F.lit(2))
+    aligned = _rest(F.lit(1)) == _left("label", F.lit(1))
+
+    def edited(k: Column, at_begin: Column) -> Column:
+        """One edit apart; where the first code points differ, the edit can but be there."""
+        return (left >= k) & F.when(aligned, F.levenshtein(_rest(k), "label", 1) == 1).otherwise(at_begin)
+
+    after_first = lambda n: F.substr("text", F.col("pos") + 2, n)
+    moves = (
+        (size, 0, aligned & (_rest(size) == F.col("label"))), (size, 1, edited(size, after_first(size - 1) == tail)),
+        (size + 1, 1, edited(size + 1, after_first(size) == F.col("label"))), (size - 1, 1, edited(size - 1, _rest(size - 1) == tail)),
+    )
+    moves = F.array_compact(F.array(*(F.when(ok, F.struct(k.alias("k"), F.lit(more).alias("more"))) for k, more, ok in moves)))
+    return on.select("word", "text", "pos", F.col("child").alias("node"), "near", "near_n", "starts", "rests", F.inline(moves).alias("k", "edits"))
+
+
+def _edited(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """States whose edit is made over the one edge that begins with the word's next code point."""
+    own = frontier.where("edits = 1").withColumnRenamed("node", "from").withColumn("first", _rest(F.lit(1)))
+    on = own.join(edges.select(F.col("node").alias("from"), "first", "label", F.col("child").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"), "starts", "rests").hint("merge"), ["from", "first"])
     size = F.length("label")
-    rest = F.length("text") - F.col("pos")
-    of = lambda k: F.substr("text", F.col("pos") + 1, k)
-    same = of(size) == F.col("label")
-    one = lambda k: (F.col("edits") == 0) & (rest >= k) & (F.levenshtein(of(k), "label", 1) == 1)  # noqa: E731  one edit at most, so none but the one that the lengths tell
-    moves = F.array(
-        F.when(same, F.struct(size.alias("k"), F.lit(0).alias("more"))),
-        *(F.when(one(k), F.struct(k.alias("k"), F.lit(1).alias("more"))) for k in (size, size + 1, size - 1)),
-    )
-    moved = on.select("word", "text", "pos", "edits", "child", "near", "near_n", "starts", "rests", F.inline(F.array_compact(moves)).alias("k", "more"))
-    moved = moved.withColumns({"pos": F.col("pos") + F.col("k"), "edits": F.col("edits") + F.col("more")})
-    # once the edit is made the rest must follow as it is: its length and its next code point tell at once where it can't
-    rest = F.length("text") - F.col("pos")
-    fits = F.expr(f"getbit(rests, least({LONG_REST}, length(text) - pos)) = 1") & ((rest == 0) | F.contains("starts", F.substr("text", F.col("pos") + 1, F.lit(1))))
-    return moved.where((F.col("edits") == 0) | fits).select("word", "text", "pos", F.col("child").alias("node"), "edits", "near", "near_n")
+    return on.where(_rest(size) == F.col("label")).select("word", "text", "pos", "node", "near", "near_n", "starts", "rests", size.alias("k"), "edits")
+
+
+def _advance(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All states one edge further.
+
+    Once the edit is made the rest must follow as it is: its length and its next
+    code point tell at once where it can't.
+    """
+    moved = _plain(frontier, nodes).unionByName(_edited(frontier, edges)).withColumn("pos", F.col("pos") + F.col("k"))
+    fits = F.expr(f"getbit(rests, least({LONG_REST}, length(text) - pos)) = 1") & ((F.col("pos") == F.length("text")) | F.contains("starts", _rest(F.lit(1))))
+    return moved.where((F.col("edits") == 0) | fits).select("word", "text", "pos", "node", "edits", "near", "near_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -131,10 +155,11 @@ def neighbours(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     with scratch_scope(spark):
         nodes = materialize(trie(words), "trie")
+        edges = materialize(nodes.select("node", F.inline("edges")).withColumn("first", _left("label", F.lit(1))), "edges")
         frontier = _begin(words)
         found = []
         while True:
-            moved = materialize(_advance(frontier, nodes), "frontier")
+            moved = materialize(_advance(frontier, nodes, edges), "frontier")
             done = (F.col("pos") == F.length("text")) & (F.col("edits") == 1) & F.col("near").isNotNull()
             found.append(moved.where(done).select("word", "near", "near_n"))
             # an edit more may still be due at the end of the word, a plain state there is the word itself
@@ -164,12 +189,12 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     Near words differ by exactly one code point inserted, deleted or replaced.  The
     form is the near word of largest ``n`` (ties: smallest in code-point order) if
     that is at least ``ratio`` times the word's; the root is where following the
-    forms ends, the word itself without one.  Words of one code point or none have
-    no neighbours here; null words are left out; an empty table gives an empty result.
+    forms ends, the word itself without one.  The empty word has no neighbours; null
+    words are left out; an empty table gives an empty result.
     """
     words = materialize(words.where("word is not null").select("word", "n"), "words")
     # the most frequent neighbour, ties by code points: strings are ordered by UTF-8, which is that order
-    pairs = neighbours(words.where(F.length("word") > 1)).distinct()
+    pairs = neighbours(words.where("word <> ''")).distinct()
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near"))).alias("best"))
     found = words.join(best, "word", "left").withColumn("form_n", -F.col("best.minus"))
     formed = F.col("form_n") >= ratio * F.col("n")
