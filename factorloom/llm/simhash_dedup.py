@@ -14,9 +14,10 @@ fingerprints within 4 bits differ in at most 2 within one of the quarters of the
 other half, and quarters have anchors of their own, of a Hamming code of length 15.
 
 Fingerprints of several words reach farther: ``bits_apart`` of a similarity is the
-expected number of differing bits, and texts link up to it.  There the covering
-leaves out pairs that differ in more than 2 bits within every half (and share no
-anchor at 3 or 4 by chance); the tests measure what is found.
+expected number of differing bits and some deviations more, and texts are candidates
+up to it.  There the covering leaves out pairs that differ in more than 2 bits within
+every half (and share no anchor at 3 or 4 by chance); the tests measure what is found.
+Candidates link if the sets of their shingles have the similarity asked for, exactly.
 
 Fingerprints are distinct before that, so copies cost nothing, and every anchor
 gives back a spanning forest of its links, not its pairs.
@@ -42,12 +43,14 @@ SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
 CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
 
 
-def bits_apart(similarity: float, n_words: int) -> int:
-    """Bits in which fingerprints of ``n_words`` times 64 bits of two equally long texts of that Jaccard similarity differ.
+def bits_apart(similarity: float, n_words: int, spare: float = 0.0) -> int:
+    """Bits in which fingerprints of ``n_words`` times 64 bits of two equally long texts of that Jaccard similarity differ,
+    and ``spare`` standard deviations more.
 
     Their shingle vectors have the cosine 2 s / (1 + s), and a bit differs with the share of their angle in a half turn.
     """
-    return int(64 * n_words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * n_words * share + spare * math.sqrt(64 * n_words * share * (1 - share)))
 
 
 def _ones(codes: np.ndarray) -> np.ndarray:
@@ -59,21 +62,26 @@ def _ones(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([sums, rest]).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED, n_words: int = 1) -> bytes:
-    """SimHash of a text's word shingles (XXH64), little-endian: a bit is set where over half the hashes, repeats
-    included, have it.  Words after the first take further hashes mixed from the first."""
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; of the whole sequence where it has fewer words."""
     tokens = text.encode("utf-8").lower().split()  # ASCII letters and ASCII white space only
     if not tokens:
-        return bytes(8 * n_words)
+        return np.zeros(0, "<u8")
     data = b" ".join(tokens)
     h = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = [h(data, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [h(data[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    codes = np.array(hashes, "<u8")
+        return np.array([h(data, seed)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([h(data[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED, n_words: int = 1) -> bytes:
+    """SimHash of a text's word shingles (XXH64), little-endian: a bit is set where over half the hashes, repeats
+    included, have it.  Words after the first take further hashes mixed from the first."""
+    codes = shingle_hashes(text, words, seed)
+    if not len(codes):
+        return bytes(8 * n_words)
     out = []
     for k in range(n_words):
         ones = np.zeros(64, np.int64)
@@ -221,19 +229,56 @@ def _forest(anchor, ids, fp, threshold) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
 
-def simhash_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
+def similar_links(links: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The ``links`` whose documents' shingle sets have that Jaccard similarity; two texts without words are equal.
+
+    Sets are made for the linked documents alone, and travel once for each link.
+    Of documents that repeat an id, one such pair is enough.
+    """
+    links = materialize(links.where("u <> v").distinct(), "candidates")
+    ids = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
+    linked = MembershipFilter(ids, "doc_id", ids.count()).apply(texts_of(docs.where("doc_id is not null")), "doc_id")
+
+    def sets(batches):
+        for batch in batches:
+            made = [np.unique(shingle_hashes(v.as_py(), words)).tobytes() for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "hashes"])
+
+    own = materialize(linked.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary"), "shingle-sets")
+    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}")).hint("merge")
+    both = links.join(side("u"), "u").join(side("v"), "v")
+
+    def compare(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
+                a, b = (np.frombuffer(s.as_py(), "<u8") for s in (x, y))
+                shared = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+                near.append(shared >= similarity * (len(a) + len(b) - shared))
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+
+    return both.mapInArrow(compare, "u long, v long").distinct()
+
+
+def simhash_components(
+    docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1, similarity: float | None = None
+) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits a word), ``component_id`` for every row of ``docs`` with a ``doc_id``.
 
     Null, empty and white-space texts have fingerprint zero, which links like any
     other.  ``component_id`` is the smallest ``doc_id`` that chains of links
-    reach.  Rows with a null ``doc_id`` are left out; repeated rows come back
-    each.
+    reach.  With ``similarity``, links of different fingerprints count only if the
+    texts have that Jaccard similarity of their shingles.  Rows with a null
+    ``doc_id`` are left out; repeated rows come back each; an empty table gives an
+    empty result.
     """
     if n_words == 1 and not 0 <= threshold <= 4:
         raise ValueError("the halves and the code cover thresholds up to 4; take more words for more")
     rows = materialize(fingerprints(docs.where("doc_id is not null"), words, n_words), "fingerprints")
     points = materialize(rows.groupBy("fp", "words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
-    parts = connected_components(links_at_anchors(points, threshold, n_words))
+    links = links_at_anchors(points, threshold, n_words)
+    parts = connected_components(links if similarity is None else similar_links(links, docs, similarity, words))
     points = points.join(parts, points["id"] == parts["node"], "left")
     points = points.select("fp", "n", F.coalesce("component", "id").alias("component_id"))
     out = join_skewed(rows, points, "fp", "n", rows.count())
@@ -241,13 +286,14 @@ def simhash_components(docs: DataFrame, threshold: int = THRESHOLD, words: int =
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_WORDS, n_words: int = 1, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest ``doc_id``.
 
-    Rows with a null ``doc_id`` stay.
+    Rows with a null ``doc_id`` stay; rows that repeat a removed ``doc_id`` all go,
+    those that repeat a kept one all stay.  Null and empty texts are one group.
     """
     with scratch_scope(docs.sparkSession):
-        found = simhash_components(docs, threshold, words, n_words)
+        found = simhash_components(docs, threshold, words, n_words, similarity)
         gone = result(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return with_edits(docs, gone.withColumn("__gone", F.lit(True)), "__gone").where("__gone is null").drop("__gone")
 

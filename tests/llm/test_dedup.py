@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, with_edits
+from factorloom.llm.common import materialize, MembershipFilter, connected_components, join_skewed, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import bucket_bits, drop_lines, line_dedup, within_edits, repeated_prefixes
@@ -416,6 +416,57 @@ def test_near_copies_at_a_similarity(spark):
     assert rate(0.95, 2) > 0.97 and rate(0.88, 0.95) > 0.8 and rate(0, 0.7) < 0.25
 
 
+def test_near_copies_are_verified(spark):
+    """Links at a Jaccard similarity of 0.8 by five words: nine of ten pairs in [0.80, 0.88), nearly all above, none below."""
+    random.seed(10)
+    words = ["w%d" % k for k in range(5000)]
+    pairs, similarity = [], {}
+    for i in range(330):
+        base = random.choices(words, k=random.choice([150, 400, 900]))
+        other, n = list(base), len(base)
+        for k in random.sample(range(n), 1 + int(n * random.uniform(0, 0.035))):
+            other[k] = "v%d" % random.randrange(10**6)
+        a, b = ({tuple(x[k : k + 5]) for k in range(n - 4)} for x in (base, other))
+        similarity[i] = len(a & b) / len(a | b)
+        pairs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    found = simhash_components(documents(spark, pairs), bits_apart(0.8, 4, 2.2), 5, 4, similarity=0.8)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    linked = {i: got[2 * i] == got[2 * i + 1] for i in similarity}
+    part = lambda lo, hi: [linked[i] for i, s in similarity.items() if lo <= s < hi]
+    assert not any(part(0, 0.8)) and len(part(0.7, 0.8)) > 20
+    assert np.mean(part(0.8, 0.88)) >= 0.9 and len(part(0.8, 0.88)) > 40
+    assert np.mean(part(0.88, 2)) > 0.98
+
+
+def test_verified_near_copies_of_odd_texts(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    pairs = [(1, "a b c"), (2, "A b  c"), (3, None), (4, ""), (5, " "), (6, "a b d"), (None, "a b c"), (7, long), (8, long + " end"), (1, "a b c"), (7, "something else")]
+    found = simhash_components(documents(spark, pairs), bits_apart(0.8, 4, 2.2), 5, 4, similarity=0.8).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (7, 7), (8, 7)]
+    assert simhash_components(documents(spark, []), 40, 5, 4, similarity=0.8).count() == 0
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and empty tables through all stages, one after the other."""
+    import corpus_pipeline
+
+    line = "this line of the document is long enough to be looked at by all stages of the pipeline"
+    rows = [(k, f"{line} number {k} {k * k}\n" + " ".join(f"w{k}x{j}" for j in range(60)), "en", "s", 1, 7) for k in range(40)]
+    rows += [(100, None, None, None, None, None), (101, "", "en", "s", 0, 1), (None, line, "en", "s", 1, 1), (3, rows[3][1], "en", "s", 1, 1), (102, rows[4][1], "en", "s", 1, 1), (103, "\n\n \n", "en", "s", 3, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long"
+    sf = str(tmp_path)
+    for name, docs in (("some", rows), ("none", [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"{sf}/{name}/documents.parquet")
+        spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(40)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/{name}/labels.parquet")
+    kept = spark.read.parquet(f"{sf}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, materialize(stage(spark, kept, f"{sf}/some"), "stage")
+        assert kept.columns == before.columns and 0 < kept.count() <= before.count()
+    packed = corpus_pipeline.packing(spark, kept, f"{sf}/some").collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
+    assert corpus_pipeline.run(spark, f"{sf}/none").count() == 0
+
+
 # ---- embeddings
 
 
