@@ -61,8 +61,21 @@ def ndcg(df: DataFrame, at=(10, 30, 50), score: str = "score", grade: str = "gra
     return rows.groupBy("date").agg(*(F.try_divide(gain("p", k), gain("q", k)).alias(f"ndcg_{k}") for k in at))
 
 
+IMPROVED = ("mean_ic", "icir")
+
+
+def task_metrics(analysis: DataFrame, ic: DataFrame) -> DataFrame:
+    """``task, metric, value``: mean IC, ICIR (also annual), t, positive share, mean spread and its Sharpe ratio of each factor,
+    from its rows of ``analyze``'s result and of ``ic_summary``'s, over one return."""
+    names = {"ic_mean": "mean_ic", "icir": "icir", "icir_annual": "icir_annual", "t_stat": "t_stat", "positive_ratio": "ic_positive_ratio"}
+    left = ic.select(F.col("factor").alias("task"), *(F.col(c).alias(n) for c, n in names.items()))
+    both = left.join(analysis.select(F.col("factor").alias("task"), "spread_mean", F.col("sharpe").alias("spread_sharpe")), "task", "left")
+    return both.unpivot(["task"], [*names.values(), "spread_mean", "spread_sharpe"], "metric", "value")
+
+
 def compare(results: DataFrame, baseline: str) -> DataFrame:
-    """``task, metric, value, improvement`` in per cent over the baseline's value of the metric."""
-    base = results.where(F.col("task") == baseline).select("metric", F.col("value").alias("base"))
-    change = F.try_divide(F.col("value") - F.col("base"), F.abs("base")) * 100
-    return results.join(F.broadcast(base), "metric", "left").withColumn("improvement", change).drop("base")
+    """``task, metric, value, improvement``: by how many per cent a task's absolute IC and ICIR exceed the baseline's."""
+    base = results.where((F.col("task") == baseline) & F.col("metric").isin(*IMPROVED)).select("metric", F.abs("value").alias("base"))
+    change = F.try_divide(F.abs("value") - F.col("base"), F.col("base")) * 100
+    out = results.join(F.broadcast(base), "metric", "left")
+    return out.withColumn("improvement", F.when(F.col("task") != baseline, change)).drop("base")

@@ -8,11 +8,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.windows import average_rank, corr_of, wt, wt_last
-from factorloom.operators.evaluation import bucket_of, inner_edges
+from factorloom.operators import rules
+from factorloom.operators.evaluation import bucket_of
+from factorloom.operators.order import exact_quantiles, with_ranks
 from factorloom.operators.splits import numbered_dates
 
 
@@ -99,15 +101,15 @@ def best_component(states: DataFrame, components: list[str], r: str) -> DataFram
     """One row ``component, ic, direction``: the largest absolute rank correlation of the lagged state with the return."""
     lagged = states.where("phase = 'train'").select(F.col(r).alias("y"), *(F.lag(c).over(wt()).alias(c) for c in components))
     long = lagged.unpivot(["y"], components, "component", "x").where("x is not null and y is not null")
-    long = long.withColumns({"rx": average_rank("x", ["component"]), "ry": average_rank("y", ["component"])})
-    rows = long.groupBy("component").agg(corr_of("rx", "ry").alias("ic"))
+    rows = with_ranks(with_ranks(long, "x", ["component"], "rx"), "y", ["component"], "ry").groupBy("component").agg(corr_of("rx", "ry").alias("ic"))
     return rows.orderBy(F.desc(F.abs("ic")), "component").limit(1).withColumn("direction", F.signum("ic").cast("int"))
 
 
 def strength_threshold(states: DataFrame, components: list[str], r: str, share: float = 0.6) -> DataFrame:
     """``best_component`` with ``threshold``: that quantile of the component times its direction on the training rows."""
     long = states.where("phase = 'train'").unpivot(["date", "ticker"], components, "component", "x")
-    cuts = long.groupBy("component").agg(F.percentile("x", share).alias("up"), F.percentile(-F.col("x"), share).alias("down"))
+    cuts = exact_quantiles(long, "x", ["component"], [share, 1 - share], "q")
+    cuts = cuts.select("component", F.col("q")[0].alias("up"), (-F.col("q")[1]).alias("down"))
     threshold = F.when(F.col("direction") < 0, F.col("down")).otherwise(F.col("up")).alias("threshold")
     return best_component(states, components, r).join(cuts, "component").select("component", "ic", "direction", threshold)
 
@@ -126,9 +128,9 @@ def regime_signal(labelled: DataFrame, selected: DataFrame, best: DataFrame, com
 def component_power(states: DataFrame, components: list[str], r: str, q: int = 5) -> DataFrame:
     """``component, ic, bucket, n, mean_ret``: rank correlation of the first five components, quantile returns of the best."""
     long = states.unpivot([r], components[:5], "component", "x").withColumnRenamed(r, "y").where("x is not null and y is not null")
-    ranks = long.withColumns({"rx": average_rank("x", ["component"]), "ry": average_rank("y", ["component"])})
-    ics = ranks.groupBy("component").agg(corr_of("rx", "ry").alias("ic"), inner_edges("x", q).alias("_e"))
-    best = ics.orderBy(F.desc(F.abs("ic")), "component").limit(1)
+    ranks = with_ranks(with_ranks(long, "x", ["component"], "rx"), "y", ["component"], "ry")
+    best = ranks.groupBy("component").agg(corr_of("rx", "ry").alias("ic")).orderBy(F.desc(F.abs("ic")), "component").limit(1)
+    best = best.join(exact_quantiles(long, "x", ["component"], [k / q for k in range(1, q)], "_e"), "component")
     rows = long.join(F.broadcast(best), "component").withColumn("bucket", bucket_of("x", F.col("_e")))
     return rows.groupBy("component", "ic", "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("mean_ret"))
 
@@ -218,7 +220,7 @@ def cost_scenarios(df: DataFrame, r: str = "ret", scenarios=((0.0, 0.0), (0.001,
 def ranking_power(df: DataFrame, x: str, r: str = "fwd", q: int = 5) -> DataFrame:
     """``bucket, n, mean_ret`` of the state's quantiles over all rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(r).isNotNull())
-    edges = rows.agg(inner_edges(x, q).alias("_e"))
+    edges = exact_quantiles(rows, x, [], [k / q for k in range(1, q)], "_e")
     return rows.join(F.broadcast(edges), F.lit(True)).withColumn("bucket", bucket_of(x, F.col("_e"))).groupBy("bucket").agg(F.count("*").alias("n"), F.avg(r).alias("mean_ret"))
 
 
@@ -230,18 +232,43 @@ def state_filter(stats: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def threshold_grid(df: DataFrame, x: str, r: str = "ret", quantiles=(0.6, 0.7, 0.8, 0.9), holds=(1, 3, 5)) -> DataFrame:
-    """``quantile, hold, n, mean_ret``: training thresholds on test rows, signals extended over the holding rows."""
-    cuts = df.where("phase = 'train'").agg(F.percentile(x, list(quantiles)).alias("_c"))
-    out = None
-    base = df.join(F.broadcast(cuts), F.lit(True))
-    for i, p in enumerate(quantiles):
-        on = base.withColumn("_on", F.coalesce((F.col(x) > F.col("_c")[i]).cast("int"), F.lit(0)))
-        for h in holds:
-            lagged = F.coalesce(F.max("_on").over(wt().rowsBetween(-h, -1)), F.lit(0))
-            part = on.withColumn("_s", lagged).where("phase = 'test' and _s = 1").agg(F.count("*").alias("n"), F.avg(r).alias("mean_ret"))
-            part = part.select(F.lit(p).alias("quantile"), F.lit(h).alias("hold"), "n", "mean_ret")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """``quantile, hold, train_return, test_return, train_ratio, test_ratio``: sums of returns while held, shares of rows with a signal.
+
+    A signal is a state (missing: 0) at or above the training rows' quantile, and
+    reaches on to the rows 2 to ``hold`` after it.  A position opens on a signal,
+    earns ``hold`` rows and is closed; then the next signal may open one.  All cells
+    of the grid are one array: a row's signals, and the rows that each cell's
+    position still has to run, in one fold per ticker and part.
+    """
+    cells = [(i, h) for i in range(len(quantiles)) for h in holds]
+    state = F.coalesce(F.col(x).cast("double"), F.lit(0.0))
+    rows = df.where("phase in ('train', 'test')").select("date", F.struct("ticker", "phase").alias("ticker"), state.alias("x"), F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias("r"))
+    cuts = exact_quantiles(rows.where("ticker.phase = 'train'"), "x", [], list(quantiles), "_c")
+    rows = rows.join(F.broadcast(cuts), F.lit(True))
+    rows = rows.withColumn("_on", F.transform("_c", lambda c: (F.col("x") >= c).cast("int"))).drop("_c")
+    ahead = {h: F.collect_list("_on").over(wt().rowsBetween(-h, -2)) for h in holds if h > 1}
+    rows = rows.withColumns({f"_p{h}": c for h, c in ahead.items()})
+
+    def signal(i: int, h: int) -> Column:
+        own = F.get("_on", F.lit(i))
+        return own if h == 1 else F.greatest(own, F.exists(f"_p{h}", lambda before: F.get(before, F.lit(i)) == 1).cast("int"))
+
+    rows = rows.withColumn("on", F.array(*(signal(i, h) for i, h in cells)))
+    hold = F.array(*(F.lit(h) for _, h in cells))
+
+    def step(state: Column, row: Column) -> Column:
+        left = F.transform(F.arrays_zip(state["left"], row["on"].alias("on"), hold.alias("hold")), lambda c: F.when(c["left"] > 1, c["left"] - 1).when(c["on"] == 1, c["hold"]).otherwise(0))
+        return F.struct(left.alias("left"))
+
+    none = F.struct(F.array(*(F.lit(0) for _ in cells)).alias("left"))
+    run = rules.fold(rows, ["r", "on"], none, step)  # a cell's number counts the rows it has left, this one included
+    each = F.posexplode(F.arrays_zip(F.col("state.left").alias("left"), F.col("on").alias("on"))).alias("cell", "c")
+    sums = run.select(F.col("ticker.phase").alias("phase"), "r", each).groupBy("cell").agg(
+        *(F.sum(F.when((F.col("phase") == p) & (F.col("c.left") > 0), F.col("r")).otherwise(0.0)).alias(f"{p}_return") for p in ("train", "test")),
+        *(F.avg(F.when(F.col("phase") == p, F.col("c.on").cast("double"))).alias(f"{p}_ratio") for p in ("train", "test")),
+    )
+    at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("cell") + 1)
+    return sums.select(at([quantiles[i] for i, _ in cells]).alias("quantile"), at([h for _, h in cells]).alias("hold"), "train_return", "test_return", "train_ratio", "test_ratio")
 
 
 def yearly(df: DataFrame, r: str = "ret") -> DataFrame:

@@ -83,11 +83,10 @@ _CUT = LONG + ", c as (select date, factor, quantile_cont(value, 0.01) as lo, qu
 _WINS = _CUT + ", wins as (select l.date, l.ticker, l.industry, l.market_cap, l.factor, case when n >= 3 and value is not null then least(greatest(value, lo), hi) else value end as value from long l join c on l.date = c.date and l.factor = c.factor)"
 _STD = _WINS + """, st as (select date, factor, avg(value) as m, stddev_samp(value) as s, count(value) as n, min(value) as a, max(value) as b from wins group by all),
 std as materialized (select w.date, w.ticker, w.industry, w.market_cap, w.factor, case when n >= 3 then case when s > 0 then (value - m) / s else value * 0 end else value end as value from wins w join st on w.date = st.date and w.factor = st.factor)"""
-_NEU = """, ok as materialized (select *, ln(market_cap) as lx, coalesce(industry, '?') as ind from {0} where value is not null and market_cap > 0),
-gi as materialized (select date, factor, ind, avg(value) as my, avg(lx) as mx from ok group by all),
-dm as materialized (select ok.date, ok.ticker, ok.factor, ok.value, ok.value - my as dy, lx - mx as dx from ok join gi on ok.date = gi.date and ok.factor = gi.factor and ok.ind = gi.ind),
-gd as materialized (select date, factor, count(*) as n, sum(dx * dx) as sxx, sum(dx * dy) as sxy from dm group by all),
-neu as (select dm.date, ticker, dm.factor, case when n >= 3 then case when sxx > 1e-18 then dy - sxy / sxx * dx else dy end else value end as value from dm join gd on dm.date = gd.date and dm.factor = gd.factor
+_NEU = """, ok as (select date, ticker, factor, value, ln(market_cap) as lx, coalesce(industry, '?') as ind from {0} where value is not null and market_cap > 0),
+dm as (select date, ticker, factor, value, value - avg(value) over w as dy, lx - avg(lx) over w as dx from ok window w as (partition by date, factor, ind)),
+gd as (select date, ticker, factor, value, dx, dy, count(*) over w as n, sum(dx * dx) over w as sxx, sum(dx * dy) over w as sxy from dm window w as (partition by date, factor)),
+neu as (select date, ticker, factor, case when n >= 3 then case when sxx > 1e-18 then dy - sxy / sxx * dx else dy end else value end as value from gd
   union all select date, ticker, factor, value from {0} where value is null or market_cap is null or market_cap <= 0)"""
 
 
@@ -529,14 +528,21 @@ def p4_split_by_position(spark, d):
 # ---- selection
 
 
+_CLEANED = {"roc_5d": "roc_5d", "vol_20d": "coalesce(vol_20d, 0)", "close_std": "close", "close_var": "close * close", "close_sum": "10 * close", "level": "1e12 * close", "flat": "3.0", "odd_var": "close"}
+
+
 @query(
     q.with_(
-        WIDE + ", p as (select p as feature, v as x from (select roc_5d, vol_20d, price_to_sma_10d from wide) unpivot (v for p in (roc_5d, vol_20d, price_to_sma_10d)))",
-        f"select feature, {q.near('stddev_samp(x)', 5)} as std, case when stddev_samp(x) < 1e-10 then 'constant' when max(abs(x)) > 1e10 then 'magnitude' when abs(skewness(x)) > 15 or abs(kurtosis(x)) > 200 then 'shape' end as reason from p group by 1",
+        WIDE + ", k as (select " + ", ".join(f"{e}::double as {c}" for c, e in _CLEANED.items()) + f" from wide), p as (select feature, x from k unpivot include nulls (x for feature in ({', '.join(_CLEANED)})))",
+        f"""select feature, {q.near('stddev_samp(x)', 2)} as std, case when count(x) < count(*) then 'non-finite' when stddev_samp(x) < 1e-10 then 'constant' when abs(avg(x)) > 1e10 or stddev_samp(x) > 1e10 then 'magnitude' when feature like '%\\_sum' escape '\\' then 'window sum'
+  when feature = 'close_var' then 'variance beside deviation' when abs(skewness(x)) > 15 or abs(kurtosis(x)) > 200 then 'shape' end as reason from p where feature <> 'level' group by 1
+union all select 'level', null, 'magnitude'""",
     )
 )
 def k1_clean_features(spark, d):
-    return rounded(selection.unusable(wide(spark, d), FACTORS), std=5).select("feature", "std", "reason")
+    rows = wide(spark, d).select(*(F.expr(e).cast("double").alias(c) for c, e in _CLEANED.items()))
+    out = selection.unusable(rows, list(_CLEANED))
+    return out.select("feature", F.when(F.col("feature") != "level", near("std", 2)).alias("std"), "reason")
 
 
 @query(q.with_(WIDE, " union all ".join(f"select '{f}' as feature, {q.near(f'var_pop(coalesce({f}, 0))', 5)} as variance from wide having var_pop(coalesce({f}, 0)) > 0.01" for f in FACTORS)))

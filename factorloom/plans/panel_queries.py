@@ -280,45 +280,66 @@ def j8_index_history(spark, d):
 
 @query(
     q.with_(
-        f"{q.PANEL}, r as (select *, close / lag(close) over ({q.T}) - 1 as ret1 from panel)",
-        f"""select 'close' as feature, count(*) as n, {q.near('avg(cast(close is null as int))')} as missing,
-  {q.near("avg(cast(close < (select quantile_cont(close, 0.01) from r) or close > (select quantile_cont(close, 0.99) from r) as int))")} as extreme from r
-union all select 'ret1', count(*), {q.near('avg(cast(ret1 is null as int))')},
-  {q.near("avg(cast(coalesce(ret1 < (select quantile_cont(ret1, 0.01) from r) or ret1 > (select quantile_cont(ret1, 0.99) from r), false) as int))")} from r""",
+        f"""{q.PANEL}, r as (select *, close / lag(close) over ({q.T}) - 1 as ret1 from panel), f as (select feature, x from (select close, ret1 from r) unpivot include nulls (x for feature in (close, ret1))),
+c as (select feature, quantile_cont(x, 0.01) as a, quantile_cont(x, 0.99) as b from f group by 1),
+s as (select feature, count(*) as n, avg(cast(x is null as int)) as missing, avg(cast(coalesce(x < a or x > b, false) as int)) as extreme from f join c using (feature) group by 1)""",
+        f"select feature, n, {q.near('missing')} as missing, {q.near('extreme')} as extreme, concat_ws(',', case when missing > 0.005 then 'missing' end, case when extreme > 0.021 then 'extreme' end) as flags from s",
     )
 )
 def a1_column_quality(spark, d):
     from factorloom.operators.factors import staged
 
-    rows = quality.column_quality(staged(src.panel(spark, d)), ["close", "ret1"])
-    return rows.select("feature", "n", near("missing").alias("missing"), near("extreme").alias("extreme"))
+    rows = quality.red_flags(quality.column_quality(staged(src.panel(spark, d)), ["close", "ret1"]), 0.005)
+    return rows.select("feature", "n", near("missing").alias("missing"), near("extreme").alias("extreme"), "flags")
 
 
-@query(
-    q.with_(
-        f"""{q.BARS}, planted as (select date, ticker from bars union all select date, ticker from bars where ticker % 7 = 0),
-k as (select sum(n - 1)::bigint as duplicate_keys from (select count(*) as n from planted group by date, ticker)),
-g as (select max(gap)::int as largest_gap from (select date_diff('day', lag(date) over (order by date), date) as gap from (select distinct date from planted)))""",
-        "select duplicate_keys, largest_gap, case when duplicate_keys > 0 or largest_gap > 15 then 'WARNING' else 'PASS' end as status from k, g",
-    )
-)
+_SHARES = f"""rw as (select *, close / lag(close) over ({q.T}) - 1 as chg from {{0}}),
+ct as (select count(*) as n, sum(tradable_flag)::bigint as tradable, count(*) filter (volume = 0) as suspended, count(*) filter (chg > 0.095) as limit_up, count(*) filter (chg < -0.095) as limit_down from rw),
+kd as (select sum(k - 1)::bigint as duplicate_keys from (select count(*) as k from {{0}} group by date, ticker)), gp as (select max(g)::int as largest_gap from (select date_diff('day', lag(date) over (order by date), date) as g from (select distinct date from {{0}}))),
+fl as (select *, concat_ws(',', case when duplicate_keys / n > 0.01 then 'duplicates' end, case when tradable / n < 0.7 then 'tradable' end, case when largest_gap > 15 then 'gap' end) as flags from ct, kd, gp)"""
+_SHARES_OUT = f"select n, duplicate_keys, largest_gap, tradable, suspended, limit_up, limit_down, {q.near('tradable / n')} as tradable_share, {q.near('suspended / n')} as suspended_share, {q.near('(limit_up + limit_down) / n')} as limit_share, flags, case when flags <> '' then 'WARNING' else 'PASS' end as status from fl"
+
+
+def _panel_quality(rows):
+    out = quality.panel_quality(rows)
+    shares = ("tradable_share", "suspended_share", "limit_share")
+    return out.select("n", "duplicate_keys", "largest_gap", "tradable", "suspended", "limit_up", "limit_down", *(near(c).alias(c) for c in shares), "flags", "status")
+
+
+def _flagged(spark, d):
+    return src.bars(spark, d).withColumns({"tradable_flag": (F.col("ticker") % 3 != 0).cast("int"), "volume": F.when(F.col("ticker") % 11 == 0, 0.0).otherwise(F.col("volume"))})
+
+
+_FLAGGED = f"{q.BARS}, flagged as (select date, ticker, close, cast(ticker % 3 <> 0 as int) as tradable_flag, case when ticker % 11 = 0 then 0 else volume end as volume from bars)"
+
+
+@query(q.with_(f"{_FLAGGED}, planted as (select * from flagged union all select date, ticker, null, tradable_flag, volume from flagged where ticker % 7 = 0), " + _SHARES.format("planted").replace("close / lag(close)", "null / lag(close)"), _SHARES_OUT))
 def a1_panel_quality(spark, d):
-    bars = src.bars(spark, d)
-    return quality.panel_quality(bars.unionByName(bars.where("ticker % 7 = 0")))
+    """A third of the names untradable, some suspended, and a seventh of all keys repeated; no prices, so no limit moves."""
+    rows = _flagged(spark, d).drop("close")
+    return _panel_quality(rows.unionByName(rows.where("ticker % 7 = 0")))
+
+
+@query(q.with_(f"{_FLAGGED}, " + _SHARES.format("flagged"), _SHARES_OUT))
+def a1_panel_quality_of_bars(spark, d):
+    return _panel_quality(_flagged(spark, d))
 
 
 @query(
     q.with_(
-        f"{q.BARS}, g as (select date, date_diff('day', lag(date) over (order by date), date) as gap from (select distinct date from bars)), k as (select count(*) as n from bars group by date, ticker)",
-        "select (select sum(n - 1)::bigint from k) as duplicate_keys, (select max(gap)::int from g) as largest_gap, case when (select sum(n - 1) from k) > 0 or (select max(gap) from g) > 15 then 'WARNING' else 'PASS' end as status",
+        f"{q.BARS}, fr as (select *, lead(close, 5) over ({q.T}) / close - 1 as f5, case when ticker % 4 = 0 then close end as fin from bars), l10 as (select f5 from fr order by date desc, ticker desc limit 10), m as (select (avg(cast(close is null as int)) + avg(cast(volume is null as int))) / 2 as core, avg(cast(fin is null as int)) as fin from fr), tk as (select count(*) > count(f5) as k from l10)",
+        f"select k as tail_kept, {q.near('core')} as core_missing, {q.near('fin')} as financial_missing, core < 0.01 and fin < 0.35 as features_valid, true as time_ordered, k and core < 0.01 and fin < 0.35 as passed from m, tk",
     )
 )
-def a1_panel_quality_of_bars(spark, d):
-    return quality.panel_quality(src.bars(spark, d))
+def a2_pit_validation(spark, d):
+    """Three quarters of a financial column missing: too much; the other checks pass."""
+    rows = src.bars(spark, d).withColumns({"future_return_5d": labels.forward_return(5), "fin": F.when(F.col("ticker") % 4 == 0, F.col("close"))})
+    out = quality.pit_validation(rows, "future_return_5d", ["close", "volume"], ["fin"])
+    return out.select("tail_kept", near("core_missing").alias("core_missing"), near("financial_missing").alias("financial_missing"), "features_valid", "time_ordered", "passed")
 
 
 @query(q.with_(q.BARS, f"select bool_and(n = least(5, total)) as tail_ok from (select ticker, count(*) as total, count(*) - count(r) as n from (select ticker, lead(close, 5) over ({q.T}) as r from bars) group by 1)"))
-def a2_pit_validation(spark, d):
+def a2_pit_tail(spark, d):
     return quality.pit_tail(labels.future_returns(src.bars(spark, d)), "future_return_5d", 5)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from factorloom.functions.windows import near, rolling, wt
@@ -11,7 +12,8 @@ from factorloom.operators import models
 from factorloom.operators import portfolio as pf
 from factorloom.operators import regimes as rg
 from factorloom.plans import sql as q
-from factorloom.plans.evaluation_queries import FACTORS, WIDE, rounded, wide
+from factorloom.operators.evaluation import analyze, daily_ic, ic_summary
+from factorloom.plans.evaluation_queries import _ALL, FACTORS, LEAST, WIDE, pairs, rounded, wide
 from factorloom.sources import panel as src
 from factorloom.sources.scratch import new_folder, path_of, written
 from factorloom.streaming import quotes as st
@@ -321,23 +323,30 @@ def h5_state_filter(spark, d):
     return rounded(rg.state_filter(rg.cluster_returns(_clusters(spark, d, (3, 4, 5))[0], "r1")), train_ret=5, test_ret=5)
 
 
-_GRID = _SIG + """, nd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from sig)),
-ph as (select sig.*, case when i <= floor(nd.n * 0.8) - 5 then 'train' when i > floor(nd.n * 0.8) then 'test' end as phase from sig join nd using (date) where i <= floor(nd.n * 0.8) - 5 or i > floor(nd.n * 0.8)),
-ct as (select quantile_cont(state, [0.6, 0.7, 0.8, 0.9]) as c from ph where phase = 'train')"""
+_WK = "partition by ticker, phase, p order by date"
+_GRID = (
+    "recursive " + _SIG + """, nd as (select date, row_number() over (order by date) as i, count(*) over () as n from (select distinct date from sig)),
+ph as (select ticker, date, coalesce(state, 0) as x, coalesce(ret, 0) as r, case when i <= floor(nd.n * 0.8) - 5 then 'train' when i > floor(nd.n * 0.8) then 'test' end as phase from sig join nd using (date) where i <= floor(nd.n * 0.8) - 5 or i > floor(nd.n * 0.8)),
+ct as (select unnest([0.6, 0.7, 0.8, 0.9]) as p, unnest(quantile_cont(x, [0.6, 0.7, 0.8, 0.9])) as c from ph where phase = 'train'),
+og as (select ticker, phase, date, r, p, cast(x >= c as int) as o from ph, ct),
+lg as materialized (select *, row_number() over (partition by ticker, phase, p, h order by date) as i from ("""
+    + " union all ".join(f"select *, {h} as h, {'o' if h == 1 else f'greatest(o, coalesce(max(o) over ({_WK} rows between {h} preceding and 2 preceding), 0))'} as on_ from og" for h in (1, 3, 5))
+    + """)), st as (select ticker, phase, p, h, r, i, on_, case when on_ = 1 then h else 0 end as lft from lg where i = 1
+  union all select l.ticker, l.phase, l.p, l.h, l.r, l.i, l.on_, case when s.lft > 1 then s.lft - 1 when l.on_ = 1 then l.h else 0 end
+  from st s join lg l on l.ticker = s.ticker and l.phase = s.phase and l.p = s.p and l.h = s.h and l.i = s.i + 1)"""
+)
 
 
 @query(
     q.with_(
         _GRID,
-        " union all ".join(
-            f"select {p} as quantile, {h} as hold, count(*) as n, {q.near('avg(ret)')} as mean_ret from (select *, coalesce(max(cast(coalesce(state > c[{k + 1}], false) as int)) over ({q.T} rows between {h} preceding and 1 preceding), 0) as s from ph, ct) where phase = 'test' and s = 1"
-            for k, p in enumerate((0.6, 0.7, 0.8, 0.9)) for h in (1, 3, 5)
-        ),
+        "select p::double as quantile, h as hold, " + ", ".join(f"{q.near(f"sum(case when phase = '{x}' and lft > 0 then r else 0 end)", 4)} as {x}_return, {q.near(f"avg(case when phase = '{x}' then on_ end)")} as {x}_ratio" for x in ("train", "test"))
+        + " from st group by 1, 2",
     )
-)
+)
 def h6_threshold_grid(spark, d):
     rows = rg.threshold_grid(rg.phases(_signal(spark, d)), "state")
-    return rounded(rows, mean_ret=6)
+    return rounded(rows, train_return=4, test_return=4, train_ratio=6, test_ratio=6)
 
 
 @query(q.with_(_SIG + f", h as (select *, coalesce(lag(signal) over ({q.T}), 0) as h from sig)", f"select year(date)::int as year, count(*) as n, {q.near('avg(ret)')} as mean_ret, {q.near('avg(case when h > 0 then ret end)')} as signal_ret, avg(case when h > 0 then ret end) > avg(ret) as better from h group by 1"))
@@ -348,15 +357,18 @@ def h7_yearly(spark, d):
 # ---- models
 
 
-def _train_valid(spark, d):
-    rows = rg.phases(wide(spark, d), 0.7)
-    data = models.vectors(rows, FACTORS, "r5").select("date", "ticker", "phase", "features", "label")
-    return data.where("phase = 'train'").cache(), data.where("phase = 'test'").cache()
+def _train_valid(spark, d, ranks=False):
+    rows, label = rg.phases(wide(spark, d), 0.7), "r5"
+    if ranks:
+        rows, label = lab.rank_labels(rows, "r5", "uniform", LEAST), "rank_label"
+    data = models.vectors(rows, FACTORS, label).select("date", "ticker", "phase", "features", "label")
+    data = written(data.withColumn("features", vector_to_array("features")), "vectors").withColumn("features", array_to_vector("features"))
+    return data.where("phase = 'train'"), data.where("phase = 'test'")
 
 
-def _model_errors(fit):
+def _model_errors(fit, ranks=False):
     def run(spark, d):
-        train, valid = _train_valid(spark, d)
+        train, valid = _train_valid(spark, d, ranks)
         return rounded(models.errors(fit(train, valid), {"train": train, "valid": valid}), mse=3, mae=4)
 
     return run
@@ -365,6 +377,7 @@ def _model_errors(fit):
 QUERIES["m1_ridge"] = _model_errors(lambda train, valid: models.ridge(train))
 QUERIES["m2_forest"] = _model_errors(lambda train, valid: models.forest(train, 10, 5))
 QUERIES["m3_boosted"] = _model_errors(lambda train, valid: models.boosted(train, valid, 10, 3))
+QUERIES["m3_boosted_ranks"] = _model_errors(lambda train, valid: models.boosted(train, valid, 10, 3), ranks=True)
 
 
 @query()
@@ -383,12 +396,25 @@ def m5_ndcg(spark, d):
     return rounded(models.ndcg(rows), ndcg_10=5, ndcg_30=5, ndcg_50=5)
 
 
-@query(q.with_(WIDE, " union all ".join(f"select '{f}' as task, 'corr' as metric, {q.near(f'corr({f}, r5)', 5)} as value, {q.near(f'(corr({f}, r5) - corr(roc_5d, r5)) / abs(corr(roc_5d, r5)) * 100', 2)} as improvement from wide" for f in FACTORS)))
-def m6_compare_tasks(spark, d):
-    from factorloom.functions.windows import corr_of
+_TASK = _ALL + """, ta as (select s.factor as task, ic_mean as mean_ic, ic_mean / ic_std as icir, ic_mean / ic_std * sqrt(252) as icir_annual, ic_mean / ic_std * sqrt(n) as t_stat, positive_ratio as ic_positive_ratio, spread_mean, spread_mean / spread_std * sqrt(252) as spread_sharpe
+  from summary s left join ss on s.factor = ss.factor and s.ret = ss.ret where s.ret = 'r5')"""
+_METRICS = ("mean_ic", "icir", "icir_annual", "t_stat", "ic_positive_ratio", "spread_mean", "spread_sharpe")
+
 
-    row = wide(spark, d).agg(*(corr_of(f, "r5").alias(f) for f in FACTORS))
-    rows = row.unpivot([], FACTORS, "task", "value").withColumn("metric", F.lit("corr"))
+@query(
+    q.with_(
+        _TASK,
+        " union all ".join(
+            f"select task, '{m}' as metric, {q.near(m, 5)} as value, "
+            + (f"case when task <> 'roc_5d' then {q.near(f"(abs({m}) - (select abs({m}) from ta where task = 'roc_5d')) / nullif((select abs({m}) from ta where task = 'roc_5d'), 0) * 100", 2)} end" if m in ("mean_ic", "icir") else "null::double") + " as improvement from ta"
+            for m in _METRICS
+        ),
+    )
+)
+def m6_compare_tasks(spark, d):
+    """Three predictions of the five rows' return side by side, the first as the baseline."""
+    p = written(pairs(spark, d).where("ret = 'r5'"), "pairs")
+    rows = models.task_metrics(analyze(p, least=LEAST, p=False), ic_summary(daily_ic(p, least=LEAST), p=False))
     return rounded(models.compare(rows, "roc_5d").select("task", "metric", "value", "improvement"), value=5, improvement=2)
 
 

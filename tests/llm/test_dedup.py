@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, MembershipFilter, connected_components, join_skewed, with_edits
+from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, materialize, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import bucket_bits, drop_lines, line_dedup, within_edits, repeated_prefixes
