@@ -24,6 +24,7 @@ from factorloom.llm.common import materialize, result, scratch_scope
 
 MIN_CHARS, MIN_COUNT = 5, 3
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
+STARTS = 63  # bits for code points that may follow
 LONG_REST = 62  # lengths from here on share a bit
 WHOLE = 32  # code points of a node's name that are kept as they are; longer ones end in a digest
 
@@ -34,6 +35,18 @@ def _name(side: Column, prefix: Column) -> Column:
     return F.concat(side, F.when(F.length(prefix) <= WHOLE, prefix).otherwise(long))
 
 
+def _bit_of(character: str) -> str:
+    """SQL of a long with the bit of a code point."""
+    return f"shiftleft(1L, ascii({character}) % {STARTS})"
+
+
+def _fits(k: str) -> Column:
+    """Whether what is left of the word after ``k`` (SQL) more code points may follow at the child: by its length and its next code point."""
+    rest = f"length(text) - pos - ({k})"
+    begins = f"getbit(starts, ascii(substr(text, pos + 1 + ({k}), 1)) % {STARTS}) = 1"
+    return F.expr(f"CASE WHEN {rest} < 0 THEN false ELSE getbit(rests, least({LONG_REST}, {rest})) = 1 AND ({rest} = 0 OR {begins}) END")
+
+
 def _left(text, n) -> Column:
     return F.substr(text, F.lit(1), n)
 
@@ -56,9 +69,9 @@ def _search_begin(side: str, length: Column) -> Column:
 def trie(words: DataFrame) -> DataFrame:
     """``node, edges`` over ``words`` (``word, n``); an edge has ``label, child, word, n, starts, rests``.
 
-    ``word`` and ``n`` are set where a word ends at the child; ``starts`` are the
-    code points that follow there, ``rests`` a bit for each length that may follow
-    (the last for all longer ones).
+    ``word`` and ``n`` are set where a word ends at the child; ``starts`` has a bit
+    for the code points that follow there (some share one), ``rests`` for each
+    length that may follow (the last for all longer ones).
     A word's prefixes count from where searches of words of about its length begin.  Node names start with ``f`` for words as they are and ``r``
     for reversed ones.
     """
@@ -74,7 +87,7 @@ def trie(words: DataFrame) -> DataFrame:
     left = F.expr(f"shiftleft(1L, least({LONG_REST}, length(text) - pos))")
     seen = at.groupBy("node").agg(
         F.min(following).alias("a"), F.max(following).alias("b"), F.bool_or(F.col("pos") == F.col("begin")).alias("begins"),
-        F.array_join(F.collect_set(following), "").alias("starts"), F.bit_or(left).alias("rests"),
+        F.bit_or(F.when(following != "", F.expr(_bit_of("substr(text, pos + 1, 1)")))).alias("starts"), F.bit_or(left).alias("rests"),
     )
     nodes = seen.where("a <> b or a = '' or begins").select("node", "starts", "rests")
     # the nodes on each word's path, and between each two of them an edge
@@ -85,7 +98,7 @@ def trie(words: DataFrame) -> DataFrame:
     ends = F.col("to.pos") == F.length("text")
     edges = edges.select(
         F.col("from.node").alias("node"), F.substr("text", F.col("from.pos") + 1, F.col("to.pos") - F.col("from.pos")).alias("label"), F.col("to.node").alias("child"),
-        F.when(ends, F.col("word")).alias("word"), F.when(ends, F.col("n")).alias("n"), F.struct("to.starts", "to.rests").alias("below"),
+        F.when(ends, F.col("word")).alias("word"), F.when(ends, F.col("n")).alias("n"), F.struct(F.coalesce("to.starts", F.lit(0)).alias("starts"), "to.rests").alias("below"),
     )
     # words that share an edge agree in all but its end, where one word alone can end
     edges = edges.groupBy("node", "child").agg(F.min("label").alias("label"), F.min("word").alias("word"), F.min("n").alias("n"), F.min("below").alias("below"))
@@ -109,19 +122,19 @@ def _rest(n=None) -> Column:
 
 def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     """States without an edit over all edges of their node: as the label is, or with one edit that makes it one, two or no code points more or less."""
-    on = frontier.where("edits = 0").join(nodes.hint("merge"), "node").select("word", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
-    size, left = F.length("label"), F.length("text") - F.col("pos")
+    on = frontier.where("edits = 0").join(nodes.hint("shuffle_hash"), "node").select("word", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
+    size = F.length("label")
     tail = F.substr("label", F.lit(2))
     aligned = _rest(F.lit(1)) == _left("label", F.lit(1))
 
-    def edited(k: Column, at_begin: Column) -> Column:
-        """One edit apart; where the first code points differ, the edit can but be there."""
-        return (left >= k) & F.when(aligned, F.levenshtein(_rest(k), "label", 1) == 1).otherwise(at_begin)
+    def edited(k: str, at_begin: Column) -> Column:
+        """One edit apart; where the first code points differ, the edit can but be there.  What tells most cheaply comes first."""
+        return _fits(k) & F.when(aligned, F.levenshtein(_rest(F.expr(k)), "label", 1) == 1).otherwise(at_begin)
 
     after_first = lambda n: F.substr("text", F.col("pos") + 2, n)
     moves = (
-        (size, 0, aligned & (_rest(size) == F.col("label"))), (size, 1, edited(size, after_first(size - 1) == tail)),
-        (size + 1, 1, edited(size + 1, after_first(size) == F.col("label"))), (size - 1, 1, edited(size - 1, _rest(size - 1) == tail)),
+        (size, 0, aligned & (_rest(size) == F.col("label"))), (size, 1, edited("length(label)", after_first(size - 1) == tail)),
+        (size + 1, 1, edited("length(label) + 1", after_first(size) == F.col("label"))), (size - 1, 1, edited("length(label) - 1", _rest(size - 1) == tail)),
     )
     moves = F.array_compact(F.array(*(F.when(ok, F.struct(k.alias("k"), F.lit(more).alias("more"))) for k, more, ok in moves)))
     return on.select("word", "text", "pos", F.col("child").alias("node"), "near", "near_n", "starts", "rests", F.inline(moves).alias("k", "edits"))
@@ -130,9 +143,9 @@ def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
 def _edited(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """States whose edit is made over the one edge that begins with the word's next code point."""
     own = frontier.where("edits = 1").withColumnRenamed("node", "from").withColumn("first", _rest(F.lit(1)))
-    on = own.join(edges.select(F.col("node").alias("from"), "first", "label", F.col("child").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"), "starts", "rests").hint("merge"), ["from", "first"])
+    on = own.join(edges.select(F.col("node").alias("from"), "first", "label", F.col("child").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"), "starts", "rests").hint("shuffle_hash"), ["from", "first"])
     size = F.length("label")
-    return on.where(_rest(size) == F.col("label")).select("word", "text", "pos", "node", "near", "near_n", "starts", "rests", size.alias("k"), "edits")
+    return on.where(_fits("length(label)") & (_rest(size) == F.col("label"))).select("word", "text", "pos", "node", "near", "near_n", "starts", "rests", size.alias("k"), "edits")
 
 
 def _advance(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,9 +154,8 @@ def _advance(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     Once the edit is made the rest must follow as it is: its length and its next
     code point tell at once where it can't.
     """
-    moved = _plain(frontier, nodes).unionByName(_edited(frontier, edges)).withColumn("pos", F.col("pos") + F.col("k"))
-    fits = F.expr(f"getbit(rests, least({LONG_REST}, length(text) - pos)) = 1") & ((F.col("pos") == F.length("text")) | F.contains("starts", _rest(F.lit(1))))
-    return moved.where((F.col("edits") == 0) | fits).select("word", "text", "pos", "node", "edits", "near", "near_n")
+    moved = _plain(frontier, nodes).unionByName(_edited(frontier, edges))
+    return moved.select("word", "text", (F.col("pos") + F.col("k")).alias("pos"), "node", "edits", "near", "near_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
