@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.tests import p_of_kendall, p_of_ks, p_of_t
 from factorloom.functions.windows import average_rank, corr_of
 from factorloom.operators.labels import forward_return
 from factorloom.operators.order import bounds_of, exact_quantiles, prefix_counts, rank_within, two_sample, with_piece, with_ranks
+from factorloom.sources import versions
 from factorloom.sources.scratch import written
 
 KEYS = ["date", "factor", "ret"]
@@ -236,6 +237,34 @@ def qualified(analysis: DataFrame, least_icir: float = 0.5, most_p: float = 0.05
 
 # ---- factor library: an append-only history, one row a factor and version
 
+LIBRARY = "factor string, status string, ic_mean double, icir double"
+
+
+def add_to_library(candidates: DataFrame, root: str) -> int:
+    """``library_add`` to the library written below ``root``; returns the new version's number, 0 if nothing is new."""
+    return versions.append(candidates.sparkSession, root, LIBRARY, lambda h, v: _new(library_add(_shaped(h), candidates, v), v))
+
+
+def update_library(quality: DataFrame, root: str) -> int:
+    return versions.append(quality.sparkSession, root, LIBRARY, lambda h, v: _new(library_update(_shaped(h), quality, v), v))
+
+
+def remove_from_library(factors: DataFrame, root: str) -> int:
+    return versions.append(factors.sparkSession, root, LIBRARY, lambda h, v: _new(library_remove(_shaped(h), factors, v), v))
+
+
+def library_at(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame:
+    """The library's history as it stood at a version (default: now)."""
+    return _shaped(versions.history(spark, root, LIBRARY, as_of))
+
+
+def _shaped(history: DataFrame) -> DataFrame:
+    return history.select("factor", "version", "status", "ic_mean", "icir")
+
+
+def _new(history: DataFrame, version: int) -> DataFrame:
+    return history.where(F.col("version") == version)
+
 
 def library_state(history: DataFrame) -> DataFrame:
     """The latest row of each factor."""

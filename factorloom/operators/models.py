@@ -17,8 +17,13 @@ def vectors(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def ridge(train: DataFrame, alphas=(0.1, 1.0, 10.0, 100.0), folds: int = 5):
-    """Ridge by cross-validation over ``alphas``; Spark averages and halves the loss, so a penalty is alpha / n."""
-    n = max(1, train.count())
+    """Ridge by cross-validation over ``alphas``, penalties of the sum of squared errors.
+
+    Spark averages the loss, and divides the penalty by the label's deviation; so a
+    penalty is alpha times that deviation over n.
+    """
+    n, sd = train.agg(F.count("*"), F.stddev_pop("label")).first()
+    n = max(1, n) / (sd or 1.0)
     model = LinearRegression(elasticNetParam=0.0, standardization=False)
     grid = ParamGridBuilder().addGrid(model.regParam, [a / n for a in alphas]).build()
     return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, seed=42).fit(train).bestModel

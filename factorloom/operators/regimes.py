@@ -166,17 +166,31 @@ def signal_performance(df: DataFrame, r: str = "ret", cost: float = 0.001, slipp
     )
 
 
+SPARE_DEVIATIONS = 8  # of the number of hashes below a threshold
+
+
 def random_baseline(df: DataFrame, r: str = "ret", sims: int = 100, seed: int = 42) -> DataFrame:
     """``ticker, n_signals, mean_ret, percentile`` of a signal against as many random dates in each simulation.
 
-    The simulation's number is part of the key, and only signal-sized sums are kept.
+    A simulation takes the dates with the smallest hashes of its number and the
+    date.  Hashes are spread evenly, so of a ticker's n dates the k smallest lie
+    below k / n and a few deviations more: only those dates enter the simulation's
+    sort.  Where fewer than k do after all, which has a chance below 1e-14, that
+    simulation is left out of the ticker's percentile.
     """
     rows = df.where(F.col(r).isNotNull())
-    own = rows.groupBy("ticker").agg(F.sum("signal").alias("n_signals"), F.avg(F.when(F.col("signal") == 1, F.col(r))).alias("mean_ret"))
-    many = rows.select("ticker", "date", F.col(r).alias("r"), F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
-    w = Window.partitionBy("ticker", "sim").orderBy(F.xxhash64(F.lit(seed), "sim", "date"))
-    picked = many.withColumn("_k", F.row_number().over(w)).join(own.select("ticker", "n_signals"), "ticker").where("_k <= n_signals")
-    means = picked.groupBy("ticker", "sim").agg(F.avg("r").alias("m"))
+    own = rows.groupBy("ticker").agg(F.sum("signal").alias("n_signals"), F.avg(F.when(F.col("signal") == 1, F.col(r))).alias("mean_ret"), F.count("*").alias("_n"))
+    share = F.col("n_signals") / F.col("_n")
+    below = F.least(F.lit(1.0), share + SPARE_DEVIATIONS * F.sqrt(share * (1 - share) / F.col("_n")) + F.lit(SPARE_DEVIATIONS) / F.col("_n"))
+    known = rows.select("ticker", "date", F.col(r).alias("r")).join(own.select("ticker", "n_signals", below.alias("below")), "ticker")
+    near = F.filter(
+        F.transform(F.sequence(F.lit(1), F.lit(sims)), lambda sim: F.struct(sim.alias("sim"), F.xxhash64(F.lit(seed), sim, F.col("date")).alias("h"))),
+        lambda s: s["h"] < (F.col("below") - 0.5) * 2.0**64,
+    )
+    many = known.where("n_signals > 0").select("ticker", "date", "r", "n_signals", F.inline(near))
+    w = Window.partitionBy("ticker", "sim").orderBy("h")
+    picked = many.withColumn("_k", F.row_number().over(w)).where("_k <= n_signals")
+    means = picked.groupBy("ticker", "sim").agg(F.avg("r").alias("m"), F.count("*").alias("k"), F.max("n_signals").alias("_s")).where("k = _s").drop("k", "_s")
     out = own.join(means, "ticker", "left").groupBy("ticker", "n_signals", "mean_ret")
     return out.agg(F.avg((F.col("m") < F.col("mean_ret")).cast("double")).alias("percentile"))
 

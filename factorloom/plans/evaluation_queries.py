@@ -13,7 +13,7 @@ from factorloom.operators import labels as lab
 from factorloom.plans import sql as q
 from factorloom.operators.screening import correlation_matrix, correlations, screen
 from factorloom.sources import panel as src
-from factorloom.sources.scratch import written
+from factorloom.sources.scratch import new_folder, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -417,19 +417,23 @@ def e13_qualified(spark, d):
 
 @query(
     q.with_(
-        IC + ", hv as (select factor, avg(case when year(date) < 1996 then ic end) as a, avg(case when year(date) >= 1996 then ic end) as b from ic where ret = 'r5' group by 1)",
-        f"select factor, 2::bigint as versions, {q.near('b')} as ic_mean from hv where factor <> 'vol_20d' and a is not null",
+        IC + """, hv as (select factor, avg(case when year(date) < 1996 then ic end) as a, avg(case when year(date) >= 1996 then ic end) as b from ic where ret = 'r5' group by 1),
+st as (select 1 as as_of, factor, 1::bigint as versions, a as m from hv where a is not null union all select 2, factor, 2::bigint, b from hv where a is not null union all select 3, factor, 2::bigint, b from hv where a is not null and factor <> 'vol_20d')""",
+        f"select as_of, factor, versions, {q.near('m')} as ic_mean from st",
     )
 )
 def e17_factor_library(spark, d):
-    """Adds every factor by its IC up to 1995, updates with the IC since, removes one, and reports the active ones."""
-    rows = ic(spark, d).where("ret = 'r5'")
+    """A written library: every factor added by its IC up to 1995, updated with the IC since, one removed; read as of each version."""
+    rows = written(ic(spark, d).where("ret = 'r5'"), "ic")
     quality = lambda part: part.groupBy("factor").agg(F.avg("ic").alias("ic_mean"), (F.avg("ic") / F.stddev_samp("ic")).alias("icir"))
-    history = spark.createDataFrame([], "factor string, version int, status string, ic_mean double, icir double")
-    history = ev.library_add(history, quality(rows.where(F.year("date") < 1996)).withColumn("passed", F.lit(True)), 1)
-    history = ev.library_update(history, quality(rows.where(F.year("date") >= 1996)), 2)
-    history = ev.library_remove(history, spark.createDataFrame([("vol_20d",)], "factor string"), 3)
-    return rounded(ev.library_report(history), ic_mean=6).select("factor", "versions", "ic_mean")
+    root = new_folder(spark, "library")
+    early = quality(rows.where(F.year("date") < 1996)).withColumn("passed", F.lit(True))
+    ev.add_to_library(early, root)
+    ev.add_to_library(early, root)  # nothing new: no version
+    ev.update_library(quality(rows.where(F.year("date") >= 1996)), root)
+    ev.remove_from_library(spark.createDataFrame([("vol_20d",)], "factor string"), root)
+    reports = [ev.library_report(ev.library_at(spark, root, v)).select(F.lit(v).alias("as_of"), "factor", "versions", "ic_mean") for v in (1, 2, 3)]
+    return rounded(reports[0].unionByName(reports[1]).unionByName(reports[2]), ic_mean=6)
 
 
 @query(q.with_(WIDE + f", k as (select date, roc_5d as x, r5 as y from wide where roc_5d is not null and r5 is not null), r as (select date, {q.avg_rank('x', 'date')} as rx, {q.avg_rank('y', 'date')} as ry from k)", f"select date, {q.near('corr(rx, ry)')} as ic, count(*) as n from r group by 1 having count(*) >= 3 and stddev_pop(rx) > 0 and stddev_pop(ry) > 0"))

@@ -13,9 +13,13 @@ def shared_root(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch").rstrip("/")
 
 
+def new_id() -> str:
+    return uuid.uuid4().hex
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{new_id()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -105,6 +105,11 @@ def folder_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    at, fs = _path(spark, folder)
+    fs.mkdirs(at)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     at, fs = _path(spark, folder)
     fs.delete(at, True)

@@ -426,3 +426,66 @@ def test_quantile_labels_are_right_closed(spark, q):
     for _, g in got.groupby("date"):
         assert np.array_equal(g.label.astype(float), cut(g.r).astype(float), equal_nan=True)
     assert np.array_equal(whole.label.astype(float), cut(whole.r).astype(float), equal_nan=True)
+
+
+def test_library_of_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "library")
+    cand = lambda *rows: spark.createDataFrame(list(rows), "factor string, ic_mean double, icir double, passed boolean")
+    assert ev.library_at(spark, root).count() == 0
+    assert ev.add_to_library(cand(("a", 0.1, 1.0, True), ("b", 0.2, 1.0, False)), root) == 1
+    assert ev.add_to_library(cand(("a", 0.3, 1.0, True)), root) == 0  # not new
+    with ThreadPoolExecutor(4) as pool:  # one name by four writers at once, and names of their own
+        numbers = list(pool.map(lambda k: ev.add_to_library(cand(("same", 0.5, 1.0, True), (f"own{k}", 0.4, 1.0, True)), root), range(4)))
+    assert sorted(numbers) == [2, 3, 4, 5]
+    state = {r["factor"]: r for r in ev.library_state(ev.library_at(spark, root)).collect()}
+    assert set(state) == {"a", "same", "own0", "own1", "own2", "own3"}
+    assert ev.library_at(spark, root).where("factor = 'same'").count() == 1
+    assert ev.remove_from_library(cand(("a", 0.0, 0.0, True)).select("factor"), root) == 6
+    assert "a" not in [r["factor"] for r in ev.library_report(ev.library_at(spark, root)).collect()]
+    assert [r["factor"] for r in ev.library_report(ev.library_at(spark, root, 1)).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("share", [2, 7])
+def test_random_baseline_is_its_loop(spark, share):
+    rows = [(t, D[0] + __import__("datetime").timedelta(k), float((k * 37 + t) % 19 - 9) / 100, int(k % share == 0)) for t in range(3) for k in range(60 + 40 * t)]
+    rows += [(9, D[0], 0.5, 0)]  # without a signal
+    df = frame(spark, rows, "ticker long, date date, ret double, signal int")
+    got = {r["ticker"]: r for r in rg.random_baseline(df, sims=30).collect()}
+    hashes = df.select("ticker", "date", "ret", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("sim")).withColumn("h", F.xxhash64(F.lit(42), "sim", "date")).toPandas()
+    for t, g in df.toPandas().groupby("ticker"):
+        n = int(g.signal.sum())
+        assert got[t]["n_signals"] == n
+        if not n:
+            assert got[t]["mean_ret"] is None and got[t]["percentile"] is None
+            continue
+        mean = g.ret[g.signal == 1].mean()
+        sims = [x.nsmallest(n, "h").ret.mean() for _, x in hashes[hashes.ticker == t].groupby("sim")]
+        assert got[t]["mean_ret"] == pytest.approx(mean) and got[t]["percentile"] == pytest.approx(np.mean([m < mean - 1e-15 for m in sims]), abs=0.04)
+
+
+def test_ridge_is_the_closed_form(spark):
+    from factorloom.operators import models
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 3)) * [1, 5, 0.2]
+    y = x @ [1.0, -2.0, 3.0] + 4 + rng.standard_normal(300)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    model = models.ridge(models.vectors(df, ["a", "b", "c"], "y"), alphas=(30.0,))
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + 30 * np.eye(3), xc.T @ yc)
+    assert model.coefficients.toArray() == pytest.approx(w, abs=1e-6)
+    assert model.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ w, abs=1e-6)
+
+
+def test_trees_learn_a_step(spark):
+    from factorloom.operators import models
+
+    rows = [(float(k % 10), float((k * 7) % 13), 5.0 if k % 10 >= 5 else -5.0) for k in range(600)]
+    data = models.vectors(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y")
+    train, valid = data.where("b < 9"), data.where("b >= 9")
+    for model in (models.forest(train, 10, 3), models.boosted(train, valid, 10, 2)):
+        error = {r["split"]: r["mae"] for r in models.errors(model, {"train": train, "valid": valid}).collect()}
+        assert error["valid"] < 2.0
+        assert models.importance_table(spark, model, ["a", "b"]).first()["feature"] == "a"
