@@ -129,13 +129,23 @@ def ma_crossover(panel: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
 
 
 def ma_grid(panel: DataFrame, fast=range(3, 11), slow=(15, 20, 25, 30), days: int = 252) -> DataFrame:
-    """Sharpe of every pair of windows, over all tickers' mean daily return; the pairs are a key of one job."""
-    averages = {n: rolling(F.avg, F.col("close"), n) for n in {*fast, *slow}}
+    """``fast, slow, sharpe, mean_ret`` of every pair of windows, over all tickers' mean daily return, best first.
+
+    A pair holds where the fast mean is above the slow one and has been below it
+    before (else there was no golden cross), with a row's delay.  All pairs are
+    columns of the one pass over a ticker; only their returns, summed up by date in
+    the tasks that made them, are a row a pair.
+    """
+    averages = {n: rolling(F.avg, F.col("close"), n) for n in sorted({*fast, *slow})}
     df = panel.select("date", "ticker", "close", *(c.alias(f"_ma{n}") for n, c in averages.items()))
-    pairs = F.array(*(F.struct(F.lit(a).alias("fast"), F.lit(b).alias("slow"), F.col(f"_ma{a}").alias("f"), F.col(f"_ma{b}").alias("s")) for a in fast for b in slow if a < b))
-    long = df.select("date", "ticker", "close", F.explode(pairs).alias("p")).select("date", "ticker", "close", "p.*")
-    run = crossover(long, "f", "s", ("ticker", "fast", "slow"))
-    daily = run.groupBy("fast", "slow", "date").agg(F.avg("ret").alias("net"))
+    pairs = [(a, b) for a in fast for b in slow if a < b]
+    above = {(a, b): F.col(f"_ma{a}") > F.col(f"_ma{b}") for a, b in pairs}
+    df = df.withColumns({f"_b{a}_{b}": F.max((~c).cast("int")).over(wt_past()) for (a, b), c in above.items()})
+    ret = F.coalesce(F.col("close") / F.lag("close").over(wt()) - 1, F.lit(0.0))
+    held = {(a, b): F.coalesce(F.lag(c & (F.col(f"_b{a}_{b}") == 1)).over(wt()), F.lit(False)) for (a, b), c in above.items()}
+    df = df.select("date", ret.alias("r"), *(h.alias(f"_h{a}_{b}") for (a, b), h in held.items()))
+    cells = F.array(*(F.struct(F.lit(a).alias("fast"), F.lit(b).alias("slow"), F.when(F.col(f"_h{a}_{b}"), F.col("r")).otherwise(0.0).alias("ret")) for a, b in pairs))
+    daily = df.select("date", F.inline(cells)).groupBy("fast", "slow", "date").agg(F.avg("ret").alias("net"))
     sharpe = F.try_divide(F.avg("net"), F.stddev_samp("net")) * days**0.5
     return daily.groupBy("fast", "slow").agg(sharpe.alias("sharpe"), F.avg("net").alias("mean_ret")).orderBy(F.desc("sharpe"), "fast", "slow")
 

@@ -192,7 +192,16 @@ def r13_macd_kd_strategy(spark, d):
     return rounded(pf.macd_kd_strategy(src.bars(spark, d)), ret=6)
 
 
-@query()
+_WINDOWS = [*range(3, 11), 15, 20, 25, 30]
+_GRID14 = f"""{q.BARS}, mg as (select ticker, date, close, {', '.join(f"{q.roll('avg', 'close', n)} as ma{n}" for n in _WINDOWS)} from bars),
+pg as ({' union all '.join(f"select ticker, date, close, {a} as fast, {b} as slow, ma{a} > ma{b} as above from mg" for a in _WINDOWS[:8] for b in _WINDOWS[8:])}),
+sg as (select *, case when above and not lag(above) over w then 1 when not above and lag(above) over w then 0 end as cross_ from pg window w as (partition by fast, slow, ticker order by date)),
+po as (select *, coalesce(last_value(cross_ ignore nulls) over (partition by fast, slow, ticker order by date rows between unbounded preceding and current row), 0) as position from sg),
+rt as (select fast, slow, date, coalesce(lag(position) over w, 0) * coalesce(close / lag(close) over w - 1, 0) as ret from po window w as (partition by fast, slow, ticker order by date)),
+dg as (select fast, slow, date, avg(ret) as net from rt group by all)"""
+
+
+@query(q.with_(_GRID14, f"select fast, slow, {q.near('avg(net) / stddev_samp(net) * sqrt(252)', 5)} as sharpe, {q.near('avg(net)')} as mean_ret from dg group by 1, 2"))
 def r14_ma_grid(spark, d):
     return rounded(pf.ma_grid(src.bars(spark, d)), sharpe=5, mean_ret=6)
 
