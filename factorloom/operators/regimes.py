@@ -16,6 +16,7 @@ from factorloom.operators import rules
 from factorloom.operators.evaluation import bucket_of
 from factorloom.operators.order import exact_quantiles, with_ranks
 from factorloom.operators.splits import numbered_dates
+from factorloom.sources.scratch import written
 
 
 def phases(df: DataFrame, train: float = 0.8, purge: int = 5) -> DataFrame:
@@ -30,7 +31,7 @@ def pca_states(df: DataFrame, columns: list[str], share: float = 0.9) -> tuple[D
 
     As many components as explain ``share``, but at least max(2, f/6) and at most f/3 (and 2).
     """
-    rows = df.dropna(subset=columns).withColumn("_v", array_to_vector(F.array(*columns))).cache()
+    rows = written(df.dropna(subset=columns), "states").withColumn("_v", array_to_vector(F.array(*columns)))
     train = rows.where("phase = 'train'")
     scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(train)
     f = len(columns)
@@ -46,9 +47,7 @@ def pca_states(df: DataFrame, columns: list[str], share: float = 0.9) -> tuple[D
 
 def clusters(states: DataFrame, components: list[str], ks=(4, 5, 6), seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows by ``k`` with ``cluster``, and ``k, silhouette, calinski_harabasz`` on the training rows."""
-    # cached while the models are fitted; the returned rows are computed from the source again
-    plain = states.withColumn("features", array_to_vector(F.array(*components)))
-    rows = plain.cache()
+    rows = written(states, "clustered").withColumn("features", array_to_vector(F.array(*components)))  # read once a model and step
     train, parts, quality = rows.where("phase = 'train'"), [], []
     for k in ks:
         model = KMeans(k=k, seed=seed, maxIter=30).fit(train)
@@ -60,7 +59,6 @@ def clusters(states: DataFrame, components: list[str], ks=(4, 5, 6), seed: int =
         within = float(model.summary.trainingCost)
         ch = ((total - within) / (k - 1)) / (within / (n - k)) if within > 0 and n > k else float("nan")
         quality.append((k, float(sil), float(ch)))
-    rows.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
