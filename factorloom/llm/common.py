@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
 from contextlib import contextmanager
@@ -10,14 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.sources.scratch import shared_root
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` where set, else a temp folder (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` where set, else beside the warehouse."""
+    return shared_root(spark)
 
 
 _SCOPES: list[list[str]] = []  # scratch tables of each open scope, innermost last
