@@ -123,6 +123,9 @@ def _rest(n=None) -> Column:
 def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     """States without an edit over all edges of their node: as the label is, or with one edit that makes it one, two or no code points more or less."""
     on = frontier.where("edits = 0").join(nodes.hint("shuffle_hash"), "node").select("word", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
+    # no length that may follow fits any edit, nor the word as it is: most edges end here, without a look at the text
+    shift = "length(text) - pos - length(label)"
+    on = on.where(F.expr(f"CASE WHEN {shift} < 0 THEN {shift} = -1 AND rests & 1 = 1 ELSE shiftright(rests, greatest(0, least({LONG_REST}, {shift}) - 1)) & 7 <> 0 END"))
     size = F.length("label")
     tail = F.substr("label", F.lit(2))
     aligned = _rest(F.lit(1)) == _left("label", F.lit(1))
