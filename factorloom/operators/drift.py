@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.tests import p_of_ks, p_of_normal, p_of_t
+from factorloom.functions.windows import near
 from factorloom.operators.evaluation import psi
 from factorloom.operators.order import two_sample
 from factorloom.operators.splits import numbered_dates
@@ -89,7 +90,7 @@ def drift_report(
     parts = ics.groupBy(*keys).pivot("metric", ["mean", "icir"]).agg(F.first("valid_vs_test").alias("change"), F.first("drifted").alias("drifted"))
     parts = parts.select(*keys, F.col("mean_change").alias("ic_change"), "icir_change", F.col("mean_drifted").alias("ic_drifted"), "icir_drifted")
     sp = compare_spreads(spreads, keys, threshold).where("metric = 'mean'").select(*keys, F.col("valid_vs_test").alias("spread_change"), F.col("drifted").alias("spread_drifted"))
-    later = ic.where("split <> 'train'").select(*keys, F.col("ic").alias("x"), (F.col("split") == "test").alias("later"))
+    later = ic.where("split <> 'train'").select(*keys, near("ic", 9).alias("x"), (F.col("split") == "test").alias("later"))  # ties are told to nine digits
     tests = compare_series(later, keys).select(*keys, F.col("ks").alias("ic_ks"), F.col("p_ks").alias("ic_ks_p"), (F.col("p_ks") < significance).alias("significant"))
     out = parts.join(sp, keys, "full").join(tests, keys, "left")
     drifted = [F.coalesce(c, F.lit(False)) for c in ("ic_drifted", "icir_drifted", "spread_drifted")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.tests import p_of_kendall, p_of_ks, p_of_t
 from factorloom.functions.windows import average_rank, corr_of
 from factorloom.operators.labels import forward_return
-from factorloom.operators.order import bounds_of, exact_quantiles, prefix_counts, rank_within, two_sample, with_piece, with_ranks
+from factorloom.operators.order import bounds_of, exact_quantiles, piece_of, prefix_counts, rank_within, two_sample, with_ranks
 from factorloom.sources import versions
 from factorloom.sources.scratch import written
 
@@ -192,14 +192,13 @@ def ic_decay(wide: DataFrame, factors: list[str], horizons: int = 20, price: str
     rows = written(rows, "decay")
     names = rows.columns
     rows = rows.join(F.broadcast(rows.agg(*(bounds_of(c).alias(f"b_{c}") for c in names))), F.lit(True))
-    for c in names:
-        rows = with_piece(rows, c, f"b_{c}", f"p_{c}").drop(f"b_{c}")
-    cells = [
-        F.struct(F.lit(i).alias("factor"), F.lit(h).alias("horizon"), F.col(f"x{i}").alias("x"), F.col(f"y{h}").alias("y"), F.col(f"p_x{i}").alias("px"), F.col(f"p_y{h}").alias("py"))
-        for i in range(len(factors)) for h in hs
-    ]
+    cell = lambda c, v, p: F.struct(F.col(c).alias(v), F.when(F.col(c).isNotNull(), piece_of(c, f"b_{c}")).alias(p))
+    rows = rows.select(F.array(*(cell(c, "x", "px") for c in names[: len(factors)])).alias("xs"), F.array(*(cell(c, "y", "py") for c in names[len(factors) :])).alias("ys"))
+    rows = written(rows, "pieces")
     keys = ["factor", "horizon"]
-    pairs = rows.select(F.inline(F.array(*cells))).where("x is not null and y is not null")
+    pairs = rows.select(F.posexplode("xs").alias("factor", "a"), "ys").where("a.x is not null")
+    pairs = pairs.select("factor", "a.x", "a.px", F.posexplode("ys").alias("h", "b")).where("b.y is not null")
+    pairs = pairs.select("factor", (F.col("h") + 1).alias("horizon"), "x", "b.y", "px", "b.py")
     met = pairs.groupBy(*keys, "px", "py").agg(F.count(F.lit(1)).alias("c"))  # the counts of both sides' pieces
     for c in ("x", "y"):
         pairs = rank_within(pairs, c, keys, prefix_counts(met, keys, f"p{c}", {"n": F.sum("c")}), f"r{c}", f"p{c}")
