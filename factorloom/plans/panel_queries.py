@@ -306,23 +306,23 @@ def _panel_quality(rows):
     return out.select("n", "duplicate_keys", "largest_gap", "tradable", "suspended", "limit_up", "limit_down", *(near(c).alias(c) for c in shares), "flags", "status")
 
 
-def _flagged(spark, d):
+def _with_flags(spark, d):
     return src.bars(spark, d).withColumns({"tradable_flag": (F.col("ticker") % 3 != 0).cast("int"), "volume": F.when(F.col("ticker") % 11 == 0, 0.0).otherwise(F.col("volume"))})
 
 
-_FLAGGED = f"{q.BARS}, flagged as (select date, ticker, close, cast(ticker % 3 <> 0 as int) as tradable_flag, case when ticker % 11 = 0 then 0 else volume end as volume from bars)"
+_WITH_FLAGS = f"{q.BARS}, flagged as (select date, ticker, close, cast(ticker % 3 <> 0 as int) as tradable_flag, case when ticker % 11 = 0 then 0 else volume end as volume from bars)"
 
 
-@query(q.with_(f"{_FLAGGED}, planted as (select * from flagged union all select date, ticker, null, tradable_flag, volume from flagged where ticker % 7 = 0), " + _SHARES.format("planted").replace("close / lag(close)", "null / lag(close)"), _SHARES_OUT))
+@query(q.with_(f"{_WITH_FLAGS}, planted as (select * from flagged union all select date, ticker, null, tradable_flag, volume from flagged where ticker % 7 = 0), " + _SHARES.format("planted").replace("close / lag(close)", "null / lag(close)"), _SHARES_OUT))
 def a1_panel_quality(spark, d):
     """A third of the names untradable, some suspended, and a seventh of all keys repeated; no prices, so no limit moves."""
-    rows = _flagged(spark, d).drop("close")
+    rows = _with_flags(spark, d).drop("close")
     return _panel_quality(rows.unionByName(rows.where("ticker % 7 = 0")))
 
 
-@query(q.with_(f"{_FLAGGED}, " + _SHARES.format("flagged"), _SHARES_OUT))
+@query(q.with_(f"{_WITH_FLAGS}, " + _SHARES.format("flagged"), _SHARES_OUT))
 def a1_panel_quality_of_bars(spark, d):
-    return _panel_quality(_flagged(spark, d))
+    return _panel_quality(_with_flags(spark, d))
 
 
 @query(
