@@ -15,9 +15,12 @@ other half, and quarters have anchors of their own, of a Hamming code of length
 
 Fingerprints of several words reach farther: ``bits_apart`` of a similarity is the
 expected number of differing bits and some deviations more, and texts are candidates
-up to it.  There the covering leaves out pairs that differ in more than 2 bits within
-every half (and share no anchor at 3 or 4 by chance); the tests measure what is found.
-Candidates link if the sets of their shingles have the similarity asked for, exactly.
+up to it.  Candidates link if the sets of their shingles have the similarity asked for,
+exactly.  Fingerprints alone would leave links out: those of pairs that differ in more bits
+or meet at no anchor, and those that a forest of candidates spans by pairs that then fail.
+So the sets go on where the fingerprints end: two sets of the similarity share one of the
+first fifth or so of their shingles in any fixed order (the prefix filter of set similarity
+joins), and what meets there across the components found so far is compared as well.
 
 Fingerprints are distinct before that, so copies cost nothing, and every anchor
 gives back a spanning forest of its links, not its pairs.
@@ -34,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
+from factorloom.llm.line_dedup import bucket_bits, repeated_prefixes
 from factorloom.llm.rolling import mix
 
 SHINGLE_WORDS = 4
@@ -41,6 +45,8 @@ SEED = 42
 THRESHOLD = 4
 SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
 CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
+ODD_WORDS = 4  # words of 64 bits that tell which classes of shingles a set has an odd number of
+ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 20_000, 4, 65_536  # documents that the order is fitted on; its frequent shingles
 
 
 def bits_apart(similarity: float, n_words: int, spare: float = 0.0) -> int:
@@ -79,7 +85,11 @@ def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> n
 def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED, n_words: int = 1) -> bytes:
     """SimHash of a text's word shingles (XXH64), little-endian: a bit is set where over half the hashes, repeats
     included, have it.  Words after the first take further hashes mixed from the first."""
-    codes = shingle_hashes(text, words, seed)
+    return fingerprint_of(shingle_hashes(text, words, seed), n_words)
+
+
+def fingerprint_of(codes: np.ndarray, n_words: int = 1) -> bytes:
+    """``fingerprint`` of a text with these shingle hashes."""
     if not len(codes):
         return bytes(8 * n_words)
     out = []
@@ -106,6 +116,131 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, n_words: int = 1)
     return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>")
 
 
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Ascending hashes of shingles that several of at most about ``ORDER_DOCS`` documents have.
+
+    They only come last in the order of ``prefix_of``: any order finds all, and this one keeps what very many
+    documents share out of most prefixes.
+    """
+    docs = texts_of(docs.where("doc_id is not null"))
+    every = max(1, docs.count() // ORDER_DOCS)
+
+    def sets(batches):
+        for batch in batches:
+            for value in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(value.as_py(), words)).view(np.int64))], ["code"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sets, "code long")
+    some = some.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "code").limit(ORDER_MOST)
+    return np.sort(np.array([r["code"] for r in some.select("code").collect()], np.int64).view(np.uint64))
+
+
+def prefix_of(ascending: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: sets of that Jaccard similarity share one of them.  Frequent ones come last, else by hash.
+
+    The sets share a part of ``similarity`` of either at least, so no more than the rest of a set can come before its first shared shingle.
+    """
+    size = len(ascending) - math.ceil(similarity * len(ascending) - 1e-9) + 1
+    if not len(ascending) or not len(frequent):
+        return ascending[:size]
+    at = np.minimum(np.searchsorted(frequent, ascending), len(frequent) - 1)
+    often = frequent[at] == ascending
+    return np.concatenate([ascending[~often], ascending[often]])[:size]
+
+
+def shingle_sets(docs: DataFrame, words: int, n_words: int, similarity: float) -> DataFrame:
+    """``fingerprints`` with, of the set of shingles, its ``digest``, ``size``, ``odd`` (by bit, has the class of
+    shingles an odd number in the set?) and ``prefix``."""
+    frequent = frequent_shingles(docs, words)
+
+    def run(batches):
+        forget_words()
+        for batch in batches:
+            fps, digests, sizes, odd, prefixes = [], [], [], [], []
+            for value in batch.column("text"):
+                codes = shingle_hashes(value.as_py(), words)
+                fps.append(fingerprint_of(codes, n_words))
+                own = np.unique(codes)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                bits = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * ODD_WORDS) & 1
+                odd.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
+                prefixes.append(prefix_of(own, frequent, similarity).view(np.int64))
+            lists = lambda parts: pa.ListArray.from_arrays(
+                np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64())
+            )
+            longs = [np.frombuffer(x, "<i8") for x in fps]
+            cols = [batch.column("doc_id"), pa.array(fps, pa.binary()), lists(longs), pa.array(digests, pa.binary())]
+            cols += [pa.array(sizes, pa.int32()), lists(odd), lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "words", "digest", "size", "odd", "prefix"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>, digest binary, size int, odd array<long>, prefix array<long>")
+
+
+def links_at_prefixes(points: DataFrame, similarity: float) -> DataFrame:
+    """Candidates ``(u, v)``: all pairs of different ``part`` whose sets may have that Jaccard similarity, and some others.
+
+    ``points`` has a ``part``, ``id``, ``size``, ``odd`` and ``prefix`` of each set.
+    """
+    # shingles of one prefix only are left out first, then those that meet in one component only
+    keys = points.select("part", F.explode("prefix").alias("key"))
+    bits = bucket_bits(points.count())
+    repeated = materialize(repeated_prefixes(keys, bits), "repeated-shingles")
+    keys = keys.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
+    keys = MembershipFilter(repeated, "prefix", repeated.count()).apply(keys, "prefix")
+    shared = keys.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    shared = materialize(shared.where("a <> b").select("key"), "shared-shingles")
+    odd = [F.element_at("odd", k + 1).alias(f"o{k}") for k in range(ODD_WORDS)]
+    rows = points.select("part", "id", "size", *odd, F.explode("prefix").alias("key"))
+    rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
+    names = ["key", "part", "id", "size", *(f"o{k}" for k in range(ODD_WORDS))]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            cut = np.searchsorted(rows[0], rows[0][-1])  # the last shingle may go on in the next batch
+            held = [r[cut:] for r in rows]
+            yield from _across([r[:cut] for r in rows], similarity)
+        if held is not None:
+            yield from _across(held, similarity)
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def _across(rows: list[np.ndarray], similarity: float):
+    """Pairs of rows of one key and different parts that sizes and parities allow; rows are sorted by key."""
+    key, part, ids, size = rows[:4]
+    odd = np.stack([x.view(np.uint64) for x in rows[4:]], axis=1)
+    apart = (1 - similarity) / (1 + similarity)  # the share of both sets' sizes in which they differ at most
+
+    def may(a, b):
+        most, least = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
+        near = (part[a] != part[b]) & (least >= similarity * most - 1e-6)
+        return near & (np.bitwise_count(odd[a] ^ odd[b]).sum(axis=-1, dtype=np.int64) <= apart * (most + least) + 1e-6)
+
+    def batch_of(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(key)))
+    small = np.repeat(sizes <= SCAN, sizes)
+    for step in range(1, min(SCAN, int(sizes.max(initial=1)))):
+        at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+        at = at[may(at, at + step)]
+        yield batch_of(ids[at], ids[at + step])
+    for k in np.flatnonzero(sizes > SCAN):
+        for at in range(first[k], first[k] + sizes[k] - 1):
+            rest = np.arange(at + 1, first[k] + sizes[k])
+            rest = rest[may(at, rest)]
+            if len(rest):
+                yield batch_of(np.full(len(rest), ids[at]), ids[rest])
+
+
 def anchor_masks(checks: int = 5) -> list[list[int]]:
     """By syndrome, what turns a block of ``2**checks`` bits into each anchor within 2: bit p-1 is position p of the
     code, the last bit the free bit."""
@@ -268,20 +403,34 @@ def simhash_components(
 
     Null, empty and white-space texts have fingerprint zero, which links like any
     other.  ``component_id`` is the smallest ``doc_id`` that chains of links
-    reach.  With ``similarity``, links of different fingerprints count only if the
-    texts have that Jaccard similarity of their shingles.  Rows with a null
-    ``doc_id`` are left out; repeated rows come back each; an empty table gives an
-    empty result.
+    reach.  With ``similarity``, two texts link exactly if their sets of shingles
+    have that Jaccard similarity; fingerprints lead to most of these links, and
+    prefixes of the sets to the rest.  Rows with a null ``doc_id`` are left out;
+    repeated rows come back each; an empty table gives an empty result.
     """
     if n_words == 1 and not 0 <= threshold <= 4:
         raise ValueError("the halves and the code cover thresholds up to 4; take more words for more")
-    rows = materialize(fingerprints(docs.where("doc_id is not null"), words, n_words), "fingerprints")
-    points = materialize(rows.groupBy("fp", "words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
-    links = links_at_anchors(points, threshold, n_words)
-    parts = connected_components(links if similarity is None else similar_links(links, docs, similarity, words))
+    docs = docs.where("doc_id is not null")
+    least = [F.min("doc_id").alias("id"), F.count("*").alias("n")]
+    if similarity is None:
+        key = "fp"
+        rows = materialize(fingerprints(docs, words, n_words), "fingerprints")
+        points = materialize(rows.groupBy("fp", "words").agg(*least), "points")
+        parts = connected_components(links_at_anchors(points, threshold, n_words))
+    else:
+        key = "digest"
+        rows = materialize(shingle_sets(docs, words, n_words, similarity), "fingerprints")
+        own = F.min_by(F.struct("fp", "words", "size", "odd", "prefix"), "doc_id").alias("own")
+        points = materialize(rows.groupBy("digest").agg(*least, own).select("digest", "id", "n", "own.*"), "points")
+        parts = connected_components(similar_links(links_at_anchors(points.select("fp", "words", "id"), threshold, n_words), docs, similarity, words))
+        apart = points.join(parts, points["id"] == parts["node"], "left").where("size > 0")
+        apart = materialize(apart.select(F.coalesce("component", "id").alias("part"), "id", "size", "odd", "prefix"), "apart")
+        more = similar_links(links_at_prefixes(apart, similarity), docs, similarity, words)
+        parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        rows = rows.select("doc_id", "words", "digest")
     points = points.join(parts, points["id"] == parts["node"], "left")
-    points = points.select("fp", "n", F.coalesce("component", "id").alias("component_id"))
-    out = join_skewed(rows, points, "fp", "n", rows.count())
+    points = points.select(key, "n", F.coalesce("component", "id").alias("component_id"))
+    out = join_skewed(rows, points, key, "n", rows.count())
     digits = F.concat(*(F.lower(F.lpad(F.hex(F.element_at("words", k + 1)), 16, "0")) for k in range(n_words)))
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from factorloom.llm import simhash_dedup
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, materialize, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
@@ -446,6 +447,35 @@ def test_verified_near_copies_of_odd_texts(spark):
     assert simhash_components(documents(spark, []), 40, 5, 4, similarity=0.8).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [True, False])
+def test_near_copies_all_link(spark, monkeypatch, frequent):
+    """Every link of a Jaccard similarity of 0.8 by five words and no other: repeated shingles, chains, groups of copies, shared passages."""
+    if not frequent:
+        monkeypatch.setattr(simhash_dedup, "ORDER_LEAST", 10**9)
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(5000)]
+    passage, texts = rng.choices(words, k=60), []
+    for i in range(120):  # around the bound
+        base = rng.choices(words, k=rng.choice([8, 40, 150, 400])) + passage * (i % 3 == 0)
+        other = list(base)
+        for k in rng.sample(range(len(base)), 1 + int(len(base) * rng.uniform(0, 0.035))):
+            other[k] = "v%d" % rng.randrange(10**6)
+        texts += [base, other]
+    for i in range(12):  # a phrase over and over in one of two texts with nearly the same shingles
+        base = rng.choices(words, k=200)
+        texts += [base, base[:100] + base[90:100] * 60 + base[100:], rng.choices(words, k=30) + passage * 40, rng.choices(words, k=30) + passage * 40]
+    base = rng.choices(words, k=300)
+    for _ in range(60):  # a large group, in which some pairs link and others don't
+        other = list(base)
+        for k in rng.sample(range(300), rng.randrange(3, 9)):
+            other[k] = "v%d" % rng.randrange(10**6)
+        texts.append(other)
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    found = simhash_components(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), bits_apart(0.8, 4, 2.2), 5, 4, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == union_find(range(len(sets)), links)
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     """Nulls, empty texts, repeated rows, clashing names and empty tables through all stages, one after the other."""
     import corpus_pipeline
