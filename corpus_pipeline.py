@@ -19,6 +19,7 @@ from factorloom.llm.toxicity import drop_toxic
 FINGERPRINT_WORDS = 4  # of 64 bits, for documents
 SIMILARITY = 0.8  # of five-word shingles
 SPARE = 2.2  # standard deviations of the differing bits: of pairs at the similarity itself, 97 % differ in fewer
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50  # a repeated run of so many bytes goes if it has more words than that, or op3's 400 bytes
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without 400-byte strings that start twice in the corpus."""
-    return strip_repeats(docs)
+    """All documents, without strings that start twice in the corpus: of over 50 words (and 200 bytes) or of 400 bytes."""
+    return strip_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ BLOCK_CHARS = 125_000  # of lines that are hashed together
 SEEN_LINES = 50_000  # digests that a task remembers, so that it lists a repeated line about once
 LISTED_GRAMS = 1_000_000  # hashes that a task sorts before it sends them, and that meet in one bucket, about
 GRAMS_A_LINE = 20
+NEAREST = 3  # earlier lines that a line is compared with first
+FEW_LINES = 16  # up to so many lines of a gram are compared all at once
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -418,9 +420,10 @@ def list_keyed(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
 def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
     """Digests of the lines that have an earlier line within their bound of 2 to ``max_edits`` edits.
 
-    Lines with a common gram meet in a join, without their texts and at their least
-    common gram only.  Edits change few parities, so within the join most far lines
-    are told apart by these, and few pairs come out of it to be compared.
+    Lines with a common gram meet without their texts.  Edits change few parities, so
+    most far lines are told apart by these there.  A line that is near many, as within a
+    large group of near copies, is first compared with the few of least differing parities,
+    and only where none of these is within the bound with all others.
     ``n_lines``, the number of different lines, sets the size of buckets.
     """
     names = ["n", "p0", "p1", "p2"]
@@ -439,24 +442,113 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
         rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
         lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
         lines = result(lines, "keyed-lines")
-    rows = lines.select("at", *names, "keys", F.explode("keys").alias("key"))
-    rows = rows.select("at", *names, "key", F.filter("keys", lambda k: k < F.col("key")).alias("less"))
-    bound = F.least(F.lit(max_edits), F.floor(F.least("l.n", "r.n") / edit_chars))
-    odd = [F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(3)]
-    near = (
-        F.when((F.col("l.at") <= F.col("r.at")) | (bound < 2) | (F.abs(F.col("l.n") - F.col("r.n")) > bound), False)
-        .when((odd[0] > 2 * bound) | (odd[1] + odd[2] > 4 * bound), False)
-        .otherwise(~F.arrays_overlap("l.less", "r.less"))
-    )
-    # both sides are one shuffle: their columns are named apart behind it
-    pairs = rows.alias("l").join(rows.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & near)
-    pairs = materialize(pairs.select(F.col("l.at").alias("at"), F.col("r.at").alias("o_at"), bound.cast("int").alias("bound")), "gram-pairs")
-    ends = pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct()
-    wanted = lines.select("digest", "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
-    texts = materialize(lines_at(wanted, docs), "pair-lines").select("digest", F.struct("doc_id", "line").alias("at"), "text")
-    others = texts.select(F.col("at").alias("o_at"), F.col("text").alias("o_text"))
-    pairs = pairs.join(texts, "at").join(others, "o_at")
-    return _verified(pairs.select("digest", "text", "o_text", "bound"))
+    def verified(pairs):
+        pairs = materialize(pairs, "gram-pairs")
+        ends = pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct()
+        wanted = lines.select("digest", "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
+        texts = materialize(lines_at(wanted, docs), "pair-lines").select("digest", F.struct("doc_id", "line").alias("at"), "text")
+        others = texts.select(F.col("at").alias("o_at"), F.col("text").alias("o_text"))
+        pairs = pairs.join(texts, "at").join(others, "o_at")
+        return materialize(_verified(pairs.select("digest", "text", "o_text", "bound")), "verified")
+
+    # the nearest earlier lines by their parities are compared first; one is enough
+    rows = lines.select("at", *names, F.lit(True).alias("open"), F.explode("keys").alias("key"))
+    met = gram_pairs(rows, edit_chars, max_edits, NEAREST)
+    met = met.groupBy("at").agg(F.array_sort(F.collect_set(F.struct("odd", "o_at", "bound"))).alias("found"), F.max("more").alias("more"))
+    met = materialize(met.select("at", F.slice("found", 1, NEAREST).alias("found"), (F.col("more") | (F.size("found") > NEAREST)).alias("more")), "nearest")
+    near = verified(met.select("at", F.explode("found").alias("f")).select("at", "f.o_at", "f.bound"))
+    # lines that are not near those are compared with all others that parities allow
+    still = lines.join(met.where("more").select("at"), "at", "left_semi").join(near, "digest", "left_anti")
+    still = materialize(still.select("at", "keys", F.lit(True).alias("open")), "open-lines")
+    if still.isEmpty():
+        return near
+    keys = materialize(still.select(F.explode("keys").alias("key")).distinct(), "open-grams")
+    rows = lines.join(still.select("at", "open"), "at", "left").select("at", *names, F.coalesce("open", F.lit(False)).alias("open"), F.explode("keys").alias("key"))
+    rows = MembershipFilter(keys, "key", keys.count()).apply(rows, "key")
+    return near.unionByName(verified(gram_pairs(rows, edit_chars, max_edits, None).select("at", "o_at", "bound").distinct()))
+
+
+def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int | None) -> DataFrame:
+    """``at, o_at, bound, odd, more``: open lines with earlier lines of a common gram that lengths and parities allow.
+
+    ``odd`` is the number of differing parities.  With ``nearest``, a gram gives a line so many of the least ``odd``,
+    and ``more`` says that it left out some.
+    """
+    names = ["key", "doc_id", "line", "n", "p0", "p1", "p2", "open"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = np.searchsorted(now[0], now[0][-1])  # the last gram may go on in the next batch
+            held = [r[cut:] for r in now]
+            yield from _met([r[:cut] for r in now], edit_chars, max_edits, nearest)
+        if held is not None:
+            yield from _met(held, edit_chars, max_edits, nearest)
+
+    rows = rows.select("key", "at.doc_id", "at.line", "n", "p0", "p1", "p2", "open")
+    rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
+    pairs = rows.mapInArrow(run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
+    places = (F.struct("doc_id", "line").alias("at"), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line")).alias("o_at"))
+    return pairs.select(*places, "bound", "odd", "more")
+
+
+def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int | None):
+    """Batches of ``gram_pairs`` from rows that are sorted by key and place."""
+    key, doc_id, line, n = rows[:4]
+    p, is_open = np.stack([x.view(np.uint64) for x in rows[4:7]], axis=1), rows[7].astype(bool)
+
+    def near(later, earlier):
+        least = np.minimum(n[later], n[earlier])
+        bound = np.minimum(max_edits, least // edit_chars)
+        odd = np.bitwise_count(p[later] ^ p[earlier]).astype(np.int32)
+        twos = odd[..., 1] + odd[..., 2]
+        ok = (bound >= 2) & (np.abs(n[later] - n[earlier]) <= bound) & (odd[..., 0] <= 2 * bound) & (twos <= 4 * bound)
+        ok &= (doc_id[later] != doc_id[earlier]) | (line[later] != line[earlier])
+        return ok, bound, odd[..., 0] + twos
+
+    def batch_of(later, earlier, bound, odd):
+        later, earlier, bound, odd = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (later, earlier, bound, odd))
+        more = np.zeros(len(later), bool)
+        if nearest is not None:
+            order = np.lexsort((earlier, odd, later))
+            later, earlier, bound, odd = later[order], earlier[order], bound[order], odd[order]
+            first = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(first, len(later)))
+            keep = np.arange(len(later)) - np.repeat(first, sizes) < nearest
+            more = np.repeat(sizes > nearest, sizes)[keep]
+            later, earlier, bound, odd = later[keep], earlier[keep], bound[keep], odd[keep]
+        cols = [doc_id[later], line[later], doc_id[earlier], line[earlier], bound.astype(np.int32), odd.astype(np.int32), more]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "line", "o_doc", "o_line", "bound", "odd", "more"])
+
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(key)))
+    small = np.repeat(sizes <= FEW_LINES, sizes)
+    found = [[], [], [], []]
+    for step in range(1, min(FEW_LINES, int(sizes.max(initial=1)))):
+        at = np.flatnonzero((key[step:] == key[:-step]) & small[step:] & is_open[step:]) + step
+        ok, *rest = near(at, at - step)
+        for col, x in zip(found, (at, at - step, *rest), strict=True):
+            col.append(x[ok])
+    yield batch_of(*found)
+    for k in np.flatnonzero(sizes > FEW_LINES):
+        found, held = [[], [], [], []], 0
+        for at in range(first[k] + 1, first[k] + sizes[k]):
+            if not is_open[at]:
+                continue
+            before = np.arange(first[k], at)
+            ok, *rest = near(np.full(1, at), before)
+            for col, x in zip(found, (np.full(len(before), at), before, *rest), strict=True):
+                col.append(x[ok])
+            held += int(ok.sum())
+            if held > 4 * BLOCK_CHARS:
+                yield batch_of(*found)
+                found, held = [[], [], [], []], 0
+        yield batch_of(*found)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, max_edits: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:

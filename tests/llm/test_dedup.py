@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from factorloom.llm import line_dedup as line_module
 from factorloom.llm import simhash_dedup
 from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, materialize, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
@@ -476,6 +477,41 @@ def test_near_copies_all_link(spark, monkeypatch, frequent):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == union_find(range(len(sets)), links)
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Passages of 51 words and 300 bytes are cut from both documents; those of 40 words stay, as do all rows."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    own = lambda n: " ".join("w%04d" % rng.randrange(10_000) for _ in range(n))
+    passage, short, long_words = own(51), own(40), " ".join("x" * 20 + str(k) for k in range(10, 30))
+    assert len(passage) == 305 and len(short) >= corpus_pipeline.PASSAGE_BYTES and len(long_words) > 400
+    heads = [own(30) for _ in range(6)]
+    texts = [f"{h} {p} end{k}." for k, (h, p) in enumerate(zip(heads, [passage, passage, short, short, long_words, long_words], strict=True))]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.substrings(spark, documents(spark, list(enumerate(texts))), "").collect()}
+    assert [got[k] for k in (0, 1)] == [f"{heads[k]}{k}." for k in (0, 1)]  # the run takes the blanks and "end", too
+    assert got[2] == texts[2] and got[3] == texts[3] and not any("xx1" in got[k] for k in (4, 5)) and len(got) == 6
+
+
+def test_far_lines_of_a_large_group(spark, monkeypatch):
+    """A line of a large group whose nearest lines by parities are too far is compared with all others, too."""
+    rng = random.Random(15)
+    base = "".join(rng.choices("abcdefgh ", k=200))
+    lines = [base]
+    for k in range(40):
+        x = list(base)
+        for at in rng.sample(range(200), rng.randrange(3, 9)):
+            x[at] = rng.choice("abcdefgh")
+        lines.append("".join(x))
+    lines.append("".join(reversed(base)))
+    expected = [k for k, x in enumerate(lines) if any(within_edits(x, y, 5) for y in lines[:k])]
+    assert 10 < len(expected) < 40
+    for few, nearest in ((16, 3), (64, 1), (2, 1)):
+        monkeypatch.setattr(line_module, "FEW_LINES", few)
+        monkeypatch.setattr(line_module, "NEAREST", nearest)
+        rows = drop_lines(documents(spark, list(enumerate(lines))), max_edits=5).collect()
+        assert sorted(r["doc_id"] for r in rows if r["text"] == "") == expected
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     """Nulls, empty texts, repeated rows, clashing names and empty tables through all stages, one after the other."""
     import corpus_pipeline
