@@ -45,7 +45,7 @@ SEED = 42
 THRESHOLD = 4
 SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
 CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
-ODD_WORDS = 4  # words of 64 bits that tell which classes of shingles a set has an odd number of
+ODD_WORDS = 8  # words of 64 bits that tell which classes of shingles a set has an odd number of
 ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 20_000, 4, 65_536  # documents that the order is fitted on; its frequent shingles
 
 
@@ -148,51 +148,78 @@ def prefix_of(ascending: np.ndarray, frequent: np.ndarray, similarity: float) ->
     return np.concatenate([ascending[~often], ascending[often]])[:size]
 
 
-def shingle_sets(docs: DataFrame, words: int, n_words: int, similarity: float) -> DataFrame:
-    """``fingerprints`` with, of the set of shingles, its ``digest``, ``size``, ``odd`` (by bit, has the class of
-    shingles an odd number in the set?) and ``prefix``."""
-    frequent = frequent_shingles(docs, words)
+def set_digests(docs: DataFrame, words: int, n_words: int) -> DataFrame:
+    """``fingerprints`` with the ``digest`` of the set of shingles and its ``size``."""
 
     def run(batches):
         forget_words()
         for batch in batches:
-            fps, digests, sizes, odd, prefixes = [], [], [], [], []
+            fps, digests, sizes = [], [], []
             for value in batch.column("text"):
                 codes = shingle_hashes(value.as_py(), words)
-                fps.append(fingerprint_of(codes, n_words))
                 own = np.unique(codes)
+                fps.append(fingerprint_of(codes, n_words))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-                bits = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * ODD_WORDS) & 1
-                odd.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
-                prefixes.append(prefix_of(own, frequent, similarity).view(np.int64))
-            lists = lambda parts: pa.ListArray.from_arrays(
-                np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64())
-            )
-            longs = [np.frombuffer(x, "<i8") for x in fps]
-            cols = [batch.column("doc_id"), pa.array(fps, pa.binary()), lists(longs), pa.array(digests, pa.binary())]
-            cols += [pa.array(sizes, pa.int32()), lists(odd), lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "words", "digest", "size", "odd", "prefix"])
+            longs = _lists([np.frombuffer(x, "<i8") for x in fps])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), longs, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "fp", "words", "digest", "size"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>, digest binary, size int")
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>, digest binary, size int, odd array<long>, prefix array<long>")
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
-def links_at_prefixes(points: DataFrame, similarity: float) -> DataFrame:
-    """Candidates ``(u, v)``: all pairs of different ``part`` whose sets may have that Jaccard similarity, and some others.
 
-    ``points`` has a ``part``, ``id``, ``size``, ``odd`` and ``prefix`` of each set.
+def parities(codes: np.ndarray, words: int) -> np.ndarray:
+    """By bit, has the class of codes an odd number in the set?  64 classes a word, a power of two.
+
+    Sets differ in one code for each differing bit at least.  Words of twice the number fold to these by an exclusive or of their halves.
+    """
+    classes = (codes >> np.uint64(20)) & np.uint64(64 * words - 1)
+    return np.packbits((np.bincount(classes.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def shingle_prefixes(docs: DataFrame, points: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``id, digest, size, odd, sketch, prefix`` of the sets of documents that ``points`` (``id``) may name.
+
+    ``odd`` are parities in ``ODD_WORDS`` words, ``sketch`` in as many as the set has shingles for bits at least.
+    """
+    frequent = frequent_shingles(docs, words)
+    asked = MembershipFilter(points, "id", points.count()).apply(texts_of(docs).withColumnRenamed("doc_id", "id"), "id")
+
+    def run(batches):
+        forget_words()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(v.as_py(), words)) for v in batch.column("text")]
+            cols = [batch.column("id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+            cols.append(_lists([parities(x, ODD_WORDS) for x in sets]))
+            cols.append(pa.array([parities(x, max(ODD_WORDS, 1 << max(0, len(x) - 1).bit_length() >> 6)).tobytes() for x in sets], pa.binary()))
+            cols.append(_lists([prefix_of(x, frequent, similarity).view(np.int64) for x in sets]))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "size", "odd", "sketch", "prefix"])
+
+    return asked.mapInArrow(run, "id long, digest binary, size int, odd array<long>, sketch binary, prefix array<long>")
+
+
+def links_at_prefixes(sets: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """Candidates ``(u, v)``: all pairs of different ``part`` whose sets may have that Jaccard similarity, and few others.
+
+    ``sets`` are ``shingle_prefixes``, ``points`` has ``id, digest, part`` of those that count.
     """
     # shingles of one prefix only are left out first, then those that meet in one component only
-    keys = points.select("part", F.explode("prefix").alias("key"))
-    bits = bucket_bits(points.count())
+    keys = sets.select("id", "digest", F.explode("prefix").alias("key"))
+    bits = bucket_bits(4 * points.count())
     repeated = materialize(repeated_prefixes(keys, bits), "repeated-shingles")
     keys = keys.withColumn("prefix", F.shiftrightunsigned("key", 32 - bits))
-    keys = MembershipFilter(repeated, "prefix", repeated.count()).apply(keys, "prefix")
+    keys = MembershipFilter(repeated, "prefix", repeated.count()).apply(keys, "prefix").select("id", "digest", "key")
+    keys = materialize(keys.join(points.select("id", "digest", "part").hint("merge"), ["id", "digest"]), "prefix-shingles")
     shared = keys.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     shared = materialize(shared.where("a <> b").select("key"), "shared-shingles")
+    sets = sets.join(points.select("id", "digest").hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     odd = [F.element_at("odd", k + 1).alias(f"o{k}") for k in range(ODD_WORDS)]
-    rows = points.select("part", "id", "size", *odd, F.explode("prefix").alias("key"))
-    rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
+    rows = MembershipFilter(shared, "key", shared.count()).apply(keys, "key")
+    rows = rows.join(sets.select("id", "digest", "size", *odd).hint("merge"), ["id", "digest"])
     names = ["key", "part", "id", "size", *(f"o{k}" for k in range(ODD_WORDS))]
 
     def run(batches):
@@ -209,7 +236,22 @@ def links_at_prefixes(points: DataFrame, similarity: float) -> DataFrame:
         if held is not None:
             yield from _across(held, similarity)
 
-    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    rows = rows.select(*names).repartition("key").sortWithinPartitions("key")
+    pairs = materialize(rows.mapInArrow(run, "u long, v long").distinct(), "prefix-pairs")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+
+    def sift(batches):
+        for batch in batches:
+            near = []
+            for x, y, m, n in zip(*(batch.column(c) for c in ("sketch_u", "sketch_v", "size_u", "size_v")), strict=True):
+                a, b = sorted((np.frombuffer(s.as_py(), "<u8") for s in (x, y)), key=len)
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                near.append(np.bitwise_count(a ^ b).sum() <= (m.as_py() + n.as_py()) * (1 - similarity) / (1 + similarity) + 1e-6)
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(sift, "u long, v long")
 
 
 def _across(rows: list[np.ndarray], similarity: float):
@@ -419,13 +461,16 @@ def simhash_components(
         parts = connected_components(links_at_anchors(points, threshold, n_words))
     else:
         key = "digest"
-        rows = materialize(shingle_sets(docs, words, n_words, similarity), "fingerprints")
-        own = F.min_by(F.struct("fp", "words", "size", "odd", "prefix"), "doc_id").alias("own")
+        rows = materialize(set_digests(docs, words, n_words), "fingerprints")
+        own = F.min_by(F.struct("fp", "words", "size"), "doc_id").alias("own")
         points = materialize(rows.groupBy("digest").agg(*least, own).select("digest", "id", "n", "own.*"), "points")
         parts = connected_components(similar_links(links_at_anchors(points.select("fp", "words", "id"), threshold, n_words), docs, similarity, words))
-        apart = points.join(parts, points["id"] == parts["node"], "left").where("size > 0")
-        apart = materialize(apart.select(F.coalesce("component", "id").alias("part"), "id", "size", "odd", "prefix"), "apart")
-        more = similar_links(links_at_prefixes(apart, similarity), docs, similarity, words)
+        apart = points.where("size > 0").join(parts, points["id"] == parts["node"], "left")
+        apart = materialize(apart.select("id", "digest", F.coalesce("component", "id").alias("part")), "apart")
+        with scratch_scope(docs.sparkSession):
+            sets = materialize(shingle_prefixes(docs, apart, words, similarity), "shingle-prefixes")
+            more = result(links_at_prefixes(sets, apart, similarity), "prefix-links")
+        more = similar_links(more, docs, similarity, words)
         parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
         rows = rows.select("doc_id", "words", "digest")
     points = points.join(parts, points["id"] == parts["node"], "left")
