@@ -45,6 +45,7 @@ SEED = 42
 THRESHOLD = 4
 SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
 CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
+SETS_AT_ONCE = 256  # sets of shingles that a task holds
 ODD_WORDS = 8  # words of 64 bits that tell which classes of shingles a set has an odd number of
 ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 20_000, 4, 65_536  # documents that the order is fitted on; its frequent shingles
 
@@ -192,12 +193,14 @@ def shingle_prefixes(docs: DataFrame, points: DataFrame, words: int, similarity:
     def run(batches):
         forget_words()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(v.as_py(), words)) for v in batch.column("text")]
-            cols = [batch.column("id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
-            cols.append(_lists([parities(x, ODD_WORDS) for x in sets]))
-            cols.append(pa.array([parities(x, max(ODD_WORDS, 1 << max(0, len(x) - 1).bit_length() >> 6)).tobytes() for x in sets], pa.binary()))
-            cols.append(_lists([prefix_of(x, frequent, similarity).view(np.int64) for x in sets]))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "size", "odd", "sketch", "prefix"])
+            for at in range(0, batch.num_rows, SETS_AT_ONCE):
+                part = batch.slice(at, SETS_AT_ONCE)
+                sets = [np.unique(shingle_hashes(v.as_py(), words)) for v in part.column("text")]
+                cols = [part.column("id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+                cols.append(_lists([parities(x, ODD_WORDS) for x in sets]))
+                cols.append(pa.array([parities(x, max(ODD_WORDS, 1 << max(0, len(x) - 1).bit_length() >> 6)).tobytes() for x in sets], pa.binary()))
+                cols.append(_lists([prefix_of(x, frequent, similarity).view(np.int64) for x in sets]))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "size", "odd", "sketch", "prefix"])
 
     return asked.mapInArrow(run, "id long, digest binary, size int, odd array<long>, sketch binary, prefix array<long>")
 
