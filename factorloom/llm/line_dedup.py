@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, forget_words, join_skewed, map_batches, materialize, result, scratch_scope, texts_of, with_edits
 from factorloom.llm.rolling import RangeHash, mix
 
 MIN_CHARS = 20  # shorter lines stay: short lines are within one edit by chance
@@ -101,7 +101,7 @@ def list_lines(docs: DataFrame, min_chars: int, exact_chars: int | None = None)
                         ids, numbers, lines, size = [], [], [], 0
             yield rows_of(ids, numbers, lines)
 
-    return docs.mapInArrow(run, LINE_SCHEMA)
+    return docs.transform(map_batches, run, LINE_SCHEMA)
 
 
 def deletion_variants(line: str, slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def lines_at(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         if rows:
             yield rows_of(rows)
 
-    return found.mapInArrow(cut, "digest binary, doc_id long, line int, text string, slots array<int>")
+    return found.transform(map_batches, cut, "digest binary, doc_id long, line int, text string, slots array<int>")
 
 
 def _same_ahead(a: str, i: int, b: str, j: int) -> int:
@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             keep = [within_edits(a.as_py(), b.as_py(), k.as_py()) for a, b, k in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(keep, pa.bool_()))], ["digest"])
 
-    return pairs.mapInArrow(run, "digest binary").distinct()
+    return pairs.transform(map_batches, run, "digest binary").distinct()
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
             if held:
                 yield rows_of(held)
 
-    variants = lines.mapInArrow(emit, "code long, at int, doc_id long, line int, digest binary")
+    variants = lines.transform(map_batches, emit, "code long, at int, doc_id long, line int, digest binary")
     place = F.struct("doc_id", "line", "digest")
     by_code, by_place = Window.partitionBy("code"), Window.partitionBy("code", "at")
     least = variants.select(
@@ -365,8 +365,8 @@ def repeated_prefixes(grams: DataFrame, bits: int) -> DataFrame:
         if lists:
             yield repeated(last, lists)
 
-    lists = grams.select("key").mapInArrow(send, "bucket long, low array<int>")
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "prefix long")
+    lists = grams.select("key").transform(map_batches, send, "bucket long, low array<int>")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").transform(map_batches, receive, "prefix long")
 
 
 def list_keyed(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
@@ -414,7 +414,7 @@ def list_keyed(docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
         if lines:
             yield rows_of(digests, ids, numbers, lines)
 
-    return docs.mapInArrow(run, "digest binary, doc_id long, line int, n int, p0 long, p1 long, p2 long, keys array<long>")
+    return docs.transform(map_batches, run, "digest binary, doc_id long, line int, n int, p0 long, p1 long, p2 long, keys array<long>")
 
 
 def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int) -> DataFrame:
@@ -492,7 +492,7 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
 
     rows = rows.select("key", "at.doc_id", "at.line", "n", "p0", "p1", "p2", "open")
     rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
-    pairs = rows.mapInArrow(run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
+    pairs = rows.transform(map_batches, run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
     places = (F.struct("doc_id", "line").alias("at"), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line")).alias("o_at"))
     return pairs.select(*places, "bound", "odd", "more")
 

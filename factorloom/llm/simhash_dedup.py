@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, materialize, result, scratch_scope, texts_of, with_edits
+from factorloom.llm.common import MembershipFilter, connected_components, forget_words, join_skewed, map_batches, materialize, result, scratch_scope, texts_of, with_edits
 from factorloom.llm.line_dedup import bucket_bits, repeated_prefixes
 from factorloom.llm.rolling import mix
 
@@ -44,6 +44,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 THRESHOLD = 4
 SCAN = 16  # up to so many fingerprints of an anchor are compared all at once
+ANCHORS_A_BLOCK = 17  # of 32 bits, about
 CROWD = 4096  # an anchor with more fingerprints is dealt out by quarters
 SETS_AT_ONCE = 256  # sets of shingles that a task holds
 ODD_WORDS = 8  # words of 64 bits that tell which classes of shingles a set has an odd number of
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, n_words: int = 1)
             offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * np.int32(n_words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(offsets, longs)], ["doc_id", "fp", "words"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>")
+    return texts_of(docs).transform(map_batches, run, "doc_id long, fp binary, words array<long>")
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -131,7 +132,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for value in batch.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(value.as_py(), words)).view(np.int64))], ["code"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sets, "code long")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).transform(map_batches, sets, "code long")
     some = some.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "code").limit(ORDER_MOST)
     return np.sort(np.array([r["code"] for r in some.select("code").collect()], np.int64).view(np.uint64))
 
@@ -165,7 +166,7 @@ def set_digests(docs: DataFrame, words: int, n_words: int) -> DataFrame:
             longs = _lists([np.frombuffer(x, "<i8") for x in fps])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), longs, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "fp", "words", "digest", "size"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary, words array<long>, digest binary, size int")
+    return texts_of(docs).transform(map_batches, run, "doc_id long, fp binary, words array<long>, digest binary, size int")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -202,7 +203,7 @@ def shingle_prefixes(docs: DataFrame, points: DataFrame, words: int, similarity:
                 cols.append(_lists([prefix_of(x, frequent, similarity).view(np.int64) for x in sets]))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "size", "odd", "sketch", "prefix"])
 
-    return asked.mapInArrow(run, "id long, digest binary, size int, odd array<long>, sketch binary, prefix array<long>")
+    return asked.transform(map_batches, run, "id long, digest binary, size int, odd array<long>, sketch binary, prefix array<long>")
 
 
 def links_at_prefixes(sets: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
@@ -240,7 +241,7 @@ def links_at_prefixes(sets: DataFrame, points: DataFrame, similarity: float) ->
             yield from _across(held, similarity)
 
     rows = rows.select(*names).repartition("key").sortWithinPartitions("key")
-    pairs = materialize(rows.mapInArrow(run, "u long, v long").distinct(), "prefix-pairs")
+    pairs = materialize(rows.transform(map_batches, run, "u long, v long").distinct(), "prefix-pairs")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
 
     def sift(batches):
@@ -254,7 +255,7 @@ def links_at_prefixes(sets: DataFrame, points: DataFrame, similarity: float) ->
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(sift, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").transform(map_batches, sift, "u long, v long")
 
 
 def _across(rows: list[np.ndarray], similarity: float):
@@ -323,6 +324,22 @@ def _tagged_anchors(words: Column, n_words: int, checks: int) -> Column:
     return F.concat(*out)
 
 
+def crowded_anchors(sent: DataFrame, n_rows: int, crowd: int) -> DataFrame | None:
+    """``anchor, n`` of the anchors with more than ``crowd`` rows of ``sent`` (about ``n_rows``); None where there are none.
+
+    Nearly all anchors differ, so a sum for each would fill a task's memory.  They are summed up in buckets of about a quarter
+    of ``crowd`` first; an anchor is counted by itself only where its bucket has more than ``crowd``.
+    """
+    bucketed = sent.select("anchor", F.pmod(F.xxhash64("anchor"), F.lit(max(1, 4 * n_rows // max(1, crowd)))).alias("bucket"))
+    full = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("bucket")
+    full = materialize(full, "full-buckets")
+    if full.isEmpty():
+        return None
+    some = MembershipFilter(full, "bucket", full.count()).apply(bucketed, "bucket")
+    crowds = materialize(some.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowds")
+    return None if crowds.isEmpty() else crowds
+
+
 def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD, n_words: int = 1, crowd: int = CROWD) -> DataFrame:
     """Links ``(u, v)`` of ids whose fingerprints differ in at most ``threshold`` bits.
 
@@ -331,9 +348,9 @@ def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD, n_words: int
     they are by all links.
     """
     sent = points.select("fp", "id", "words", F.explode(_tagged_anchors(F.col("words"), n_words, 5)).alias("anchor"))
-    crowds = materialize(sent.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowds")
+    crowds = crowded_anchors(sent, points.count() * 2 * n_words * ANCHORS_A_BLOCK, crowd)
     plain = sent
-    if not crowds.isEmpty():
+    if crowds is not None:
         flagged = MembershipFilter(crowds, "anchor", crowds.count()).flag(sent, "anchor")
         # anchors beyond crowd are few: rows of anchors divided by crowd at most; rows meet them in a join that is split where skewed
         maybe = flagged.where("__maybe").join(crowds.hint("merge"), "anchor", "left")
@@ -357,7 +374,7 @@ def links_at_anchors(points: DataFrame, threshold: int = THRESHOLD, n_words: int
         if held is not None:
             yield _forest(*held, threshold)
 
-    return plain.select("anchor", "id", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
+    return plain.select("anchor", "id", "fp").repartition("anchor").sortWithinPartitions("anchor").transform(map_batches, run, "u long, v long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
@@ -424,7 +441,7 @@ def similar_links(links: DataFrame, docs: DataFrame, similarity: float, words: i
             made = [np.unique(shingle_hashes(v.as_py(), words)).tobytes() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "hashes"])
 
-    own = materialize(linked.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary"), "shingle-sets")
+    own = materialize(linked.join(ids.hint("merge"), "doc_id", "left_semi").transform(map_batches, sets, "doc_id long, hashes binary"), "shingle-sets")
     side = lambda c: own.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}")).hint("merge")
     both = links.join(side("u"), "u").join(side("v"), "v")
 
@@ -438,7 +455,7 @@ def similar_links(links: DataFrame, docs: DataFrame, similarity: float, words: i
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
 
-    return both.mapInArrow(compare, "u long, v long").distinct()
+    return both.transform(map_batches, compare, "u long, v long").distinct()
 
 
 def simhash_components(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import forget_words, materialize, scratch_scope, texts_of
+from factorloom.llm.common import forget_words, map_batches, materialize, scratch_scope, texts_of
 
 SAMPLE_ROWS = 20_000  # labelled documents that the weights are fitted on, the ones with the smallest hash of their id
 FEATURES = 1 << 20
@@ -69,7 +69,7 @@ def _instances(docs: DataFrame) -> DataFrame:
                 found = [[sorted({f for w in set(_WORD.findall(s)) for f in cached(w)}) for s in sentences(v.as_py().lower())] for v in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "sentences"])
 
-    return docs.select("text", "y").mapInArrow(run, "y int, sentences array<array<int>>")
+    return docs.select("text", "y").transform(map_batches, run, "y int, sentences array<array<int>>")
 
 
 def _telling(instances: DataFrame, rate: float) -> list[int]:
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
                 feats = [np.array([f for s in doc for f in s], "<i4").tobytes() for doc in found]
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], ["y", "sizes", "features"])
 
-        rows = instances.mapInArrow(pick, "y int, sizes binary, features binary").collect()
+        rows = instances.transform(map_batches, pick, "y int, sizes binary, features binary").collect()
     y = np.array([r["y"] for r in rows], float)
     sizes = [np.frombuffer(r["sizes"], "<i4") for r in rows]
     x = np.concatenate([np.frombuffer(r["features"], "<i4") for r in rows])
@@ -169,7 +169,7 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, thr
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "score", "offending"]
             )
 
-    out = texts_of(docs).mapInArrow(run, "doc_id long, score double, offending array<string>")
+    out = texts_of(docs).transform(map_batches, run, "doc_id long, score double, offending array<string>")
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
 
 
@@ -225,7 +225,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array([_score(v.as_py() or "", table, known, bias) < threshold for v in batch.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(map_batches, keep, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import line_dedup as line_module
 from factorloom.llm import simhash_dedup
-from factorloom.llm.common import MembershipFilter, connected_components, join_skewed, materialize, with_edits
+from factorloom.llm.common import MembershipFilter, connected_components, give_back, join_skewed, map_batches, materialize, with_edits
 from factorloom.llm.embedding_dedup import Forest, depth_for, similar_vectors, trees_for
 from factorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from factorloom.llm.line_dedup import bucket_bits, drop_lines, line_dedup, within_edits, repeated_prefixes
@@ -378,6 +378,28 @@ def test_links_connect_what_is_close(spark, crowd):
     assert {i: got.get(i, i) for i in ids} == expected
 
 
+def test_crowded_anchors_are_counted_by_buckets_first(spark):
+    rng = random.Random(3)
+    rows = [(a,) for a in (5, 6, 7, -8) for _ in range(40)] + [(9,)] * 39 + [(rng.randrange(1 << 40),) for _ in range(3000)]
+    sent = spark.createDataFrame(rows, "anchor long")
+    crowds = simhash_dedup.crowded_anchors(sent, len(rows), 39)
+    assert {tuple(r) for r in crowds.select("anchor", "n").collect()} == {(a, 40) for a in (5, 6, 7, -8)}
+    assert simhash_dedup.crowded_anchors(sent, len(rows), 40) is None and simhash_dedup.crowded_anchors(sent.limit(0), 0, 40) is None
+
+
+def test_freed_memory_is_given_back(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:"))
+
+    many = [bytes(1000) for _ in range(200_000)]  # small pieces, which free() keeps below the last one
+    most, last = held(), bytes(2000)
+    del many
+    give_back()
+    assert held() < most - 100_000 and len(last) == 2000
+    assert sorted(r[0] for r in map_batches(spark.range(50).repartition(3), lambda batches: batches, "id long").collect()) == list(range(50))
+
+
 def test_simhash_components(spark):
     random.seed(6)
     words = ["w%d" % k for k in range(400)]
