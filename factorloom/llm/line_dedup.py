@@ -187,6 +187,12 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return False
 
 
+def rows_with(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` may be one of ``keys``, so that a join with far fewer keys does not shuffle all rows."""
+    codes = keys.select(F.xxhash64(key).alias("__code"))
+    return MembershipFilter(codes, "__code", keys.count()).apply(rows.withColumn("__code", F.xxhash64(key)), "__code").drop("__code")
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Digests of ``pairs`` (``digest, text, o_text, bound``) within their bound."""
 
@@ -207,8 +213,8 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     keys = distinct.select("digest", F.posexplode("keys").alias("slot", "key"))
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     slots = MembershipFilter(shared, "key", shared.count()).apply(keys, "key").join(shared, "key", "left_semi")
-    slots = slots.groupBy("digest").agg(F.collect_set("slot").alias("slots"))
-    wanted = slots.join(distinct.select("digest", "at"), "digest")
+    slots = materialize(slots.groupBy("digest").agg(F.collect_set("slot").alias("slots")), "slots")
+    wanted = slots.join(rows_with(distinct.select("digest", "at"), slots, "digest"), "digest")
     lines = materialize(lines_at(wanted, docs), "lines")
 
     def rows_of(held):
@@ -309,8 +315,9 @@ def parities(lines: list[str]) -> np.ndarray:
     """
     c = _code_points(lines).astype(np.uint64)
     of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    ones = of * LETTERS + (mix(c) % np.uint64(LETTERS)).astype(np.int64)
-    twos = of[1:] * PAIRS + (mix((c[:-1] << np.uint64(32)) | c[1:]) % np.uint64(PAIRS)).astype(np.int64)
+    spread = np.uint64(0x9E3779B97F4A7C15)  # the leading bits of the product are the class
+    ones = of * LETTERS + (c * spread >> np.uint64(65 - LETTERS.bit_length())).astype(np.int64)
+    twos = of[1:] * PAIRS + (((c[:-1] << np.uint64(21)) | c[1:]) * spread >> np.uint64(65 - PAIRS.bit_length())).astype(np.int64)
     twos = twos[of[1:] == of[:-1]]
     counts = [np.bincount(x, minlength=len(lines) * k).reshape(-1, k) for x, k in ((ones, LETTERS), (twos, PAIRS))]
     return np.packbits((np.concatenate(counts, axis=1) & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
@@ -444,8 +451,8 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
         lines = result(lines, "keyed-lines")
     def verified(pairs):
         pairs = materialize(pairs, "gram-pairs")
-        ends = pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct()
-        wanted = lines.select("digest", "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
+        ends = materialize(pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct(), "ends")
+        wanted = rows_with(lines.select("digest", "at"), ends, "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
         texts = materialize(lines_at(wanted, docs), "pair-lines").select("digest", F.struct("doc_id", "line").alias("at"), "text")
         others = texts.select(F.col("at").alias("o_at"), F.col("text").alias("o_text"))
         pairs = pairs.join(texts, "at").join(others, "o_at")
@@ -458,13 +465,14 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     met = materialize(met.select("at", F.slice("found", 1, NEAREST).alias("found"), (F.col("more") | (F.size("found") > NEAREST)).alias("more")), "nearest")
     near = verified(met.select("at", F.explode("found").alias("f")).select("at", "f.o_at", "f.bound"))
     # lines that are not near those are compared with all others that parities allow
-    still = lines.join(met.where("more").select("at"), "at", "left_semi").join(near, "digest", "left_anti")
+    more = met.where("more").select("at")
+    still = rows_with(lines, more, "at").join(more, "at", "left_semi").join(near, "digest", "left_anti")
     still = materialize(still.select("at", "keys", F.lit(True).alias("open")), "open-lines")
     if still.isEmpty():
         return near
     keys = materialize(still.select(F.explode("keys").alias("key")).distinct(), "open-grams")
-    rows = lines.join(still.select("at", "open"), "at", "left").select("at", *names, F.coalesce("open", F.lit(False)).alias("open"), F.explode("keys").alias("key"))
-    rows = MembershipFilter(keys, "key", keys.count()).apply(rows, "key")
+    rows = MembershipFilter(keys, "key", keys.count()).apply(lines.select("at", *names, F.explode("keys").alias("key")), "key")
+    rows = rows.join(still.select("at", "open"), "at", "left").withColumn("open", F.coalesce("open", F.lit(False)))
     return near.unionByName(verified(gram_pairs(rows, edit_chars, max_edits, None).select("at", "o_at", "bound").distinct()))
 
 
@@ -564,9 +572,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int
         if max_edits > 1:
             with scratch_scope(docs.sparkSession):
                 near = near.unionByName(result(farther_lines(distinct.count(), docs, edit_chars, max_edits), "farther")).distinct()
+        # lines that are certainly not near do not meet the near ones
         near = near.withColumn("near", F.lit(True))
-        losing = distinct.select("digest", "at", "n").join(near, "digest", "left").where("n > 1 or near")
-        losing = materialize(losing.withColumn("h", F.xxhash64("digest")), "losing")
+        flagged = distinct.select("digest", "at", "n", F.xxhash64("digest").alias("h"))
+        flagged = MembershipFilter(near.select(F.xxhash64("digest").alias("h")), "h", near.count()).flag(flagged, "h")
+        maybe = flagged.where("__maybe").drop("__maybe").join(near, "digest", "left").where("n > 1 or near")
+        losing = maybe.unionByName(flagged.where("not __maybe and n > 1").drop("__maybe").withColumn("near", F.lit(None).cast("boolean")))
+        losing = materialize(losing, "losing")
         places = lines.select("doc_id", "line", "digest", F.xxhash64("digest").alias("h"))
         places = MembershipFilter(losing, "h", losing.count()).apply(places, "h").drop("h")
         places = join_skewed(places, losing.drop("h"), "digest", "n", lines.count(), "inner")

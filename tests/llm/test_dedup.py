@@ -514,6 +514,16 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     assert got[2] == texts[2] and got[3] == texts[3] and not any("xx1" in got[k] for k in (4, 5)) and len(got) == 6
 
 
+def test_few_keys_leave_most_rows_where_they_are(spark):
+    rows = spark.range(20_000).select(F.struct(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("int").alias("line")).alias("at"), F.md5(F.col("id").cast("string")).alias("digest"))
+    keys = rows.where("at.doc_id % 1000 = 3")
+    for key in ("at", "digest"):
+        some = line_module.rows_with(rows, keys.select(key), key)
+        assert some.columns == rows.columns
+        assert some.join(keys.select(key), key, "left_semi").count() == 20 and some.count() < 2000
+    assert line_module.rows_with(rows, keys.limit(0), "at").count() == 0
+
+
 def test_far_lines_of_a_large_group(spark, monkeypatch):
     """A line of a large group whose nearest lines by parities are too far is compared with all others, too."""
     rng = random.Random(15)
