@@ -11,6 +11,10 @@ One edit leaves a half of the word as it is.  So searches do not begin at the
 root, whose edges every word would follow: they begin below the first half, with
 the edit in the second, and once more in the trie of the reversed words, with the
 edit in the first.  Prefixes shorter than that are not in the table at all.
+
+Near words are near in both directions, so each two are found from one side only:
+from the shorter word, or the one whose code point at the edit is smaller.  The
+other direction is the same pair turned round.
 """
 
 from __future__ import annotations
@@ -106,11 +110,11 @@ def trie(words: DataFrame) -> DataFrame:
 
 
 def _begin(words: DataFrame) -> DataFrame:
-    """The first frontier ``word, text, pos, node, edits``: each word below its first half, in both tries."""
+    """The first frontier ``word, n, text, pos, node, edits``: each word below its first half, in both tries."""
     sides = []
     for side, text in (("f", F.col("word")), ("r", F.reverse("word"))):
         pos = _search_begin(side, F.length("text"))
-        rows = words.select("word", text.alias("text")).withColumn("pos", pos)
+        rows = words.select("word", "n", text.alias("text")).withColumn("pos", pos)
         sides.append(rows.withColumn("node", _name(F.lit(side), _left("text", F.col("pos")))).withColumn("edits", F.lit(0)))
     return reduce(DataFrame.unionByName, sides)
 
@@ -121,11 +125,11 @@ def _rest(n=None) -> Column:
 
 
 def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """States without an edit over all edges of their node: as the label is, or with one edit that makes it one, two or no code points more or less."""
-    on = frontier.where("edits = 0").join(nodes.hint("shuffle_hash"), "node").select("word", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
+    """States without an edit over all edges of their node: as the label is, or with one edit that puts a greater code point in, for one of the word's or beside them."""
+    on = frontier.where("edits = 0").join(nodes.hint("shuffle_hash"), "node").select("word", "n", "text", "pos", F.inline("edges").alias("label", "child", "near", "near_n", "starts", "rests"))
     # no length that may follow fits any edit, nor the word as it is: most edges end here, without a look at the text
     shift = "length(text) - pos - length(label)"
-    on = on.where(F.expr(f"CASE WHEN {shift} < 0 THEN {shift} = -1 AND rests & 1 = 1 ELSE shiftright(rests, greatest(0, least({LONG_REST}, {shift}) - 1)) & 7 <> 0 END"))
+    on = on.where(F.expr(f"CASE WHEN {shift} < 0 THEN {shift} = -1 AND rests & 1 = 1 ELSE shiftright(rests, least({LONG_REST}, {shift})) & 3 <> 0 END"))
     size = F.length("label")
     tail = F.substr("label", F.lit(2))
     aligned = _rest(F.lit(1)) == _left("label", F.lit(1))
@@ -136,11 +140,11 @@ def _plain(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
 
     after_first = lambda n: F.substr("text", F.col("pos") + 2, n)
     moves = (
-        (size, 0, aligned & (_rest(size) == F.col("label"))), (size, 1, edited("length(label)", after_first(size - 1) == tail)),
-        (size + 1, 1, edited("length(label) + 1", after_first(size) == F.col("label"))), (size - 1, 1, edited("length(label) - 1", _rest(size - 1) == tail)),
+        (size, 0, aligned & (_rest(size) == F.col("label"))), (size, 1, (F.col("label") > _rest(size)) & edited("length(label)", after_first(size - 1) == tail)),
+        (size - 1, 1, edited("length(label) - 1", _rest(size - 1) == tail)),
     )
     moves = F.array_compact(F.array(*(F.when(ok, F.struct(k.alias("k"), F.lit(more).alias("more"))) for k, more, ok in moves)))
-    return on.select("word", "text", "pos", F.col("child").alias("node"), "near", "near_n", "starts", "rests", F.inline(moves).alias("k", "edits"))
+    return on.select("word", "n", "text", "pos", F.col("child").alias("node"), "near", "near_n", "starts", "rests", F.inline(moves).alias("k", "edits"))
 
 
 def _edited(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,7 +152,7 @@ def _edited(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     own = frontier.where("edits = 1").withColumnRenamed("node", "from").withColumn("first", _rest(F.lit(1)))
     on = own.join(edges.select(F.col("node").alias("from"), "first", "label", F.col("child").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"), "starts", "rests").hint("shuffle_hash"), ["from", "first"])
     size = F.length("label")
-    return on.where(_fits("length(label)") & (_rest(size) == F.col("label"))).select("word", "text", "pos", "node", "near", "near_n", "starts", "rests", size.alias("k"), "edits")
+    return on.where(_fits("length(label)") & (_rest(size) == F.col("label"))).select("word", "n", "text", "pos", "node", "near", "near_n", "starts", "rests", size.alias("k"), "edits")
 
 
 def _advance(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,11 +162,17 @@ def _advance(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     code point tell at once where it can't.
     """
     moved = _plain(frontier, nodes).unionByName(_edited(frontier, edges))
-    return moved.select("word", "text", (F.col("pos") + F.col("k")).alias("pos"), "node", "edits", "near", "near_n")
+    return moved.select("word", "n", "text", (F.col("pos") + F.col("k")).alias("pos"), "node", "edits", "near", "near_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """``word, near, near_n``: every pair of different ``words`` (``word, n``) one inserted, deleted or replaced code point apart, in both directions.
+    """``word, near, near_n``: every pair of different ``words`` (``word, n``) one inserted, deleted or replaced code point apart, in both directions."""
+    pairs = one_way(words)
+    return pairs.select("word", "near", "near_n").unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+
+
+def one_way(words: DataFrame) -> DataFrame:
+    """``word, n, near, near_n``: every pair of ``neighbours`` in one direction, to the longer word or the one of the greater code point.
 
     Rounds end when no state is left: after as many as the most nodes below the
     half of any word, not its length.  Pairs may come back more than once.
@@ -176,7 +186,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         while True:
             moved = materialize(_advance(frontier, nodes, edges), "frontier")
             done = (F.col("pos") == F.length("text")) & (F.col("edits") == 1) & F.col("near").isNotNull()
-            found.append(moved.where(done).select("word", "near", "near_n"))
+            found.append(moved.where(done).select("word", "n", "near", "near_n"))
             # an edit more may still be due at the end of the word, a plain state there is the word itself
             frontier = moved.where((F.col("pos") < F.length("text")) | (F.col("edits") == 0)).drop("near", "near_n")
             if frontier.isEmpty():

@@ -285,6 +285,17 @@ def test_variants_equal_all_comparisons(spark, seed, letters, lengths):
     assert variants(spark, counts) == variants_by_hand(counts)
 
 
+def test_each_two_near_words_are_found_from_one_side(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(4, 8))) for _ in range(200)})
+    counts = {w: k + 3 for k, w in enumerate(words)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    found = {tuple(r) for r in sv.one_way(df).select("word", "n", "near", "near_n").collect()}
+    near = near_by_hand(counts)
+    assert found == {(w, counts[w], v, counts[v]) for w in words for v in near[w] if (len(w), w) < (len(v), v)}
+    assert {tuple(r) for r in sv.neighbours(df).select("word", "near", "near_n").collect()} == {(w, v, counts[v]) for w in words for v in near[w]}
+
+
 def test_variants_of_long_words_and_long_shared_prefixes(spark):
     """Rounds follow the branches, not the length: code points without a branch are one edge."""
     a, b = "ab" * 2000, "c" * 70
