@@ -28,6 +28,7 @@ gives back a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -310,7 +311,8 @@ def anchors(block: Column, checks: int = 5) -> Column:
     for k in range(checks):
         checked = sum(one_of(p) for p in range(1, 1 << checks) if p >> k & 1)
         syndrome = syndrome + F.shiftleft(F.bit_count(block.bitwiseAND(F.lit(checked))) % 2, k)
-    masks = F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in anchor_masks(checks)))
+    # one literal, as hundreds of them in every block would cost the driver seconds to plan
+    masks = F.from_json(F.lit(json.dumps(anchor_masks(checks))), "array<array<bigint>>")
     return F.transform(F.element_at(masks, syndrome + 1), lambda m: m.bitwiseXOR(block))
 
 

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from factorloom.llm import common
 from factorloom.llm import line_dedup as line_module
 from factorloom.llm import simhash_dedup
 from factorloom.llm.common import MembershipFilter, connected_components, give_back, join_skewed, map_batches, materialize, with_edits
@@ -544,6 +545,19 @@ def test_far_lines_of_a_large_group(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in rows if r["text"] == "") == expected
 
 
+def test_anchors_cost_the_driver_little(spark, monkeypatch):
+    words = spark.createDataFrame([([1, -1, 1 << 40, 12345],)], "words array<long>")
+    plan = words.select(simhash_dedup._tagged_anchors(F.col("words"), 4, 5).alias("a"))
+    assert len(plan._jdf.queryExecution().logical().toJSON()) < 300_000
+    rests = []
+    monkeypatch.setattr(common, "rest_driver", rests.append)
+    for k in range(2 * common.TABLES_A_REST):
+        materialize(words, "few")
+    assert len(rests) == 2
+    monkeypatch.undo()
+    common.rest_driver(spark)
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     """Nulls, empty texts, repeated rows, clashing names and empty tables through all stages, one after the other."""
     import corpus_pipeline
