@@ -471,7 +471,8 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     if still.isEmpty():
         return near
     keys = materialize(still.select(F.explode("keys").alias("key")).distinct(), "open-grams")
-    rows = MembershipFilter(keys, "key", keys.count()).apply(lines.select("at", *names, F.explode("keys").alias("key")), "key")
+    rows = lines.select("at", *names, "keys", F.explode("keys").alias("key"))
+    rows = MembershipFilter(keys, "key", keys.count()).apply(rows, "key").withColumn("less", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
     rows = rows.join(still.select("at", "open"), "at", "left").withColumn("open", F.coalesce("open", F.lit(False)))
     return near.unionByName(verified(gram_pairs(rows, edit_chars, max_edits, None).select("at", "o_at", "bound").distinct()))
 
@@ -480,9 +481,10 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
     """``at, o_at, bound, odd, more``: open lines with earlier lines of a common gram that lengths and parities allow.
 
     ``odd`` is the number of differing parities.  With ``nearest``, a gram gives a line so many of the least ``odd``,
-    and ``more`` says that it left out some.
+    and ``more`` says that it left out some.  Without, rows have ``less``, their line's grams below ``key``, and two lines
+    meet at the least of their common grams only, as near copies of a group share most of theirs.
     """
-    names = ["key", "doc_id", "line", "n", "p0", "p1", "p2", "open"]
+    names = ["key", "doc_id", "line", "n", "p0", "p1", "p2", "open", *(["less"] if nearest is None else [])]
 
     def run(batches):
         held = None
@@ -498,17 +500,27 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
         if held is not None:
             yield from _met(held, edit_chars, max_edits, nearest)
 
-    rows = rows.select("key", "at.doc_id", "at.line", "n", "p0", "p1", "p2", "open")
+    rows = rows.select("key", "at.doc_id", "at.line", *names[3:])
     rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
     pairs = rows.transform(map_batches, run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
     places = (F.struct("doc_id", "line").alias("at"), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line")).alias("o_at"))
     return pairs.select(*places, "bound", "odd", "more")
 
 
+def _numbered(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of numbers for each list of codes, filled up with the last number, and a flag for each number, none set."""
+    sizes = np.array([len(x) for x in lists])
+    codes, numbers = np.unique(np.concatenate(list(lists)), return_inverse=True)
+    out = np.full((len(lists), max(1, int(sizes.max()))), len(codes), np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = numbers
+    return out, np.zeros(len(codes) + 1, bool)
+
+
 def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int | None):
     """Batches of ``gram_pairs`` from rows that are sorted by key and place."""
     key, doc_id, line, n = rows[:4]
     p, is_open = np.stack([x.view(np.uint64) for x in rows[4:7]], axis=1), rows[7].astype(bool)
+    less = rows[8] if nearest is None else None
 
     def near(later, earlier):
         least = np.minimum(n[later], n[earlier])
@@ -540,16 +552,26 @@ def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int |
     for step in range(1, min(FEW_LINES, int(sizes.max(initial=1)))):
         at = np.flatnonzero((key[step:] == key[:-step]) & small[step:] & is_open[step:]) + step
         ok, *rest = near(at, at - step)
+        if less is not None:
+            for k in np.flatnonzero(ok):
+                ok[k] = set(less[at[k]]).isdisjoint(less[at[k] - step])
         for col, x in zip(found, (at, at - step, *rest), strict=True):
             col.append(x[ok])
     yield batch_of(*found)
     for k in np.flatnonzero(sizes > FEW_LINES):
         found, held = [[], [], [], []], 0
+        grams, taken = (None, None) if less is None else _numbered(less[first[k] : first[k] + sizes[k]])
         for at in range(first[k] + 1, first[k] + sizes[k]):
             if not is_open[at]:
                 continue
             before = np.arange(first[k], at)
             ok, *rest = near(np.full(1, at), before)
+            if grams is not None:
+                own, may = grams[at - first[k]], np.flatnonzero(ok)
+                taken[own] = True
+                taken[-1] = False
+                ok[may[taken[grams[may]].any(axis=1)]] = False
+                taken[own] = False
             for col, x in zip(found, (np.full(len(before), at), before, *rest), strict=True):
                 col.append(x[ok])
             held += int(ok.sum())

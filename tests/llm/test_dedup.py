@@ -545,6 +545,29 @@ def test_far_lines_of_a_large_group(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in rows if r["text"] == "") == expected
 
 
+@pytest.mark.parametrize("n_lines", [10, 60])
+def test_lines_of_a_group_meet_at_one_gram(spark, n_lines):
+    rng = random.Random(n_lines)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    lines = []
+    for _ in range(n_lines):
+        at = rng.randrange(390)
+        lines.append(base[:at] + "".join(rng.sample("ijklmnop", rng.randrange(1, 4))) + base[at:])
+    index, codes, _ = line_module.line_grams(lines)
+    keys = [sorted({int(c) for c in codes[index == k]}) for k in range(n_lines)]
+    odd = line_module.parities(lines)
+    schema = "key long, at struct<doc_id:long,line:int>, n int, p0 long, p1 long, p2 long, open boolean, less array<long>"
+    rows = [(key, (k, 0), len(lines[k]), *map(int, odd[k]), k % 3 > 0, [x for x in keys[k] if x < key]) for k in range(n_lines) for key in keys[k]]
+    got = [(r["at"]["doc_id"], r["o_at"]["doc_id"]) for r in line_module.gram_pairs(spark.createDataFrame(rows, schema), 32, 5, None).collect()]
+
+    def may(a, b):
+        apart = np.bitwise_count(odd[a].view(np.uint64) ^ odd[b].view(np.uint64))
+        return set(keys[a]) & set(keys[b]) and abs(len(lines[a]) - len(lines[b])) <= 5 and apart[0] <= 10 and int(apart[1]) + int(apart[2]) <= 20
+
+    assert sorted(got) == [(a, b) for a in range(n_lines) for b in range(a) if a % 3 and may(a, b)]
+    assert len(got) > n_lines
+
+
 def test_anchors_cost_the_driver_little(spark, monkeypatch):
     words = spark.createDataFrame([([1, -1, 1 << 40, 12345],)], "words array<long>")
     plan = words.select(simhash_dedup._tagged_anchors(F.col("words"), 4, 5).alias("a"))
