@@ -1,15 +1,18 @@
 """A corpus pipeline: toxicity, line dedup, SimHash near-dedup, suffix-array dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept.  Stages but the last return the columns of ``documents``.
+kept.  Stages but the last return the columns of ``documents``.  Executors give
+back the heap of the stage before first.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm.common import materialize
+from factorloom.llm.common import materialize, rest_executors
 from factorloom.llm.line_dedup import EXACT_CHARS, MAX_EDITS, drop_lines
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.simhash_dedup import bits_apart, keep_one_of_each
@@ -47,12 +50,23 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def rested(stage):
+    """``stage`` on executors that have given back the heap of the one before."""
+
+    @wraps(stage)
+    def run_rested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_rested
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
-    ("suffix_array_dedup", substrings),
-    ("packing", packing),
+    ("toxicity", rested(toxicity)),
+    ("line_dedup", rested(lines)),
+    ("simhash_near_dedup", rested(near_duplicates)),
+    ("suffix_array_dedup", rested(substrings)),
+    ("packing", rested(packing)),
 ]
 
 #: Fitted weights, fingerprints and suffix arrays are beyond SQL; the operators behind the stages are tested against brute force instead.

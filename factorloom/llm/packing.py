@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.byte_bpe import byte_coder
-from factorloom.llm.common import materialize, texts_of
+from factorloom.llm.common import map_batches, materialize, texts_of
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 128
@@ -54,7 +54,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tok
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return texts_of(docs).mapInArrow(cut, PIECE_SCHEMA)
+    return texts_of(docs).transform(map_batches, cut, PIECE_SCHEMA)
 
 
 def pack_block(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -568,6 +568,27 @@ def test_lines_of_a_group_meet_at_one_gram(spark, n_lines):
     assert len(got) > n_lines
 
 
+def test_executors_rest_before_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    rests = []
+    monkeypatch.setattr(corpus_pipeline, "rest_executors", rests.append)
+    docs = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[-2:]:
+        docs = stage(spark, docs, "")
+    assert rests == [spark, spark]
+    monkeypatch.undo()
+
+    def used():
+        jvm = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+        return jvm.getHeapMemoryUsage().getUsed()
+
+    spark._jvm.java.util.ArrayList(spark._jvm.java.util.Collections.nCopies(30_000_000, None))  # garbage at once
+    before = used()
+    common.rest_executors(spark)
+    assert used() < before
+
+
 def test_anchors_cost_the_driver_little(spark, monkeypatch):
     words = spark.createDataFrame([([1, -1, 1 << 40, 12345],)], "words array<long>")
     plan = words.select(simhash_dedup._tagged_anchors(F.col("words"), 4, 5).alias("a"))
