@@ -44,6 +44,7 @@ LISTED_GRAMS = 1_000_000  # hashes that a task sorts before it sends them, and t
 GRAMS_A_LINE = 20
 NEAREST = 3  # earlier lines that a line is compared with first
 FEW_LINES = 16  # up to so many lines of a gram are compared all at once
+PAIR_CHARS = 4_000_000  # of pairs of lines that are compared by edits at once
 LINE_SCHEMA = "doc_id long, line int, digest binary, keys array<long>"
 
 
@@ -187,6 +188,53 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return False
 
 
+def _may_be_within(lines: list[str], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``within_edits`` of all pairs at once, with hashes in place of texts: never false for a pair within its bound."""
+    n = np.array([len(x) for x in lines], np.int64)
+    begin = np.cumsum(n) - n
+    h = RangeHash(_code_points(lines))
+    n_a, n_b, at_a, at_b = n[a], n[b], begin[a], begin[b]
+
+    def same_ahead(p, q, size):
+        lo, hi = np.zeros(len(p), np.int64), size
+        for _ in range(int(size.max(initial=0)).bit_length()):
+            middle = (lo + hi + 1) // 2
+            same = h.of(p, p + middle) == h.of(q, q + middle)
+            lo, hi = np.where(same, middle, lo), np.where(same, hi, middle - 1)
+        return lo
+
+    top = int(most.max(initial=0))
+    found = np.zeros(len(a), bool)
+    ends = np.full((2 * top + 3, len(a)), -2, np.int64)  # by diagonal, from -top - 1 on
+    for e in range(top + 1):
+        now = np.full_like(ends, -2)
+        for d in range(-e, e + 1):
+            c = d + top + 1
+            i = np.maximum(np.maximum(ends[c] + 1, ends[c - 1]), ends[c + 1] + 1) if e else np.zeros(len(a), np.int64)
+            i = np.minimum(np.minimum(i, n_a), n_b - d)
+            # a diagonal that is too far from the last one leads to no end within the bound
+            go = np.flatnonzero((i >= 0) & (i + d >= 0) & (np.abs(n_b - n_a - d) <= most - e) & ~found)
+            i = i[go]
+            i = i + same_ahead(at_a[go] + i, at_b[go] + i + d, np.minimum(n_a[go] - i, n_b[go] - i - d))
+            found[go[(i == n_a[go]) & (i + d == n_b[go])]] = True
+            now[c, go] = i
+        ends = now
+    return found
+
+
+def all_within_edits(lines: list[str], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``within_edits(lines[a], lines[b], most)`` for arrays ``a``, ``b`` and ``most``."""
+    out = np.zeros(len(a), bool)
+    size = np.array([len(x) for x in lines], np.int64)
+    block = np.cumsum(size[a] + size[b]) // PAIR_CHARS
+    for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(block)) + 1):
+        ids, of = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        out[at] = _may_be_within([lines[k] for k in ids], of[: len(at)], of[len(at) :], most[at])
+    for k in np.flatnonzero(out):
+        out[k] = within_edits(lines[a[k]], lines[b[k]], int(most[k]))
+    return out
+
+
 def rows_with(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``rows`` whose ``key`` may be one of ``keys``, so that a join with far fewer keys does not shuffle all rows."""
     codes = keys.select(F.xxhash64(key).alias("__code"))
@@ -449,11 +497,15 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
         rows = MembershipFilter(shared, "key", shared.count()).apply(rows, "key")
         lines = rows.groupBy("digest").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in names), F.collect_set("key").alias("keys"))
         lines = result(lines, "keyed-lines")
+
+    def texts_at(places):
+        wanted = rows_with(lines.select("digest", "at"), places, "at").join(places, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
+        return lines_at(wanted, docs).select("digest", F.struct("doc_id", "line").alias("at"), "text")
+
     def verified(pairs):
         pairs = materialize(pairs, "gram-pairs")
         ends = materialize(pairs.select(F.explode(F.array("at", "o_at")).alias("at")).distinct(), "ends")
-        wanted = rows_with(lines.select("digest", "at"), ends, "at").join(ends, "at", "left_semi").withColumn("slots", F.array().cast("array<int>"))
-        texts = materialize(lines_at(wanted, docs), "pair-lines").select("digest", F.struct("doc_id", "line").alias("at"), "text")
+        texts = materialize(texts_at(ends), "pair-lines")
         others = texts.select(F.col("at").alias("o_at"), F.col("text").alias("o_text"))
         pairs = pairs.join(texts, "at").join(others, "o_at")
         return materialize(_verified(pairs.select("digest", "text", "o_text", "bound")), "verified")
@@ -464,17 +516,20 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     met = met.groupBy("at").agg(F.array_sort(F.collect_set(F.struct("odd", "o_at", "bound"))).alias("found"), F.max("more").alias("more"))
     met = materialize(met.select("at", F.slice("found", 1, NEAREST).alias("found"), (F.col("more") | (F.size("found") > NEAREST)).alias("more")), "nearest")
     near = verified(met.select("at", F.explode("found").alias("f")).select("at", "f.o_at", "f.bound"))
-    # lines that are not near those are compared with all others that parities allow
+    # lines that are not near those are compared with all others that parities allow, where their grams meet: there may be
+    # many such pairs, so texts come to the grams and no pair leaves them but one of each line that is near
     more = met.where("more").select("at")
     still = rows_with(lines, more, "at").join(more, "at", "left_semi").join(near, "digest", "left_anti")
-    still = materialize(still.select("at", "keys", F.lit(True).alias("open")), "open-lines")
+    still = materialize(still.select("digest", "keys", F.lit(True).alias("open")), "open-lines")
     if still.isEmpty():
         return near
     keys = materialize(still.select(F.explode("keys").alias("key")).distinct(), "open-grams")
-    rows = lines.select("at", *names, "keys", F.explode("keys").alias("key"))
+    rows = lines.select("digest", "at", *names, "keys", F.explode("keys").alias("key"))
     rows = MembershipFilter(keys, "key", keys.count()).apply(rows, "key").withColumn("less", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
-    rows = rows.join(still.select("at", "open"), "at", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    return near.unionByName(verified(gram_pairs(rows, edit_chars, max_edits, None).select("at", "o_at", "bound").distinct()))
+    rows = rows.join(still.select("digest", "open"), "digest", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = materialize(rows, "open-rows")
+    texts = materialize(texts_at(rows.select("at").distinct()).select("digest", "text"), "open-texts")
+    return near.unionByName(gram_pairs(rows.join(texts, "digest"), edit_chars, max_edits, None))
 
 
 def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int | None) -> DataFrame:
@@ -482,9 +537,13 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
 
     ``odd`` is the number of differing parities.  With ``nearest``, a gram gives a line so many of the least ``odd``,
     and ``more`` says that it left out some.  Without, rows have ``less``, their line's grams below ``key``, and two lines
-    meet at the least of their common grams only, as near copies of a group share most of theirs.
+    meet at the least of their common grams only, as near copies of a group share most of theirs.  Where rows have
+    ``text`` and ``digest`` as well, such lines are compared by edits there, and only ``digest`` of the open lines that are
+    within the bound of an earlier one comes back.
     """
     names = ["key", "doc_id", "line", "n", "p0", "p1", "p2", "open", *(["less"] if nearest is None else [])]
+    compared = "text" in rows.columns
+    names += ["text", "digest"] if compared else []
 
     def run(batches):
         held = None
@@ -502,6 +561,8 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
 
     rows = rows.select("key", "at.doc_id", "at.line", *names[3:])
     rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
+    if compared:
+        return rows.transform(map_batches, run, "digest binary").distinct()
     pairs = rows.transform(map_batches, run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
     places = (F.struct("doc_id", "line").alias("at"), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line")).alias("o_at"))
     return pairs.select(*places, "bound", "odd", "more")
@@ -521,6 +582,7 @@ def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int |
     key, doc_id, line, n = rows[:4]
     p, is_open = np.stack([x.view(np.uint64) for x in rows[4:7]], axis=1), rows[7].astype(bool)
     less = rows[8] if nearest is None else None
+    texts, digests = rows[9:] if len(rows) > 9 else (None, None)
 
     def near(later, earlier):
         least = np.minimum(n[later], n[earlier])
@@ -533,6 +595,9 @@ def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int |
 
     def batch_of(later, earlier, bound, odd):
         later, earlier, bound, odd = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (later, earlier, bound, odd))
+        if texts is not None:
+            near_ones = np.unique(later[all_within_edits(texts, later, earlier, bound)])
+            return pa.RecordBatch.from_arrays([pa.array(digests[near_ones], pa.binary())], ["digest"])
         more = np.zeros(len(later), bool)
         if nearest is not None:
             order = np.lexsort((earlier, odd, later))

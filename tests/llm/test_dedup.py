@@ -568,6 +568,54 @@ def test_lines_of_a_group_meet_at_one_gram(spark, n_lines):
     assert len(got) > n_lines
 
 
+def test_edits_of_many_pairs_at_once():
+    rng = random.Random(9)
+    lines, pairs = [], []
+    for _ in range(1500):
+        x = [rng.choice("ab") for _ in range(rng.randrange(30))]
+        y = list(x)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "a", "é", "\U0001f600"])
+        pairs.append((len(lines), len(lines) + 1, rng.randrange(6)))
+        lines += ["".join(x), "".join(y)]
+    a, b, most = np.array(pairs).T
+    got = line_module.all_within_edits(lines, a, b, most)
+    assert got.tolist() == [line_module.within_edits(lines[i], lines[j], k) for i, j, k in pairs]
+    assert 0.3 < got.mean() < 0.9
+    assert line_module.all_within_edits(lines, a[:0], b[:0], most[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("n_lines", [12, 40])
+def test_open_lines_leave_no_pairs(spark, n_lines):
+    """Near copies of which only a few are within their bound: a row for each such line comes back, whatever the number of pairs."""
+    rng = random.Random(n_lines)
+    base = [rng.choice("abcdefgh") for _ in range(300)]
+
+    def copy(k):
+        x = list(base)
+        for at in rng.sample(range(80, 300), 4):
+            x[at] = "ijkl"[k % 4]
+        return "".join(x)
+
+    lines = [copy(k) for k in range(n_lines)]
+    lines[-1] = lines[1][:-2] + "zz"
+    odd = line_module.parities(lines)
+    index, codes, _ = line_module.line_grams(lines, 32, 5)
+    keys = [sorted({int(c) for c in codes[index == k]}) for k in range(n_lines)]
+    schema = "key long, at struct<doc_id:long,line:int>, n int, p0 long, p1 long, p2 long, open boolean, less array<long>, text string, digest binary"
+    rows = [
+        (key, (k, 0), len(lines[k]), *map(int, odd[k]), k % 3 > 0, [x for x in keys[k] if x < key], lines[k], b"%d" % k)
+        for k in range(n_lines)
+        for key in keys[k]
+    ]
+    met = spark.createDataFrame(rows, schema)
+    got = sorted(int(r["digest"]) for r in line_module.gram_pairs(met, 32, 5, None).collect())
+    assert got == [a for a in range(n_lines) if a % 3 and any(line_module.within_edits(lines[a], lines[b], 5) for b in range(a))]
+    assert (n_lines - 1 in got) == ((n_lines - 1) % 3 > 0)
+    assert line_module.gram_pairs(met.drop("text", "digest"), 32, 5, None).count() > n_lines
+
+
 def test_executors_rest_before_each_stage(spark, monkeypatch):
     import corpus_pipeline
 
