@@ -528,6 +528,10 @@ def farther_lines(n_lines: int, docs: DataFrame, edit_chars: int, max_edits: int
     rows = MembershipFilter(keys, "key", keys.count()).apply(rows, "key").withColumn("less", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
     rows = rows.join(still.select("digest", "open"), "digest", "left").withColumn("open", F.coalesce("open", F.lit(False)))
     rows = materialize(rows, "open-rows")
+    # texts come only to lines that lengths and parities allow to meet another there
+    mates = materialize(gram_pairs(rows, edit_chars, max_edits, None).select(F.xxhash64("key", "digest").alias("code")), "open-mates")
+    rows = MembershipFilter(mates, "code", mates.count()).apply(rows.withColumn("code", F.xxhash64("key", "digest")), "code").drop("code")
+    rows = materialize(rows, "open-rows")
     texts = materialize(texts_at(rows.select("at").distinct()).select("digest", "text"), "open-texts")
     return near.unionByName(gram_pairs(rows.join(texts, "digest"), edit_chars, max_edits, None))
 
@@ -538,12 +542,13 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
     ``odd`` is the number of differing parities.  With ``nearest``, a gram gives a line so many of the least ``odd``,
     and ``more`` says that it left out some.  Without, rows have ``less``, their line's grams below ``key``, and two lines
     meet at the least of their common grams only, as near copies of a group share most of theirs.  Where rows have
-    ``text`` and ``digest`` as well, such lines are compared by edits there, and only ``digest`` of the open lines that are
-    within the bound of an earlier one comes back.
+    ``digest`` as well, ``key, digest`` of the lines of such pairs come back instead, a row a line and gram.  With ``text``
+    too, the pairs are compared by edits there, and only ``digest`` of the open lines that are within the bound of an
+    earlier one comes back.
     """
     names = ["key", "doc_id", "line", "n", "p0", "p1", "p2", "open", *(["less"] if nearest is None else [])]
-    compared = "text" in rows.columns
-    names += ["text", "digest"] if compared else []
+    further = [c for c in ("digest", "text") if c in rows.columns]
+    names += further
 
     def run(batches):
         held = None
@@ -561,8 +566,9 @@ def gram_pairs(rows: DataFrame, edit_chars: int, max_edits: int, nearest: int |
 
     rows = rows.select("key", "at.doc_id", "at.line", *names[3:])
     rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
-    if compared:
-        return rows.transform(map_batches, run, "digest binary").distinct()
+    if further:
+        lines = rows.transform(map_batches, run, "digest binary" if "text" in further else "key long, digest binary")
+        return lines.distinct() if "text" in further else lines
     pairs = rows.transform(map_batches, run, "doc_id long, line int, o_doc long, o_line int, bound int, odd int, more boolean")
     places = (F.struct("doc_id", "line").alias("at"), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line")).alias("o_at"))
     return pairs.select(*places, "bound", "odd", "more")
@@ -582,7 +588,7 @@ def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int |
     key, doc_id, line, n = rows[:4]
     p, is_open = np.stack([x.view(np.uint64) for x in rows[4:7]], axis=1), rows[7].astype(bool)
     less = rows[8] if nearest is None else None
-    texts, digests = rows[9:] if len(rows) > 9 else (None, None)
+    digests, texts = [*rows[9:], None, None][:2]
 
     def near(later, earlier):
         least = np.minimum(n[later], n[earlier])
@@ -595,6 +601,9 @@ def _met(rows: list[np.ndarray], edit_chars: int, max_edits: int, nearest: int |
 
     def batch_of(later, earlier, bound, odd):
         later, earlier, bound, odd = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (later, earlier, bound, odd))
+        if digests is not None and texts is None:
+            pair_ends = np.unique(np.concatenate([later, earlier]))
+            return pa.RecordBatch.from_arrays([pa.array(key[pair_ends]), pa.array(digests[pair_ends], pa.binary())], ["key", "digest"])
         if texts is not None:
             near_ones = np.unique(later[all_within_edits(texts, later, earlier, bound)])
             return pa.RecordBatch.from_arrays([pa.array(digests[near_ones], pa.binary())], ["digest"])

@@ -613,7 +613,11 @@ def test_open_lines_leave_no_pairs(spark, n_lines):
     got = sorted(int(r["digest"]) for r in line_module.gram_pairs(met, 32, 5, None).collect())
     assert got == [a for a in range(n_lines) if a % 3 and any(line_module.within_edits(lines[a], lines[b], 5) for b in range(a))]
     assert (n_lines - 1 in got) == ((n_lines - 1) % 3 > 0)
-    assert line_module.gram_pairs(met.drop("text", "digest"), 32, 5, None).count() > n_lines
+    pairs = line_module.gram_pairs(met.drop("text", "digest"), 32, 5, None).collect()
+    assert len(pairs) > n_lines
+    mates = [(r["key"], int(r["digest"])) for r in line_module.gram_pairs(met.drop("text"), 32, 5, None).collect()]
+    least = {(min(set(keys[a]) & set(keys[b])), k) for a, b in ((p["at"]["doc_id"], p["o_at"]["doc_id"]) for p in pairs) for k in (a, b)}
+    assert sorted(mates) == sorted(least)
 
 
 def test_executors_rest_before_each_stage(spark, monkeypatch):
