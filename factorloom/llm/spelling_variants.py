@@ -51,6 +51,11 @@ def _fits(k: str) -> Column:
     return F.expr(f"CASE WHEN {rest} < 0 THEN false ELSE getbit(rests, least({LONG_REST}, {rest})) = 1 AND ({rest} = 0 OR {begins}) END")
 
 
+def _growing(table: DataFrame) -> DataFrame:
+    """``table`` as a side of a join that is never broadcast: it grows with the words, and Spark sizes an exploded table, or a packed file, too low."""
+    return table.hint("merge")
+
+
 def _left(text, n) -> Column:
     return F.substr(text, F.lit(1), n)
 
@@ -95,7 +100,7 @@ def trie(words: DataFrame) -> DataFrame:
     )
     nodes = seen.where("a <> b or a = '' or begins").select("node", "starts", "rests")
     # the nodes on each word's path, and between each two of them an edge
-    path = at.select("word", "n", "text", "pos", "node").join(nodes, "node").groupBy("word", "n", "text", F.substring("node", 1, 1).alias("side"))
+    path = at.select("word", "n", "text", "pos", "node").join(_growing(nodes), "node").groupBy("word", "n", "text", F.substring("node", 1, 1).alias("side"))
     path = path.agg(F.sort_array(F.collect_list(F.struct("pos", "node", "starts", "rests"))).alias("path"))
     step = F.posexplode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("k", "to")
     edges = path.where(F.size("path") > 1).select("word", "n", "text", "path", step).withColumn("from", F.get("path", F.col("k")))
@@ -201,7 +206,7 @@ def _roots(forms: DataFrame) -> DataFrame:
         now = materialize(forms.select("word", F.col("form").alias("root")), "roots")
         while True:
             ahead = now.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-            step = materialize(now.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
+            step = materialize(now.join(_growing(ahead), "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
             now = step.select("word", "root")
             if step.where("moved").isEmpty():
                 break
@@ -221,11 +226,11 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     # the most frequent neighbour, ties by code points: strings are ordered by UTF-8, which is that order
     pairs = neighbours(words.where("word <> ''")).distinct()
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near"))).alias("best"))
-    found = words.join(best, "word", "left").withColumn("form_n", -F.col("best.minus"))
+    found = words.join(_growing(best), "word", "left").withColumn("form_n", -F.col("best.minus"))
     formed = F.col("form_n") >= ratio * F.col("n")
     found = found.select("word", F.when(formed, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("form_n")).alias("form_n"))
     found = materialize(found, "forms")
-    out = found.join(_roots(found.where("form is not null")), "word", "left")
+    out = found.join(_growing(_roots(found.where("form is not null"))), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

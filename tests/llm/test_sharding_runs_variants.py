@@ -364,3 +364,19 @@ def test_frontiers_stay_near_the_words(spark):
         most = max(most, frontier.count())
         frontier = frontier.where((F.col("pos") < F.length("text")) | (F.col("edits") == 0))
     assert most <= 60 * len(counts)
+
+
+def test_tables_of_words_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    kept = sv.materialize
+
+    def planned(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, *more)
+
+    monkeypatch.setattr(sv, "materialize", planned)
+    words = spark.createDataFrame([("letter", 9), ("lettre", 4), ("leter", 2), ("letters", 30), ("other", 3)], "word string, n long")
+    out = sv.spelling_variants(words)
+    assert {r.word: r.root for r in out.collect()} == {"letter": "letters", "lettre": "lettre", "leter": "letters", "letters": "letters", "other": "other"}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
