@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.tests import p_of_kendall, p_of_ks, p_of_t
 from factorloom.functions.windows import average_rank, corr_of
-from factorloom.operators.labels import forward_return
-from factorloom.operators.order import bounds_of, exact_quantiles, piece_of, prefix_counts, rank_within, two_sample, with_ranks
+from factorloom.operators.decay import pooled_rank_ic
+from factorloom.operators.order import exact_quantiles, two_sample, with_ranks
 from factorloom.sources import versions
-from factorloom.sources.scratch import written
 
 KEYS = ["date", "factor", "ret"]
 
@@ -184,26 +183,10 @@ def ic_decay(wide: DataFrame, factors: list[str], horizons: int = 20, price: str
     """``factor, horizon, ic``: pooled rank correlation of each factor with the return over each horizon.
 
     ``wide`` has a row a date and ticker.  A factor and a horizon rank all complete
-    rows; both ranks come from pieces of the value's range, which are told once for
-    a row's factors and returns, before the row is repeated for each pair of them.
+    rows, so ranks are counted for few horizons at a time; no row is repeated.
     """
-    hs = range(1, horizons + 1)
-    rows = wide.select(*(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(factors)), *(forward_return(h, price).alias(f"y{h}") for h in hs))
-    rows = written(rows, "decay")
-    names = rows.columns
-    rows = rows.join(F.broadcast(rows.agg(*(bounds_of(c).alias(f"b_{c}") for c in names))), F.lit(True))
-    cell = lambda c, v, p: F.struct(F.col(c).alias(v), F.when(F.col(c).isNotNull(), piece_of(c, f"b_{c}")).alias(p))
-    rows = rows.select(F.array(*(cell(c, "x", "px") for c in names[: len(factors)])).alias("xs"), F.array(*(cell(c, "y", "py") for c in names[len(factors) :])).alias("ys"))
-    rows = written(rows, "pieces")
-    keys = ["factor", "horizon"]
-    pairs = rows.select(F.posexplode("xs").alias("factor", "a"), "ys").where("a.x is not null")
-    pairs = pairs.select("factor", "a.x", "a.px", F.posexplode("ys").alias("h", "b")).where("b.y is not null")
-    pairs = pairs.select("factor", (F.col("h") + 1).alias("horizon"), "x", "b.y", "px", "b.py")
-    met = pairs.groupBy(*keys, "px", "py").agg(F.count(F.lit(1)).alias("c"))  # the counts of both sides' pieces
-    for c in ("x", "y"):
-        pairs = rank_within(pairs, c, keys, prefix_counts(met, keys, f"p{c}", {"n": F.sum("c")}), f"r{c}", f"p{c}")
-    out = pairs.groupBy(*keys).agg(corr_of("rx", "ry").alias("ic"))
-    return out.select(F.element_at(F.array(*map(F.lit, factors)), F.col("factor") + 1).alias("factor"), "horizon", "ic")
+    found = pooled_rank_ic(wide.select("ticker", "date", price, *(f for f in factors if f != price)), factors, horizons, price)
+    return wide.sparkSession.createDataFrame(found, "factor string, horizon int, ic double")
 
 
 def half_life(decay: DataFrame) -> DataFrame:

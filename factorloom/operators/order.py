@@ -31,11 +31,6 @@ def with_piece(df: DataFrame, x: str, bounds: str, into: str = "_piece", pieces:
     return df.withColumn(into, 2 * F.col(into) + F.coalesce((F.get(F.col(bounds), F.col(into)) == F.col(x)).cast("int"), F.lit(0)))
 
 
-def piece_of(x: str, bounds: str) -> Column:
-    """``with_piece`` as one expression, for many columns at once: it looks at all boundaries, but adds no step to the plan."""
-    return 2 * F.size(F.filter(bounds, lambda b: b < F.col(x))) + F.coalesce(F.array_contains(bounds, F.col(x)), F.lit(False)).cast("int")
-
-
 def prefix_counts(pieced: DataFrame, keys: list[str], piece: str = "_piece", counts: dict[str, Column] | None = None) -> DataFrame:
     """``keys``, piece, and for each of ``counts`` (default: all rows as ``n``) its number in the piece and, as ``<name>_before``, before it."""
     counts = counts or {"n": F.count(F.lit(1))}
