@@ -23,11 +23,9 @@ def bounds_of(x: str | Column, pieces: int = PIECES) -> Column:
 
 def with_piece(df: DataFrame, x: str, bounds: str, into: str = "_piece", pieces: int = PIECES) -> DataFrame:
     """Adds the piece of ``x``: twice the boundaries below it, plus one if it is a boundary (then odd)."""
-    df = df.withColumn(into, F.lit(0))
-    step = pieces // 2
-    while step:  # binary search: boundaries below x
-        df = df.withColumn(into, F.col(into) + F.when(F.get(F.col(bounds), F.col(into) + (step - 1)) < F.col(x), step).otherwise(0))
-        step //= 2
+    steps = F.array(*(F.lit(pieces >> k) for k in range(1, pieces.bit_length())))
+    below = lambda at, step: at + F.when(F.get(F.col(bounds), at + step - 1) < F.col(x), step).otherwise(0)
+    df = df.withColumn(into, F.aggregate(steps, F.lit(0), below))  # binary search: boundaries below x; unrolled, its code is too long to be compiled
     return df.withColumn(into, 2 * F.col(into) + F.coalesce((F.get(F.col(bounds), F.col(into)) == F.col(x)).cast("int"), F.lit(0)))
 
 

@@ -10,6 +10,7 @@ from factorloom.operators import drift, selection, splits
 from factorloom.operators import evaluation as ev
 from factorloom.operators import factors as fac
 from factorloom.operators import labels as lab
+from factorloom.operators.by_date import cleaned_of, daily_ic_of, quantile_returns_of, scored
 from factorloom.plans import sql as q
 from factorloom.operators.screening import correlation_matrix, correlations, screen
 from factorloom.sources import panel as src
@@ -317,13 +318,11 @@ vd as (select fl.*, mc, ic_s and ir_s and mc < 0.8 as strict, ic_e and ir_e and
     )
 )
 def e14_screen(spark, d):
-    w = written(wide(spark, d), "screened")
-    clean = xs.standardize(xs.winsorize(long(spark, d, w)))
-    own = written(clean.select("date", "ticker", "factor", "value"), "cleaned")
-    p = ev.paired(own, w.select("date", "ticker", F.lit("r5").alias("ret"), F.col("r5").alias("value")))
-    buckets = ev.quantile_returns(p, 5)
-    later = ev.by_date_share(own.withColumnRenamed("value", "x"))
-    quality = ev.ic_summary(ev.daily_ic(p, least=LEAST)).select("factor", "ic_mean", "icir_annual", "p_value")
+    w = written(wide(spark, d).select("date", *FACTORS, "r5"), "screened")
+    scores = written(scored(w, FACTORS, ["r5"], 5, clean=(0.01, 0.99)), "scores")
+    buckets = quantile_returns_of(scores)
+    later = cleaned_of(ev.by_date_share(scores), "later")
+    quality = ev.ic_summary(daily_ic_of(scores, LEAST)).select("factor", "ic_mean", "icir_annual", "p_value")
     for more in (
         ev.spread_summary(ev.spread(buckets, 5, "top_minus_mean")).select("factor", "spread_mean"), ev.monotonicity(buckets).select("factor", "tau", F.col("p_value").alias("tau_p")),
         ev.psi(later, ["factor"]), ev.ks(later, ["factor"]).select("factor", F.col("p_value").alias("ks_p")),
