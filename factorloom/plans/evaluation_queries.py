@@ -656,6 +656,6 @@ def d4_spread_drift(spark, d):
     )
 )
 def d6_drift_report(spark, d):
-    p = pairs(spark, d)
-    rows = drift.drift_report(ev.daily_ic(p, least=LEAST), ev.spread(ev.quantile_returns(p, 5), 5))
+    scores = written(scored(wide(spark, d), FACTORS, ["r5", "r1"], 5), "scores")
+    rows = drift.drift_report(daily_ic_of(scores, LEAST), ev.spread(quantile_returns_of(scores), 5))
     return rounded(rows, ic_change=4, icir_change=4, spread_change=4, ic_ks_p=5).select("factor", "ret", "ic_change", "icir_change", "spread_change", "ic_ks_p", "significant", "passed")

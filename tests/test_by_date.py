@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from factorloom.operators import by_date, order
 from factorloom.operators import cross_section as xs
 from factorloom.operators import evaluation as ev
+from factorloom.plans import evaluation_queries as eq
+from tests.conftest import SF
 
 FACTORS, RETURNS = ["a", "b", "flat"], ["r5", "r1"]
 
@@ -49,6 +51,10 @@ def test_scores_equal_windows(spark, wide, clean):
         )
 
 
+def test_drift_report_reads_its_bars_once(spark):
+    assert "lineitem" not in eq.d6_drift_report(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pieces_are_found_by_short_code(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [float(v) for v in range(-1, 9)]})).withColumn("bounds", F.array(*(F.lit(float(v)) for v in (1, 3, 3, 5, 5, 5, 7))))
     out = order.with_piece(df, "x", "bounds", pieces=8)
