@@ -6,6 +6,8 @@ each column is sorted once, whatever the number of pairs it is in.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.operators.decay import NULL, sortable
+from factorloom.operators import decay
+from factorloom.operators.decay import NULL, piece_of, sortable
 
 PAIRS = "factor string, ret string, n long, ic double, buckets array<struct<bucket: int, mean_ret: double, n: long>>, cleaned binary"
 _KINDS = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.struct([("bucket", pa.int32()), ("mean_ret", pa.float64()), ("n", pa.int64())])), pa.binary()]
@@ -122,3 +125,124 @@ def cleaned_of(scores: DataFrame, *more: str) -> DataFrame:
 
     schema = ", ".join(["factor string", "x double", *(f"{c} {kind}" for c, kind in kinds.items())])
     return scores.where("cleaned is not null").select("cleaned", "factor", *more).mapInArrow(values, schema)
+
+
+def cleaned_drift(scores: DataFrame, n_bins: int = 10) -> DataFrame:
+    """``factor, psi, ks, n1, n2``: ``psi`` and ``ks`` of all cleaned values of ``scored`` with ``later``.
+
+    Values stay in the bytes of their date and go to the pieces of their range, of
+    which each is sorted in one task; what lies before a piece is counted first.  A
+    boundary's value is a piece that needs no sorting, and so stays where it is.
+    """
+    own = scores.where("cleaned is not null and octet_length(cleaned) > 0").select("factor", "later", "cleaned")
+    total = {r[0]: r[1] for r in own.groupBy("factor").agg(F.sum(F.octet_length("cleaned") / 8).cast("long")).collect()}
+
+    def each(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                factor, later, x = (batch.column(c)[k].as_py() for c in range(3))
+                yield factor, later, np.frombuffer(x, float)
+
+    def table(kinds: dict, rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    blobs = {"factor": pa.string(), "data": pa.binary()}
+
+    def sample(batches):
+        found = defaultdict(list)
+        for factor, _, x in each(batches):
+            found[factor].append(x[np.random.default_rng(len(x)).random(len(x)) < decay.SAMPLED / total[factor]].tobytes())
+        yield table(blobs, [(f, b"".join(v)) for f, v in found.items()])
+
+    values = defaultdict(list)
+    for r in own.mapInArrow(sample, "factor string, data binary").collect():
+        values[r["factor"]].append(bytes(r["data"]))
+    bounds = {}
+    for f, n in total.items():
+        x = np.frombuffer(b"".join(values[f]), float)
+        x = x[np.argsort(sortable(x))]
+        pieces = -(-n // decay.PIECE_ROWS)
+        at = x[np.arange(1, pieces) * len(x) // pieces] if len(x) else x
+        keys, first = np.unique(sortable(at), return_index=True)
+        bounds[f] = keys, at[first]
+
+    def count(batches):
+        found = {f: np.zeros((2 * len(keys) + 1, 2), np.int64) for f, (keys, _) in bounds.items()}
+        for factor, later, x in each(batches):
+            found[factor][:, int(later)] += np.bincount(piece_of(sortable(x), bounds[factor][0]), minlength=len(found[factor]))
+        yield table(blobs, [(f, v.tobytes()) for f, v in found.items()])
+
+    counts = {f: np.zeros((2 * len(keys) + 1, 2), np.int64) for f, (keys, _) in bounds.items()}
+    for r in own.mapInArrow(count, "factor string, data binary").collect():
+        counts[r["factor"]] += np.frombuffer(bytes(r["data"]), np.int64).reshape(-1, 2)
+    sides = {f: c.sum(0) for f, c in counts.items()}
+    before = {f: np.cumsum(c, 0) - c for f, c in counts.items()}
+    spots = {f: [(n[0] - 1) * (k / n_bins) for k in range(1, n_bins)] if n[0] else [] for f, n in sides.items()}
+    wanted = {f: sorted({r for at in v for r in (math.floor(at), math.ceil(at))}) for f, v in spots.items()}
+
+    def gap(f, a, b):
+        n = sides[f]
+        return np.abs(a / n[0] - b / n[1]) if n.all() else np.zeros(np.shape(a))
+
+    sent = {"factor": pa.string(), "piece": pa.int32(), "later": pa.bool_(), "data": pa.binary()}
+
+    def send(batches):
+        for factor, later, x in each(batches):
+            piece = piece_of(sortable(x), bounds[factor][0])
+            order = np.argsort(piece, kind="stable")
+            piece, x = piece[order], x[order]
+            ends = np.append(np.flatnonzero(np.diff(piece)) + 1, len(x))
+            rows = [(factor, int(piece[b - 1]), later, x[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends, strict=True) if piece[b - 1] % 2 == 0]
+            if rows:
+                yield table(sent, rows)
+
+    def within(key, piece):
+        """The largest distance inside (as rank -1), and the order statistics of earlier values that lie there."""
+        f, at = key[0].as_py(), key[1].as_py()
+        data = piece.column("data").to_pylist()
+        x = np.frombuffer(b"".join(data), float)
+        later = np.repeat(piece.column("later").to_numpy(zero_copy_only=False).astype(bool), [len(d) // 8 for d in data])
+        keys = sortable(x)
+        order = np.argsort(keys)
+        keys, x, later = keys[order], x[order], later[order]
+        last = np.append(keys[1:] != keys[:-1], True)
+        a0, b0 = before[f][at]
+        out = [(f, -1, float(gap(f, a0 + np.cumsum(~later)[last], b0 + np.cumsum(later)[last]).max()))]
+        early = x[~later]
+        out += [(f, r, float(early[r - a0])) for r in wanted[f] if a0 <= r < a0 + len(early)]
+        return pa.Table.from_batches([table({"factor": pa.string(), "rank": pa.int64(), "value": pa.float64()}, out)])
+
+    most, at_rank = defaultdict(float), defaultdict(dict)
+    found = own.mapInArrow(send, "factor string, piece int, later boolean, data binary").groupBy("factor", "piece").applyInArrow(within, "factor string, rank long, value double")
+    for r in found.groupBy("factor", "rank").agg(F.max("value").alias("value")).collect():  # a rank lies in one piece
+        if r["rank"] < 0:
+            most[r["factor"]] = max(most[r["factor"]], r["value"])
+        else:
+            at_rank[r["factor"]][r["rank"]] = r["value"]
+    edges = {}
+    for f, c in counts.items():
+        for k in range(1, len(c), 2):
+            if c[k].any():
+                most[f] = max(most[f], float(gap(f, *(before[f][k] + c[k]))))
+                at_rank[f] |= {r: float(bounds[f][1][k // 2]) for r in wanted[f] if before[f][k][0] <= r < before[f][k][0] + c[k][0]}
+        low_high = [(at_rank[f][math.floor(at)], at_rank[f][math.ceil(at)], at - math.floor(at)) for at in spots[f]]
+        edges[f] = np.unique(sortable(np.array([a + (b - a) * share for a, b, share in low_high])))
+
+    def bins(batches):
+        made = {f: np.zeros((n_bins, 2), np.int64) for f in edges}
+        for factor, later, x in each(batches):
+            made[factor][:, int(later)] += np.bincount(np.searchsorted(edges[factor], sortable(x)), minlength=n_bins)
+        yield table(blobs, [(f, v.tobytes()) for f, v in made.items()])
+
+    binned = {f: np.zeros((n_bins, 2), np.int64) for f in edges}
+    for r in own.mapInArrow(bins, "factor string, data binary").collect():
+        binned[r["factor"]] += np.frombuffer(bytes(r["data"]), np.int64).reshape(-1, 2)
+    out = []
+    for f, n in sides.items():
+        psi = None
+        if n[0]:
+            there = binned[f][binned[f].any(1)]
+            p, s = np.maximum(there[:, 0] / n[0], 1e-4), np.maximum(there[:, 1] / n[1], 1e-4) if n[1] else None
+            psi = float(((s - p) * np.log(s / p)).sum()) if s is not None else None
+        out.append((f, psi, most[f] if n.all() else None, int(n[0]), int(n[1])))
+    return scores.sparkSession.createDataFrame(out, "factor string, psi double, ks double, n1 long, n2 long")

@@ -120,7 +120,7 @@ def _blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]
             yield block, Block(*rest)
 
 
-def _piece(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def piece_of(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Twice the boundaries below a value, plus one if it is a boundary: then all rows of the piece are equal."""
     below = np.searchsorted(bounds, keys)
     return (2 * below + (np.append(bounds, NULL)[below] == keys)).astype(np.int32)
@@ -157,7 +157,7 @@ def _counts(blocks: DataFrame, bounds: list[np.ndarray], n_factors: int, horizon
             columns = [*b.xs, *map(b.forward, range(1, horizons + 1))]
             has = [c != NULL for c in columns]
             for c, keys in enumerate(columns):
-                piece = _piece(keys, bounds[c])
+                piece = piece_of(keys, bounds[c])
                 for k, other in enumerate(has[n_factors:] if c < n_factors else has[:n_factors]):
                     total[c][:, k] += np.bincount(piece[has[c] & other], minlength=len(total[c]))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["col", "counts"])
@@ -189,7 +189,7 @@ def _met(blocks: DataFrame, bounds: list[np.ndarray], counts: list[np.ndarray],
                 rows = np.flatnonzero(has[c] & others.any(0))
                 if not len(rows):
                     continue
-                piece = _piece(keys[rows], bounds[c])
+                piece = piece_of(keys[rows], bounds[c])
                 order = np.argsort(piece.astype(np.uint16) if piece.max() < 65_536 else piece, kind="stable")  # numpy sorts 16 bits by radix
                 rows, piece = rows[order], piece[order]
                 ends = np.append(np.flatnonzero(np.diff(piece)) + 1, len(rows))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factorloom.functions.tests import p_of_ks
 from factorloom.functions.windows import near, wt
 from factorloom.operators import cross_section as xs
 from factorloom.operators import drift, selection, splits
 from factorloom.operators import evaluation as ev
 from factorloom.operators import factors as fac
 from factorloom.operators import labels as lab
-from factorloom.operators.by_date import cleaned_of, daily_ic_of, quantile_returns_of, scored
+from factorloom.operators.by_date import cleaned_drift, daily_ic_of, quantile_returns_of, scored
 from factorloom.plans import sql as q
 from factorloom.operators.screening import correlation_matrix, correlations, screen
 from factorloom.sources import panel as src
@@ -321,11 +322,11 @@ def e14_screen(spark, d):
     w = written(wide(spark, d).select("date", *FACTORS, "r5"), "screened")
     scores = written(scored(w, FACTORS, ["r5"], 5, clean=(0.01, 0.99)), "scores")
     buckets = quantile_returns_of(scores)
-    later = cleaned_of(ev.by_date_share(scores), "later")
+    later = cleaned_drift(ev.by_date_share(scores))
     quality = ev.ic_summary(daily_ic_of(scores, LEAST)).select("factor", "ic_mean", "icir_annual", "p_value")
     for more in (
         ev.spread_summary(ev.spread(buckets, 5, "top_minus_mean")).select("factor", "spread_mean"), ev.monotonicity(buckets).select("factor", "tau", F.col("p_value").alias("tau_p")),
-        ev.psi(later, ["factor"]), ev.ks(later, ["factor"]).select("factor", F.col("p_value").alias("ks_p")),
+        later.select("factor", "psi", p_of_ks("ks", "n1", "n2").alias("ks_p")),
     ):
         quality = quality.join(more, "factor", "left")
     out = screen(written(quality, "quality"), correlation_matrix(w, FACTORS), FACTORS)

@@ -51,8 +51,18 @@ def test_scores_equal_windows(spark, wide, clean):
         )
 
 
+@pytest.mark.parametrize(("piece", "sampled"), [(400_000, 32_768), (8, 32_768), (8, 4)])
+def test_drift_of_cleaned_values_equals_windows(spark, wide, monkeypatch, piece, sampled):
+    monkeypatch.setattr(by_date.decay, "PIECE_ROWS", piece)
+    monkeypatch.setattr(by_date.decay, "SAMPLED", sampled)
+    scores = ev.by_date_share(by_date.scored(wide, FACTORS, RETURNS, 4, (0.1, 0.9)), 0.5)
+    rows = by_date.cleaned_of(scores, "later")
+    want = ev.psi(rows, ["factor"]).join(ev.ks(rows, ["factor"], p=False), "factor")
+    assert rows_of(by_date.cleaned_drift(scores)) == rows_of(want.select("factor", "psi", "ks", "n1", "n2"))
+
+
 def test_drift_report_reads_its_bars_once(spark):
-    assert "lineitem" not in eq.d6_drift_report(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in eq.d6_drift_report(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_pieces_are_found_by_short_code(spark):
